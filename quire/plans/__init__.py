@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["naming"]
+MODULES = ["naming", "blocks", "extraction"]
 
 
 def _load():
