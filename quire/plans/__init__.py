@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["naming", "blocks", "extraction"]
+MODULES = ["naming", "blocks", "extraction", "export"]
 
 
 def _load():
