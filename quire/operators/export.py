@@ -29,8 +29,7 @@ MODES = ("md-only", "md+images")
 
 
 def export_files(selection: DataFrame, library: DataFrame, markdown: DataFrame,
-                 images: DataFrame | None = None, mode: str = "md-only",
-                 n: int | None = None) -> DataFrame:
+                 images: DataFrame | None = None, mode: str = "md-only") -> DataFrame:
     """selection(ord, id), library(id, original_name, stem, markdown_path, images_dir),
     markdown(id, markdown), images(id, image_name, content) ->
     (ord, id, file_name, kind, content binary)."""
@@ -41,7 +40,7 @@ def export_files(selection: DataFrame, library: DataFrame, markdown: DataFrame,
     has_md = markdown.select("id").distinct()
     eligible = picked.filter(F.col("markdown_path").isNotNull()).join(has_md, "id", "left_semi")
     eligible = eligible.withColumn("_stem", sanitize_stem(F.coalesce(F.col("original_name"), F.col("stem"))))
-    named = unique_names(eligible.select("ord", "id", "_stem", "images_dir"), "_stem", ["ord"], "name", n)
+    named = unique_names(eligible.select("ord", "id", "_stem", "images_dir"), "_stem", ["ord"], "name")
 
     docs = named.join(markdown.select("id", "markdown"), "id", "inner")
     if mode == "md+images" and images is not None:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.operators.sequence import rank_within_key
+from quire.operators.sequence import MIN_HOT_ROWS, rank_within_key
 
 FAMILY_SUFFIX = r"( \([0-9]+\))+\z"
 
@@ -43,7 +43,7 @@ def _sequential(stems: list[str]) -> list[str]:
 
 
 def unique_names(df: DataFrame, stem_col: str, order_cols: list[str], out: str = "name",
-                 n: int | None = None) -> DataFrame:
+                 min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
     """Add ``out``: a name unique case-insensitively across all rows of ``df``.
     ``order_cols`` must give a total order (request order)."""
     low = F.lower(F.col(stem_col))
@@ -51,7 +51,7 @@ def unique_names(df: DataFrame, stem_col: str, order_cols: list[str], out: str =
     fam = d.groupBy("_fam").agg((F.min("_low") == F.max("_low")).alias("_single"))
     d = d.join(fam, "_fam")
 
-    fast = rank_within_key(d.filter("_single"), ["_low"], order_cols, "_k", n)
+    fast = rank_within_key(d.filter("_single"), ["_low"], order_cols, "_k", min_hot_rows)
     fast = fast.withColumn(out, F.when(F.col("_k") == 1, F.col(stem_col))
                            .otherwise(F.format_string("%s (%d)", F.col(stem_col), F.col("_k"))))
     fast = fast.drop("_k", "_low", "_fam", "_single")

@@ -2,98 +2,151 @@
 
 A plain ``Window.partitionBy(key)`` sends every row of a key to one task, so a
 key holding a third of the data becomes a third of the job in one task.  The
-helpers here range-partition on (key, order) instead: the range partitioner
-samples the data and cuts even a single hot key into many contiguous slices.
-Each slice is ranked locally; a small per-(key, slice) count table (at most
-keys + slices rows) carries the offsets across slices.  No group is ever
-gathered into one task, and the only window over a key runs on that small
-table, whose groups are bounded by the number of slices.
-
-The slices are identified by ``spark_partition_id()`` right after the range
-exchange.  Both branches that read it (local rank and per-slice counts) come
-from the same exchange, which Spark reuses within the query, so they agree.
+helpers here first give every row an order-preserving *bucket* inside its
+key, then work per (key, bucket) and carry offsets across buckets through
+small per-(key, bucket) tables.
+
+Buckets are a pure function of the data, never of the physical plan: every
+branch that recomputes them (or a task retried after an executor loss) gets
+the same answer.  They come from exact, order-independent statistics only:
+
+* per key: count, min and max of the first order column (partial aggregates);
+* a key is *hot* when it holds more than ``total / (4 * P)`` rows (P =
+  shuffle partitions) - so at most 4 * P keys are hot, a proven bound that
+  makes the hot-key table safe to broadcast;
+* a hot key's order range is cut into ``ceil(n / H)`` equal-width buckets
+  (H = that threshold), and each bucket still holding more than H rows is
+  cut again the same way (its table is bounded by total / H = 4 * P rows).
+  Cold keys stay whole (bucket 0), which is at most H rows per task.
+
+Only a burst of more than H rows inside 1/(nb1*nb2) of a key's order range,
+or more than H rows sharing one order value, can still land in one task.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+FINE = 1 << 20          # bucket id = coarse * FINE + fine
+MAX_BUCKETS = 1 << 16   # cap per level
+MIN_HOT_ROWS = 100_000  # keys smaller than this are never split
 
 
 def _cols(xs) -> list[Column]:
     return [F.col(x) if isinstance(x, str) else x for x in xs]
 
 
-def _n_slices(df: DataFrame, n: int | None) -> int:
-    if n:
-        return n
+def _parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def sliced(df: DataFrame, keys: list[str], order: list, n: int | None = None) -> DataFrame:
-    """Range-partition on keys + order and tag each row with its slice id."""
-    return (df.repartitionByRange(_n_slices(df, n), *_cols(keys), *_cols(order))
-            .withColumn("_slice", F.spark_partition_id()))
+def order_number(df: DataFrame, col) -> Column | None:
+    """Numeric, order-preserving view of an order column (None if not possible)."""
+    if not isinstance(col, str):
+        return None
+    dt = df.schema[col].dataType
+    c = F.col(col)
+    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(c.cast("timestamp")).cast("double")
+    if isinstance(dt, T.DateType):
+        return F.unix_date(c).cast("double")
+    if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
+                       T.DecimalType)):
+        return c.cast("double")
+    return None
+
+
+def bucketed(df: DataFrame, keys: list[str], order: list, min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
+    """Add ``_b`` (bigint): an order-preserving bucket of each row inside its
+    key, and ``_hot``: whether the key was split."""
+    x = order_number(df, order[0]) if order else None
+    if x is None:
+        return df.withColumn("_b", F.lit(0).cast("bigint")).withColumn("_hot", F.lit(False))
+    d = df.withColumn("_x", x)
+    stats = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_mn"), F.max("_x").alias("_mx"))
+    total = stats.agg(F.sum("_n").alias("_total"))
+    limit = F.greatest(F.col("_total") / F.lit(4 * _parts(df)), F.lit(float(min_hot_rows)))
+    # One row (the total) joined to every key's stats.
+    hot = (stats.crossJoin(F.broadcast(total)).filter(F.col("_n") > limit)
+           .select(*keys, "_mn", "_mx", limit.alias("_h"),
+                   F.least(F.ceil(F.col("_n") / limit), F.lit(MAX_BUCKETS)).alias("_nb")))
+
+    def cut(lo, hi, nb):
+        width = (F.col(hi) - F.col(lo) + 1) / F.col(nb)
+        return F.least(F.floor((F.col("_x") - F.col(lo)) / width), F.col(nb) - 1).cast("bigint")
+
+    # At most 4 * P hot keys (each holds more than total / (4 * P) rows).
+    d1 = d.join(F.broadcast(hot), keys, "left").withColumn(
+        "_b1", F.when(F.col("_nb").isNull(), F.lit(0).cast("bigint")).otherwise(cut("_mn", "_mx", "_nb")))
+    heavy = (d1.filter(F.col("_nb").isNotNull())
+             .groupBy(*keys, "_b1").agg(F.count(F.lit(1)).alias("_n2"), F.min("_x").alias("_mn2"),
+                                         F.max("_x").alias("_mx2"), F.first("_h").alias("_h2"))
+             .filter(F.col("_n2") > F.col("_h2"))
+             .select(*keys, "_b1", "_mn2", "_mx2",
+                     F.least(F.ceil(F.col("_n2") / F.col("_h2")), F.lit(MAX_BUCKETS)).alias("_nb2")))
+    # Heavy buckets hold more than H = total / (4 * P) rows each: at most 4 * P of them.
+    d2 = d1.join(F.broadcast(heavy), [*keys, "_b1"], "left").withColumn(
+        "_b2", F.when(F.col("_nb2").isNull(), F.lit(0).cast("bigint")).otherwise(cut("_mn2", "_mx2", "_nb2")))
+    return d2.withColumn("_b", F.col("_b1") * FINE + F.col("_b2")).withColumn("_hot", F.col("_nb").isNotNull()).drop(
+        "_x", "_mn", "_mx", "_h", "_nb", "_b1", "_mn2", "_mx2", "_nb2", "_b2")
+
+
+def _offsets(counts: DataFrame, keys: list[str], cnt: str) -> DataFrame:
+    """Per (key, bucket): the sum of ``cnt`` over the key's earlier buckets."""
+    w = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("_off", F.coalesce(F.sum(cnt).over(w), F.lit(0))).select(*keys, "_b", "_off")
 
 
 def rank_within_key(df: DataFrame, keys: list[str], order: list, out: str = "rn",
-                    n: int | None = None) -> DataFrame:
-    """1-based row number of each row within its key by ``order`` (ties broken
-    by the order columns, which callers make unique)."""
-    s = sliced(df, keys, order, n)
-    local = s.withColumn("_local", F.row_number().over(Window.partitionBy("_slice", *keys).orderBy(*_cols(order))))
-    counts = s.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_cnt"))
-    offsets = counts.withColumn(
-        "_off",
-        F.coalesce(F.sum("_cnt").over(Window.partitionBy(*keys).orderBy("_slice")
-                                      .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    joined = local.join(offsets.select(*keys, "_slice", "_off"), on=[*keys, "_slice"], how="inner")
-    return joined.withColumn(out, (F.col("_local") + F.col("_off")).cast("bigint")).drop("_local", "_off", "_slice")
-
-
-def global_rank(df: DataFrame, order: list, out: str = "rn", n: int | None = None) -> DataFrame:
-    """1-based position in a total order without a single-task window."""
+                    min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
+    """1-based row number of each row within its key by ``order`` (callers make
+    the order total, e.g. by ending it with a unique sequence number)."""
+    b = bucketed(df, keys, order, min_hot_rows).drop("_hot")
+    local = b.withColumn("_local", F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(*_cols(order))))
+    counts = b.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
+    joined = local.join(_offsets(counts, keys, "_cnt"), [*keys, "_b"], "inner")
+    return joined.withColumn(out, (F.col("_local") + F.col("_off")).cast("bigint")).drop("_local", "_off", "_b")
+
+
+def global_rank(df: DataFrame, order: list, out: str = "rn", min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
+    """1-based position in a total order without a single-task window: the
+    whole frame is one (hot) key, cut into order buckets."""
     tagged = df.withColumn("_all", F.lit(0))
-    return rank_within_key(tagged, ["_all"], order, out, n).drop("_all")
+    return rank_within_key(tagged, ["_all"], order, out, min_hot_rows).drop("_all")
 
 
 def previous_in_key(df: DataFrame, keys: list[str], order: list, cols: list[str],
-                    prefix: str = "prev_", n: int | None = None) -> DataFrame:
+                    prefix: str = "prev_", min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
     """Values of the previous row of the same key (``lag``), skew-safe.
 
-    Inside a slice ``lag`` works directly; the first row of a (key, slice)
-    takes the last row of the nearest earlier slice holding that key, found
-    through the small per-(key, slice) table of last rows.
-    """
-    s = sliced(df, keys, order, n)
-    w = Window.partitionBy("_slice", *keys).orderBy(*_cols(order))
-    local = s
+    Inside a bucket ``lag`` works directly; the first row of a bucket takes
+    the last row of the key's nearest earlier bucket, found through the small
+    per-(key, bucket) table of last rows."""
+    b = bucketed(df, keys, order, min_hot_rows).drop("_hot")
+    w = Window.partitionBy(*keys, "_b").orderBy(*_cols(order))
+    local = b
     for c in cols:
         local = local.withColumn(prefix + c, F.lag(c).over(w))
     local = local.withColumn("_first", F.row_number().over(w) == 1)
-    order_struct = F.struct(*_cols(order))
-    lasts = s.groupBy(*keys, "_slice").agg(
-        F.max_by(F.struct(*[F.col(c).alias(c) for c in cols]), order_struct).alias("_last"))
-    carry = lasts.withColumn(
-        "_carry", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_slice"))
-    ).select(*keys, "_slice", "_carry")
-    joined = local.join(carry, on=[*keys, "_slice"], how="left")
+    lasts = b.groupBy(*keys, "_b").agg(
+        F.max_by(F.struct(*[F.col(c).alias(c) for c in cols]), F.struct(*_cols(order))).alias("_last"))
+    carry = lasts.withColumn("_carry", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_b"))).select(
+        *keys, "_b", "_carry")
+    joined = local.join(carry, [*keys, "_b"], "left")
     for c in cols:
         joined = joined.withColumn(prefix + c, F.when(F.col("_first"), F.col(f"_carry.{c}"))
                                    .otherwise(F.col(prefix + c)))
-    return joined.drop("_first", "_carry", "_slice")
+    return joined.drop("_first", "_carry", "_b")
 
 
 def running_count_within_key(df: DataFrame, keys: list[str], order: list, cond: Column,
-                             out: str = "running", n: int | None = None) -> DataFrame:
+                             out: str = "running", min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
     """Number of rows with ``cond`` true up to and including this row, per key."""
-    s = sliced(df, keys, order, n).withColumn("_hit", F.when(cond, 1).otherwise(0))
-    w = Window.partitionBy("_slice", *keys).orderBy(*_cols(order)).rowsBetween(Window.unboundedPreceding, 0)
-    local = s.withColumn("_local", F.sum("_hit").over(w))
-    counts = s.groupBy(*keys, "_slice").agg(F.sum("_hit").alias("_cnt"))
-    offsets = counts.withColumn(
-        "_off",
-        F.coalesce(F.sum("_cnt").over(Window.partitionBy(*keys).orderBy("_slice")
-                                      .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    joined = local.join(offsets.select(*keys, "_slice", "_off"), on=[*keys, "_slice"], how="inner")
+    b = bucketed(df, keys, order, min_hot_rows).drop("_hot").withColumn("_hit", F.when(cond, 1).otherwise(0))
+    w = Window.partitionBy(*keys, "_b").orderBy(*_cols(order)).rowsBetween(Window.unboundedPreceding, 0)
+    local = b.withColumn("_local", F.sum("_hit").over(w))
+    counts = b.groupBy(*keys, "_b").agg(F.sum("_hit").alias("_cnt"))
+    joined = local.join(_offsets(counts, keys, "_cnt"), [*keys, "_b"], "inner")
     return joined.withColumn(out, (F.col("_local") + F.col("_off")).cast("bigint")).drop(
-        "_local", "_off", "_slice", "_hit")
+        "_local", "_off", "_b", "_hit")
