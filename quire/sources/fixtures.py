@@ -67,6 +67,16 @@ def conversation_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 EVENT_KINDS = {"signup": "submit", "view": "view", "click": "cancel", "purchase": "done", "error": "failed"}
 
 
+def with_job_kinds(e: DataFrame) -> DataFrame:
+    """Add ``kind`` and ``payload`` to raw events (native expressions)."""
+    kinds = F.create_map(*[x for k, v in EVENT_KINDS.items() for x in (F.lit(k), F.lit(v))])
+    payload = (F.when(F.col("event_type") == "view", F.format_string("progress %.2f", F.col("value")))
+               .when(F.col("event_type") == "purchase",
+                     F.concat(F.lit('{"device": "'), F.when(F.col("value") >= 25, "cuda").otherwise("cpu"), F.lit('"}')))
+               .when(F.col("event_type") == "error", F.concat(F.lit("RuntimeError: "), F.col("props"))))
+    return e.withColumn("kind", F.element_at(kinds, F.col("event_type"))).withColumn("payload", payload)
+
+
 def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Job events from ``events``: job = (user, running count of signups up to
     the event by (ts, event_id)).  Events before a user's first signup get
@@ -75,12 +85,6 @@ def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     e = read_table(spark, sf_dir, "events").select(
         "user_id", "ts", F.col("event_id").alias("seq"), "event_type", "value", "props")
-    g = running_count_within_key(e, ["user_id"], ["ts", "seq"], F.col("event_type") == "signup", "gen")
-    kinds = F.create_map(*[x for k, v in EVENT_KINDS.items() for x in (F.lit(k), F.lit(v))])
-    payload = (F.when(F.col("event_type") == "view", F.format_string("progress %.2f", F.col("value")))
-               .when(F.col("event_type") == "purchase",
-                     F.concat(F.lit('{"device": "'), F.when(F.col("value") >= 25, "cuda").otherwise("cpu"), F.lit('"}')))
-               .when(F.col("event_type") == "error", F.concat(F.lit("RuntimeError: "), F.col("props"))))
+    g = with_job_kinds(running_count_within_key(e, ["user_id"], ["ts", "seq"], F.col("event_type") == "signup", "gen"))
     return g.select(F.concat(F.col("user_id").cast("string"), F.lit("-"), F.col("gen").cast("string")).alias("job_id"),
-                    "user_id", "seq", "ts", F.element_at(kinds, F.col("event_type")).alias("kind"),
-                    payload.alias("payload"))
+                    "user_id", "seq", "ts", "kind", "payload")
