@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.operators.sequence import global_rank
+from quire.session import materialize
 
 # --- Fixed values (must equal the reference's) ---
 STATUSES = ["queued", "running", "done", "failed", "cancelled"]
@@ -57,28 +58,26 @@ def job_states(events: DataFrame, job_col: str = "job_id", start_kinds=("start",
     a queued job and is progress for a running one): the first such event is
     the start, later ones are progress."""
     kind = F.col("kind")
-    p1 = events.groupBy(job_col).agg(
-        _first(kind == "submit").alias("_submit"),
-    ).filter(F.col("_submit").isNotNull())
-    e1 = events.join(p1, job_col, "inner").filter(_key() >= F.col("_submit"))
-    p2 = e1.groupBy(job_col).agg(
+    # The event base is read once per phase; checkpointing it (and the small
+    # per-job table after each phase) keeps the passes linear.
+    base = materialize(events.select(job_col, "ts", "seq", "kind", "payload"))
+    jobs = materialize(base.groupBy(job_col).agg(_first(kind == "submit").alias("_submit"))
+                       .filter(F.col("_submit").isNotNull()))
+    after_submit = base.join(jobs, job_col, "inner").filter(_key() >= F.col("_submit"))
+    jobs = materialize(after_submit.groupBy(job_col).agg(
         F.first("_submit").alias("_submit"),
         _first(kind.isin(*start_kinds)).alias("_start"),
-        _first(kind == "cancel").alias("_cancel0"),
-    )
-    e2 = e1.select(job_col, "ts", "seq", "kind", "payload").join(p2, job_col, "inner")
+        _first(kind == "cancel").alias("_cancel0")))
     after_start = F.col("_start").isNotNull() & (_key() > F.col("_start"))
     term = kind.isin(*TERMINAL_EVENTS) & after_start
-    p3 = e2.groupBy(job_col).agg(
-        F.first("_submit").alias("_submit"), F.first("_start").alias("_start"),
-        F.first("_cancel0").alias("_cancel0"),
+    ends = base.join(jobs.select(job_col, "_start"), job_col, "inner").groupBy(job_col).agg(
         _first(term).alias("_end"),
-        _first(term, F.struct(kind.alias("kind"), F.col("payload").alias("payload"))).alias("_end_ev"),
-    )
-    e3 = e2.select(job_col, "ts", "seq", "kind", "payload").join(p3.select(job_col, "_start", "_end"), job_col)
+        _first(term, F.struct(kind.alias("kind"), F.col("payload").alias("payload"))).alias("_end_ev"))
+    jobs = materialize(jobs.join(ends, job_col, "left"))
     prog = kind.isin(*progress_kinds) & after_start & (F.col("_end").isNull() | (_key() < F.col("_end")))
-    p4 = e3.groupBy(job_col).agg(F.max_by(F.when(prog, F.col("payload")), F.when(prog, _key())).alias("_progress"))
-    s = p3.join(p4, job_col, "left")
+    progress_last = base.join(jobs.select(job_col, "_start", "_end"), job_col, "inner").groupBy(job_col).agg(
+        F.max_by(F.when(prog, F.col("payload")), F.when(prog, _key())).alias("_progress"))
+    s = jobs.join(progress_last, job_col, "left")
 
     cancelled_in_queue = F.col("_cancel0").isNotNull() & (F.col("_start").isNull() | (F.col("_cancel0") < F.col("_start")))
     end_kind = F.col("_end_ev.kind")

@@ -3,27 +3,31 @@
 A plain ``Window.partitionBy(key)`` sends every row of a key to one task, so a
 key holding a third of the data becomes a third of the job in one task.  The
 helpers here first give every row an order-preserving *bucket* inside its
-key, then work per (key, bucket) and carry offsets across buckets through
-small per-(key, bucket) tables.
+key, work per (key, bucket), and carry offsets across buckets.
 
-Buckets are a pure function of the data, never of the physical plan: every
-branch that recomputes them (or a task retried after an executor loss) gets
-the same answer.  They come from exact, order-independent statistics only:
+Buckets are a pure function of the data, never of the physical plan: any
+recomputation (another branch, or a task retried after an executor loss)
+gets the same answer.  They come from exact, order-independent statistics:
 
 * per key: count, min and max of the first order column (partial aggregates);
-* a key is *hot* when it holds more than ``total / (4 * P)`` rows (P =
-  shuffle partitions) - so at most 4 * P keys are hot, a proven bound that
-  makes the hot-key table safe to broadcast;
-* a hot key's order range is cut into ``ceil(n / H)`` equal-width buckets
-  (H = that threshold), and each bucket still holding more than H rows is
-  cut again the same way (its table is bounded by total / H = 4 * P rows).
-  Cold keys stay whole (bucket 0), which is at most H rows per task.
+* a key is *hot* when it holds more than H = max(total / (4 * P), 100k) rows
+  (P = shuffle partitions), so at most 4 * P keys are hot;
+* a hot key's order range is cut into ``ceil(n / H)`` equal-width buckets,
+  and each bucket still holding more than H rows is cut again the same way.
+  Cold keys stay whole (bucket 0): at most H rows in one task.
+
+Planning runs as a small eager job whose results are bounded by construction
+(at most 4 * P hot keys; at most about 8 * P hot buckets), so they are
+collected and broadcast as literal tables.  When no key is hot - the common
+case - the operators reduce to one plain window over the key.
 
 Only a burst of more than H rows inside 1/(nb1*nb2) of a key's order range,
 or more than H rows sharing one order value, can still land in one task.
 """
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,61 +61,100 @@ def order_number(df: DataFrame, col) -> Column | None:
     return None
 
 
-def bucketed(df: DataFrame, keys: list[str], order: list, min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
-    """Add ``_b`` (bigint): an order-preserving bucket of each row inside its
-    key, and ``_hot``: whether the key was split."""
+@dataclass
+class Buckets:
+    df: DataFrame        # input with ``_b`` (and ``_hot``)
+    split: bool          # whether any key was cut
+    keys: list[str]
+
+
+def _literal(spark, rows, schema: T.StructType) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+def bucketed(df: DataFrame, keys: list[str], order: list, min_hot_rows: int = MIN_HOT_ROWS) -> Buckets:
+    """Give every row ``_b`` (bigint), an order-preserving bucket inside its key,
+    and ``_hot`` (whether its key was cut)."""
+    plain = Buckets(df.withColumn("_b", F.lit(0).cast("bigint")).withColumn("_hot", F.lit(False)), False, keys)
     x = order_number(df, order[0]) if order else None
     if x is None:
-        return df.withColumn("_b", F.lit(0).cast("bigint")).withColumn("_hot", F.lit(False))
+        return plain
+    spark = df.sparkSession
     d = df.withColumn("_x", x)
     stats = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_mn"), F.max("_x").alias("_mx"))
     total = stats.agg(F.sum("_n").alias("_total"))
     limit = F.greatest(F.col("_total") / F.lit(4 * _parts(df)), F.lit(float(min_hot_rows)))
-    # One row (the total) joined to every key's stats.
-    hot = (stats.crossJoin(F.broadcast(total)).filter(F.col("_n") > limit)
-           .select(*keys, "_mn", "_mx", limit.alias("_h"),
-                   F.least(F.ceil(F.col("_n") / limit), F.lit(MAX_BUCKETS)).alias("_nb")))
+    # Each hot key holds more than total / (4 * P) rows: at most 4 * P rows come back.
+    hot_rows = (stats.crossJoin(F.broadcast(total)).filter(F.col("_n") > limit)
+                .select(*keys, "_mn", "_mx", limit.alias("_h"),
+                        F.least(F.ceil(F.col("_n") / limit), F.lit(MAX_BUCKETS)).cast("double").alias("_nb"))
+                .collect())
+    if not hot_rows:
+        return plain
+    key_fields = [df.schema[k] for k in keys]
+    hot = _literal(spark, [tuple(r) for r in hot_rows], T.StructType(
+        key_fields + [T.StructField(c, T.DoubleType()) for c in ("_mn", "_mx", "_h", "_nb")]))
 
     def cut(lo, hi, nb):
         width = (F.col(hi) - F.col(lo) + 1) / F.col(nb)
         return F.least(F.floor((F.col("_x") - F.col(lo)) / width), F.col(nb) - 1).cast("bigint")
 
-    # At most 4 * P hot keys (each holds more than total / (4 * P) rows).
     d1 = d.join(F.broadcast(hot), keys, "left").withColumn(
         "_b1", F.when(F.col("_nb").isNull(), F.lit(0).cast("bigint")).otherwise(cut("_mn", "_mx", "_nb")))
-    heavy = (d1.filter(F.col("_nb").isNotNull())
-             .groupBy(*keys, "_b1").agg(F.count(F.lit(1)).alias("_n2"), F.min("_x").alias("_mn2"),
-                                         F.max("_x").alias("_mx2"), F.first("_h").alias("_h2"))
-             .filter(F.col("_n2") > F.col("_h2"))
-             .select(*keys, "_b1", "_mn2", "_mx2",
-                     F.least(F.ceil(F.col("_n2") / F.col("_h2")), F.lit(MAX_BUCKETS)).alias("_nb2")))
-    # Heavy buckets hold more than H = total / (4 * P) rows each: at most 4 * P of them.
-    d2 = d1.join(F.broadcast(heavy), [*keys, "_b1"], "left").withColumn(
-        "_b2", F.when(F.col("_nb2").isNull(), F.lit(0).cast("bigint")).otherwise(cut("_mn2", "_mx2", "_nb2")))
-    return d2.withColumn("_b", F.col("_b1") * FINE + F.col("_b2")).withColumn("_hot", F.col("_nb").isNotNull()).drop(
-        "_x", "_mn", "_mx", "_h", "_nb", "_b1", "_mn2", "_mx2", "_nb2", "_b2")
-
-
-def _offsets(counts: DataFrame, keys: list[str], cnt: str) -> DataFrame:
-    """Per (key, bucket): the sum of ``cnt`` over the key's earlier buckets."""
-    w = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("_off", F.coalesce(F.sum(cnt).over(w), F.lit(0))).select(*keys, "_b", "_off")
+    # Heavy buckets hold more than H rows each: at most total / H = 4 * P of them.
+    heavy_rows = (d1.filter(F.col("_nb").isNotNull())
+                  .groupBy(*keys, "_b1").agg(F.count(F.lit(1)).alias("_n2"), F.min("_x").alias("_mn2"),
+                                              F.max("_x").alias("_mx2"), F.max("_h").alias("_h2"))
+                  .filter(F.col("_n2") > F.col("_h2"))
+                  .select(*keys, "_b1", "_mn2", "_mx2",
+                          F.least(F.ceil(F.col("_n2") / F.col("_h2")), F.lit(MAX_BUCKETS)).cast("double")
+                          .alias("_nb2"))
+                  .collect())
+    if heavy_rows:
+        heavy = _literal(spark, [tuple(r) for r in heavy_rows], T.StructType(
+            key_fields + [T.StructField("_b1", T.LongType())]
+            + [T.StructField(c, T.DoubleType()) for c in ("_mn2", "_mx2", "_nb2")]))
+        d2 = d1.join(F.broadcast(heavy), [*keys, "_b1"], "left")
+        b2 = F.when(F.col("_nb2").isNull(), F.lit(0).cast("bigint")).otherwise(cut("_mn2", "_mx2", "_nb2"))
+    else:
+        d2 = d1.withColumn("_nb2", F.lit(None).cast("double"))
+        b2 = F.lit(0).cast("bigint")
+    out = (d2.withColumn("_b", F.col("_b1") * FINE + b2).withColumn("_hot", F.col("_nb").isNotNull())
+           .drop("_x", "_mn", "_mx", "_h", "_nb", "_b1", "_mn2", "_mx2", "_nb2"))
+    return Buckets(out, True, keys)
+
+
+def _hot_bucket_table(b: Buckets, aggs: list[Column], names: list[str]) -> DataFrame:
+    """Per (hot key, bucket) aggregates, computed eagerly: bounded by the number
+    of hot buckets (about 8 * P), so the result is collected and broadcast."""
+    rows = b.df.filter("_hot").groupBy(*b.keys, "_b").agg(*aggs).collect()
+    agg_schema = b.df.filter("_hot").groupBy(*b.keys, "_b").agg(*aggs).schema
+    return b.df.sparkSession.createDataFrame([tuple(r) for r in rows], agg_schema).select(*b.keys, "_b", *names)
+
+
+def _hot_offsets(b: Buckets, agg: Column) -> DataFrame:
+    t = _hot_bucket_table(b, [agg.alias("_cnt")], ["_cnt"])
+    w = Window.partitionBy(*b.keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    return t.withColumn("_off", F.coalesce(F.sum("_cnt").over(w), F.lit(0))).select(*b.keys, "_b", "_off")
 
 
 def rank_within_key(df: DataFrame, keys: list[str], order: list, out: str = "rn",
                     min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
     """1-based row number of each row within its key by ``order`` (callers make
     the order total, e.g. by ending it with a unique sequence number)."""
-    b = bucketed(df, keys, order, min_hot_rows).drop("_hot")
-    local = b.withColumn("_local", F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(*_cols(order))))
-    counts = b.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
-    joined = local.join(_offsets(counts, keys, "_cnt"), [*keys, "_b"], "inner")
-    return joined.withColumn(out, (F.col("_local") + F.col("_off")).cast("bigint")).drop("_local", "_off", "_b")
+    b = bucketed(df, keys, order, min_hot_rows)
+    local = b.df.withColumn(out, F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(*_cols(order))))
+    if not b.split:
+        return local.withColumn(out, F.col(out).cast("bigint")).drop("_b", "_hot")
+    off = _hot_offsets(b, F.count(F.lit(1)))
+    joined = local.join(F.broadcast(off), [*keys, "_b"], "left")
+    return joined.withColumn(out, (F.col(out) + F.coalesce(F.col("_off"), F.lit(0))).cast("bigint")).drop(
+        "_off", "_b", "_hot")
 
 
 def global_rank(df: DataFrame, order: list, out: str = "rn", min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
     """1-based position in a total order without a single-task window: the
-    whole frame is one (hot) key, cut into order buckets."""
+    whole frame is one key, cut into order buckets once it is large."""
     tagged = df.withColumn("_all", F.lit(0))
     return rank_within_key(tagged, ["_all"], order, out, min_hot_rows).drop("_all")
 
@@ -120,33 +163,38 @@ def previous_in_key(df: DataFrame, keys: list[str], order: list, cols: list[str]
                     prefix: str = "prev_", min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
     """Values of the previous row of the same key (``lag``), skew-safe.
 
-    Inside a bucket ``lag`` works directly; the first row of a bucket takes
-    the last row of the key's nearest earlier bucket, found through the small
-    per-(key, bucket) table of last rows."""
-    b = bucketed(df, keys, order, min_hot_rows).drop("_hot")
+    Inside a bucket ``lag`` works directly; the first row of a hot bucket takes
+    the last row of the key's previous bucket from a small eager table."""
+    b = bucketed(df, keys, order, min_hot_rows)
     w = Window.partitionBy(*keys, "_b").orderBy(*_cols(order))
-    local = b
+    local = b.df
     for c in cols:
         local = local.withColumn(prefix + c, F.lag(c).over(w))
+    if not b.split:
+        return local.drop("_b", "_hot")
     local = local.withColumn("_first", F.row_number().over(w) == 1)
-    lasts = b.groupBy(*keys, "_b").agg(
-        F.max_by(F.struct(*[F.col(c).alias(c) for c in cols]), F.struct(*_cols(order))).alias("_last"))
+    lasts = _hot_bucket_table(
+        b, [F.max_by(F.struct(*[F.col(c).alias(c) for c in cols]), F.struct(*_cols(order))).alias("_last")],
+        ["_last"])
     carry = lasts.withColumn("_carry", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_b"))).select(
         *keys, "_b", "_carry")
-    joined = local.join(carry, [*keys, "_b"], "left")
+    joined = local.join(F.broadcast(carry), [*keys, "_b"], "left")
     for c in cols:
-        joined = joined.withColumn(prefix + c, F.when(F.col("_first"), F.col(f"_carry.{c}"))
-                                   .otherwise(F.col(prefix + c)))
-    return joined.drop("_first", "_carry", "_b")
+        joined = joined.withColumn(prefix + c, F.when(F.col("_first") & F.col("_carry").isNotNull(),
+                                                      F.col(f"_carry.{c}")).otherwise(F.col(prefix + c)))
+    return joined.drop("_first", "_carry", "_b", "_hot")
 
 
 def running_count_within_key(df: DataFrame, keys: list[str], order: list, cond: Column,
                              out: str = "running", min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
     """Number of rows with ``cond`` true up to and including this row, per key."""
-    b = bucketed(df, keys, order, min_hot_rows).drop("_hot").withColumn("_hit", F.when(cond, 1).otherwise(0))
+    b = bucketed(df, keys, order, min_hot_rows)
+    hit = F.when(cond, 1).otherwise(0)
     w = Window.partitionBy(*keys, "_b").orderBy(*_cols(order)).rowsBetween(Window.unboundedPreceding, 0)
-    local = b.withColumn("_local", F.sum("_hit").over(w))
-    counts = b.groupBy(*keys, "_b").agg(F.sum("_hit").alias("_cnt"))
-    joined = local.join(_offsets(counts, keys, "_cnt"), [*keys, "_b"], "inner")
-    return joined.withColumn(out, (F.col("_local") + F.col("_off")).cast("bigint")).drop(
-        "_local", "_off", "_b", "_hit")
+    local = b.df.withColumn(out, F.sum(hit).over(w))
+    if not b.split:
+        return local.withColumn(out, F.col(out).cast("bigint")).drop("_b", "_hot")
+    off = _hot_offsets(b, F.sum(hit))
+    joined = local.join(F.broadcast(off), [*keys, "_b"], "left")
+    return joined.withColumn(out, (F.col(out) + F.coalesce(F.col("_off"), F.lit(0))).cast("bigint")).drop(
+        "_off", "_b", "_hot")

@@ -111,8 +111,8 @@ def throttle(df: DataFrame, key: str, ts_col: str, seq_col: str, interval_second
     """Add boolean ``out``: whether the leading-edge throttle emits the row."""
     interval = int(round(interval_seconds * 1_000_000))
     key_type = df.schema[key].dataType
-    base = bucketed(df.withColumn("_t", _micros(ts_col)), [key], ["_t", seq_col], min_hot_rows)
-    parts = (base.repartition(_parts(df), key, "_b")
+    b = bucketed(df.withColumn("_t", _micros(ts_col)), [key], ["_t", seq_col], min_hot_rows)
+    parts = (b.df.repartition(_parts(df), key, "_b")
              .sortWithinPartitions(key, "_b", "_t", seq_col))
 
     summary_schema = T.StructType([
@@ -171,12 +171,16 @@ def throttle(df: DataFrame, key: str, ts_col: str, seq_col: str, interval_second
                 last = int(g[g["cand_t"].notna()].sort_values("cand_t").iloc[0]["exit_t"])
         return pd.DataFrame(out_rows, columns=[key, "_b", "_entry"])
 
-    entries = summaries.groupBy(key).applyInPandas(compose, entry_schema)
-
-    # One entry per bucket of a hot key; hot keys and their buckets are bounded
-    # by the bucketing (see sequence.bucketed), so the broadcast is bounded too.
-    seeded = (parts.join(F.broadcast(entries), [key, "_b"], "left")
-              .sortWithinPartitions(key, "_b", "_t", seq_col))
+    if b.split:
+        # One entry per bucket of a hot key; hot buckets are bounded by the
+        # bucketing (see sequence.bucketed), so the entries are computed once,
+        # eagerly, and broadcast as a literal table.
+        rows = summaries.groupBy(key).applyInPandas(compose, entry_schema).collect()
+        entries = df.sparkSession.createDataFrame([tuple(r) for r in rows], entry_schema)
+        seeded = parts.join(F.broadcast(entries), [key, "_b"], "left")
+    else:
+        seeded = parts.withColumn("_entry", F.lit(None).cast("long"))
+    seeded = seeded.sortWithinPartitions(key, "_b", "_t", seq_col)
     out_schema = T.StructType([f for f in seeded.schema.fields if f.name != "_entry"]
                               + [T.StructField(out, T.BooleanType())])
 

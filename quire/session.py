@@ -74,3 +74,13 @@ def table_path(sf_dir: str, name: str) -> str:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(table_path(sf_dir, name))
+
+
+def materialize(df):
+    """Cut lineage with a reliable checkpoint in the cluster's checkpoint folder.
+
+    Used where a multi-pass operator reads the same intermediate several times:
+    the passes then read the written data instead of recomputing the upstream,
+    and a lost executor cannot force a recomputation of the whole lineage."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -13,7 +13,8 @@ def _data(spark):
 
 def test_hot_key_is_split(spark):
     b = bucketed(_data(spark), ["k"], ["t", "id"], min_hot_rows=1000)
-    per = b.groupBy("k", "_b").count()
+    assert b.split
+    per = b.df.groupBy("k", "_b").count()
     assert per.filter("k = 0").count() > 4
     assert per.agg(F.max("count")).first()[0] < 20000
 
