@@ -22,6 +22,8 @@ MATH_PLACEHOLDER = "§§MATH{}§§"
 PROGRESS_CHARS = 300
 # --- end of fixed values ---
 
+SPANS_TYPE = "array<struct<span_idx:int,display:boolean,body:string>>"
+
 # Characters Python's str.strip() removes: Unicode white space incl. 1C-1F.
 STRIP_WS = UNICODE_WS[:-1] + r"\x1c-\x1f]"
 
@@ -101,4 +103,6 @@ def math_spans(text) -> Column:
                                                   b.alias("body")))
     il = F.transform(inline, lambda b, i: F.struct((i + n_disp).alias("span_idx"), F.lit(False).alias("display"),
                                                   b.alias("body")))
-    return F.concat(d, il)
+    spans = F.concat(d, il)
+    # Texts without a '$' have no spans: skip the three regex passes.
+    return F.when(F.instr(t, "$") > 0, spans).otherwise(F.array().cast(SPANS_TYPE))

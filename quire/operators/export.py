@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from quire.functions.names import sanitize_stem
 from quire.functions.text import rewrite_image_links
 from quire.operators.naming import unique_names
+from quire.session import materialize
 
 MODES = ("md-only", "md+images")
 
@@ -39,8 +40,11 @@ def export_files(selection: DataFrame, library: DataFrame, markdown: DataFrame,
     picked = selection.select("ord", "id").join(lib, "id", "inner")
     has_md = markdown.select("id").distinct()
     eligible = picked.filter(F.col("markdown_path").isNotNull()).join(has_md, "id", "left_semi")
-    eligible = eligible.withColumn("_stem", sanitize_stem(F.coalesce(F.col("original_name"), F.col("stem"))))
-    named = unique_names(eligible.select("ord", "id", "_stem", "images_dir"), "_stem", ["ord"], "name")
+    eligible = eligible.select("ord", "id", "images_dir",
+                               sanitize_stem(F.coalesce(F.col("original_name"), F.col("stem"))).alias("_stem"))
+    # Naming reads its input several times (family check, ranks); the narrow
+    # (ord, id, stem) table is written once so the joins above are not redone.
+    named = materialize(unique_names(materialize(eligible), "_stem", ["ord"], "name"))
 
     docs = named.join(markdown.select("id", "markdown"), "id", "inner")
     if mode == "md+images" and images is not None:

@@ -14,7 +14,10 @@ from quire.session import read_table, scratch_path
 from quire.sources import fixtures as FX
 from quire.sources.files_sink import write_files
 from quire.streaming.files import drop_files, file_stream, latest_per_key, run_available_now
-from quire.streaming.processors import Gaps, LineFramer, Throttle, UserJobFold
+from pyspark.sql.streaming.state import GroupStateTimeout
+
+from quire.streaming.processors import (JOB_OUTPUT, JOB_STATE, LINES_OUTPUT, LINES_STATE, fold_user_jobs,
+                                        frame_lines, gaps_fn, throttle_fn)
 
 QUERIES = {}
 ORACLE = {}
@@ -32,8 +35,8 @@ def _event_stream(spark, sf_dir, name, cols):
 def q_stream_lifecycle(spark, sf_dir):
     s = _event_stream(spark, sf_dir, "events-lifecycle",
                       ["user_id", "ts", F.col("event_id").alias("seq"), "kind", "payload"])
-    out = s.groupBy("user_id").transformWithStateInPandas(
-        UserJobFold(), UserJobFold.OUTPUT, "Update", "None")
+    out = s.groupBy("user_id").applyInPandasWithState(
+        fold_user_jobs, JOB_OUTPUT, JOB_STATE, "update", GroupStateTimeout.NoTimeout)
     return latest_per_key(run_available_now(out, "lifecycle", "update"), ["job_id"])
 
 
@@ -44,8 +47,9 @@ ORACLE["stream_lifecycle"] = J.ORACLE["job_lifecycle"]
 # -- stream_throttle (STR-2) ---------------------------------------------------------------------
 def q_stream_throttle(spark, sf_dir):
     s = _event_stream(spark, sf_dir, "events-throttle", [F.col("user_id").alias("key"), "event_id", "ts"])
-    out = s.groupBy("key").transformWithStateInPandas(
-        Throttle(3600.0, "key", "ts", "event_id"), "key long, event_id long, ts timestamp_ntz", "Append", "None")
+    out = s.groupBy("key").applyInPandasWithState(
+        throttle_fn(3600.0, "key", "ts", "event_id"), "key long, event_id long, ts timestamp_ntz", "us long",
+        "append", GroupStateTimeout.NoTimeout)
     return run_available_now(out, "throttle").drop("batch_id")
 
 
@@ -56,9 +60,10 @@ ORACLE["stream_throttle"] = J.ORACLE["throttle"]
 # -- stream_stalls (STR-3, closed gaps) ---------------------------------------------------------------
 def q_stream_stalls(spark, sf_dir):
     s = _event_stream(spark, sf_dir, "events-stalls", ["user_id", "event_id", "ts"])
-    out = s.groupBy("user_id").transformWithStateInPandas(
-        Gaps(86400.0, "user_id", "ts", "event_id"),
-        "user_id long, gap_start timestamp_ntz, gap_end timestamp_ntz, quiet_minutes long", "Append", "None")
+    out = s.groupBy("user_id").applyInPandasWithState(
+        gaps_fn(86400.0, "user_id", "ts", "event_id"),
+        "user_id long, gap_start timestamp_ntz, gap_end timestamp_ntz, quiet_minutes long", "us long",
+        "append", GroupStateTimeout.NoTimeout)
     return run_available_now(out, "stalls").drop("batch_id")
 
 
@@ -78,8 +83,8 @@ def q_stream_log_lines(spark, sf_dir):
         F.substring("b", F.col("chunk_idx") * CHUNK_BYTES + 1, CHUNK_BYTES).alias("chunk"))
     folder = drop_files(chunks, "chunk_idx", DROPS, "log-chunks")
     s = file_stream(spark, folder, chunks.schema)
-    out = s.groupBy("doc_id").transformWithStateInPandas(
-        LineFramer(), "doc_id long, line_idx long, line string", "Append", "None")
+    out = s.groupBy("doc_id").applyInPandasWithState(
+        frame_lines, LINES_OUTPUT, LINES_STATE, "append", GroupStateTimeout.NoTimeout)
     return run_available_now(out, "log-lines").drop("batch_id")
 
 

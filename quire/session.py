@@ -72,8 +72,20 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str):
-    return spark.read.parquet(table_path(sf_dir, name))
+def spread(df, min_partitions: int | None = None):
+    """Round-robin repartition when a scan yields fewer partitions than the
+    cluster has cores (e.g. one big file with a single row group), so per-row
+    work such as regex and parsing runs on every core.  Large inputs made of
+    many files already have enough partitions and are left alone."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.rdd().getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, balance: bool = True):
+    df = spark.read.parquet(table_path(sf_dir, name))
+    return spread(df) if balance else df
 
 
 def materialize(df):

@@ -25,9 +25,11 @@ def drop_files(df: DataFrame, order_col: str, n: int, name: str) -> str:
     spark = df.sparkSession
     folder = scratch_path(spark, name)
     x = order_number(df, order_col)
-    bounds = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
-    part = F.least(F.floor((x - F.col("lo")) * n / (F.col("hi") - F.col("lo") + 1)), F.lit(n - 1))
-    tagged = df.crossJoin(F.broadcast(bounds)).withColumn("_drop", part.cast("int")).drop("lo", "hi")
+    lo, hi = df.agg(F.min(x), F.max(x)).first()  # one row
+    if lo is None:
+        lo = hi = 0.0
+    part = F.least(F.floor((x - F.lit(lo)) * n / F.lit(hi - lo + 1)), F.lit(n - 1))
+    tagged = df.withColumn("_drop", part.cast("int"))
     for i in range(n):  # n is a small fixed number of drops, not data-dependent
         (tagged.filter(F.col("_drop") == i).drop("_drop").sortWithinPartitions(order_col)
          .coalesce(1).write.mode("overwrite").parquet(f"{folder}/drop={i:05d}"))
