@@ -190,3 +190,14 @@ def text_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         n.cast("bigint").alias("blocks"),
         F.when(F.col(text_col).isNull(), F.lit(NO_MARKDOWN_ERROR)).alias("error"),
     )
+
+
+def extraction_route(method="method", has_text_layer="has_text_layer") -> Column:
+    """Which parser a document goes to (UDF-5): 'txt' -> text, 'ocr' -> ocr,
+    'auto' (or unset) -> text when the document has an embedded text layer,
+    else ocr.  Rows are split on this column and each side runs its parser;
+    the OCR parser is user-supplied (no model ships with this library)."""
+    m = F.coalesce(F.col(method) if isinstance(method, str) else method, F.lit("auto"))
+    t = F.col(has_text_layer) if isinstance(has_text_layer, str) else has_text_layer
+    return (F.when(m == "txt", "text").when(m == "ocr", "ocr")
+            .when(F.coalesce(t, F.lit(False)), "text").otherwise("ocr"))

@@ -111,8 +111,9 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def latest_version(spark: SparkSession, root: str) -> int | None:
-    """Highest ``v=<n>`` folder under ``root`` that holds ``_SUCCESS``."""
+def latest_version(spark: SparkSession, root: str, below: int | None = None) -> int | None:
+    """Highest ``v=<n>`` folder under ``root`` that holds ``_SUCCESS`` (and is
+    below ``below`` when given)."""
     fs, p = _fs(spark, root)
     if not fs.exists(p):
         return None
@@ -122,6 +123,8 @@ def latest_version(spark: SparkSession, root: str) -> int | None:
         if st.isDirectory() and name.startswith("v=") and name[2:].isdigit():
             if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
                 n = int(name[2:])
+                if below is not None and n >= below:
+                    continue
                 best = n if best is None or n > best else best
     return best
 

@@ -13,7 +13,9 @@ from quire.plans import sqlfrag as Q
 from quire.session import read_table, scratch_path
 from quire.sources import fixtures as FX
 from quire.sources.files_sink import write_files
+from quire.operators.library import read_library
 from quire.streaming.files import drop_files, file_stream, latest_per_key, run_available_now
+from quire.streaming.library_sink import library_sink
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from quire.streaming.processors import (JOB_OUTPUT, JOB_STATE, LINES_OUTPUT, LINES_STATE, fold_user_jobs,
@@ -119,3 +121,26 @@ ORACLE["stream_ingest"] = Q.with_ctes(
     + Q.sanitize_ctes("n", "nm", "stem"),
     f"SELECT name, CAST(strlen(text) AS BIGINT) AS length FROM (SELECT doc_id || '-' || stem || {_SFX} AS name, text "
     f"FROM ss5) WHERE {Q.is_supported('name')}")
+
+
+# -- stream_library (STR-6): done jobs maintain the library snapshot ------------------------------------
+def q_stream_library(spark, sf_dir):
+    s = _event_stream(spark, sf_dir, "events-library",
+                      ["user_id", "ts", F.col("event_id").alias("seq"), "kind", "payload"])
+    out = s.groupBy("user_id").applyInPandasWithState(
+        fold_user_jobs, JOB_OUTPUT, JOB_STATE, "update", GroupStateTimeout.NoTimeout)
+    root = scratch_path(spark, "library")
+    q = (out.writeStream.foreachBatch(library_sink(root)).outputMode("update")
+         .option("checkpointLocation", scratch_path(spark, "library-ckpt")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    lib = read_library(spark, f"{root}/snapshots")
+    return lib.select("id", "stem", F.col("created").cast("timestamp_ntz").alias("created"), "device", "seconds",
+                      "markdown_chars", "blocks")
+
+
+QUERIES["stream_library"] = q_stream_library
+ORACLE["stream_library"] = (
+    f"WITH {J.SQL_JOB_STATES}\n"
+    "SELECT job_id AS id, job_id AS stem, finished_at AS created, device, "
+    "round(epoch_us(finished_at) / 1e6 - epoch_us(started_at) / 1e6, 1) AS seconds, "
+    "CAST(0 AS BIGINT) AS markdown_chars, CAST(0 AS BIGINT) AS blocks FROM states WHERE status = 'done'")
