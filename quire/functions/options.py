@@ -132,3 +132,69 @@ def with_defaults(options) -> Column:
     return F.struct(*[
         (F.coalesce(o[k], F.lit(d)) if d is not None else o[k]).cast(OPTIONS_STRUCT[k].dataType).alias(k)
         for k, d in DEFAULTS.items()])
+
+
+def _sql_convert(k: str) -> tuple[str, str]:
+    """(value, error) SQL for one present key; same rules as ``_convert``."""
+    e, t, s = f"_oe_{k}", f"_ot_{k}", f"_os_{k}"
+    q = "''''"  # a quote character inside a SQL string literal
+    num = "('TINYINT', 'SMALLINT', 'INT', 'BIGINT', 'DECIMAL', 'DOUBLE', 'FLOAT')"
+    ints = "('TINYINT', 'SMALLINT', 'INT', 'BIGINT')"
+    if k in ENUMS:
+        allowed = ", ".join(f"'{v}'" for v in ENUMS[k])
+        ok = f"({t} = 'STRING' AND {s} IN ({allowed}))"
+        rep = (f"CASE WHEN {t} = 'STRING' THEN concat({q}, {s}, {q}) WHEN {t} = 'BOOLEAN' THEN "
+               f"CASE WHEN try_variant_get({e}, '$', 'boolean') THEN 'True' ELSE 'False' END ELSE to_json({e}) END")
+        return (f"CASE WHEN {ok} THEN {s} END",
+                f"CASE WHEN NOT {ok} THEN concat('Invalid value for ''{k}'': ', {rep}) END")
+    if k in BOOL_KEYS:
+        return (f"CASE WHEN {t} = 'BOOLEAN' THEN try_variant_get({e}, '$', 'boolean') WHEN {t} = 'STRING' THEN true "
+                f"WHEN {t} IN {num} THEN try_variant_get({e}, '$', 'double') <> 0 "
+                f"WHEN {t} = 'ARRAY' THEN size(from_json(to_json({e}), 'array<string>')) > 0 "
+                f"WHEN {t} = 'OBJECT' THEN to_json({e}) <> '{{}}' END"), "CAST(NULL AS STRING)"
+    if k in INT_KEYS:
+        txt = f"trim({s})"
+        val = (f"CASE WHEN {t} = 'BOOLEAN' THEN CAST(try_variant_get({e}, '$', 'boolean') AS INT) "
+               f"WHEN {t} IN {ints} THEN try_variant_get({e}, '$', 'int') "
+               f"WHEN {t} IN {num} THEN try_cast(CAST(try_variant_get({e}, '$', 'double') AS BIGINT) AS INT) "
+               f"WHEN {t} = 'STRING' AND {txt} RLIKE '{INT_TEXT}' THEN try_cast(replace({txt}, '_', '') AS INT) END")
+        kind = f"CASE WHEN {t} = 'ARRAY' THEN 'list' ELSE 'dict' END"
+        err = (f"CASE WHEN {t} = 'STRING' AND _ov_{k} IS NULL "
+               f"THEN concat('invalid literal for int() with base 10: ', {q}, {s}, {q}) "
+               f"WHEN {t} IN ('ARRAY', 'OBJECT') THEN concat('int() argument must be a string, a bytes-like object "
+               f"or a real number, not ', {q}, {kind}, {q}) "
+               f"WHEN _ov_{k} IS NULL THEN concat('Invalid value for ''{k}'': ', to_json({e})) END")
+        return val, err
+    return (f"CASE WHEN {t} = 'STRING' THEN {s} WHEN {t} = 'BOOLEAN' THEN CASE WHEN "
+            f"try_variant_get({e}, '$', 'boolean') THEN 'True' ELSE 'False' END ELSE to_json({e}) END",
+            "CAST(NULL AS STRING)")
+
+
+def with_sanitized_options(df, raw: str, out: str = "opts"):
+    """DataFrame form of ``sanitize_options`` for large inputs.
+
+    The rules are emitted as SQL text and applied in a few staged projections
+    (parse once; per key: value, type and text once; then value and error), so
+    both the plan and its construction from Python stay small."""
+    keys = OPTION_KEYS
+    d = df.selectExpr("*", f"try_parse_json(coalesce(`{raw}`, '{{}}')) AS _ov")
+    d = d.selectExpr("*", "regexp_extract(schema_of_variant(_ov), '^([A-Z]+)', 1) AS _otop",
+                     *[f"try_variant_get(_ov, '$.{k}', 'variant') AS _oe_{k}" for k in keys])
+    d = d.selectExpr("*", *[x for k in keys for x in (
+        f"CASE WHEN _oe_{k} IS NOT NULL THEN regexp_extract(schema_of_variant(_oe_{k}), '^([A-Z]+)', 1) END AS _ot_{k}",
+        f"try_variant_get(_oe_{k}, '$', 'string') AS _os_{k}")])
+    absent = {k: (f"(_oe_{k} IS NULL OR _ot_{k} = 'VOID' OR (_ot_{k} = 'STRING' AND _os_{k} = '')"
+                  + (f" OR (_ot_{k} = 'STRING' AND _os_{k} = 'auto')" if k == "device" else "") + ")")
+              for k in keys}
+    conv = {k: _sql_convert(k) for k in keys}
+    d = d.selectExpr("*", *[f"CAST(CASE WHEN NOT {absent[k]} THEN {conv[k][0]} END AS "
+                            f"{OPTIONS_STRUCT[k].dataType.simpleString()}) AS _ov_{k}" for k in keys])
+    d = d.selectExpr("*", *[f"CASE WHEN NOT {absent[k]} THEN {conv[k][1]} END AS _oerr_{k}" for k in keys])
+    errs = ", ".join(f"_oerr_{k}" for k in keys)
+    d = d.selectExpr("*", f"CASE WHEN _ov IS NULL THEN 'malformed options JSON' WHEN _otop <> 'OBJECT' "
+                          f"THEN 'options must be a JSON object' ELSE coalesce({errs}) END AS _oerror")
+    fields = ", ".join(f"'{k}', _ov_{k}" for k in keys)
+    d = d.selectExpr("*", f"named_struct('options', CASE WHEN _oerror IS NULL THEN named_struct({fields}) END, "
+                          f"'error', _oerror) AS `{out}`")
+    tmp = ["_ov", "_otop", "_oerror"] + [f"_o{x}_{k}" for k in keys for x in ("e", "t", "s", "v", "err")]
+    return d.drop(*tmp)

@@ -50,3 +50,12 @@ def test_defaults(spark):
     o = df.select(with_defaults(sanitize_options("raw").options).alias("o")).first().o
     assert o.asDict() == {"lang": "en", "backend": "pipeline", "method": "txt", "formula": True, "table": True,
                           "start_page": 0, "end_page": 4, "device": None}
+
+
+def test_dataframe_form_matches_column_form(spark):
+    from quire.functions.options import with_sanitized_options
+
+    df = one_col(spark, [c for c, _, _ in CASES], "raw")
+    a = {r.raw: r.r for r in df.select("raw", sanitize_options("raw").alias("r")).collect()}
+    b = {r.raw: r.r for r in with_sanitized_options(df, "raw", "r").collect()}
+    assert a == b
