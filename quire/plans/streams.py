@@ -19,7 +19,7 @@ from quire.streaming.library_sink import library_sink
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from quire.streaming.processors import (JOB_OUTPUT, JOB_STATE, LINES_OUTPUT, LINES_STATE, fold_user_jobs,
-                                        frame_lines, gaps_fn, throttle_fn)
+                                        frame_lines, gaps_fn, stall_alerts_fn, throttle_fn, STALL_OUTPUT)
 
 QUERIES = {}
 ORACLE = {}
@@ -144,3 +144,25 @@ ORACLE["stream_library"] = (
     "SELECT job_id AS id, job_id AS stem, finished_at AS created, device, "
     "round(epoch_us(finished_at) / 1e6 - epoch_us(started_at) / 1e6, 1) AS seconds, "
     "CAST(0 AS BIGINT) AS markdown_chars, CAST(0 AS BIGINT) AS blocks FROM states WHERE status = 'done'")
+
+
+# -- stream_open_stalls (STR-3 open tail): keys still quiet when the stream ends ---------------------
+def q_stream_open_stalls(spark, sf_dir):
+    s = _event_stream(spark, sf_dir, "events-open-stalls", ["user_id", "event_id", "ts"])
+    s = s.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "0 seconds")
+    out = s.groupBy("user_id").applyInPandasWithState(
+        stall_alerts_fn(86400.0, "user_id", "ts", "event_id"), STALL_OUTPUT, "us long",
+        "append", GroupStateTimeout.EventTimeTimeout)
+    alerts = run_available_now(out, "open-stalls").drop("batch_id")
+    closed = alerts.filter(~F.col("open")).select("user_id", "gap_start")
+    still_open = alerts.filter("open").join(closed, ["user_id", "gap_start"], "left_anti")
+    return still_open.select("user_id", "gap_start").distinct()
+
+
+QUERIES["stream_open_stalls"] = q_stream_open_stalls
+# Watermark = latest event time (ms); a key is open when last + 1 day < watermark.
+ORACLE["stream_open_stalls"] = (
+    "WITH k AS (SELECT user_id, max(ts) AS gap_start FROM events GROUP BY user_id), "
+    "w AS (SELECT max(ts) AS wm FROM events) "
+    "SELECT user_id, gap_start FROM k, w "
+    "WHERE floor(epoch_us(gap_start) / 1000) + 86400000 < floor(epoch_us(wm) / 1000)")

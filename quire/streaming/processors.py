@@ -3,9 +3,10 @@
 Each function gets one key's rows of a micro-batch (an iterator of pandas
 frames, unsorted and possibly in several chunks) and its ``GroupState``; it
 concatenates and sorts the rows by their order columns, folds them into the
-state and yields the output rows.  No timeouts: the reference has no
-event-time lateness ("late" means "arrived after the job left running",
-which is state, not time).
+state and yields the output rows.  The folds use no timeouts: the reference
+has no event-time lateness ("late" means "arrived after the job left
+running", which is state, not time).  Only the open-stall alert uses an
+event-time timer, because "still quiet" is a statement about time passing.
 
 ``applyInPandasWithState`` was measured against ``transformWithStateInPandas``
 on this workload: about 2.2 s against 5 s per micro-batch, because its state
@@ -177,3 +178,40 @@ def frame_lines(key, pdfs, state):
     state.update((tail, n))
     if out:
         yield pd.DataFrame(out, columns=["doc_id", "line_idx", "line"])
+
+
+# -- STR-3 with the open tail: event-time timer ---------------------------------------------
+STALL_OUTPUT = "user_id long, gap_start timestamp_ntz, gap_end timestamp_ntz, quiet_minutes long, open boolean"
+
+
+def stall_alerts_fn(threshold_seconds: float, key: str, ts: str, seq: str):
+    """Closed gaps as in ``gaps_fn``, plus an alert when a key *stays* quiet:
+    after each batch the key's timer is set to last event + threshold; when the
+    watermark passes it (``EventTimeTimeout``), an open alert for that silence is
+    emitted once.  A later event closes the gap normally; consumers de-duplicate
+    on (key, gap_start)."""
+    threshold = int(round(threshold_seconds * US))
+
+    def fn(k, pdfs, state):
+        if state.hasTimedOut:
+            last = state.get[0]
+            state.update((last,))  # keep the last time; no timer until new data
+            yield pd.DataFrame([(k[0], _ts(last), None, None, True)],
+                               columns=[key, "gap_start", "gap_end", "quiet_minutes", "open"])
+            return
+        pdf = _frame(pdfs)
+        if pdf.empty:
+            return
+        pdf = pdf.sort_values([ts, seq], kind="stable")
+        last = state.get[0] if state.exists else None
+        out = []
+        for t in pdf[ts]:
+            us = _micros(t)
+            if last is not None and us - last > threshold:
+                out.append((k[0], _ts(last), _ts(us), int((us - last) / 60_000_000 + 0.5), False))
+            last = us
+        state.update((last,))
+        state.setTimeoutTimestamp(last // 1000 + threshold // 1000)
+        if out:
+            yield pd.DataFrame(out, columns=[key, "gap_start", "gap_end", "quiet_minutes", "open"])
+    return fn
