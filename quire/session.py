@@ -88,11 +88,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, balance: bool = True
     return spread(df) if balance else df
 
 
-def materialize(df):
-    """Cut lineage with a reliable checkpoint in the cluster's checkpoint folder.
+def materialize(df, name: str = "stage"):
+    """Cut lineage by writing a Parquet table in the cluster's checkpoint folder
+    and reading it back.
 
     Used where a multi-pass operator reads the same intermediate several times:
-    the passes then read the written data instead of recomputing the upstream,
-    and a lost executor cannot force a recomputation of the whole lineage."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    the passes read the written data instead of recomputing the upstream, and a
+    lost executor cannot force a recomputation of the whole lineage.  One job
+    writes it (an eager RDD checkpoint would compute the plan twice: once for
+    its count and again to write the files)."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
