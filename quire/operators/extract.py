@@ -47,12 +47,6 @@ def _worker_parser(key: str, parser):
     return p
 
 
-def _arrow_blocks_type():
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(CONTENT_LIST)
-
-
 def extract(df: DataFrame, parser, id_col: str = "doc_id", content_col: str = "content",
             options_col: str | None = None) -> DataFrame:
     """Run ``parser`` over every row; never fails a task because of one document.

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.functions import names as N
+from quire.functions import paths as P
 from quire.operators.artifacts import suffix_glob
 from quire.plans import jobs as J
 from quire.plans import text as TXQ
@@ -111,6 +112,8 @@ def q_stream_ingest(spark, sf_dir):
     s = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA).option("pathGlobFilter", suffix_glob())
          .option("maxFilesPerTrigger", 256).load(inbox))
     files = s.select(N.base_name(F.col("path")).alias("name"), "length")
+    # every accepted upload becomes a document/job with a deterministic id (HSH-1)
+    files = files.withColumn("doc_id", P.stable_id("name", "length"))
     return run_available_now(files, "ingest").drop("batch_id")
 
 
@@ -119,7 +122,8 @@ _SFX = f"([{', '.join(Q.lit(x) for x in FX.FIXTURE_SUFFIXES)}])[(doc_id % {len(F
 ORACLE["stream_ingest"] = Q.with_ctes(
     ["n AS (SELECT doc_id, text, regexp_extract(text, '^([^\\n]*)', 1) || '.pdf' AS nm FROM documents)"]
     + Q.sanitize_ctes("n", "nm", "stem"),
-    f"SELECT name, CAST(strlen(text) AS BIGINT) AS length FROM (SELECT doc_id || '-' || stem || {_SFX} AS name, text "
+    f"SELECT name, length, substr(sha256(concat_ws(chr(0), name, CAST(length AS VARCHAR))), 1, 32) AS doc_id FROM ("
+    f"SELECT doc_id || '-' || stem || {_SFX} AS name, CAST(strlen(text) AS BIGINT) AS length "
     f"FROM ss5) WHERE {Q.is_supported('name')}")
 
 

@@ -3,9 +3,10 @@ that drives a streaming query to completion with an idempotent sink.
 
 ``drop_files`` splits a table into ``n`` drops by equal-width ranges of an
 order column (min/max are exact, so the split is deterministic) and writes
-them one after another, each as one file, so a file stream with
-``maxFilesPerTrigger=1`` sees them in order - arrival order equals time order,
-which is what makes a stream replay equal to its batch twin.
+them one after another, each as the same number of files, so a file stream
+with ``maxFilesPerTrigger`` set to that number takes one whole drop per
+micro-batch - per-key arrival order equals time order, which is what makes a
+stream replay equal to its batch twin.
 
 ``run_available_now`` starts the query with ``trigger(availableNow=True)`` and
 a ``foreachBatch`` sink that overwrites ``<out>/batch=<id>``: a retried batch
@@ -20,8 +21,16 @@ from quire.operators.sequence import order_number
 from quire.session import scratch_path
 
 
+def files_per_drop(spark: SparkSession) -> int:
+    return max(1, spark.sparkContext.defaultParallelism // 2)
+
+
 def drop_files(df: DataFrame, order_col: str, n: int, name: str) -> str:
-    """Write ``df`` as ``n`` ordered single-file drops; returns the folder."""
+    """Write ``df`` as ``n`` time-ordered drops of ``files_per_drop`` files each
+    (round-robin, so every drop has exactly that many files); returns the folder.
+    Drops are written one after another, so every file of drop k is older than
+    every file of drop k + 1; reading with ``maxFilesPerTrigger`` equal to the
+    files per drop makes each micro-batch exactly one drop."""
     spark = df.sparkSession
     folder = scratch_path(spark, name)
     x = order_number(df, order_col)
@@ -30,13 +39,15 @@ def drop_files(df: DataFrame, order_col: str, n: int, name: str) -> str:
         lo = hi = 0.0
     part = F.least(F.floor((x - F.lit(lo)) * n / F.lit(hi - lo + 1)), F.lit(n - 1))
     tagged = df.withColumn("_drop", part.cast("int"))
+    k = files_per_drop(spark)
     for i in range(n):  # n is a small fixed number of drops, not data-dependent
-        (tagged.filter(F.col("_drop") == i).drop("_drop").sortWithinPartitions(order_col)
-         .coalesce(1).write.mode("overwrite").parquet(f"{folder}/drop={i:05d}"))
+        (tagged.filter(F.col("_drop") == i).drop("_drop").repartition(k)
+         .write.mode("overwrite").parquet(f"{folder}/drop={i:05d}"))
     return folder
 
 
-def file_stream(spark: SparkSession, folder: str, schema, files_per_trigger: int = 1) -> DataFrame:
+def file_stream(spark: SparkSession, folder: str, schema, files_per_trigger: int | None = None) -> DataFrame:
+    files_per_trigger = files_per_trigger or files_per_drop(spark)
     return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
             .option("recursiveFileLookup", "true").parquet(folder))
 
