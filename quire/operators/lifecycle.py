@@ -26,6 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.time import micros_between
 from quire.operators.sequence import global_rank
 from quire.session import materialize
 
@@ -115,8 +116,8 @@ def queue_positions(states: DataFrame, job_col: str = "job_id") -> DataFrame:
 
 def elapsed_seconds(start: Column, end: Column, now: Column = None) -> Column:
     """Seconds between start and end (or ``now`` while running); null without a start."""
-    end_ = F.coalesce(end, now if now is not None else F.current_timestamp())
-    return F.unix_micros(end_.cast("timestamp")) / 1e6 - F.unix_micros(start.cast("timestamp")) / 1e6
+    end_ = F.coalesce(end, now if now is not None else F.localtimestamp())
+    return micros_between(start, end_) / 1e6
 
 
 def elapsed_text(seconds: Column) -> Column:

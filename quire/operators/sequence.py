@@ -32,6 +32,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.functions.time import epoch_micros
+
 FINE = 1 << 20          # bucket id = coarse * FINE + fine
 MAX_BUCKETS = 1 << 16   # cap per level
 MIN_HOT_ROWS = 100_000  # keys smaller than this are never split
@@ -52,7 +54,7 @@ def order_number(df: DataFrame, col) -> Column | None:
     dt = df.schema[col].dataType
     c = F.col(col)
     if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(c.cast("timestamp")).cast("double")
+        return epoch_micros(c, dt).cast("double")
     if isinstance(dt, T.DateType):
         return F.unix_date(c).cast("double")
     if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.time import micros_between
 from quire.operators.sequence import previous_in_key
 
 # --- Fixed values (must equal the reference's) ---
@@ -20,7 +21,7 @@ STALL_SECONDS = 90
 def stalls(events: DataFrame, key: str, ts_col: str = "ts", seq_col: str = "seq",
            threshold_seconds: float = STALL_SECONDS) -> DataFrame:
     p = previous_in_key(events.select(key, ts_col, seq_col), [key], [ts_col, seq_col], [ts_col])
-    gap_us = F.unix_micros(F.col(ts_col).cast("timestamp")) - F.unix_micros(F.col(f"prev_{ts_col}").cast("timestamp"))
+    gap_us = micros_between(F.col(f"prev_{ts_col}"), F.col(ts_col))
     return p.filter(gap_us > int(threshold_seconds * 1_000_000)).select(
         key, F.col(f"prev_{ts_col}").alias("gap_start"), F.col(ts_col).alias("gap_end"),
         F.floor(gap_us / 60_000_000 + 0.5).cast("bigint").alias("quiet_minutes"))

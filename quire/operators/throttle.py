@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.functions.time import epoch_micros
 from quire.operators.sequence import MIN_HOT_ROWS, bucketed
 
 _BIG = 1 << 62
@@ -101,9 +102,8 @@ def _mark_chains(nxt: np.ndarray, firsts: np.ndarray) -> np.ndarray:
         mark, jump = new, jump[jump]
 
 
-def _micros(ts_col: str):
-    c = F.col(ts_col)
-    return F.unix_micros(c.cast("timestamp"))
+def _micros(df: DataFrame, ts_col: str):
+    return epoch_micros(F.col(ts_col), df.schema[ts_col].dataType)
 
 
 def throttle(df: DataFrame, key: str, ts_col: str, seq_col: str, interval_seconds: float,
@@ -111,7 +111,7 @@ def throttle(df: DataFrame, key: str, ts_col: str, seq_col: str, interval_second
     """Add boolean ``out``: whether the leading-edge throttle emits the row."""
     interval = int(round(interval_seconds * 1_000_000))
     key_type = df.schema[key].dataType
-    b = bucketed(df.withColumn("_t", _micros(ts_col)), [key], ["_t", seq_col], min_hot_rows)
+    b = bucketed(df.withColumn("_t", _micros(df, ts_col)), [key], ["_t", seq_col], min_hot_rows)
     parts = (b.df.repartition(_parts(df), key, "_b")
              .sortWithinPartitions(key, "_b", "_t", seq_col))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import names as N
 from quire.functions import paths as P
+from quire.functions.time import epoch_micros, instant_from_micros
 from quire.operators.artifacts import suffix_glob
 from quire.plans import jobs as J
 from quire.plans import text as TXQ
@@ -153,9 +154,11 @@ ORACLE["stream_library"] = (
 # -- stream_open_stalls (STR-3 open tail): keys still quiet when the stream ends ---------------------
 def q_stream_open_stalls(spark, sf_dir):
     s = _event_stream(spark, sf_dir, "events-open-stalls", ["user_id", "event_id", "ts"])
-    s = s.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "0 seconds")
+    s = s.withColumn("us", epoch_micros(F.col("ts"), s.schema["ts"].dataType)).select(
+        "user_id", "event_id", "us", instant_from_micros(F.col("us")).alias("event_time"))
+    s = s.withWatermark("event_time", "0 seconds")
     out = s.groupBy("user_id").applyInPandasWithState(
-        stall_alerts_fn(86400.0, "user_id", "ts", "event_id"), STALL_OUTPUT, "us long",
+        stall_alerts_fn(86400.0, "user_id", "us", "event_id"), STALL_OUTPUT, "us long",
         "append", GroupStateTimeout.EventTimeTimeout)
     alerts = run_available_now(out, "open-stalls").drop("batch_id")
     closed = alerts.filter(~F.col("open")).select("user_id", "gap_start")

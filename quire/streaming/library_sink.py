@@ -18,14 +18,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.time import micros_between
 from quire.operators.library import LIBRARY_SCHEMA, latest_version, make_entry, snapshot
 
 
 def done_entries(updates: DataFrame) -> DataFrame:
     """Job updates -> library entries for the jobs that finished as done."""
     done = updates.filter(F.col("status") == "done")
-    run = (F.unix_micros(F.col("finished_at").cast("timestamp"))
-           - F.unix_micros(F.col("started_at").cast("timestamp"))) / 1e6
+    run = micros_between(F.col("started_at"), F.col("finished_at")) / 1e6
     result = done.select(
         F.col("job_id").alias("doc_id"),
         F.concat(F.col("job_id"), F.lit(".pdf")).alias("original_name"),

@@ -184,12 +184,13 @@ def frame_lines(key, pdfs, state):
 STALL_OUTPUT = "user_id long, gap_start timestamp_ntz, gap_end timestamp_ntz, quiet_minutes long, open boolean"
 
 
-def stall_alerts_fn(threshold_seconds: float, key: str, ts: str, seq: str):
+def stall_alerts_fn(threshold_seconds: float, key: str, us_col: str, seq: str):
     """Closed gaps as in ``gaps_fn``, plus an alert when a key *stays* quiet:
     after each batch the key's timer is set to last event + threshold; when the
     watermark passes it (``EventTimeTimeout``), an open alert for that silence is
     emitted once.  A later event closes the gap normally; consumers de-duplicate
-    on (key, gap_start)."""
+    on (key, gap_start).  Times come in as epoch micros (``us_col``), the same
+    clock the watermark column is built from, so no time zone is involved."""
     threshold = int(round(threshold_seconds * US))
 
     def fn(k, pdfs, state):
@@ -202,11 +203,11 @@ def stall_alerts_fn(threshold_seconds: float, key: str, ts: str, seq: str):
         pdf = _frame(pdfs)
         if pdf.empty:
             return
-        pdf = pdf.sort_values([ts, seq], kind="stable")
+        pdf = pdf.sort_values([us_col, seq], kind="stable")
         last = state.get[0] if state.exists else None
         out = []
-        for t in pdf[ts]:
-            us = _micros(t)
+        for us in pdf[us_col]:
+            us = int(us)
             if last is not None and us - last > threshold:
                 out.append((k[0], _ts(last), _ts(us), int((us - last) / 60_000_000 + 0.5), False))
             last = us

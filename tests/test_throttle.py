@@ -50,3 +50,23 @@ def test_throttle_periodic_chains(spark):
     base = dt.datetime(2024, 1, 1)
     rows = [(7, base + dt.timedelta(milliseconds=600 * i), i) for i in range(2000)]
     _check(spark, rows, 1.0, min_hot_rows=100)
+
+
+def test_results_do_not_depend_on_session_time_zone(spark):
+    from quire.operators.stalls import stalls
+    from tests.conftest import SF_SMALL
+
+    e = spark.read.parquet(f"{SF_SMALL}/events.parquet").select(F.col("user_id").alias("key"), "event_id", "ts")
+
+    def run():
+        t = {r.event_id for r in throttle(e, "key", "ts", "event_id", 3600.0).filter("emitted").collect()}
+        s = {(r.key, r.gap_start, r.quiet_minutes) for r in stalls(e, "key", "ts", "event_id", 86400.0).collect()}
+        return t, s
+
+    base = run()
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        assert run() == base
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
