@@ -44,6 +44,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -100,3 +101,32 @@ def materialize(df, name: str = "stage"):
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``quire`` importable on the executors' Python workers.
+
+    Python functions of this library (HTML parser, throttle chains, naming,
+    stream state functions) are pickled by reference, so workers import the
+    package.  It is zipped once per SparkContext and added with ``addPyFile``
+    - the programmatic form of ``--py-files`` - which distributes it with the
+    job instead of relying on the workers' working directory."""
+    import zipfile
+
+    import quire
+
+    sc = spark.sparkContext
+    if getattr(sc, "_quire_shipped", False):
+        return
+    pkg = os.path.dirname(os.path.abspath(quire.__file__))
+    parent = os.path.dirname(pkg)
+    fd, path = tempfile.mkstemp(prefix="quire-pkg-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, parent))
+    sc.addPyFile(path)
+    sc._quire_shipped = True
