@@ -147,3 +147,24 @@ def commit_library(df: DataFrame, root: str, version: int | None = None) -> int:
         version = 0 if cur is None else cur + 1
     df.write.mode("overwrite").parquet(f"{root.rstrip('/')}/v={version}")
     return version
+
+
+def vacuum_versions(spark: SparkSession, root: str, keep: int = 2) -> list[int]:
+    """Delete snapshot versions older than the newest ``keep`` complete ones
+    (readers always take the newest complete version, so older ones are only
+    history).  Returns the versions removed."""
+    fs, p = _fs(spark, root)
+    if not fs.exists(p):
+        return []
+    done = []
+    for st in fs.listStatus(p):
+        name = st.getPath().getName()
+        if st.isDirectory() and name.startswith("v=") and name[2:].isdigit() and fs.exists(
+                spark.sparkContext._jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+            done.append((int(name[2:]), st.getPath()))
+    done.sort()
+    removed = []
+    for v, path in done[:-keep] if keep > 0 else done:
+        fs.delete(path, True)
+        removed.append(v)
+    return removed

@@ -8,7 +8,9 @@ Every micro-batch of job updates is folded into the library by a
    own folder);
 2. the snapshot version ``<root>/snapshots/v=<id>`` is the previous complete
    version (the highest below ``id``) plus this batch's entries, last write per
-   id winning - incremental, never a re-read of the whole history.
+   id winning - incremental, never a re-read of the whole history;
+3. snapshot versions older than the newest two are removed (the change log
+   keeps the history).
 
 Readers take the highest complete version (``library.read_library``), which is
 the authoritative state the event feed cannot replay (STR-7).
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.time import micros_between
-from quire.operators.library import LIBRARY_SCHEMA, latest_version, make_entry, snapshot
+from quire.operators.library import LIBRARY_SCHEMA, latest_version, make_entry, snapshot, vacuum_versions
 
 
 def done_entries(updates: DataFrame) -> DataFrame:
@@ -49,5 +51,7 @@ def library_sink(root: str):
             current = old.unionByName(current)
         snap = snapshot(current.select("id", "seq", "op", *[f.name for f in LIBRARY_SCHEMA.fields if f.name != "id"]))
         snap.write.mode("overwrite").parquet(f"{base}/snapshots/v={batch_id}")
+        # the new version is complete: older snapshots are only history
+        vacuum_versions(spark, f"{base}/snapshots", keep=2)
 
     return sink

@@ -37,3 +37,13 @@ def test_versioned_commits(spark):
     assert L.commit_library(snap.filter(F.col("id") != "a"), root) == 1
     assert L.latest_version(spark, root) == 1 and L.latest_version(spark, root, below=1) == 0
     assert L.read_library(spark, root).count() == 3
+
+
+def test_vacuum_keeps_newest_versions(spark):
+    root = tempfile.mkdtemp(prefix="quire-lib-")
+    snap = L.snapshot(_log(spark))
+    for _ in range(4):
+        L.commit_library(snap, root)
+    assert L.vacuum_versions(spark, root, keep=2) == [0, 1]
+    assert L.latest_version(spark, root) == 3 and L.latest_version(spark, root, below=3) == 2
+    assert L.latest_version(spark, root, below=2) is None
