@@ -6,26 +6,38 @@ generated names (so ``a, a, a (2)`` gives ``a``, ``a (2)``, ``a (2) (2)``).
 
 Decomposition: a candidate of ``s`` never leaves the *family* of ``s`` (its
 lower-cased text with all trailing `` (digits)`` groups removed), so families
-are independent.  In a family with a single distinct lower-cased stem the
-k-th row is ``s`` (k = 1) or ``s (k)`` - a rank, computed with the skew-safe
-``rank_within_key`` (the fallback stem 'document' can be a very hot key).
-Only families that mix stems (``a`` and ``a (2)``) need the sequential rule,
-run per family with ``applyInPandas``; such families are rare and small.
+are independent.
+
+* A family with a single distinct lower-cased stem: the k-th row is ``s``
+  (k = 1) or ``s (k)`` - a rank, computed with the skew-safe
+  ``rank_within_key`` (the fallback stem 'document' can be a very hot key).
+* A family that mixes stems (``a`` and ``a (2)``): the name ``l (j)`` can only
+  be claimed by stem ``l`` (as its j-th candidate) or by stem ``l (j)`` itself
+  (as its first), so stems form a tree and each parent-child pair competes
+  for exactly one name; whoever gets there first blocks it for the other.
+  Stem ``l``'s r-th row then takes the r-th index not blocked.  The conflicts
+  are resolved per family over a summary of its *distinct stems* plus the
+  times of a few ranked rows (where the parent could reach the contested
+  index); no family's rows are gathered in one place.  Every row's index is
+  then computed natively from its stem's small sorted list of blocked indices.
 """
 from __future__ import annotations
 
+from collections import defaultdict, deque
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.operators.sequence import MIN_HOT_ROWS, rank_within_key
 
 FAMILY_SUFFIX = r"( \([0-9]+\))+\z"
+CHILD_OF = r"^(.*) \(([1-9][0-9]*)\)\z"   # parent stem and the index it would generate
 
 
 def _sequential(stems: list[str]) -> list[str]:
-    """The reference rule, with a per-stem resume point so k equal stems cost O(k)."""
+    """The rule applied row by row (the model the tests compare against)."""
     taken: set[str] = set()
     resume: dict[str, int] = {}
     out = []
@@ -42,6 +54,81 @@ def _sequential(stems: list[str]) -> list[str]:
     return out
 
 
+def _index_name(stem_col: str, k) -> F.Column:
+    return F.when(k == 1, F.col(stem_col)).otherwise(F.format_string("%s (%d)", F.col(stem_col), k))
+
+
+RESOLVE_INPUT = T.StructType([
+    T.StructField("_fam", T.StringType()), T.StructField("kind", T.StringType()),
+    T.StructField("low", T.StringType()), T.StructField("n", T.LongType()),
+    T.StructField("t_first", T.LongType()), T.StructField("parent", T.StringType()),
+    T.StructField("j", T.LongType()), T.StructField("m", T.LongType()), T.StructField("t", T.LongType())])
+RESOLVE_OUTPUT = T.StructType([
+    T.StructField("_fam", T.StringType()), T.StructField("_low", T.StringType()),
+    T.StructField("_blocked", T.ArrayType(T.LongType()))])
+
+
+def _resolve_family(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One family's distinct stems (+ looked-up row times) -> blocked indices per stem."""
+    fam = pdf["_fam"].iloc[0]
+    stems = pdf[pdf["kind"] == "stem"]
+    info = {r.low: (int(r.n), int(r.t_first), r.parent, None if pd.isna(r.j) else int(r.j))
+            for r in stems.itertuples(index=False)}
+    look = {(r.parent, int(r.m)): int(r.t) for r in pdf[pdf["kind"] == "time"].itertuples(index=False)}
+    children = defaultdict(list)
+    for low, (_, _, parent, j) in info.items():
+        if parent in info and j is not None and j >= 2:
+            children[parent].append((j, low))
+    blocked = {low: set() for low in info}
+    roots = [low for low, (_, _, parent, j) in info.items() if not (parent in info and j is not None and j >= 2)]
+    queue = deque(roots)
+    while queue:  # parents are settled before their children
+        parent = queue.popleft()
+        n_parent = info[parent][0]
+        for j, child in sorted(children[parent]):
+            m = j - sum(1 for b in blocked[parent] if b < j)   # the parent's row that would take index j
+            child_first = m > n_parent or info[child][1] < look[(parent, m)]
+            if child_first:
+                blocked[parent].add(j)
+            else:
+                blocked[child].add(1)
+            queue.append(child)
+    return pd.DataFrame([(fam, low, sorted(b)) for low, b in blocked.items()],
+                        columns=["_fam", "_low", "_blocked"])
+
+
+def _mixed_names(d: DataFrame, stem_col: str, order_cols: list[str], out: str, min_hot_rows: int) -> DataFrame:
+    """Names for the rows of families that mix stems (see module docstring)."""
+    timed = rank_within_key(d, ["_fam"], order_cols, "_t", min_hot_rows)          # time within the family
+    ranked = rank_within_key(timed, ["_low"], ["_t"], "_r", min_hot_rows)          # row number within the stem
+    stems = ranked.groupBy("_fam", "_low").agg(F.count(F.lit(1)).alias("n"), F.min("_t").alias("t_first"))
+    stems = stems.withColumn("parent", F.when(F.col("_low").rlike(CHILD_OF), F.regexp_extract("_low", CHILD_OF, 1))) \
+                 .withColumn("j", F.when(F.col("_low").rlike(CHILD_OF),
+                                         F.regexp_extract("_low", CHILD_OF, 2).cast("long")))
+    # children whose parent stem is present, with the positions the parent may be at
+    par = stems.select("_fam", F.col("_low").alias("parent"), F.col("n").alias("n_parent"))
+    kids = stems.filter(F.col("j") >= 2).join(par, ["_fam", "parent"], "inner")
+    below = F.row_number().over(Window.partitionBy("_fam", "parent").orderBy("j")) - 1
+    kids = kids.withColumn("_lo", F.greatest(F.col("j") - below - 1, F.lit(1))) \
+               .withColumn("_hi", F.least(F.col("j"), F.col("n_parent")))
+    wanted = kids.filter(F.col("_lo") <= F.col("_hi")).select(
+        "_fam", "parent", F.explode(F.sequence("_lo", "_hi")).alias("m")).distinct()
+    times = wanted.join(ranked.select(F.col("_low").alias("parent"), F.col("_r").alias("m"), F.col("_t").alias("t")),
+                        ["parent", "m"], "inner")
+    resolve_in = stems.select(
+        "_fam", F.lit("stem").alias("kind"), F.col("_low").alias("low"), "n", "t_first", "parent", "j",
+        F.lit(None).cast("long").alias("m"), F.lit(None).cast("long").alias("t")
+    ).unionByName(times.select(
+        "_fam", F.lit("time").alias("kind"), F.lit(None).cast("string").alias("low"),
+        F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("t_first"), "parent",
+        F.lit(None).cast("long").alias("j"), "m", "t"))
+    blocked = resolve_in.groupBy("_fam").applyInPandas(_resolve_family, RESOLVE_OUTPUT)
+    named = ranked.join(blocked, ["_fam", "_low"], "left")
+    k = F.aggregate(F.array_sort(F.coalesce(F.col("_blocked"), F.array().cast("array<bigint>"))),
+                    F.col("_r"), lambda acc, b: F.when(b <= acc, acc + 1).otherwise(acc))
+    return named.withColumn(out, _index_name(stem_col, k)).drop("_t", "_r", "_blocked")
+
+
 def unique_names(df: DataFrame, stem_col: str, order_cols: list[str], out: str = "name",
                  min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
     """Add ``out``: a name unique case-insensitively across all rows of ``df``.
@@ -52,17 +139,9 @@ def unique_names(df: DataFrame, stem_col: str, order_cols: list[str], out: str =
     d = d.join(fam, "_fam")
 
     fast = rank_within_key(d.filter("_single"), ["_low"], order_cols, "_k", min_hot_rows)
-    fast = fast.withColumn(out, F.when(F.col("_k") == 1, F.col(stem_col))
-                           .otherwise(F.format_string("%s (%d)", F.col(stem_col), F.col("_k"))))
-    fast = fast.drop("_k", "_low", "_fam", "_single")
-
-    slow_in = d.filter(~F.col("_single")).drop("_low", "_single")
-    schema = T.StructType(slow_in.schema.fields + [T.StructField(out, T.StringType())])
-
-    def per_family(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order_cols, kind="stable")
-        pdf[out] = _sequential(pdf[stem_col].tolist())
-        return pdf
-
-    slow = slow_in.groupBy("_fam").applyInPandas(per_family, schema).drop("_fam")
-    return fast.unionByName(slow)
+    fast = fast.withColumn(out, _index_name(stem_col, F.col("_k"))).drop("_k", "_low", "_fam", "_single")
+    mixed_in = d.filter(~F.col("_single")).drop("_single")
+    if mixed_in.limit(1).count() == 0:  # common case: no family mixes stems
+        return fast
+    mixed = _mixed_names(mixed_in, stem_col, order_cols, out, min_hot_rows).drop("_low", "_fam")
+    return fast.unionByName(mixed)

@@ -22,3 +22,22 @@ def test_unique_names_match_sequential_rule(spark):
     got = _names(spark, stems, min_hot_rows=50)  # force the hot-key split of 'document'
     assert got == _sequential(stems)
     assert len({g.lower() for g in got}) == len(got)
+
+
+def test_hot_mixed_family_is_exact(spark):
+    rnd = random.Random(5)
+    pool = ["a"] * 30 + ["a (2)", "A (3)", "a (2) (2)", "a (5)", "a (02)", "a (1)"] + ["a (2)"] * 5
+    stems = [rnd.choice(pool) for _ in range(1500)]
+    got = _names(spark, stems, min_hot_rows=100)  # the family and stem 'a' are cut into buckets
+    assert got == _sequential(stems)
+
+
+def test_many_random_families(spark):
+    rnd = random.Random(23)
+    for _ in range(3):
+        base = [rnd.choice(["x", "y"]) for _ in range(4)]
+        pool = []
+        for b in base:
+            pool += [b, f"{b} (2)", f"{b} (3)", f"{b} (2) (2)", f"{b} (2) (3)", f"{b.upper()} (4)"]
+        stems = [rnd.choice(pool) for _ in range(300)]
+        assert _names(spark, stems) == _sequential(stems)
