@@ -195,3 +195,14 @@ def extraction_route(method="method", has_text_layer="has_text_layer") -> Column
     t = F.col(has_text_layer) if isinstance(has_text_layer, str) else has_text_layer
     return (F.when(m == "txt", "text").when(m == "ocr", "ocr")
             .when(F.coalesce(t, F.lit(False)), "text").otherwise("ocr"))
+
+
+def run_summary(result: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Machine-readable summary of an extraction run (SNK-5): ids, status and
+    counts, never the payloads (Markdown, content lists)."""
+    keep = [c for c in result.columns if c not in ("markdown", "content_list")]
+    return result.select(*keep)
+
+
+def write_run_summary(result: DataFrame, path: str, id_col: str = "doc_id") -> None:
+    run_summary(result, id_col).write.mode("overwrite").json(path)

@@ -57,3 +57,12 @@ def test_routing(spark):
     df = spark.createDataFrame([("txt", False), ("ocr", True), ("auto", True), ("auto", False), (None, None)],
                                "method string, has_text_layer boolean")
     assert [r.r for r in df.select(X.extraction_route().alias("r")).collect()] == ["text", "ocr", "text", "ocr", "ocr"]
+
+
+def test_run_summary_has_no_payloads(spark, tmp_path):
+    df = spark.createDataFrame([(1, "ok"), (2, "boom")], "doc_id long, content string")
+    res = X.extract(df, Flaky())
+    X.write_run_summary(res, str(tmp_path / "summary"))
+    back = spark.read.json(str(tmp_path / "summary"))
+    assert "markdown" not in back.columns and "content_list" not in back.columns
+    assert {r.doc_id: r.blocks for r in back.collect()} == {1: 1, 2: None}
