@@ -108,9 +108,11 @@ def ship_package(spark: SparkSession) -> None:
 
     Python functions of this library (HTML parser, throttle chains, naming,
     stream state functions) are pickled by reference, so workers import the
-    package.  It is zipped once per SparkContext and added with ``addPyFile``
-    - the programmatic form of ``--py-files`` - which distributes it with the
-    job instead of relying on the workers' working directory."""
+    package.  It is zipped in memory once per SparkContext, written through
+    the Hadoop file system into the checkpoint folder (shared storage, never a
+    machine-local temp folder) and added with ``addPyFile`` - the programmatic
+    form of ``--py-files``."""
+    import io
     import zipfile
 
     import quire
@@ -120,13 +122,20 @@ def ship_package(spark: SparkSession) -> None:
         return
     pkg = os.path.dirname(os.path.abspath(quire.__file__))
     parent = os.path.dirname(pkg)
-    fd, path = tempfile.mkstemp(prefix="quire-pkg-", suffix=".zip")
-    os.close(fd)
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
         for dirpath, _, files in os.walk(pkg):
-            for f in files:
+            for f in sorted(files):
                 if f.endswith(".py"):
                     full = os.path.join(dirpath, f)
                     z.write(full, os.path.relpath(full, parent))
-    sc.addPyFile(path)
+    target = scratch_path(spark, "pkg") + "/quire.zip"
+    jvm = sc._jvm
+    path = jvm.org.apache.hadoop.fs.Path(target)
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path, True)
+    try:
+        out.write(bytearray(buf.getvalue()))
+    finally:
+        out.close()
+    sc.addPyFile(target)
     sc._quire_shipped = True

@@ -1,18 +1,18 @@
 """One-file-per-row sink as a Python DataSource (SNK-3/4).
 
     spark.dataSource.register(FilesDataSource)
-    files.select("file_name", "content").write.format("quire_files") \
-         .mode("append").option("path", out_dir).save()
-
-Each task writes its rows to ``<path>/<file_name>`` through a hidden
-temporary name and an atomic rename, so a retried task simply overwrites its
-own files and a half-written file is never visible.  The commit message lists
-the files written; ``commit`` records them in ``_FILES`` for readers.  Names
-are validated: no absolute paths, no '..' segments.
+    files.select("file_name", "content").write.format("quire_files") \\
+         .mode("append").option("path", out_uri).save()
+
+Each task writes its rows to ``<path>/<file_name>`` through ``pyarrow.fs``
+(local paths, ``file://``, ``hdfs://``, ``s3://`` ...), first under a hidden
+temporary name and then moved into place, so a retried task simply rewrites
+its own files and a half-written file is never visible.  The commit message
+lists the files written; ``commit`` records them in ``_FILES``.  Names are
+validated: no absolute paths, no '..' segments.
 """
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
@@ -30,28 +30,37 @@ def _safe(name: str) -> str:
     return "/".join(parts)
 
 
+def _fs(uri: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri)
+
+
 class FilesWriter(DataSourceWriter):
     def __init__(self, path: str):
         self.path = path
 
     def write(self, iterator):
+        fs, base = _fs(self.path)
         written = []
         for row in iterator:
             rel = _safe(row["file_name"])
-            dest = os.path.join(self.path, rel)
-            os.makedirs(os.path.dirname(dest), exist_ok=True)
-            tmp = os.path.join(os.path.dirname(dest), f".{uuid.uuid4().hex}.tmp")
+            dest = f"{base.rstrip('/')}/{rel}"
+            folder = dest.rsplit("/", 1)[0]
+            fs.create_dir(folder, recursive=True)
+            tmp = f"{folder}/.{uuid.uuid4().hex}.tmp"
             data = row["content"]
-            with open(tmp, "wb") as fh:
-                fh.write(bytes(data) if data is not None else b"")
-            os.replace(tmp, dest)
+            with fs.open_output_stream(tmp) as out:
+                out.write(bytes(data) if data is not None else b"")
+            fs.move(tmp, dest)
             written.append(rel)
         return _Written(written)
 
     def commit(self, messages):
+        fs, base = _fs(self.path)
         names = sorted(f for m in messages if m is not None for f in m.files)
-        with open(os.path.join(self.path, "_FILES"), "w", encoding="utf-8") as fh:
-            fh.write("\n".join(names))
+        with fs.open_output_stream(f"{base.rstrip('/')}/_FILES") as out:
+            out.write("\n".join(names).encode("utf-8"))
 
     def abort(self, messages):
         pass
@@ -69,7 +78,8 @@ class FilesDataSource(DataSource):
         path = self.options.get("path")
         if not path:
             raise ValueError("option 'path' is required")
-        os.makedirs(path, exist_ok=True)
+        fs, base = _fs(path)
+        fs.create_dir(base, recursive=True)
         return FilesWriter(path)
 
 
