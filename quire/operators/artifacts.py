@@ -23,16 +23,30 @@ def suffix_glob(suffixes=SUPPORTED_SUFFIXES) -> str:
     return "*.{" + ",".join(ci(s.lstrip(".")) for s in suffixes) + "}"
 
 
-def scan_documents(spark: SparkSession, paths: list[str], with_content: bool = False) -> DataFrame:
-    """Recursive document scan keeping supported suffixes (SRC-1).
+class NoDocumentsError(ValueError):
+    pass
+
+
+def scan_documents(spark: SparkSession, paths: list[str], with_content: bool = False,
+                   require: bool = False, ordered: bool = False) -> DataFrame:
+    """Recursive document scan keeping supported suffixes (SRC-1, SRC-2).
 
     Returns path, name, length, modificationTime (+ content when asked).
-    Files named with a leading '.' or '_' are hidden by the source.
+    ``ordered`` sorts by path components, as a directory listing would; it is a
+    global sort, so leave it off for bulk processing, where order does not
+    matter.  Files named with a leading '.' or '_' are hidden by the source.
+    With ``require`` an empty result raises ``NoDocumentsError`` (one
+    ``limit(1)`` job).
     """
     df = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
           .option("pathGlobFilter", suffix_glob()).load(paths))
     cols = ["path", "modificationTime", "length"] + (["content"] if with_content else [])
-    return df.select(*cols).withColumn("name", base_name(F.col("path")))
+    out = df.select(*cols).withColumn("name", base_name(F.col("path")))
+    if ordered:
+        out = out.orderBy(path_sort_key("path"))
+    if require and out.limit(1).count() == 0:
+        raise NoDocumentsError("No supported document inputs found in the given paths.")
+    return out
 
 
 def scan_files(spark: SparkSession, paths: list[str]) -> DataFrame:

@@ -71,3 +71,21 @@ def export_count(files: DataFrame) -> DataFrame:
     return files.agg(F.count_if(F.col("kind") == "markdown").cast("bigint").alias("documents"),
                      F.count(F.lit(1)).cast("bigint").alias("files")).withColumn(
         "empty", F.col("documents") == 0)
+
+
+class EmptyExportError(ValueError):
+    pass
+
+
+def export_to(selection: DataFrame, library: DataFrame, markdown: DataFrame, path: str,
+              images: DataFrame | None = None, mode: str = "md-only") -> int:
+    """Build the export and write it as files under ``path``; returns the number
+    of documents.  Nothing selected with Markdown is an error (AGG-4)."""
+    from quire.sources.files_sink import write_files
+
+    files = materialize(export_files(selection, library, markdown, images, mode), "export")
+    n = files.filter(F.col("kind") == "markdown").count()
+    if n == 0:
+        raise EmptyExportError("None of the selected documents have markdown output")
+    write_files(files, path)
+    return n

@@ -51,3 +51,16 @@ def test_empty_export_is_flagged(spark):
     sel, lib, md, img = _inputs(spark)
     none = export_files(sel.filter(F.col("id") == "zz"), lib, md, img)
     assert export_count(none).first().empty
+
+
+def test_export_to_writes_and_refuses_empty(spark):
+    import pytest
+
+    from quire.operators.export import EmptyExportError, export_to
+
+    sel, lib, md, img = _inputs(spark)
+    out = tempfile.mkdtemp(prefix="quire-export-")
+    assert export_to(sel, lib, md, out, img, "md+images") == 4
+    assert os.path.exists(os.path.join(out, "report (2).md"))
+    with pytest.raises(EmptyExportError):
+        export_to(sel.filter(F.col("id") == "zz"), lib, md, tempfile.mkdtemp(prefix="quire-export-"))

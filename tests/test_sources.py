@@ -23,6 +23,11 @@ def test_scan_keeps_supported_case_insensitively(spark):
     root = _tree({"a.pdf": "x", "sub/b.PDF": "xy", "c.txt": "z", "d.Docx": "w", "e.jpeg": "v", "sub/f.md": "u"})
     names = sorted(r.name for r in scan_documents(spark, [root]).collect())
     assert names == ["a.pdf", "b.PDF", "d.Docx", "e.jpeg"]
+    ordered = [r.path.split(root)[-1] for r in scan_documents(spark, [root], ordered=True).collect()]
+    assert ordered == ["/a.pdf", "/d.Docx", "/e.jpeg", "/sub/b.PDF"]
+    empty = _tree({"x.txt": "no"})
+    with pytest.raises(Exception, match="No supported document"):
+        scan_documents(spark, [empty], require=True)
     assert "[pP][dD][fF]" in suffix_glob()
 
 
