@@ -84,10 +84,11 @@ ORACLE["queue_position"] = (f"WITH {SQL_JOB_STATES}\nSELECT job_id, queued_at, "
 # -- elapsed (DAT-1, DAT-2): as of the last event -------------------------------------------------------
 def q_elapsed(spark, sf_dir):
     s = states(spark, sf_dir)
-    now = read_table(spark, sf_dir, "events").agg(F.max("ts").alias("_now"))
-    s = s.crossJoin(F.broadcast(now))  # one row: the as-of time
-    run = LC.elapsed_seconds(F.col("started_at"), F.col("finished_at"), F.col("_now"))
-    wait = LC.elapsed_seconds(F.col("queued_at"), F.col("started_at"), F.col("_now"))
+    ev = read_table(spark, sf_dir, "events")
+    latest = ev.agg(F.max("ts")).first()[0]  # the as-of time, one scalar
+    now = F.lit(latest.isoformat(sep=" ")).cast(ev.schema["ts"].dataType)  # wall-clock text: no zone shift
+    run = LC.elapsed_seconds(F.col("started_at"), F.col("finished_at"), now)
+    wait = LC.elapsed_seconds(F.col("queued_at"), F.col("started_at"), now)
     return s.select("job_id", "status", F.round(wait, 3).alias("wait_s"), F.round(run, 3).alias("run_s"),
                     LC.elapsed_text(run).alias("elapsed"))
 
