@@ -78,10 +78,12 @@ def spread(df, min_partitions: int | None = None):
     cluster has cores (e.g. one big file with a single row group), so per-row
     work such as regex and parsing runs on every core.  Large inputs made of
     many files already have enough partitions and are left alone."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df._jdf.rdd().getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        parts = df._jdf.rdd().getNumPartitions()  # plans the scan's file splits; runs no job
+    except Exception:  # noqa: BLE001 - no JVM handle (e.g. a remote session): leave as is
+        return df
+    return df.repartition(target) if parts < target else df
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, balance: bool = True):
