@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.operators.sequence import MIN_HOT_ROWS, rank_within_key
+from quire.session import materialize
 
 FAMILY_SUFFIX = r"( \([0-9]+\))+\z"
 CHILD_OF = r"^(.*) \(([1-9][0-9]*)\)\z"   # parent stem and the index it would generate
@@ -58,11 +59,6 @@ def _index_name(stem_col: str, k) -> F.Column:
     return F.when(k == 1, F.col(stem_col)).otherwise(F.format_string("%s (%d)", F.col(stem_col), k))
 
 
-RESOLVE_INPUT = T.StructType([
-    T.StructField("_fam", T.StringType()), T.StructField("kind", T.StringType()),
-    T.StructField("low", T.StringType()), T.StructField("n", T.LongType()),
-    T.StructField("t_first", T.LongType()), T.StructField("parent", T.StringType()),
-    T.StructField("j", T.LongType()), T.StructField("m", T.LongType()), T.StructField("t", T.LongType())])
 RESOLVE_OUTPUT = T.StructType([
     T.StructField("_fam", T.StringType()), T.StructField("_low", T.StringType()),
     T.StructField("_blocked", T.ArrayType(T.LongType()))])
@@ -100,7 +96,8 @@ def _resolve_family(pdf: pd.DataFrame) -> pd.DataFrame:
 def _mixed_names(d: DataFrame, stem_col: str, order_cols: list[str], out: str, min_hot_rows: int) -> DataFrame:
     """Names for the rows of families that mix stems (see module docstring)."""
     timed = rank_within_key(d, ["_fam"], order_cols, "_t", min_hot_rows)          # time within the family
-    ranked = rank_within_key(timed, ["_low"], ["_t"], "_r", min_hot_rows)          # row number within the stem
+    # row number within the stem; read by three branches below, so written once
+    ranked = materialize(rank_within_key(timed, ["_low"], ["_t"], "_r", min_hot_rows), "names-ranked")
     stems = ranked.groupBy("_fam", "_low").agg(F.count(F.lit(1)).alias("n"), F.min("_t").alias("t_first"))
     stems = stems.withColumn("parent", F.when(F.col("_low").rlike(CHILD_OF), F.regexp_extract("_low", CHILD_OF, 1))) \
                  .withColumn("j", F.when(F.col("_low").rlike(CHILD_OF),
