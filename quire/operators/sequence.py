@@ -84,8 +84,8 @@ def bucketed(df: DataFrame, keys: list[str], order: list, min_hot_rows: int = MI
     spark = df.sparkSession
     d = df.withColumn("_x", x)
     stats = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_mn"), F.max("_x").alias("_mx"))
-    total = df.count()  # one scalar
-    limit = F.lit(max(total / (4 * _parts(df)), float(min_hot_rows)))
+    total = stats.agg(F.sum("_n")).scalar()  # scalar subquery, evaluated with the job below
+    limit = F.greatest(total / F.lit(4 * _parts(df)), F.lit(float(min_hot_rows)))
     # Each hot key holds more than total / (4 * P) rows: at most 4 * P rows come back.
     hot_rows = (stats.filter(F.col("_n") > limit)
                 .select(*keys, "_mn", "_mx", limit.alias("_h"),
