@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import lifecycle as LC
 from quire.operators.stalls import stalls
+from quire.functions.time import micros_between
 from quire.operators.throttle import throttle
 from quire.session import read_table
 from quire.sources import fixtures as FX
@@ -87,21 +88,23 @@ def q_elapsed(spark, sf_dir):
     ev = read_table(spark, sf_dir, "events")
     latest = ev.agg(F.max("ts")).first()[0]  # the as-of time, one scalar
     now = F.lit(latest.isoformat(sep=" ")).cast(ev.schema["ts"].dataType)  # wall-clock text: no zone shift
-    run = LC.elapsed_seconds(F.col("started_at"), F.col("finished_at"), now)
-    wait = LC.elapsed_seconds(F.col("queued_at"), F.col("started_at"), now)
-    return s.select("job_id", "status", F.round(wait, 3).alias("wait_s"), F.round(run, 3).alias("run_s"),
-                    LC.elapsed_text(run).alias("elapsed"))
+    run_us = micros_between(F.col("started_at"), F.coalesce(F.col("finished_at"), now))
+    wait_us = micros_between(F.col("queued_at"), F.coalesce(F.col("started_at"), now))
+    # durations as exact integer milliseconds; the text is the DAT-1 display
+    return s.select("job_id", "status", F.floor(wait_us / 1000).cast("bigint").alias("wait_ms"),
+                    F.floor(run_us / 1000).cast("bigint").alias("run_ms"),
+                    LC.elapsed_text(run_us / 1e6).alias("elapsed"))
 
 
 QUERIES["elapsed"] = q_elapsed
 ORACLE["elapsed"] = f"""WITH {SQL_JOB_STATES},
 nw AS (SELECT max(ts) AS now FROM events),
 x AS (SELECT job_id, status,
-        epoch_us(coalesce(started_at, now)) / 1e6 - epoch_us(queued_at) / 1e6 AS wait,
-        epoch_us(coalesce(finished_at, now)) / 1e6 - epoch_us(started_at) / 1e6 AS run FROM states, nw),
-y AS (SELECT *, CAST(greatest(floor(run + 0.5), 0) AS BIGINT) AS s FROM x)
-SELECT job_id, status, round(wait, 3) AS wait_s, round(run, 3) AS run_s,
-  CASE WHEN run IS NULL THEN '' WHEN s >= 60 THEN printf('%dm%02ds', s // 60, s % 60) ELSE s || 's' END AS elapsed
+        epoch_us(coalesce(started_at, now)) - epoch_us(queued_at) AS wait_us,
+        epoch_us(coalesce(finished_at, now)) - epoch_us(started_at) AS run_us FROM states, nw),
+y AS (SELECT *, CAST(greatest(floor(run_us / 1e6 + 0.5), 0) AS BIGINT) AS s FROM x)
+SELECT job_id, status, CAST(floor(wait_us / 1000) AS BIGINT) AS wait_ms, CAST(floor(run_us / 1000) AS BIGINT) AS run_ms,
+  CASE WHEN run_us IS NULL THEN '' WHEN s >= 60 THEN printf('%dm%02ds', s // 60, s % 60) ELSE s || 's' END AS elapsed
 FROM y"""
 
 

@@ -147,7 +147,7 @@ QUERIES["stream_library"] = q_stream_library
 ORACLE["stream_library"] = (
     f"WITH {J.SQL_JOB_STATES}\n"
     "SELECT job_id AS id, job_id AS stem, finished_at AS created, device, "
-    "round(epoch_us(finished_at) / 1e6 - epoch_us(started_at) / 1e6, 1) AS seconds, "
+    "round((epoch_us(finished_at) - epoch_us(started_at)) / 1e6, 1) AS seconds, "
     "CAST(0 AS BIGINT) AS markdown_chars, CAST(0 AS BIGINT) AS blocks FROM states WHERE status = 'done'")
 
 
