@@ -65,3 +65,17 @@ def test_storage_readers(spark):
     inv = [(r.image_name, r.length) for r in image_inventory(spark, root).collect()]
     assert inv == [("a.jpg", 1), ("b.jpg", 2)]
     assert get_doc(docs, "2").count() == 1
+
+
+def test_package_is_shipped_through_shared_storage(spark):
+    import io
+    import zipfile
+
+    from quire.session import checkpoint_dir
+
+    assert getattr(spark.sparkContext, "_quire_shipped", False)
+    root = checkpoint_dir(spark).replace("file:", "")
+    zips = [os.path.join(d, f) for d, _, fs in os.walk(root) for f in fs if f == "quire.zip"]
+    assert zips
+    names = zipfile.ZipFile(io.BytesIO(open(zips[0], "rb").read())).namelist()
+    assert "quire/__init__.py" in names and "quire/operators/throttle.py" in names
