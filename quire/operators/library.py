@@ -22,7 +22,8 @@ from pyspark.sql import types as T
 
 from quire.functions.names import sanitize_stem
 from quire.functions.options import OPTIONS_STRUCT
-from quire.operators.sequence import global_rank, previous_in_key
+from quire.functions.time import epoch_micros
+from quire.operators.sequence import MIN_HOT_ROWS, global_rank, previous_in_key
 
 ENTRY_FIELDS = ["original_name", "stem", "created", "options", "device", "seconds", "source", "parse_dir",
                 "markdown_path", "content_list_path", "images_dir", "markdown_chars", "blocks"]
@@ -96,12 +97,17 @@ def insertion_order(changes: DataFrame, id_col: str = "id", seq_col: str = "seq"
     return starts.groupBy(id_col).agg(F.max(seq_col).alias("ins_seq"))
 
 
-def newest_first(changes: DataFrame, id_col: str = "id", seq_col: str = "seq") -> DataFrame:
+def newest_first(changes: DataFrame, id_col: str = "id", seq_col: str = "seq",
+                 min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
     """Listing order of the current library: created desc (missing = epoch), then insertion order."""
     snap = snapshot(changes, id_col, seq_col).select(id_col, "created")
     ordered = snap.join(insertion_order(changes, id_col, seq_col), id_col, "inner")
-    key = F.coalesce(F.col("created"), F.lit("1970-01-01 00:00:00").cast(snap.schema["created"].dataType))
-    return global_rank(ordered.withColumn("_key", key), [F.col("_key").desc(), F.col("ins_seq")], "position").drop("_key")
+    dtype = snap.schema["created"].dataType
+    created = F.coalesce(F.col("created"), F.lit("1970-01-01 00:00:00").cast(dtype))
+    # newest first as an ascending numeric key, so the global rank can cut the
+    # (single, hot) key into order buckets instead of one window task
+    ordered = ordered.withColumn("_newest", -epoch_micros(created, dtype))
+    return global_rank(ordered, ["_newest", "ins_seq"], "position", min_hot_rows).drop("_newest")
 
 
 # -- versioned snapshot storage ---------------------------------------------------------

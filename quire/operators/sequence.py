@@ -48,7 +48,9 @@ def _parts(df: DataFrame) -> int:
 
 
 def order_number(df: DataFrame, col) -> Column | None:
-    """Numeric, order-preserving view of an order column (None if not possible)."""
+    """Numeric, order-preserving view of an order column (None if not possible:
+    then keys are not split).  Callers pass the first order column by name and
+    ascending; express a descending order as a negated numeric column."""
     if not isinstance(col, str):
         return None
     dt = df.schema[col].dataType

@@ -47,3 +47,12 @@ def test_vacuum_keeps_newest_versions(spark):
     assert L.vacuum_versions(spark, root, keep=2) == [0, 1]
     assert L.latest_version(spark, root) == 3 and L.latest_version(spark, root, below=3) == 2
     assert L.latest_version(spark, root, below=2) is None
+
+
+def test_newest_first_splits_the_single_key(spark):
+    import datetime as dt
+    rows = [(f"d{i}", i, "upsert", dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i % 97)) for i in range(3000)]
+    log = spark.createDataFrame(rows, "id string, seq long, op string, created timestamp")
+    got = [r.id for r in L.newest_first(log, min_hot_rows=100).orderBy("position").collect()]
+    want = [r[0] for r in sorted(rows, key=lambda r: (-r[3].timestamp(), r[1]))]
+    assert got == want
