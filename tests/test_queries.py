@@ -44,3 +44,14 @@ def test_query_matches_oracle(spark, con, name):
     assert sorted(sdf.columns) == sorted(dcols)
     assert len(srows) == len(drows)
     assert digest(sdf.columns, srows)[0] == digest(dcols, drows)[0]
+
+
+def test_no_cross_joins_or_row_python_in_plans(spark):
+    """Scale guard: no registered batch query plans a cartesian product, a
+    nested-loop join or a row-at-a-time Python UDF."""
+    for name, fn in E.queries().items():
+        if name.startswith("stream_"):
+            continue  # streams run to completion when called; their steps are covered elsewhere
+        plan = fn(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+        for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
+            assert bad not in plan, (name, bad)
