@@ -5,6 +5,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from quire.plans import all_oracles, all_queries
 from scripts.check_oracle import TABLES, digest
 from tests.conftest import SF_SMALL
 
@@ -12,7 +13,7 @@ ROWS_ONLY = {"extract_html_blocks", "extract_html_documents", "flagship"}
 
 
 def test_every_query_has_an_oracle_or_is_rows_only():
-    qs, sql = E.queries(), E.oracle_sql()
+    qs, sql = all_queries(), all_oracles()
     assert set(sql) <= set(qs)
     assert set(qs) - set(sql) == ROWS_ONLY
 
@@ -34,7 +35,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(all_oracles()))
 def test_query_matches_oracle(spark, con, name):
     sdf = E.queries()[name](spark, SF_SMALL)
     srows = [tuple(r) for r in sdf.collect()]
@@ -49,7 +50,7 @@ def test_query_matches_oracle(spark, con, name):
 def test_no_cross_joins_or_row_python_in_plans(spark):
     """Scale guard: no registered batch query plans a cartesian product, a
     nested-loop join or a row-at-a-time Python UDF."""
-    for name, fn in E.queries().items():
+    for name, fn in all_queries().items():
         if name.startswith("stream_"):
             continue  # streams run to completion when called; their steps are covered elsewhere
         plan = fn(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
