@@ -11,7 +11,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import langid, quality, sentencepiece_codec
+from quire.llm import chat_format, fingerprints, langid, quality, sentencepiece_codec
 from quire.llm.common import crc_remainder
 
 
@@ -36,6 +36,19 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its text edited with the next document's."""
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one whose texts are control strings, formatted and read back."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat_format.digests(chat_format.format_conversations(rows.unionByName(extra)))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document; rows with crc32(doc_id) mod 3 = 1 are held out of training."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -47,6 +60,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_sentencepiece": op3_sentencepiece,
     "op7_language_id": op7_language_id,
+    "op5_fingerprints": op5_fingerprints,
+    "op9_chat_format": op9_chat_format,
     "op10_quality": op10_quality,
 }
 
