@@ -11,7 +11,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chat_format, fingerprints, langid, quality, sentencepiece_codec
+from quire.llm import chat_format, fingerprints, langid, mixing, quality, sentencepiece_codec
 from quire.llm.common import crc_remainder
 
 
@@ -41,6 +41,12 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of every document so that each source's words come near its target."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one whose texts are control strings, formatted and read back."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -61,6 +67,7 @@ QUERIES = {
     "op3_sentencepiece": op3_sentencepiece,
     "op7_language_id": op7_language_id,
     "op5_fingerprints": op5_fingerprints,
+    "op8_mixing": op8_mixing,
     "op9_chat_format": op9_chat_format,
     "op10_quality": op10_quality,
 }
