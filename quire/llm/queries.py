@@ -11,7 +11,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chat_format, fingerprints, langid, mixing, quality, sentencepiece_codec
+from quire.llm import chat_format, fingerprints, langid, mixing, quality, sentencepiece_codec, simhash
 from quire.llm.common import crc_remainder
 
 
@@ -36,6 +36,12 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprint (3-word shingles) and component (3 bits) of every document."""
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=3)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its text edited with the next document's."""
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
@@ -66,6 +72,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_sentencepiece": op3_sentencepiece,
     "op7_language_id": op7_language_id,
+    "op4_simhash": op4_simhash,
     "op5_fingerprints": op5_fingerprints,
     "op8_mixing": op8_mixing,
     "op9_chat_format": op9_chat_format,
