@@ -11,7 +11,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chat_format, fingerprints, langid, mixing, quality, sentencepiece_codec, simhash
+from quire.llm import chat_format, fingerprints, langid, mixing, quality, sentencepiece_codec, simhash, suffix_dedup
 from quire.llm.common import crc_remainder
 
 
@@ -47,6 +47,12 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of 400-byte strings that start anywhere else too."""
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=400)
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies of every document so that each source's words come near its target."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -74,6 +80,7 @@ QUERIES = {
     "op7_language_id": op7_language_id,
     "op4_simhash": op4_simhash,
     "op5_fingerprints": op5_fingerprints,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op8_mixing": op8_mixing,
     "op9_chat_format": op9_chat_format,
     "op10_quality": op10_quality,
