@@ -41,6 +41,7 @@ def connected_components(links: DataFrame, a: str, b: str, max_rounds: int = 100
         now = materialize(_small_star(_large_star(now)), "links")
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(state) == seen:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+            roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
         seen = tuple(state)
     raise RuntimeError("components did not settle")

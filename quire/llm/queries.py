@@ -11,7 +11,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chat_format, fingerprints, langid, mixing, quality, sentencepiece_codec, simhash, suffix_dedup
+from quire.llm import chat_format, embedding_dedup, fingerprints, langid, mixing, quality, sentencepiece_codec, simhash, suffix_dedup
 from quire.llm.common import crc_remainder
 
 
@@ -27,6 +27,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc_remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors with equal labels and a cosine of at least 0.93."""
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded with an end id, and decoded again."""
     import public_tokenizers
@@ -76,6 +81,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op3_sentencepiece": op3_sentencepiece,
     "op7_language_id": op7_language_id,
     "op4_simhash": op4_simhash,
