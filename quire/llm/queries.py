@@ -11,7 +11,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chat_format, embedding_dedup, fingerprints, langid, mixing, quality, sentencepiece_codec, simhash, suffix_dedup
+from quire.llm import chat_format, embedding_dedup, fingerprints, langid, mixing, quality, sentencepiece_codec, simhash, suffix_dedup, toxicity
 from quire.llm.common import crc_remainder
 
 
@@ -32,6 +32,14 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document; rows with crc32(doc_id) mod 5 = 0 are held out of training."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), keep=crc_remainder("_id", 5) != 0)
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", (crc_remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded with an end id, and decoded again."""
     import public_tokenizers
@@ -82,6 +90,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
+    "op2_toxicity": op2_toxicity,
     "op3_sentencepiece": op3_sentencepiece,
     "op7_language_id": op7_language_id,
     "op4_simhash": op4_simhash,
