@@ -11,7 +11,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import langid, sentencepiece_codec
+from quire.llm import langid, mixing, sentencepiece_codec, simhash, suffix_dedup
 from quire.session import scratch_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -26,6 +26,23 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.filter(F.col("lang_pred") != "und").select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document, that of the smallest id, of each SimHash component (3-word shingles, 3 bits)."""
+    return simhash.keep_one(docs.select(*COLUMNS), shingle=3, max_bits=3)
+
+
+def repeat_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut out every 400-byte string that starts anywhere else too; all documents stay, also emptied ones."""
+    out = suffix_dedup.remove_repeats(docs, carry=["doc_id", "lang", "source"], length=400, as_text=True)
+    return out.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take each document as often as the mix says: no, one or two rows; documents without words are never taken."""
+    out = mixing.mix(docs, carry=COLUMNS).filter("copies > 0")
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encode every text with an end id and decode it again."""
     import public_tokenizers
@@ -36,6 +53,9 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language ID", language_id),
+    ("SimHash near-dedup", near_dedup),
+    ("suffix-array dedup", repeat_dedup),
+    ("mixing", mix_sources),
     ("SentencePiece encoding", encode),
 ]
 

@@ -117,7 +117,8 @@ def links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3) -> DataFrame:
-    """Columns id, ``fp`` and ``component_id`` (the smallest id that links reach) for each row of ``docs``.
+    """Columns id, ``fp``, ``component_id`` (the smallest id that links reach) and ``root`` (the component's
+    least fingerprint) for each row of ``docs``.
 
     Rows with equal fingerprints are linked, also those without words (fingerprint 0).  Null ids
     take part, and count as no id; a component without any id has the id null.  Whole texts are
@@ -128,5 +129,20 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = connected_components(links(distinct.select("fp"), max_bits), "a", "b")
     rooted = distinct.join(classes, distinct["fp"] == classes["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
     roots = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = materialize(rooted.join(roots, "root").select("fp", "component_id"), "simhash-classes")
-    return marked.join(named, "fp").select(F.col("_id").alias(id_col), "fp", "component_id")
+    named = materialize(rooted.join(roots, "root").select("fp", "component_id", "root"), "simhash-classes")
+    return marked.join(named, "fp").select(F.col("_id").alias(id_col), "fp", "component_id", "root")
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3) -> DataFrame:
+    """The rows of ``docs`` with one document left of each component: the one with the smallest id.
+
+    Where ids are null or repeated, rows are told apart by their fingerprints as well, and one of several
+    rows that agree in both stays."""
+    near = materialize(near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle, max_bits=max_bits).withColumnRenamed(id_col, "_id"), "simhash-rows")
+    stay = near.filter(F.col("_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("_id", "fp")).alias("s")).select("root", "s._id", "s.fp")
+    unclear = near.groupBy("_id").agg(F.count("*").alias("n")).filter("n > 1 or _id is null").limit(1).count()
+    if not unclear:
+        return docs.join(stay.select(F.col("_id").alias(id_col)), id_col, "left_semi")
+    marked = fingerprints(docs, text_col=text_col, carry=docs.columns, shingle=shingle)
+    hit = marked["fp"].eqNullSafe(stay["fp"]) & marked[id_col].eqNullSafe(stay["_id"])
+    return marked.join(stay.withColumnRenamed("root", "_root"), hit).dropDuplicates(["_root"]).select(*[marked[c] for c in docs.columns])

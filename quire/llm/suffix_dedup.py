@@ -206,11 +206,13 @@ def _copies(chunks: DataFrame) -> DataFrame:
     return materialize(hit.groupBy("chunk").agg(F.collect_list("c").alias("copies")), "copies")
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, length: int = 400) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, length: int = 400,
+                   as_text: bool = False) -> DataFrame:
     """Remove every byte covered by a ``length``-byte string that also starts anywhere else.
 
     Columns ``carry`` (default: the id), ``n_bytes``, ``n_removed``, ``spans`` (maximal removed runs, in bytes
-    of the UTF-8 text) and ``kept`` (binary: the remaining bytes, which may cut a character).  Occurrences in
+    of the UTF-8 text) and ``kept`` (binary: the remaining bytes, which may cut a character; with
+    ``as_text`` a string without the bytes of cut characters).  Occurrences in
     the same document count, overlapping ones too; strings never cross documents and are judged
     on the input.  Null texts are empty; shorter texts stay whole; repeated rows are copies of
     each other; other columns, also ones named like the results, are not read unless carried."""
@@ -252,7 +254,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     windows = answers(work.mapInArrow(send(window_names, window_bits), sent), "windows")
     kind = chunks.schema["rows"].dataType.elementType
     schema = T.StructType([*kind.fields, T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()),
-                           T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))), T.StructField("kept", T.BinaryType())])
+                           T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))), T.StructField("kept", T.StringType() if as_text else T.BinaryType())])
 
     def finish(batches):
         for batch in batches:
@@ -273,10 +275,12 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                     spans.append([{"start": int(s), "stop": int(e)} for s, e in zip(edge[::2], edge[1::2])])
                     n_removed.append(int(g.sum()))
                     kept.append(data[a:b][~g].tobytes() if len(edge) else data[a:b].tobytes())
+                if as_text:
+                    kept = [k.decode("utf-8", "ignore") for k in kept]
                 rows = batch.column("rows").slice(i, 1).flatten()
                 yield pa.RecordBatch.from_arrays(
                     [*rows.flatten(), pa.array(np.diff(off)), pa.array(n_removed, pa.int64()),
-                     pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(kept, pa.binary())], schema.names)
+                     pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(kept, pa.string() if as_text else pa.binary())], schema.names)
 
     done = chunks.select("chunk", "sizes", "data", "rows").join(copies, "chunk", "left").join(samples, "chunk", "left").join(windows, "chunk", "left").mapInArrow(finish, schema)
     return done.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], "n_bytes", "n_removed", "spans", "kept")
