@@ -47,8 +47,8 @@ def simhash(text: str | None, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, *, text_col: str = "text", carry: list[str] | None = None, shingle: int = 3) -> DataFrame:
-    """Columns ``carry`` (default ``doc_id``) and ``fp`` (the fingerprint's bits as a signed long) for each row."""
+def fingerprints(docs: DataFrame, *, text_col: str = "text", carry: list[str] | None = None, shingle: int = 3, out_col: str = "fp") -> DataFrame:
+    """Columns ``carry`` (default ``doc_id``) and ``out_col`` (the fingerprint's bits as a signed long) for each row."""
     prepare(docs.sparkSession)
     carry = ["doc_id"] if carry is None else carry
     src = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)], F.col(text_col).alias("_text"))
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, *, text_col: str = "text", carry: list[str] |
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(fp)], [*part.schema.names[:-1], "fp"])
 
     out = src.mapInArrow(run, f"{schema}fp long")
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], "fp")
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], F.col("fp").alias(out_col))
 
 
 def _signed(x: int) -> int:
@@ -143,6 +143,7 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     unclear = near.groupBy("_id").agg(F.count("*").alias("n")).filter("n > 1 or _id is null").limit(1).count()
     if not unclear:
         return docs.join(stay.select(F.col("_id").alias(id_col)), id_col, "left_semi")
-    marked = fingerprints(docs, text_col=text_col, carry=docs.columns, shingle=shingle)
-    hit = marked["fp"].eqNullSafe(stay["fp"]) & marked[id_col].eqNullSafe(stay["_id"])
-    return marked.join(stay.withColumnRenamed("root", "_root"), hit).dropDuplicates(["_root"]).select(*[marked[c] for c in docs.columns])
+    marked = fingerprints(docs, text_col=text_col, carry=docs.columns, shingle=shingle, out_col="_quire_fp")
+    stay = stay.select(F.col("root").alias("_quire_root"), F.col("_id").alias("_quire_id"), F.col("fp").alias("_quire_stay"))
+    hit = marked["_quire_fp"].eqNullSafe(stay["_quire_stay"]) & marked[id_col].eqNullSafe(stay["_quire_id"])
+    return marked.join(stay, hit).dropDuplicates(["_quire_root"]).select(*docs.columns)

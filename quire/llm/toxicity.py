@@ -25,8 +25,8 @@ from quire.llm.common import byte_slices, labelled_sample, mix64, prepare, span_
 WINDOW, STRIDE = 32, 16
 WORDS, GRAMS = 1 << 14, 1 << 11
 EMBED, HIDDEN, ATTEND = 12, 8, 8
-#: Documents' worth of prior in a word's smoothed log-odds; documents of the sample that must hold a known word.
-PRIOR, LEAST = 8.0, 4
+#: Documents' worth of prior in a word's smoothed log-odds; documents of the sample, and their share, that must hold a known word.
+PRIOR, LEAST, LEAST_SHARE = 20.0, 4, 0.005
 #: Windows scored at a time.
 BATCH = 2048
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -203,9 +203,11 @@ def _telling(score: np.ndarray, text: np.ndarray, per_text: int) -> np.ndarray:
     return order[nth < per_text]
 
 
-def train(sample: list[tuple[int, str]], *, epochs: int = 6, batch: int = 256, rate: float = 0.01, decay: float = 0.02, seed: int = 2) -> ToxicityModel:
+def train(sample: list[tuple[int, str]], *, epochs: int = 6, steps: int = 800, batch: int = 256, rate: float = 0.01, decay: float = 0.02, seed: int = 2) -> ToxicityModel:
     """Adam on balanced cross-entropy over chosen windows, then a logistic calibration of the documents' highest windows.
 
+    A small sample is gone through more than ``epochs`` times, until ``steps`` updates are made.
+
     Without rows of both classes every score is that of the one class, or 0.5."""
     rng = np.random.default_rng(seed)
     p = new_parameters(rng)
@@ -226,18 +228,19 @@ def train(sample: list[tuple[int, str]], *, epochs: int = 6, batch: int = 256, r
     seen = np.unique((owner * len(distinct) + code)[~held[owner]])
     toxic = np.bincount(seen % len(distinct), weights=y[seen // len(distinct)], minlength=len(distinct))
     total = np.bincount(seen % len(distinct), minlength=len(distinct))
-    known = np.sort(np.lexsort((distinct, -total))[:min(WORDS - 1, int((total >= LEAST).sum()))])
+    known = np.sort(np.lexsort((distinct, -total))[:min(WORDS - 1, int((total >= max(LEAST, LEAST_SHARE * len(fitted_y))).sum()))])
     vocabulary, toxic, total = distinct[known], toxic[known], total[known]
     ids[:, 0] = look_up(vocabulary, hashes)
     share = fitted_y.mean()
     odds = np.log((toxic + PRIOR * share) / (total - toxic + PRIOR * (1 - share))) - np.log(share / (1 - share))
     odds = np.concatenate([[0.0], odds])
-    p["words"][:len(odds), 0] = np.clip(odds, -3, 3) / 3
+    p["words"][:len(odds), 0] = np.clip(odds, -4, 4) / 4
     strong = np.concatenate([[0], np.cumsum(np.maximum(odds[ids[:, 0]], 0) ** 2)])
     score = strong[stop] - strong[start]
     m = {k: np.zeros_like(v) for k, v in p.items()}
     v = {k: np.zeros_like(v) for k, v in p.items()}
     step = 0
+    epochs = max(epochs, -(-steps * batch // max(1, min(len(text), 4 * len(y)))))
     for epoch in range(epochs):
         if epoch == epochs // 2:
             score = window_logits(*_pack(p), ids, start, stop)
