@@ -105,7 +105,7 @@ def balance(rows: DataFrame, *, weights: tuple[float, ...] = (3, 1, 2), share: f
             break
     solved = materialize(totals.select("_k", "_s").join(state.drop("_s"), "_k", "left").select(
         "_k", "_s", F.coalesce("target", F.lit(0.0)).alias("target"), F.coalesce("_mean", F.lit(1.0)).alias("_mean"), F.coalesce("_lam", F.lit(0.0)).alias("_lam"),
-        F.lit(-float(cap)).alias("_shift"), F.lit(1 << 62).alias("_limit"), F.lit(-float(cap)).alias("_a"), F.lit(float(cap)).alias("_b")), "mix-state")
+        F.lit(True).alias("_up"), F.lit(-float(cap)).alias("_shift"), F.lit(1 << 62).alias("_limit"), F.lit(-float(cap)).alias("_a"), F.lit(float(cap)).alias("_b")), "mix-state")
     for last in (False, True):
         solved = _section(rows, solved, cap, last)
     return solved
@@ -123,8 +123,9 @@ def _shift(size: Column, below: Column) -> Column:
 def _section(rows: DataFrame, state: DataFrame, cap: float, last: bool) -> DataFrame:
     """Find each source's shift by sections of [_a, _b]; each round is one aggregate over the rows.
 
-    The first call stops below the target, at the document that would pass it; the last one
-    lets the documents that are no longer than the gap fill it, and takes the nearer side."""
+    The first call ends at the document that passes the target.  The last one takes both sides of it
+    (``_up``: from below, the documents no longer than the gap fill it; from above, they
+    are taken back) and keeps the nearer result."""
     rows = rows.select("_k", "_size", "_u").filter(F.col("_size") > 0)
     keep = ["_s", "target", "_mean", "_lam", "_shift", "_limit", "_a", "_b"]
     size, u = F.col("_size"), F.col("_u")
@@ -132,19 +133,23 @@ def _section(rows: DataFrame, state: DataFrame, cap: float, last: bool) -> DataF
         def point(i: int) -> Column:
             return F.col("_a") + (F.col("_b") - F.col("_a")) * F.lit(i / SECTIONS)
 
-        sums = rows.join(state, "_k").groupBy("_k").agg(*[F.first(c).alias(c) for c in keep], F.array(*[
+        sums = rows.join(state, "_k").groupBy("_k", "_up").agg(*[F.first(c).alias(c) for c in keep], F.array(*[
             F.sum(_copies(size, u, _shift(size, point(i)), cap).cast("long") * size) for i in range(SECTIONS + 1)]).alias("_t"))
         low = F.greatest(F.lit(0), *[F.when(F.col("_t")[i] <= F.col("target"), F.lit(i)).otherwise(0) for i in range(SECTIONS)])
         sums = sums.withColumn("_i", low)
         width = (F.col("_b") - F.col("_a")) / F.lit(float(SECTIONS))
-        found = materialize(sums.select(*keep[:-2], "_k", (F.col("_a") + width * F.col("_i")).alias("_a"), (F.col("_a") + width * (F.col("_i") + 1)).alias("_b"),
+        found = materialize(sums.select(*keep[:-2], "_k", "_up", (F.col("_a") + width * F.col("_i")).alias("_a"), (F.col("_a") + width * (F.col("_i") + 1)).alias("_b"),
                                         F.element_at("_t", F.col("_i") + 1).alias("_ta"), F.element_at("_t", F.col("_i") + 2).alias("_tb")), "mix-shift")
         state = found.drop("_ta", "_tb")
-    gap = F.greatest(F.lit(0), F.floor(F.col("target") - F.col("_ta")))
+    below, above = F.abs(F.col("_ta") - F.col("target")), F.abs(F.col("_tb") - F.col("target"))
     if not last:
-        return found.select("_k", *keep[:4], F.col("_a").alias("_shift"), gap.alias("_limit"), "_a", F.lit(float(cap)).alias("_b"))
-    nearer = F.when(F.abs(F.col("_ta") - F.col("target")) <= F.abs(F.col("_tb") - F.col("target")), F.col("_a")).otherwise(F.col("_b"))
-    return found.select("_k", *keep[:6], nearer.alias("_a"))
+        limit = F.greatest(F.lit(0), F.floor(F.when(F.col("_up"), below).otherwise(above)))
+        sides = found.withColumn("_up", F.explode(F.array(F.lit(True), F.lit(False))))
+        return sides.select("_k", "_up", *keep[:4], F.when(F.col("_up"), F.col("_a")).otherwise(F.col("_b")).alias("_shift"), limit.alias("_limit"),
+                            F.when(F.col("_up"), F.col("_a")).otherwise(F.lit(-float(cap))).alias("_a"), F.when(F.col("_up"), F.lit(float(cap))).otherwise(F.col("_b")).alias("_b"))
+    best = F.struct(F.least(below, above).alias("err"), F.col("_up"), F.col("_limit"), F.col("_shift"), F.when(below <= above, F.col("_a")).otherwise(F.col("_b")).alias("_a"))
+    sides = found.groupBy("_k").agg(*[F.first(c).alias(c) for c in keep[:4]], F.min(best).alias("best"))
+    return sides.select("_k", *keep[:4], "best._shift", "best._limit", "best._a")
 
 
 def apply(rows: DataFrame, state: DataFrame, cap: float = 2.0) -> DataFrame:

@@ -1,8 +1,9 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, in numpy.
 
-A text is cut into overlapping windows of ``WINDOW`` words, ``STRIDE`` apart.  Each word enters as the
-sum of three embeddings: the word itself (lower-cased, without surrounding symbols; zero unless
-the training sample holds it often enough), and its hashed first and last three characters.  Two gated recurrent layers read the window in either
+A text is cut into overlapping windows of ``WINDOW`` words, ``STRIDE`` apart.  Each word enters as a sum of
+embeddings: of the word itself (lower-cased, without surrounding symbols) and of its character
+pieces (its beginnings of several lengths and its end).  A word or piece has an embedding if the
+training sample holds it often enough, and adds nothing otherwise.  Two gated recurrent layers read the window in either
 direction, attention pools their states, and a logistic unit scores the window.  The
 document's score is calibrated from its highest window.
 
@@ -23,10 +24,18 @@ from pyspark.sql import functions as F
 from quire.llm.common import byte_slices, labelled_sample, mix64, prepare, span_hashes, string_bytes, word_bounds
 
 WINDOW, STRIDE = 32, 16
-WORDS, GRAMS = 1 << 14, 1 << 11
+#: Bytes of the character pieces: beginnings, and (negative) ends.
+PIECES = (4, 6, 8, -3)
+INPUTS = 1 + len(PIECES)
+#: Most words, or pieces of one kind, that have an embedding.
+KNOWN = 1 << 14
 EMBED, HIDDEN, ATTEND = 12, 8, 8
 #: Documents' worth of prior in a word's smoothed log-odds; documents of the sample, and their share, that must hold a known word.
 PRIOR, LEAST, LEAST_SHARE = 20.0, 4, 0.005
+#: Share of a training window's words and pieces that are left out at random.
+DROP = 0.4
+#: Share of clean training windows that become one word repeated.
+REPEAT = 0.2
 #: Windows scored at a time.
 BATCH = 2048
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -35,11 +44,11 @@ _WORDY = np.zeros(256, bool)
 _WORDY[48:58] = _WORDY[65:91] = _WORDY[97:123] = _WORDY[128:] = True
 
 
-def word_inputs(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all words; rows (0, first-characters bucket, last-characters bucket); each text's n+1 word offsets."""
+def word_inputs(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (inputs x words) of all words and of their pieces, and each text's n+1 word offsets."""
     starts, stops, words = word_bounds(data, off)
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros((0, 3), np.int32), words
+        return np.zeros((INPUTS, 0), np.uint64), words
     place = np.arange(len(data))
     wordy = _WORDY[data]
     following = np.minimum.accumulate(np.where(wordy, place, len(data))[::-1])[::-1]
@@ -47,11 +56,11 @@ def word_inputs(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     a, b = following[starts], preceding[stops - 1] + 1
     bare = a >= b  # no letter or digit: the symbols are the word
     a, b = np.where(bare, starts, a), np.where(bare, stops, b)
-    low = _LOWER[data]
-    out = np.zeros((len(a), 3), np.int32)
-    out[:, 1] = mix64(span_hashes(low, a, np.minimum(a + 3, b)) + np.uint64(1)) % np.uint64(GRAMS)
-    out[:, 2] = mix64(span_hashes(low, np.maximum(b - 3, a), b) + np.uint64(2)) % np.uint64(GRAMS)
-    return span_hashes(low, a, b), out, words
+    spans = [(a, b)] + [(a, np.minimum(a + n, b)) if n > 0 else (np.maximum(b + n, a), b) for n in PIECES]
+    low = span_hashes(_LOWER[data], np.concatenate([x for x, _ in spans]), np.concatenate([y for _, y in spans])).reshape(INPUTS, -1)
+    for k, n in enumerate(PIECES, 1):  # a word no longer than the piece is told from the beginning of a longer one
+        low[k] = mix64(low[k] + np.uint64(k) + np.uint64(1000) * (b - a <= abs(n)))
+    return low, words
 
 
 def look_up(vocabulary: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -76,8 +85,7 @@ def _sigmoid(x):
 
 
 def new_parameters(rng: np.random.Generator) -> dict[str, np.ndarray]:
-    # embeddings begin at zero, so that what the sample never held stays neutral
-    p = {"words": np.zeros((WORDS, EMBED)), "first": np.zeros((GRAMS, EMBED)), "last": np.zeros((GRAMS, EMBED))}
+    p = {f"e{k}": np.zeros((KNOWN, EMBED)) for k in range(INPUTS)}
     for d in "fb":
         p["wx" + d] = rng.normal(0, EMBED ** -0.5, (EMBED, 3 * HIDDEN))
         p["u" + d] = rng.normal(0, 0.5 * HIDDEN ** -0.5, (HIDDEN, 3 * HIDDEN))
@@ -118,7 +126,7 @@ def forward(p: dict, gates, steps: int, valid: np.ndarray, keep: list | None = N
 
 def backward(p: dict, x: np.ndarray, keep: list, dlogit: np.ndarray) -> tuple[dict, np.ndarray]:
     """Gradients of all parameters but the embeddings, and of the inputs ``x`` (windows x steps x EMBED)."""
-    g = {k: np.zeros_like(v) for k, v in p.items() if k not in ("words", "first", "last")}
+    g = {k: np.zeros_like(v) for k, v in p.items() if k[0] != "e"}
     states, s, alpha, pooled = keep[-1]
     g["wo"], g["bo"] = pooled.T @ dlogit, np.array([dlogit.sum()])
     dpool = dlogit[:, None] * p["wo"]
@@ -147,14 +155,14 @@ def backward(p: dict, x: np.ndarray, keep: list, dlogit: np.ndarray) -> tuple[di
 
 
 def embed(p: dict, ids: np.ndarray) -> np.ndarray:
-    return p["words"][ids[..., 0]] + p["first"][ids[..., 1]] + p["last"][ids[..., 2]]
+    return sum(p[f"e{k}"][ids[k]] for k in range(INPUTS))
 
 
 @dataclass
 class ToxicityModel:
-    """Known words' hashes, input tables already multiplied by both directions' gate weights, the other parameters, the calibration."""
+    """Hashes of the known words and pieces, input tables already multiplied by both directions' gate weights, the other parameters, the calibration."""
 
-    vocabulary: np.ndarray
+    known: list[np.ndarray]
     tables: list[np.ndarray]
     rest: dict[str, np.ndarray]
     scale: float
@@ -166,9 +174,9 @@ def window_logits(tables: list[np.ndarray], rest: dict, ids: np.ndarray, start:
     for i in range(0, len(start), BATCH):
         a, b = start[i:i + BATCH], stop[i:i + BATCH]
         first, last = int(a[0]), int(b.max())
-        part = ids[first:last]
-        gate = tables[0][part[:, 0]] + tables[1][part[:, 1]]
-        gate += tables[2][part[:, 2]]
+        gate = tables[0][ids[0, first:last]]
+        for k in range(1, INPUTS):
+            gate += tables[k][ids[k, first:last]]
         steps = int((b - a).max())
         place = a[:, None] - first + np.arange(steps)
         valid = place < (b - first)[:, None]
@@ -185,7 +193,7 @@ def window_logits(tables: list[np.ndarray], rest: dict, ids: np.ndarray, start:
 def _pack(p: dict) -> tuple[list[np.ndarray], dict]:
     wx = np.concatenate([p["wxf"], p["wxb"]], 1)
     bias = np.concatenate([p["bf"], p["bb"]])
-    tables = [(p["words"] @ wx + bias).astype(np.float32), (p["first"] @ wx).astype(np.float32), (p["last"] @ wx).astype(np.float32)]
+    tables = [(p[f"e{k}"] @ wx + bias * (k == 0)).astype(np.float32) for k in range(INPUTS)]
     return tables, {k: v.astype(np.float32) for k, v in p.items() if k in ("uf", "ub", "wa", "ba", "va", "wo", "bo")}
 
 
@@ -203,9 +211,11 @@ def _telling(score: np.ndarray, text: np.ndarray, per_text: int) -> np.ndarray:
     return order[nth < per_text]
 
 
-def train(sample: list[tuple[int, str]], *, epochs: int = 6, steps: int = 800, batch: int = 256, rate: float = 0.01, decay: float = 0.02, seed: int = 2) -> ToxicityModel:
+def train(sample: list[tuple[int, str]], *, epochs: int = 6, steps: int = 300, batch: int = 256, rate: float = 0.01, decay: float = 0.02, seed: int = 2,
+          prior: float | None = None) -> ToxicityModel:
     """Adam on balanced cross-entropy over chosen windows, then a logistic calibration of the documents' highest windows.
 
+    ``prior`` is the share of label 1 among all labelled rows, if the sample has another one.
     A small sample is gone through more than ``epochs`` times, until ``steps`` updates are made.
 
     Without rows of both classes every score is that of the one class, or 0.5."""
@@ -214,9 +224,9 @@ def train(sample: list[tuple[int, str]], *, epochs: int = 6, steps: int = 800, b
     y = np.array([y for y, _ in sample], float)
     if not len(y) or y.min() == y.max():
         tables, rest = _pack(p)
-        return ToxicityModel(np.zeros(0, np.uint64), tables, rest, 0.0, 0.0 if not len(y) else (8.0 if y[0] else -8.0))
+        return ToxicityModel([np.zeros(0, np.uint64)] * INPUTS, tables, rest, 0.0, 0.0 if not len(y) else (8.0 if y[0] else -8.0))
     enc = [t.encode() for _, t in sample]
-    hashes, ids, words = word_inputs(np.frombuffer(b"".join(enc), np.uint8), np.cumsum([0] + [len(e) for e in enc]))
+    hashes, words = word_inputs(np.frombuffer(b"".join(enc), np.uint8), np.cumsum([0] + [len(e) for e in enc]))
     start, stop, text = windows(words)
     owner = np.repeat(np.arange(len(y)), np.diff(words))
     # a fifth of the sample is left for the calibration
@@ -224,18 +234,24 @@ def train(sample: list[tuple[int, str]], *, epochs: int = 6, steps: int = 800, b
     if len(np.unique(y[~held])) < 2 or len(np.unique(y[held])) < 2:
         held[:] = False
     fitted_y = y[~held]
-    distinct, code = np.unique(hashes, return_inverse=True)
-    seen = np.unique((owner * len(distinct) + code)[~held[owner]])
-    toxic = np.bincount(seen % len(distinct), weights=y[seen // len(distinct)], minlength=len(distinct))
-    total = np.bincount(seen % len(distinct), minlength=len(distinct))
-    known = np.sort(np.lexsort((distinct, -total))[:min(WORDS - 1, int((total >= max(LEAST, LEAST_SHARE * len(fitted_y))).sum()))])
-    vocabulary, toxic, total = distinct[known], toxic[known], total[known]
-    ids[:, 0] = look_up(vocabulary, hashes)
     share = fitted_y.mean()
-    odds = np.log((toxic + PRIOR * share) / (total - toxic + PRIOR * (1 - share))) - np.log(share / (1 - share))
-    odds = np.concatenate([[0.0], odds])
-    p["words"][:len(odds), 0] = np.clip(odds, -4, 4) / 4
-    strong = np.concatenate([[0], np.cumsum(np.maximum(odds[ids[:, 0]], 0) ** 2)])
+    known, ids = [], np.zeros(hashes.shape, np.int32)
+    strong = np.zeros(hashes.shape[1])
+    for k in range(INPUTS):
+        distinct, code = np.unique(hashes[k], return_inverse=True)
+        seen = np.unique((owner * len(distinct) + code)[~held[owner]])
+        toxic = np.bincount(seen % len(distinct), weights=y[seen // len(distinct)], minlength=len(distinct))
+        total = np.bincount(seen % len(distinct), minlength=len(distinct))
+        odds = np.log((toxic + PRIOR * share) / (total - toxic + PRIOR * (1 - share))) - np.log(share / (1 - share))
+        enough = int((total >= max(LEAST, LEAST_SHARE * len(fitted_y))).sum())
+        keep_at = np.sort(np.lexsort((distinct, -total * np.abs(odds)))[:min(KNOWN - 1, enough)])
+        keep_at = keep_at[total[keep_at] >= LEAST]
+        known.append(distinct[keep_at])
+        ids[k] = look_up(known[k], hashes[k])
+        odds = np.concatenate([[0.0], odds[keep_at]])
+        p[f"e{k}"][:len(odds), k] = np.clip(odds, -4, 4) / 4
+        strong = np.maximum(strong, odds[ids[k]])
+    strong = np.concatenate([[0], np.cumsum(strong ** 2)])
     score = strong[stop] - strong[start]
     m = {k: np.zeros_like(v) for k, v in p.items()}
     v = {k: np.zeros_like(v) for k, v in p.items()}
@@ -257,43 +273,50 @@ def train(sample: list[tuple[int, str]], *, epochs: int = 6, steps: int = 800, b
             at = order[s:s + batch]
             w = chosen[at]
             place = start[w][:, None] + np.arange(WINDOW)
+            # junk texts repeat a word: some clean windows are replaced by one of their words over and over
+            again = (target[at] == 0) & (rng.random(len(at)) < REPEAT)
+            place[again] = rng.integers(start[w], stop[w])[again, None]
             valid = place < stop[w][:, None]
-            part = ids[np.minimum(place, len(ids) - 1)]
-            x = embed(p, part) * valid[:, :, None]
+            part = ids[:, np.minimum(place, ids.shape[1] - 1)]
+            use = valid & (rng.random(part.shape) >= DROP)
+            x = embed(p, np.where(use, part, 0))
             keep: list = []
             logit = forward(p, lambda t, d: x[:, t] @ p["wx" + d] + p["b" + d], WINDOW, valid, keep)
             dlogit = (_sigmoid(logit) - target[at]) * weight[at] / len(at)
             g, dx = backward(p, x, keep, dlogit)
-            dx = (dx * valid[:, :, None]).reshape(-1, EMBED)
-            for k, name in enumerate(("words", "first", "last")):
-                g[name] = np.zeros_like(p[name])
-                np.add.at(g[name], part[..., k].reshape(-1), dx)
+            dx = dx.reshape(-1, EMBED)
+            for k in range(INPUTS):
+                g[f"e{k}"] = np.zeros((KNOWN, EMBED))
+                np.add.at(g[f"e{k}"], np.where(use[k], part[k], 0).reshape(-1), dx)
+                g[f"e{k}"][0] = 0
             step += 1
             for k in p:
                 m[k] += 0.1 * (g[k] - m[k])
                 v[k] += 0.001 * (g[k] * g[k] - v[k])
-                p[k] -= rate * (m[k] / (1 - 0.9 ** step)) / (np.sqrt(v[k] / (1 - 0.999 ** step)) + 1e-8) + rate * decay * (5 if k in ("first", "last") else 1) * p[k]
-            p["words"][0] = 0
+                p[k] -= rate * (m[k] / (1 - 0.9 ** step)) / (np.sqrt(v[k] / (1 - 0.999 ** step)) + 1e-8) + rate * decay * p[k]
     tables, rest = _pack(p)
     top = _highest(window_logits(tables, rest, ids, start, stop), text, len(y), float(p["bo"][0]))
-    scale, shift = _calibrate(top[held], y[held]) if held.any() else _calibrate(top, y)
-    return ToxicityModel(vocabulary, tables, rest, scale, shift)
+    scale, shift = _calibrate(top[held], y[held], prior) if held.any() else _calibrate(top, y, prior)
+    return ToxicityModel(known, tables, rest, scale, shift)
 
 
-def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Ridge logistic regression of y on x by Newton steps."""
-    a = np.stack([x, np.ones_like(x)], 1)
+def _calibrate(x: np.ndarray, y: np.ndarray, prior: float | None) -> tuple[float, float]:
+    """Ridge logistic regression of y on x by Newton steps, with the classes weighted to the ``prior`` of label 1."""
+    middle, spread = x.mean(), x.std() + 1e-6
+    a = np.stack([(x - middle) / spread, np.ones_like(x)], 1)
+    c = np.ones_like(x) if prior is None else np.where(y == 1, prior / y.mean(), (1 - prior) / (1 - y.mean()))
     w = np.zeros(2)
     for _ in range(50):
         q = _sigmoid(np.clip(a @ w, -30, 30))
-        w -= np.linalg.solve((a * (q * (1 - q))[:, None]).T @ a + 0.05 * np.eye(2), a.T @ (q - y) + 0.05 * w)
-    return float(max(w[0], 0.0)), float(w[1])
+        w -= np.linalg.solve((a * (c * q * (1 - q))[:, None]).T @ a + 0.05 * np.eye(2), a.T @ (c * (q - y)) + 0.05 * w)
+    w[0] = max(w[0], 0.0) / spread
+    return float(w[0]), float(w[1] - w[0] * middle)
 
 
 def score_rows(model: ToxicityModel, data: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Score of each of the concatenated rows, from all its windows."""
-    hashes, ids, words = word_inputs(data, off)
-    ids[:, 0] = look_up(model.vocabulary, hashes)
+    hashes, words = word_inputs(data, off)
+    ids = np.stack([look_up(known, h) for known, h in zip(model.known, hashes)])
     start, stop, text = windows(words)
     logits = window_logits(model.tables, model.rest, ids, start, stop) if len(start) else np.zeros(0)
     top = _highest(logits, text, len(off) - 1, float(model.rest["bo"][0]))
@@ -303,8 +326,11 @@ def score_rows(model: ToxicityModel, data: np.ndarray, off: np.ndarray) -> np.nd
 def fit(docs: DataFrame, labels: DataFrame, *, keep: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
         per_class: int = 2500, max_chars: int = 16_000_000, seed: int = 2) -> ToxicityModel:
     """Learn from labelled rows whose ids satisfy ``keep`` (over ``_id``); see ``labelled_sample`` for the bounds."""
-    return train(labelled_sample(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, keep=keep,
-                                 per_class=per_class, max_chars=max_chars, seed=seed), seed=seed)
+    sample = labelled_sample(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, keep=keep,
+                             per_class=per_class, max_chars=max_chars, seed=seed)
+    counts = {r["y"]: r["n"] for r in labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("y")).filter(keep).groupBy("y").agg(F.count("*").alias("n")).collect()}
+    both = counts.get(0, 0) and counts.get(1, 0)
+    return train(sample, seed=seed, prior=counts[1] / (counts[0] + counts[1]) if both else None)
 
 
 def score(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
