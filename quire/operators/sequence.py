@@ -14,8 +14,14 @@ gets the same answer.  They come from exact, order-independent statistics:
   (P = shuffle partitions), so at most 4 * P keys are hot;
 * a hot key's order range is cut into ``ceil(n / H)`` equal-width buckets,
   and each bucket still holding more than H rows is cut again the same way.
+  Strings are cut by their bytes after the prefix that the range's least and
+  greatest value share (all values between them share it too).
   Cold keys stay whole (bucket 0): at most H rows in one task.
 
+A null key is a key like any other, and may be hot (joins on keys are null-safe).
+Null order values come first, as in an ascending sort: bucket -1 of a hot key.  So
+the answer never depends on whether a key is split.
+
 Planning runs as a small eager job whose results are bounded by construction
 (at most 4 * P hot keys; at most about 8 * P hot buckets), so they are
 collected and broadcast as literal tables.  When no key is hot - the common
@@ -26,6 +32,7 @@ or more than H rows sharing one order value, can still land in one task.
 """
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -34,9 +41,9 @@ from pyspark.sql import types as T
 
 from quire.functions.time import epoch_micros
 
-FINE = 1 << 20          # bucket id = coarse * FINE + fine
-MAX_BUCKETS = 1 << 16   # cap per level
+FINE = 1 << 24          # bucket id = coarse * FINE + fine; both are at most 4 * P
 MIN_HOT_ROWS = 100_000  # keys smaller than this are never split
+PREFIX_BYTES = 6        # bytes of a string that one cut looks at
 
 
 def _cols(xs) -> list[Column]:
@@ -47,22 +54,59 @@ def _parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def order_number(df: DataFrame, col) -> Column | None:
-    """Numeric, order-preserving view of an order column (None if not possible:
-    then keys are not split).  Callers pass the first order column by name and
-    ascending; express a descending order as a negated numeric column."""
+def join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Join on keys where null equals null; the right side's key columns are dropped."""
+    renamed = right.select(*[F.col(k).alias(f"_rk{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
+    cond = [F.col(k).eqNullSafe(F.col(f"_rk{i}")) for i, k in enumerate(keys)]
+    return left.join(F.broadcast(renamed), cond, how).drop(*[f"_rk{i}" for i in range(len(keys))])
+
+
+def order_value(df: DataFrame, col) -> tuple[Column, bool]:
+    """Order-preserving view of an ascending order column, and whether it is text.
+
+    The column is given by name; express a descending order as a negated number.  A type that
+    cannot be cut raises, so that splitting is never switched off unseen."""
     if not isinstance(col, str):
-        return None
+        raise TypeError("the first order column is passed by name, ascending")
     dt = df.schema[col].dataType
     c = F.col(col)
     if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
-        return epoch_micros(c, dt).cast("double")
+        return epoch_micros(c, dt).cast("double"), False
     if isinstance(dt, T.DateType):
-        return F.unix_date(c).cast("double")
-    if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
-                       T.DecimalType)):
-        return c.cast("double")
-    return None
+        return F.unix_date(c).cast("double"), False
+    if isinstance(dt, (T.FloatType, T.DoubleType)):  # NaN sorts last; infinities would leave no width to cut
+        top = F.lit(sys.float_info.max)
+        return F.when(F.isnan(c), top).otherwise(F.greatest(F.least(c.cast("double"), top), -top)), False
+    if isinstance(dt, (T.NumericType, T.BooleanType)):
+        return c.cast("double"), False
+    if isinstance(dt, (T.StringType, T.BinaryType)):
+        return c.cast("binary"), True
+    raise TypeError(f"rows cannot be cut by an order column of type {dt.simpleString()}")
+
+
+def _text_number(value: Column, skip: Column) -> Column:
+    """The PREFIX_BYTES bytes after the first ``skip`` ones as a number that keeps their order."""
+    part = value.substr(skip + 1, F.lit(PREFIX_BYTES))
+    return F.conv(F.rpad(F.hex(part), 2 * PREFIX_BYTES, "0"), 16, 10).cast("double")
+
+
+def _shared_prefix(a: bytes | None, b: bytes | None) -> int:
+    n = 0
+    for x, y in zip(a or b"", b or b""):
+        if x != y:
+            break
+        n += 1
+    return n
+
+
+def _text_range(lo: bytes, hi: bytes) -> tuple[int, float, float]:
+    """(shared prefix, numbers of the least and the greatest value after it)."""
+    skip = _shared_prefix(lo, hi)
+
+    def number(v):
+        return float(int.from_bytes(bytes(v)[skip:skip + PREFIX_BYTES].ljust(PREFIX_BYTES, b"\0"), "big"))
+
+    return skip, number(lo), number(hi)
 
 
 @dataclass
@@ -72,59 +116,61 @@ class Buckets:
     keys: list[str]
 
 
-def _literal(spark, rows, schema: T.StructType) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
+def _ranges(rows, n_keys: int, text: bool):
+    """Collected (keys..., least, greatest, H, buckets) -> (keys..., skip, low, high, H, buckets)."""
+    for r in rows:
+        keys, (lo, hi, h, nb) = tuple(r[:n_keys]), tuple(r[n_keys:])
+        if lo is None:  # every order value is null
+            lo, hi = (b"", b"") if text else (0.0, 0.0)
+        skip, low, high = _text_range(bytes(lo), bytes(hi)) if text else (0, float(lo), float(hi))
+        yield (*keys, skip, low, high, float(h), float(nb))
 
 
 def bucketed(df: DataFrame, keys: list[str], order: list, min_hot_rows: int = MIN_HOT_ROWS) -> Buckets:
     """Give every row ``_b`` (bigint), an order-preserving bucket inside its key,
     and ``_hot`` (whether its key was cut)."""
-    plain = Buckets(df.withColumn("_b", F.lit(0).cast("bigint")).withColumn("_hot", F.lit(False)), False, keys)
-    x = order_number(df, order[0]) if order else None
-    if x is None:
-        return plain
     spark = df.sparkSession
-    d = df.withColumn("_x", x)
+    value, text = order_value(df, order[0])
+    d = df.withColumn("_x", value)
     stats = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_mn"), F.max("_x").alias("_mx"))
     total = stats.agg(F.sum("_n")).scalar()  # scalar subquery, evaluated with the job below
     limit = F.greatest(total / F.lit(4 * _parts(df)), F.lit(float(min_hot_rows)))
-    # Each hot key holds more than total / (4 * P) rows: at most 4 * P rows come back.
+    # Each hot key holds more than total / (4 * P) rows: at most 4 * P rows come back, with at most 4 * P buckets each.
     hot_rows = (stats.filter(F.col("_n") > limit)
-                .select(*keys, "_mn", "_mx", limit.alias("_h"),
-                        F.least(F.ceil(F.col("_n") / limit), F.lit(MAX_BUCKETS)).cast("double").alias("_nb"))
+                .select(*keys, "_mn", "_mx", limit.alias("_h"), F.ceil(F.col("_n") / limit).cast("double").alias("_nb"))
                 .collect())
     if not hot_rows:
-        return plain
+        return Buckets(df.withColumn("_b", F.lit(0).cast("bigint")).withColumn("_hot", F.lit(False)), False, keys)
     key_fields = [df.schema[k] for k in keys]
-    hot = _literal(spark, [tuple(r) for r in hot_rows], T.StructType(
-        key_fields + [T.StructField(c, T.DoubleType()) for c in ("_mn", "_mx", "_h", "_nb")]))
 
-    def cut(lo, hi, nb):
+    def cut(skip, lo, hi, nb):
+        x = _text_number(F.col("_x"), F.col(skip)) if text else F.col("_x")
         width = (F.col(hi) - F.col(lo) + 1) / F.col(nb)
-        return F.least(F.floor((F.col("_x") - F.col(lo)) / width), F.col(nb) - 1).cast("bigint")
+        return F.when(F.col("_x").isNull(), F.lit(-1)).otherwise(F.least(F.floor((x - F.col(lo)) / width), F.col(nb) - 1)).cast("bigint")
+
+    def table(rows, extra, names):
+        return spark.createDataFrame(list(rows), T.StructType(
+            key_fields + extra + [T.StructField(names[0], T.IntegerType())] + [T.StructField(c, T.DoubleType()) for c in names[1:]]))
 
-    d1 = d.join(F.broadcast(hot), keys, "left").withColumn(
-        "_b1", F.when(F.col("_nb").isNull(), F.lit(0).cast("bigint")).otherwise(cut("_mn", "_mx", "_nb")))
+    hot = table(_ranges(hot_rows, len(keys), text), [], ["_sk", "_mn", "_mx", "_h", "_nb"])
+    d1 = join_keys(d, hot, keys).withColumn(
+        "_b1", F.when(F.col("_nb").isNull(), F.lit(0).cast("bigint")).otherwise(cut("_sk", "_mn", "_mx", "_nb")))
     # Heavy buckets hold more than H rows each: at most total / H = 4 * P of them.
-    heavy_rows = (d1.filter(F.col("_nb").isNotNull())
+    heavy_rows = (d1.filter(F.col("_nb").isNotNull() & (F.col("_b1") >= 0))
                   .groupBy(*keys, "_b1").agg(F.count(F.lit(1)).alias("_n2"), F.min("_x").alias("_mn2"),
                                               F.max("_x").alias("_mx2"), F.max("_h").alias("_h2"))
                   .filter(F.col("_n2") > F.col("_h2"))
-                  .select(*keys, "_b1", "_mn2", "_mx2",
-                          F.least(F.ceil(F.col("_n2") / F.col("_h2")), F.lit(MAX_BUCKETS)).cast("double")
-                          .alias("_nb2"))
+                  .select(*keys, "_b1", "_mn2", "_mx2", "_h2", F.ceil(F.col("_n2") / F.col("_h2")).cast("double").alias("_nb2"))
                   .collect())
     if heavy_rows:
-        heavy = _literal(spark, [tuple(r) for r in heavy_rows], T.StructType(
-            key_fields + [T.StructField("_b1", T.LongType())]
-            + [T.StructField(c, T.DoubleType()) for c in ("_mn2", "_mx2", "_nb2")]))
-        d2 = d1.join(F.broadcast(heavy), [*keys, "_b1"], "left")
-        b2 = F.when(F.col("_nb2").isNull(), F.lit(0).cast("bigint")).otherwise(cut("_mn2", "_mx2", "_nb2"))
+        heavy = table(_ranges(heavy_rows, len(keys) + 1, text), [T.StructField("_b1", T.LongType())], ["_sk2", "_mn2", "_mx2", "_h2", "_nb2"])
+        d2 = join_keys(d1, heavy, [*keys, "_b1"])
+        b2 = F.when(F.col("_nb2").isNull(), F.lit(0).cast("bigint")).otherwise(cut("_sk2", "_mn2", "_mx2", "_nb2"))
     else:
-        d2 = d1.withColumn("_nb2", F.lit(None).cast("double"))
+        d2 = d1
         b2 = F.lit(0).cast("bigint")
     out = (d2.withColumn("_b", F.col("_b1") * FINE + b2).withColumn("_hot", F.col("_nb").isNotNull())
-           .drop("_x", "_mn", "_mx", "_h", "_nb", "_b1", "_mn2", "_mx2", "_nb2"))
+           .drop("_x", "_sk", "_mn", "_mx", "_h", "_nb", "_b1", "_sk2", "_mn2", "_mx2", "_h2", "_nb2"))
     return Buckets(out, True, keys)
 
 
@@ -151,7 +197,7 @@ def rank_within_key(df: DataFrame, keys: list[str], order: list, out: str = "rn"
     if not b.split:
         return local.withColumn(out, F.col(out).cast("bigint")).drop("_b", "_hot")
     off = _hot_offsets(b, F.count(F.lit(1)))
-    joined = local.join(F.broadcast(off), [*keys, "_b"], "left")
+    joined = join_keys(local, off, [*keys, "_b"])
     return joined.withColumn(out, (F.col(out) + F.coalesce(F.col("_off"), F.lit(0))).cast("bigint")).drop(
         "_off", "_b", "_hot")
 
@@ -182,7 +228,7 @@ def previous_in_key(df: DataFrame, keys: list[str], order: list, cols: list[str]
         ["_last"])
     carry = lasts.withColumn("_carry", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_b"))).select(
         *keys, "_b", "_carry")
-    joined = local.join(F.broadcast(carry), [*keys, "_b"], "left")
+    joined = join_keys(local, carry, [*keys, "_b"])
     for c in cols:
         joined = joined.withColumn(prefix + c, F.when(F.col("_first") & F.col("_carry").isNotNull(),
                                                       F.col(f"_carry.{c}")).otherwise(F.col(prefix + c)))
@@ -199,6 +245,6 @@ def running_count_within_key(df: DataFrame, keys: list[str], order: list, cond:
     if not b.split:
         return local.withColumn(out, F.col(out).cast("bigint")).drop("_b", "_hot")
     off = _hot_offsets(b, F.sum(hit))
-    joined = local.join(F.broadcast(off), [*keys, "_b"], "left")
+    joined = join_keys(local, off, [*keys, "_b"])
     return joined.withColumn(out, (F.col(out) + F.coalesce(F.col("_off"), F.lit(0))).cast("bigint")).drop(
         "_off", "_b", "_hot")

@@ -1,7 +1,8 @@
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quire.operators.sequence import bucketed, previous_in_key, rank_within_key, running_count_within_key
+from quire.operators.sequence import bucketed, global_rank, previous_in_key, rank_within_key, running_count_within_key
 
 
 def _data(spark):
@@ -31,3 +32,41 @@ def test_rank_lag_count_match_windows(spark):
     assert j.count() == 40000
     assert j.filter((F.col("rn") != F.col("rn2")) | ~F.col("prev_t").eqNullSafe(F.col("pt"))
                     | (F.col("rc") != F.col("rc2"))).count() == 0
+
+
+def _odd(spark):
+    # null keys (a third of the rows), null order values, text orders with a long shared prefix, floats with NaN
+    return spark.range(0, 6000).select(
+        F.when(F.col("id") % 3 != 0, F.col("id") % 5).alias("k"),
+        F.when(F.col("id") % 11 != 0, F.col("id") * 7919 % 6007).alias("t"),
+        F.when(F.col("id") % 13 != 0, F.concat(F.lit("a-long-shared-prefix-"), F.lpad((F.col("id") * 31 % 6007).cast("string"), 5, "0"))).alias("s"),
+        F.when(F.col("id") % 7 == 0, F.lit(float("nan"))).when(F.col("id") % 17 == 0, F.lit(float("inf"))).otherwise(F.col("id") * 37 % 999 / 7.0).alias("f"),
+        F.col("id"))
+
+
+@pytest.mark.parametrize("order", ["t", "s", "f"])
+def test_same_answer_whatever_is_hot(spark, order):
+    df = _odd(spark)
+    w = Window.partitionBy("k").orderBy(order, "id")
+    ref = df.withColumn("rn2", F.row_number().over(w)).withColumn("p2", F.lag("id").over(w)) \
+        .withColumn("c2", F.sum((F.col("id") % 2).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0))) \
+        .withColumn("g2", F.row_number().over(Window.orderBy(order, "id")))
+    want = ref.select("id", "rn2", "p2", "c2", "g2").orderBy("id").collect()
+    for hot in (1, 100, 100_000):
+        r = rank_within_key(df, ["k"], [order, "id"], "rn", min_hot_rows=hot)
+        p = previous_in_key(df, ["k"], [order, "id"], ["id"], min_hot_rows=hot)
+        c = running_count_within_key(df, ["k"], [order, "id"], F.col("id") % 2 == 1, "c", min_hot_rows=hot)
+        g = global_rank(df, [order, "id"], "g", min_hot_rows=hot)
+        got = r.join(p.select("id", "prev_id"), "id").join(c.select("id", "c"), "id").join(g.select("id", "g"), "id") \
+            .select("id", "rn", "prev_id", "c", "g").orderBy("id").collect()
+        assert [tuple(x) for x in got] == [tuple(x) for x in want], (order, hot)
+    b = bucketed(df, ["k"], [order, "id"], 100)
+    per = b.df.groupBy("k", "_b").count()
+    assert b.split and per.filter("k is null").count() > 3 and per.filter("k is null").agg(F.max("count")).first()[0] < 1200
+
+
+def test_unsplittable_order_raises(spark):
+    with pytest.raises(TypeError):
+        bucketed(_odd(spark), ["k"], [F.col("t").desc()])
+    with pytest.raises(TypeError):
+        bucketed(_odd(spark).withColumn("a", F.array("t")), ["k"], ["a"])
