@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.operators.sequence import order_number
+from quire.operators.sequence import order_value
 from quire.session import scratch_path
 
 
@@ -33,7 +33,9 @@ def drop_files(df: DataFrame, order_col: str, n: int, name: str) -> str:
     files per drop makes each micro-batch exactly one drop."""
     spark = df.sparkSession
     folder = scratch_path(spark, name)
-    x = order_number(df, order_col)
+    x, text = order_value(df, order_col)
+    if text:
+        raise TypeError("drops are cut by a number or a time")
     lo, hi = df.agg(F.min(x), F.max(x)).first()  # one row
     if lo is None:
         lo = hi = 0.0
@@ -66,10 +68,10 @@ def run_available_now(stream: DataFrame, name: str, output_mode: str = "append")
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
-    try:
-        return spark.read.parquet(out).withColumnRenamed("batch", "batch_id")
-    except Exception:  # noqa: BLE001 - no batch produced output
-        return spark.createDataFrame([], stream.schema.add("batch_id", "int"))
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], stream.schema.add("batch_id", "int"))  # no batch came
+    return spark.read.parquet(out).withColumnRenamed("batch", "batch_id")
 
 
 def latest_per_key(updates: DataFrame, keys: list[str]) -> DataFrame:
