@@ -46,7 +46,8 @@ OPTIONS_STRUCT = T.StructType([
     T.StructField("device", T.StringType()),
 ])
 
-INT_TEXT = r"^[+-]?[0-9]+(_[0-9]+)*$"
+INT_TEXT = r"^[+-]?[0-9]+(_[0-9]+)*\z"
+STRIP = r"^[\s\x1c-\x1f\x85]+|[\s\x1c-\x1f\x85]+\z"  # white space around a number
 INTEGRAL_TYPES = ["TINYINT", "SMALLINT", "INT", "BIGINT"]
 
 
@@ -89,7 +90,7 @@ def _convert(key: str, e: Column, t: Column, s: Column):
                .when(t == "OBJECT", F.to_json(e) != "{}"))
         return val, F.lit(None).cast("string")
     if key in INT_KEYS:
-        txt = F.trim(s)
+        txt = F.regexp_replace(s, STRIP, "")
         from_text = F.when(txt.rlike(INT_TEXT), F.regexp_replace(txt, "_", "").try_cast("int"))
         val = (F.when(t == "BOOLEAN", F.try_variant_get(e, "$", "boolean").cast("int"))
                .when(t.isin(*INTEGRAL_TYPES), F.try_variant_get(e, "$", "int"))
@@ -153,11 +154,11 @@ def _sql_convert(k: str) -> tuple[str, str]:
                 f"WHEN {t} = 'ARRAY' THEN size(from_json(to_json({e}), 'array<string>')) > 0 "
                 f"WHEN {t} = 'OBJECT' THEN to_json({e}) <> '{{}}' END"), "CAST(NULL AS STRING)"
     if k in INT_KEYS:
-        txt = f"trim({s})"
+        txt = f"regexp_replace({s}, r'{STRIP}', '')"
         val = (f"CASE WHEN {t} = 'BOOLEAN' THEN CAST(try_variant_get({e}, '$', 'boolean') AS INT) "
                f"WHEN {t} IN {ints} THEN try_variant_get({e}, '$', 'int') "
                f"WHEN {t} IN {num} THEN try_cast(CAST(try_variant_get({e}, '$', 'double') AS BIGINT) AS INT) "
-               f"WHEN {t} = 'STRING' AND {txt} RLIKE '{INT_TEXT}' THEN try_cast(replace({txt}, '_', '') AS INT) END")
+               f"WHEN {t} = 'STRING' AND {txt} RLIKE r'{INT_TEXT}' THEN try_cast(replace({txt}, '_', '') AS INT) END")
         kind = f"CASE WHEN {t} = 'ARRAY' THEN 'list' ELSE 'dict' END"
         err = (f"CASE WHEN {t} = 'STRING' AND _ov_{k} IS NULL "
                f"THEN concat('invalid literal for int() with base 10: ', {q}, {s}, {q}) "

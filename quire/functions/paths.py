@@ -75,5 +75,6 @@ def path_sort_key(path) -> Column:
 def stable_id(*cols, length: int = 32) -> Column:
     """Deterministic document/job id: a prefix of SHA-256 over the given
     columns.  Unlike a random UUID it survives task retries, and 128 bits do
-    not collide at billions of documents (HSH-1)."""
-    return F.substring(F.sha2(F.concat_ws("\u0000", *[_c(c).cast("string") for c in cols]), 256), 1, length)
+    not collide at billions of documents (HSH-1).  A null is told from every text and keeps its place."""
+    parts = [F.coalesce(_c(c).cast("string"), F.lit("\u0001")) for c in cols]
+    return F.substring(F.sha2(F.concat_ws("\u0000", *parts), 256), 1, length)

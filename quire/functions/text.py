@@ -98,11 +98,9 @@ def math_spans(text) -> Column:
         segments, lambda s, i: F.when(i == 0, s).otherwise(
             F.concat(F.lit(prefix), (i - 1).cast("string"), F.lit(suffix), s))), "")
     inline = F.regexp_extract_all(rebuilt, F.lit(INLINE_MATH), 1)
-    n_disp = F.size(display)
-    d = F.transform(display, lambda b, i: F.struct(i.alias("span_idx"), F.lit(True).alias("display"),
-                                                  b.alias("body")))
-    il = F.transform(inline, lambda b, i: F.struct((i + n_disp).alias("span_idx"), F.lit(False).alias("display"),
-                                                  b.alias("body")))
-    spans = F.concat(d, il)
+    both = F.concat(F.transform(display, lambda b: F.struct(F.lit(True).alias("display"), b.alias("body"))),
+                    F.transform(inline, lambda b: F.struct(F.lit(False).alias("display"), b.alias("body"))))
+    # the number of a span is its place in the joined list
+    spans = F.transform(both, lambda s, i: F.struct(i.alias("span_idx"), s["display"].alias("display"), s["body"].alias("body")))
     # Texts without a '$' have no spans: skip the three regex passes.
     return F.when(F.instr(t, "$") > 0, spans).otherwise(F.array().cast(SPANS_TYPE))

@@ -45,7 +45,7 @@ def scan_documents(spark: SparkSession, paths: list[str], with_content: bool = F
     if ordered:
         out = out.orderBy(path_sort_key("path"))
     if require and out.limit(1).count() == 0:
-        raise NoDocumentsError("No supported document inputs found in the given paths.")
+        raise NoDocumentsError("the given paths hold no file of a supported kind")
     return out
 
 
@@ -72,7 +72,7 @@ def locate_outputs(listing: DataFrame, doc_col: str = "doc_id", dir_col: str = "
     aggregate with ``min_by`` over (not exact, name)."""
     aggs = []
     for out, sfx in ARTIFACT_SUFFIXES.items():
-        hit = F.col(name_col).endswith(sfx)
+        hit = F.col(name_col).endswith(sfx) & ~F.col(name_col).contains("/")  # the top level only
         exact = F.col(name_col) == F.concat(F.col(stem_col), F.lit(sfx))
         rank = F.struct((~exact).alias("e"), F.col(name_col).alias("n"))
         aggs.append(F.min_by(F.when(hit, F.concat(F.col(dir_col), F.lit("/"), F.col(name_col))),

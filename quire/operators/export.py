@@ -6,8 +6,9 @@ per file to write: ``<name>.md`` for every eligible selected document and, in
 
 * selection (ord, id): request order; unknown ids drop out of the inner join,
   repeated ids stay and each gets its own name;
-* eligibility (has a Markdown path and the Markdown exists) is applied
-  *before* naming, so skipped documents never claim a name;
+* eligibility (has a Markdown path and the Markdown exists: a row of ``markdown`` whose
+  ``found``, where that column is given, is true) is applied *before* naming, so skipped documents
+  never claim a name.  Empty paths, names and folders count as missing;
 * names: safe stem of the original name (else the stored stem), made unique
   case-insensitively in request order;
 * links are rewritten only for documents that have at least one image.
@@ -35,9 +36,11 @@ def export_files(selection: DataFrame, library: DataFrame, markdown: DataFrame,
     markdown(id, markdown), images(id, image_name, content) ->
     (ord, id, file_name, kind, content binary)."""
     if mode not in MODES:
-        raise ValueError(f"Bad export mode: {mode}")
-    lib = library.select("id", "original_name", "stem", "markdown_path", "images_dir")
+        raise ValueError(f"export mode must be one of {', '.join(MODES)}, not {mode!r}")
+    lib = library.select("id", *[F.nullif(F.col(c), F.lit("")).alias(c) for c in ("original_name", "stem", "markdown_path", "images_dir")])
     picked = selection.select("ord", "id").join(lib, "id", "inner")
+    if "found" in markdown.columns:
+        markdown = markdown.filter("found")
     has_md = markdown.select("id").distinct()
     eligible = picked.filter(F.col("markdown_path").isNotNull()).join(has_md, "id", "left_semi")
     eligible = eligible.select("ord", "id", "images_dir",
@@ -54,7 +57,7 @@ def export_files(selection: DataFrame, library: DataFrame, markdown: DataFrame,
         img_dir = F.concat(F.col("name"), F.lit("_images"))
         docs = docs.withColumn("markdown", F.when(with_imgs, rewrite_image_links("markdown", img_dir))
                                .otherwise(F.col("markdown"))).withColumn("_imgs", with_imgs)
-        img_rows = (docs.filter("_imgs").select("ord", "id", "name")
+        img_rows = (named.filter(F.col("images_dir").isNotNull()).select("ord", "id", "name")
                     .join(images.select("id", "image_name", "content"), "id", "inner")
                     .select("ord", "id",
                             F.concat(F.col("name"), F.lit("_images/"), F.col("image_name")).alias("file_name"),
@@ -86,6 +89,6 @@ def export_to(selection: DataFrame, library: DataFrame, markdown: DataFrame, pat
     files = materialize(export_files(selection, library, markdown, images, mode), "export")
     n = files.filter(F.col("kind") == "markdown").count()
     if n == 0:
-        raise EmptyExportError("None of the selected documents have markdown output")
+        raise EmptyExportError("no selected document has Markdown to export")
     write_files(files, path)
     return n

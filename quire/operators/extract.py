@@ -15,6 +15,7 @@ expressions only (no Python), so it stays inside whole-stage codegen.
 from __future__ import annotations
 
 import time
+import uuid
 from typing import Any, Protocol
 
 import pyarrow as pa
@@ -36,23 +37,39 @@ class Parser(Protocol):
     def parse(self, content: Any, options: dict) -> tuple[str | None, list[dict]]: ...
 
 
+#: Content that is turned into Python objects at a time.
+SLICE_BYTES = 8 << 20
+#: The opened parsers of this worker, newest last; a worker keeps few, so that models do not pile up.
 _WORKER_PARSERS: dict[str, Any] = {}
+KEEP_PARSERS = 4
 
 
 def _worker_parser(key: str, parser):
-    p = _WORKER_PARSERS.get(key)
+    """The parser of one ``extract`` call, opened once per worker.  ``key`` is unique to the call."""
+    p = _WORKER_PARSERS.pop(key, None)
     if p is None:
         parser.open()
-        _WORKER_PARSERS[key] = p = parser
+        p = parser
+        while len(_WORKER_PARSERS) >= KEEP_PARSERS:
+            _WORKER_PARSERS.pop(next(iter(_WORKER_PARSERS)))
+    _WORKER_PARSERS[key] = p
     return p
 
 
+def _slices(rb: pa.RecordBatch):
+    """Whole rows of about SLICE_BYTES of content at a time."""
+    n = rb.num_rows
+    step = max(1, int(n * SLICE_BYTES // max(rb.column(1).nbytes, 1)))
+    for i in range(0, n, step):
+        yield rb.slice(i, step)
+
+
 def extract(df: DataFrame, parser, id_col: str = "doc_id", content_col: str = "content",
             options_col: str | None = None) -> DataFrame:
     """Run ``parser`` over every row; never fails a task because of one document.
 
     Output: id, markdown, markdown_chars, blocks, error, seconds, content_list.
-    A parser returning no Markdown marks the document failed (PRJ-8).
+    A parser that returns no Markdown (None) marks the document failed; empty Markdown is a result (PRJ-8).
     """
     id_type = df.schema[id_col].dataType
     out = T.StructType([
@@ -66,7 +83,7 @@ def extract(df: DataFrame, parser, id_col: str = "doc_id", content_col: str = "c
     ])
     cols = [F.col(id_col), F.col(content_col).alias("_content")]
     cols.append((F.col(options_col) if options_col else F.lit(None).cast(OPTIONS_STRUCT)).alias("_options"))
-    key = f"{type(parser).__module__}.{type(parser).__qualname__}:{id(parser)}"
+    key = uuid.uuid4().hex
     block_fields = [f.name for f in BLOCK_STRUCT.fields]
 
     def run(batches):
@@ -74,7 +91,7 @@ def extract(df: DataFrame, parser, id_col: str = "doc_id", content_col: str = "c
 
         schema = to_arrow_schema(out)
         p = _worker_parser(key, parser)
-        for rb in batches:
+        for rb in (part for batch in batches for part in _slices(batch)):
             ids = rb.column(0).to_pylist()
             contents = rb.column(1).to_pylist()
             opts = rb.column(2).to_pylist()
@@ -84,7 +101,7 @@ def extract(df: DataFrame, parser, id_col: str = "doc_id", content_col: str = "c
                 md, blocks, err = None, [], None
                 try:
                     md, blocks = p.parse(content, {k: v for k, v in (o or {}).items() if v is not None})
-                    if not md:
+                    if md is None:
                         md, blocks, err = None, [], NO_MARKDOWN_ERROR
                 except Exception as e:  # noqa: BLE001 - isolation is the point
                     md, blocks, err = None, [], f"{type(e).__name__}: {e}"
@@ -143,22 +160,19 @@ def text_blocks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     Pages are separated by form feeds; each non-blank line is a block, typed
     as equation ($$..$$), image (![c](p)), table (<table..) or text (with a
-    heading level for '#' lines).  ``block_idx`` runs across pages: each page's
-    offset is the number of blocks on the pages before it.
+    heading level for '#' lines).  ``block_idx`` runs across pages: the lines of all
+    pages form one array, and a line's position in it is its index.
     """
     nonblank = lambda l: l.rlike(NONBLANK)
     pages = F.split(F.col(text_col), PAGE_BREAK, -1)
-    lines_per_page = F.transform(pages, lambda p: F.filter(F.split(p, r"\r?\n", -1), nonblank))
-    counts = F.transform(lines_per_page, lambda ls: F.size(ls))
-    offsets = F.transform(counts, lambda c, i: F.aggregate(F.slice(counts, 1, i), F.lit(0), lambda a, x: a + x))
-    paged = df.select(F.col(id_col), F.posexplode(F.arrays_zip(lines_per_page.alias("lines"),
-                                                               offsets.alias("off"))).alias("page_idx", "_p"))
-    lines = paged.select(id_col, "page_idx", F.col("_p.off").alias("_off"),
-                         F.posexplode("_p.lines").alias("_i", "_line"))
+    tagged = F.flatten(F.transform(pages, lambda p, i: F.transform(
+        F.filter(F.split(p, r"\r?\n", -1), nonblank), lambda l: F.struct(i.alias("page"), l.alias("line")))))
+    lines = df.select(F.col(id_col), F.posexplode(tagged).alias("_i", "_l")).select(
+        id_col, "_i", F.col("_l.page").alias("page_idx"), F.col("_l.line").alias("_line"))
     c = _classify(F.col("_line"))
     return lines.select(
         id_col,
-        (F.col("_off") + F.col("_i")).cast("int").alias("block_idx"),
+        F.col("_i").cast("int").alias("block_idx"),
         c["type"].alias("type"),
         F.col("page_idx").cast("int").alias("page_idx"),
         c["text"].alias("text"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import names as N
 from quire.functions import paths as P
+from quire.functions import text as TX
 from quire.functions.time import epoch_micros, instant_from_micros
 from quire.operators.artifacts import suffix_glob
 from quire.plans import jobs as J
@@ -16,12 +17,13 @@ from quire.session import read_table, scratch_path
 from quire.sources import fixtures as FX
 from quire.sources.files_sink import write_files
 from quire.operators.library import read_library
+from quire.operators.sequence import rank_within_key
 from quire.streaming.files import drop_files, file_stream, latest_per_key, run_available_now
 from quire.streaming.library_sink import library_sink
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from quire.streaming.processors import (JOB_OUTPUT, JOB_STATE, LINES_OUTPUT, LINES_STATE, fold_user_jobs,
-                                        frame_lines, gaps_fn, stall_alerts_fn, throttle_fn, STALL_OUTPUT)
+from quire.streaming.processors import (JOB_OUTPUT, JOB_STATE, LINES_STATE, PIECES_OUTPUT, cut_complete,
+                                        fold_user_jobs, gaps_fn, stall_alerts_fn, throttle_fn, STALL_OUTPUT)
 
 QUERIES = {}
 ORACLE = {}
@@ -87,9 +89,12 @@ def q_stream_log_lines(spark, sf_dir):
         F.substring("b", F.col("chunk_idx") * CHUNK_BYTES + 1, CHUNK_BYTES).alias("chunk"))
     folder = drop_files(chunks, "chunk_idx", DROPS, "log-chunks")
     s = file_stream(spark, folder, chunks.schema)
-    out = s.groupBy("doc_id").applyInPandasWithState(
-        frame_lines, LINES_OUTPUT, LINES_STATE, "append", GroupStateTimeout.NoTimeout)
-    return run_available_now(out, "log-lines").drop("batch_id")
+    pieces = s.groupBy("doc_id").applyInPandasWithState(
+        cut_complete, PIECES_OUTPUT, LINES_STATE, "append", GroupStateTimeout.NoTimeout)
+    lines = pieces.select("doc_id", "first", F.posexplode(TX.complete_lines(TX.decode_lenient("whole"))).alias("pos", "line"))
+    out = run_available_now(lines.select("doc_id", "first", "pos", TX.truncate_progress("line").alias("line")), "log-lines")
+    ranked = rank_within_key(out, ["doc_id"], ["first", "pos"], "_n")
+    return ranked.select("doc_id", (F.col("_n") - 1).alias("line_idx"), "line")
 
 
 QUERIES["stream_log_lines"] = q_stream_log_lines

@@ -5,7 +5,7 @@ percent-encodes them - and exact bytes) from the output root, recursively,
 with a glob so other files are never read, and joined to the library by
 path.  No file list passes through the driver.
 
-* Markdown: the file as UTF-8; a missing file is ''.
+* Markdown: the file as UTF-8; a missing file is '' with ``found`` false, so that an export can leave it out.
 * Content list: one JSON array per file, parsed with the block schema;
   unknown fields survive in a VARIANT ``raw`` column; missing -> no blocks.
 * Images: names and sizes only (``content`` pruned) until an export needs bytes.
@@ -32,10 +32,10 @@ def _files(spark: SparkSession, root: str, glob: str, with_content: bool = True)
 
 def read_markdown(spark: SparkSession, root: str, docs: DataFrame, path_col: str = "markdown_path",
                   id_col: str = "id") -> DataFrame:
-    """docs(id, markdown_path relative to root) -> (id, markdown); '' when missing (SRC-7)."""
+    """docs(id, markdown_path relative to root) -> (id, markdown, found); '' and false when missing (SRC-7)."""
     found = _files(spark, root, "*.md")
     return (docs.select(id_col, path_col).join(found, F.col(path_col) == F.col("_rel"), "left")
-            .select(id_col, F.coalesce(F.col("_text"), F.lit("")).alias("markdown")))
+            .select(id_col, F.coalesce(F.col("_text"), F.lit("")).alias("markdown"), F.col("_rel").isNotNull().alias("found")))
 
 
 def read_content_lists(spark: SparkSession, root: str) -> DataFrame:

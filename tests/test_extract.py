@@ -24,7 +24,7 @@ def test_failures_are_isolated_per_document(spark):
     out = {r.doc_id: r for r in X.extract(df, Flaky()).collect()}
     assert out[1].markdown == "OK" and out[1].blocks == 1 and out[1].error is None
     assert out[2].error == "ValueError: bad page" and out[2].markdown is None
-    assert out[3].error == X.NO_MARKDOWN_ERROR
+    assert out[3].error is None and out[3].markdown == "" and out[3].blocks == 0  # empty Markdown is a result
     assert out[4].markdown_chars == 4
 
 
@@ -66,3 +66,27 @@ def test_run_summary_has_no_payloads(spark, tmp_path):
     back = spark.read.json(str(tmp_path / "summary"))
     assert "markdown" not in back.columns and "content_list" not in back.columns
     assert {r.doc_id: r.blocks for r in back.collect()} == {1: 1, 2: None}
+
+
+class Named:
+    def __init__(self, name):
+        self.name = name
+
+    def open(self):
+        pass
+
+    def parse(self, content, options):
+        return (None if content == "none" else f"{self.name}:{content}"), []
+
+
+def test_each_call_uses_its_own_parser(spark):
+    df = spark.createDataFrame([(1, "x"), (2, "none")], "doc_id long, content string")
+    for name in "abcdef":  # a parser that is gone may leave its id to the next one
+        rows = {r.doc_id: r for r in X.extract(df, Named(name)).collect()}
+        assert rows[1].markdown == f"{name}:x" and rows[2].error == X.NO_MARKDOWN_ERROR
+
+
+def test_text_blocks_number_lines_across_pages(spark):
+    text = "\f".join(f"a{i}\n\nb{i}" for i in range(300))
+    got = X.text_blocks(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("block_idx").collect()
+    assert [(r.block_idx, r.page_idx, r.text) for r in got] == [(2 * i + k, i, f"{c}{i}") for i in range(300) for k, c in enumerate("ab")]

@@ -26,7 +26,7 @@ def test_scan_keeps_supported_case_insensitively(spark):
     ordered = [r.path.split(root)[-1] for r in scan_documents(spark, [root], ordered=True).collect()]
     assert ordered == ["/a.pdf", "/d.Docx", "/e.jpeg", "/sub/b.PDF"]
     empty = _tree({"x.txt": "no"})
-    with pytest.raises(Exception, match="No supported document"):
+    with pytest.raises(Exception, match="no file of a supported kind"):
         scan_documents(spark, [empty], require=True)
     assert "[pP][dD][fF]" in suffix_glob()
 
