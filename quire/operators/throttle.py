@@ -7,19 +7,19 @@ coalesced).  This is a greedy recurrence - not a time bucket and not a
 order buckets (``sequence.bucketed``: hot keys are cut into buckets, cold
 keys stay whole) in three steps, all inside Spark tasks:
 
-1. per partition of (key, bucket) (numpy, vectorised): for each event
+1. hot keys only, per partition of (key, bucket) (numpy, vectorised): for each event
    ``next`` = first event of the same bucket at least ``interval`` later;
    chains are followed by pointer doubling.  A hot key's later bucket
    continues the bucket before it, so its exit state is tabulated for every
    possible entry: only events within ``interval`` of the bucket start can be
-   its first emission (c + 1 candidates).
-2. per hot key (``applyInPandas`` over those summaries): walk the buckets in
-   order and fix the entry state of each continued bucket.
+   its first emission, and of neighbours with one exit state only the last is kept.
+2. per hot key: walk the buckets in order and fix the entry state of each continued bucket.
+   The walk holds the key's tabulated breakpoints: few where chains merge, but as many as there are events
+   where a bucket is shorter than the interval - an open limit, see the README.
 3. per partition again: the entry states (one per hot bucket - bounded by
    the bucketing, so they are broadcast) seed the chains; every row gets
-   ``emitted``.  Cold keys start fresh and need no summary at all.
-
-No group of events is ever collected into one task or the driver.
+   ``emitted``.  Rows stream through in Arrow batches: all that is carried from batch to batch is
+   the current segment and its last emission.  Cold keys start fresh and need no summary at all.
 """
 from __future__ import annotations
 
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.functions.time import epoch_micros
-from quire.operators.sequence import MIN_HOT_ROWS, bucketed
+from quire.operators.sequence import MIN_HOT_ROWS, bucketed, join_keys
 
 _BIG = 1 << 62
 
@@ -39,8 +39,8 @@ _BIG = 1 << 62
 def _segments(keys) -> np.ndarray:
     """Start index of every run of equal keys (rows sorted by key)."""
     k = keys if isinstance(keys, (pd.Series, pd.DataFrame)) else pd.Series(keys)
-    change = (k != k.shift())
-    change = (change.any(axis=1) if isinstance(change, pd.DataFrame) else change).to_numpy()
+    change = (k != k.shift()) & ~(k.isna() & k.shift().isna())  # a null key is one key
+    change = (change.any(axis=1) if isinstance(change, pd.DataFrame) else change).to_numpy().copy()
     change[0] = True
     return np.flatnonzero(change)
 
@@ -102,16 +102,23 @@ def _mark_chains(nxt: np.ndarray, firsts: np.ndarray) -> np.ndarray:
         mark, jump = new, jump[jump]
 
 
+def _same_segment(a: pa.Table, b: pa.Table, key: str) -> bool:
+    """Whether the last row of ``a`` and the first of ``b`` are of one (key, bucket)."""
+    return all(a.column(c)[a.num_rows - 1].as_py() == b.column(c)[0].as_py() for c in (key, "_b"))
+
+
 def _micros(df: DataFrame, ts_col: str):
     return epoch_micros(F.col(ts_col), df.schema[ts_col].dataType)
 
 
 def throttle(df: DataFrame, key: str, ts_col: str, seq_col: str, interval_seconds: float,
              out: str = "emitted", min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
-    """Add boolean ``out``: whether the leading-edge throttle emits the row."""
+    """Add boolean ``out``: whether the leading-edge throttle emits the row (never one without a time)."""
     interval = int(round(interval_seconds * 1_000_000))
     key_type = df.schema[key].dataType
-    b = bucketed(df.withColumn("_t", _micros(df, ts_col)), [key], ["_t", seq_col], min_hot_rows)
+    timed = df.withColumn("_t", _micros(df, ts_col))
+    untimed = timed.filter(F.col("_t").isNull()).drop("_t").withColumn(out, F.lit(False))
+    b = bucketed(timed.filter(F.col("_t").isNotNull()), [key], ["_t", seq_col], min_hot_rows)
     parts = (b.df.repartition(_parts(df), key, "_b")
              .sortWithinPartitions(key, "_b", "_t", seq_col))
 
@@ -120,64 +127,74 @@ def throttle(df: DataFrame, key: str, ts_col: str, seq_col: str, interval_second
         T.StructField("cand_t", T.LongType()), T.StructField("exit_t", T.LongType())])
 
     def summarize(batches):
-        """Hot keys only: per bucket, exit state for every possible first emission."""
-        batches = list(batches)
-        if not batches:
-            return
-        tbl = pa.Table.from_batches(batches)
-        if tbl.num_rows == 0:
-            return
-        hot = tbl.column("_hot").to_numpy(zero_copy_only=False)
-        keys = tbl.column(key).to_pandas()
-        bk = tbl.column("_b").to_numpy()
-        t = tbl.column("_t").to_numpy().astype(np.int64)
-        starts = _segments(pd.DataFrame({"k": keys, "b": bk}))
-        nxt, seg_end = _next_pointers(t, starts, interval)
-        term = _terminal(nxt)
-        rows = {f.name: [] for f in summary_schema.fields}
-        for st in starts:
-            if not hot[st]:
-                continue
-            en = int(seg_end[st])
-            if bk[st] == 0:  # the key's first bucket starts fresh
-                cands, none = [int(st)], False
+        """Per hot bucket, exit state for every possible first emission.  A bucket holds about
+        total / (4 * shuffle partitions) rows at most; one is looked at at a time."""
+        held: list[pa.Table] = []
+
+        def rows_of(tbl: pa.Table):
+            t = tbl.column("_t").to_numpy().astype(np.int64)
+            nxt, _ = _next_pointers(t, np.array([0]), interval)
+            exits = t[_terminal(nxt)]
+            if tbl.column("_b")[0].as_py() == first_bucket(tbl):  # the key's first bucket starts fresh
+                cand_t, exit_t = t[:1], exits[:1]
             else:  # continued: the first emission is within the interval of the start, or nothing
-                c = int(np.searchsorted(t[st:en], t[st] + interval, side="left")) + int(st)
-                cands, none = list(range(int(st), min(c, en - 1) + 1)), c >= en
-            for j in cands:
-                rows[key].append(keys.iloc[st]); rows["_b"].append(int(bk[st]))
-                rows["cand_t"].append(int(t[j])); rows["exit_t"].append(int(t[term[j]]))
-            if none:
-                rows[key].append(keys.iloc[st]); rows["_b"].append(int(bk[st]))
-                rows["cand_t"].append(None); rows["exit_t"].append(None)
-        if rows[key]:
-            yield pa.RecordBatch.from_pydict(rows, schema=pa.schema(
-                [pa.field(f.name, _arrow(f.dataType)) for f in summary_schema.fields]))
-
-    summaries = parts.select(key, "_b", "_hot", "_t", seq_col).mapInArrow(summarize, summary_schema)
+                c = int(np.searchsorted(t, t[0] + interval, side="left"))
+                cand_t, exit_t = t[:c + 1], exits[:c + 1]
+                last = np.append(exit_t[1:] != exit_t[:-1], True)
+                cand_t, exit_t = cand_t[last], exit_t[last]
+            n = len(cand_t)
+            return pa.RecordBatch.from_arrays(
+                [tbl.column(key).combine_chunks().take(pa.array(np.zeros(n, np.int64))), pa.array(np.full(n, tbl.column("_b")[0].as_py())), pa.array(cand_t), pa.array(exit_t)],
+                [key, "_b", "cand_t", "exit_t"])
+
+        def first_bucket(tbl):
+            return tbl.column("_first")[0].as_py()
+
+        for batch in batches:
+            tbl = pa.Table.from_batches([batch])
+            if not tbl.num_rows:
+                continue
+            cut = [*_segments(pd.DataFrame({"k": tbl.column(key).to_pandas(), "b": tbl.column("_b").to_numpy()})), tbl.num_rows]
+            for i, (s, e) in enumerate(zip(cut, cut[1:])):
+                part = tbl.slice(s, e - s)
+                if i == 0 and held and not _same_segment(held[-1], part, key):
+                    yield rows_of(pa.concat_tables(held))
+                    held = []
+                held.append(part)
+                if i < len(cut) - 2:
+                    yield rows_of(pa.concat_tables(held))
+                    held = []
+        if held:
+            yield rows_of(pa.concat_tables(held))
 
     entry_schema = T.StructType([T.StructField(key, key_type), T.StructField("_b", T.LongType()),
                                  T.StructField("_entry", T.LongType())])
 
     def compose(pdf: pd.DataFrame) -> pd.DataFrame:
         """Walk one hot key's buckets in order and fix each continued bucket's entry."""
+        pdf = pdf.sort_values(["_b", "cand_t"], kind="stable")
+        bucket, cand, exits = (pdf[c].to_numpy(np.int64) for c in ("_b", "cand_t", "exit_t"))
+        cut = np.append(_segments(pd.Series(bucket)), len(bucket))
         out_rows, last = [], None
-        for b, g in pdf.groupby("_b", sort=True):
-            if last is not None:
-                out_rows.append((pdf[key].iloc[0], int(b), int(last)))
-                ok = g[g["cand_t"].notna() & (g["cand_t"] >= last + interval)]
-                last = int(ok.sort_values("cand_t").iloc[0]["exit_t"]) if len(ok) else int(last)
-            else:
-                last = int(g[g["cand_t"].notna()].sort_values("cand_t").iloc[0]["exit_t"])
+        for s, e in zip(cut, cut[1:]):
+            if last is None:
+                last = int(exits[s])
+                continue
+            out_rows.append((pdf[key].iloc[0], int(bucket[s]), last))
+            at = s + int(np.searchsorted(cand[s:e], last + interval, side="left"))
+            last = int(exits[at]) if at < e else last
         return pd.DataFrame(out_rows, columns=[key, "_b", "_entry"])
 
     if b.split:
         # One entry per bucket of a hot key; hot buckets are bounded by the
         # bucketing (see sequence.bucketed), so the entries are computed once,
         # eagerly, and broadcast as a literal table.
-        rows = summaries.groupBy(key).applyInPandas(compose, entry_schema).collect()
+        hot = parts.filter("_hot")
+        starts = hot.groupBy(key).agg(F.min("_b").alias("_first"))
+        tagged = join_keys(hot.select(key, "_b", "_t", seq_col), starts, [key]).sortWithinPartitions(key, "_b", "_t", seq_col)
+        rows = tagged.mapInArrow(summarize, summary_schema).groupBy(key).applyInPandas(compose, entry_schema).collect()
         entries = df.sparkSession.createDataFrame([tuple(r) for r in rows], entry_schema)
-        seeded = parts.join(F.broadcast(entries), [key, "_b"], "left")
+        seeded = join_keys(parts, entries, [key, "_b"])
     else:
         seeded = parts.withColumn("_entry", F.lit(None).cast("long"))
     seeded = seeded.sortWithinPartitions(key, "_b", "_t", seq_col)
@@ -185,34 +202,35 @@ def throttle(df: DataFrame, key: str, ts_col: str, seq_col: str, interval_second
                               + [T.StructField(out, T.BooleanType())])
 
     def mark(batches):
-        batches = list(batches)
-        if not batches:
-            return
-        tbl = pa.Table.from_batches(batches)
-        if tbl.num_rows == 0:
-            return
-        keys = tbl.column(key).to_pandas()
-        bk = tbl.column("_b").to_numpy()
-        t = tbl.column("_t").to_numpy().astype(np.int64)
-        entry = tbl.column("_entry").to_pandas()
-        starts = _segments(pd.DataFrame({"k": keys, "b": bk}))
-        nxt, seg_end = _next_pointers(t, starts, interval)
-        firsts = []
-        for st in starts:
-            en = int(seg_end[st])
-            e = entry.iloc[st]
-            if pd.isna(e):
-                firsts.append(int(st))
-            else:
-                j = int(np.searchsorted(t[st:en], int(e) + interval, side="left")) + int(st)
-                if j < en:
-                    firsts.append(j)
-        flags = _mark_chains(nxt, np.asarray(firsts, dtype=np.int64))
-        res = tbl.drop(["_entry"]).append_column(out, pa.array(flags, type=pa.bool_()))
-        for b in res.to_batches():
-            yield b
-
-    return seeded.mapInArrow(mark, out_schema).drop("_t", "_b", "_hot")
+        before, last = None, None  # the segment that the previous batch ended in, and its last emission
+        for batch in batches:
+            tbl = pa.Table.from_batches([batch])
+            if not tbl.num_rows:
+                continue
+            t = tbl.column("_t").to_numpy().astype(np.int64)
+            entry = tbl.column("_entry").to_pylist()
+            starts = _segments(pd.DataFrame({"k": tbl.column(key).to_pandas(), "b": tbl.column("_b").to_numpy()}))
+            nxt, seg_end = _next_pointers(t, starts, interval)
+            firsts = []
+            carried = before is not None and _same_segment(before, tbl, key)
+            for st in starts:
+                e = last if st == 0 and carried else entry[st]
+                if e is None:
+                    firsts.append(int(st))
+                else:
+                    j = int(np.searchsorted(t[st:seg_end[st]], int(e) + interval, side="left")) + int(st)
+                    if j < seg_end[st]:
+                        firsts.append(j)
+            flags = _mark_chains(nxt, np.asarray(firsts, dtype=np.int64))
+            emitted = np.flatnonzero(flags[starts[-1]:])
+            if len(emitted):
+                last = int(t[starts[-1] + emitted[-1]])
+            elif not (len(starts) == 1 and carried):
+                last = entry[starts[-1]]
+            before = tbl.slice(tbl.num_rows - 1)
+            yield from tbl.drop(["_entry"]).append_column(out, pa.array(flags, type=pa.bool_())).to_batches()
+
+    return seeded.mapInArrow(mark, out_schema).drop("_t", "_b", "_hot").unionByName(untimed)
 
 
 def _parts(df: DataFrame) -> int:
@@ -223,14 +241,3 @@ def _arrow(dt):
     from pyspark.sql.pandas.types import to_arrow_type
 
     return to_arrow_type(dt)
-
-
-def throttle_reference(times: list[float], interval: float) -> list[bool]:
-    """The sequential rule, for tests."""
-    last, out = None, []
-    for t in times:
-        ok = last is None or t - last >= interval
-        out.append(ok)
-        if ok:
-            last = t
-    return out
