@@ -72,6 +72,11 @@ def path_sort_key(path) -> Column:
     return F.split(_c(path), "/")
 
 
+def component_key(path) -> Column:
+    """The order of ``path_sort_key`` as one string: '/' becomes the lowest character."""
+    return F.translate(_c(path), "/", "\u0000")
+
+
 def stable_id(*cols, length: int = 32) -> Column:
     """Deterministic document/job id: a prefix of SHA-256 over the given
     columns.  Unlike a random UUID it survives task retries, and 128 bits do

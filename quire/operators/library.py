@@ -90,11 +90,20 @@ def delete_report(changes: DataFrame, id_col: str = "id", seq_col: str = "seq")
         id_col, seq_col, F.coalesce(F.col("prev_op") == "upsert", F.lit(False)).alias("existed"))
 
 
+def removed_folders(report: DataFrame, roots=("uploads", "outputs"), id_col: str = "id") -> DataFrame:
+    """A delete report with one row per folder that goes with the document, whether or not it was listed (SNK-2)."""
+    folders = F.array(*[F.concat(F.lit(f"{r}/"), F.col(id_col).cast("string")) for r in roots])
+    return report.withColumn("folder", F.explode(folders))
+
+
 def insertion_order(changes: DataFrame, id_col: str = "id", seq_col: str = "seq") -> DataFrame:
-    """(id, ins_seq): the seq of the upsert that last (re)inserted each id."""
-    prev = previous_in_key(changes.select(id_col, seq_col, "op"), [id_col], [seq_col], ["op"])
-    starts = prev.filter((F.col("op") == "upsert") & (F.col("prev_op").isNull() | (F.col("prev_op") == "delete")))
-    return starts.groupBy(id_col).agg(F.max(seq_col).alias("ins_seq"))
+    """(id, ins_seq): the seq of the upsert that last (re)inserted each id.
+
+    The first upsert after the id's last delete: two partial aggregates and a join on the id."""
+    log = changes.select(id_col, seq_col, "op")
+    gone = log.groupBy(id_col).agg(F.max(F.when(F.col("op") == "delete", F.col(seq_col))).alias("_gone"))
+    after = log.filter(F.col("op") == "upsert").join(gone, id_col).filter(F.col("_gone").isNull() | (F.col(seq_col) > F.col("_gone")))
+    return after.groupBy(id_col).agg(F.min(seq_col).alias("ins_seq"))
 
 
 def newest_first(changes: DataFrame, id_col: str = "id", seq_col: str = "seq",
@@ -110,6 +119,10 @@ def newest_first(changes: DataFrame, id_col: str = "id", seq_col: str = "seq",
     return global_rank(ordered, ["_newest", "ins_seq"], "position", min_hot_rows).drop("_newest")
 
 
+class VersionTakenError(RuntimeError):
+    pass
+
+
 # -- versioned snapshot storage ---------------------------------------------------------
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
@@ -148,10 +161,18 @@ def commit_library(df: DataFrame, root: str, version: int | None = None) -> int:
     Re-running a commit with the same version rewrites the same folder
     (idempotent per streaming batch id)."""
     spark = df.sparkSession
-    if version is None:
-        cur = latest_version(spark, root)
-        version = 0 if cur is None else cur + 1
-    df.write.mode("overwrite").parquet(f"{root.rstrip('/')}/v={version}")
+    if version is not None:
+        df.write.mode("overwrite").parquet(f"{root.rstrip('/')}/v={version}")
+        return version
+    cur = latest_version(spark, root)
+    version = 0 if cur is None else cur + 1
+    # claiming the version by creating a file that must not exist: of two writers one fails
+    fs, claim = _fs(spark, f"{root.rstrip('/')}/_claims/v={version}")
+    try:
+        fs.create(claim, False).close()
+    except Exception as e:
+        raise VersionTakenError(f"version {version} of {root} is being written by another commit") from e
+    df.write.mode("errorifexists").parquet(f"{root.rstrip('/')}/v={version}")
     return version
 
 

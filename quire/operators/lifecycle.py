@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.time import micros_between
+from quire.functions.time import epoch_micros, micros_between
 from quire.operators.sequence import global_rank
 from quire.session import materialize
 
@@ -114,6 +114,14 @@ def queue_positions(states: DataFrame, job_col: str = "job_id") -> DataFrame:
     return global_rank(q, ["queued_at", job_col], "position")
 
 
+def newest_jobs(states: DataFrame, events: DataFrame, job_col: str = "job_id") -> DataFrame:
+    """All jobs, newest submission first, ties in the order of submission; ``position`` counts from 1 (SRT-2)."""
+    first = events.filter(F.col("kind") == "submit").groupBy(job_col).agg(F.min(_key()).getField("seq").alias("_seq"))
+    dtype = states.schema["queued_at"].dataType
+    j = states.join(first, job_col).withColumn("_newest", -epoch_micros(F.col("queued_at"), dtype))
+    return global_rank(j, ["_newest", "_seq"], "position").drop("_newest", "_seq")
+
+
 def elapsed_seconds(start: Column, end: Column, now: Column = None) -> Column:
     """Seconds between start and end (or ``now`` while running); null without a start."""
     end_ = F.coalesce(end, now if now is not None else F.localtimestamp())

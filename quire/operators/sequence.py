@@ -76,7 +76,7 @@ def order_value(df: DataFrame, col) -> tuple[Column, bool]:
         return F.unix_date(c).cast("double"), False
     if isinstance(dt, (T.FloatType, T.DoubleType)):  # NaN sorts last; infinities would leave no width to cut
         top = F.lit(sys.float_info.max)
-        return F.when(F.isnan(c), top).otherwise(F.greatest(F.least(c.cast("double"), top), -top)), False
+        return F.when(F.isnan(c), top).when(c.isNotNull(), F.greatest(F.least(c.cast("double"), top), -top)), False
     if isinstance(dt, (T.NumericType, T.BooleanType)):
         return c.cast("double"), False
     if isinstance(dt, (T.StringType, T.BinaryType)):

@@ -40,7 +40,7 @@ def _odd(spark):
         F.when(F.col("id") % 3 != 0, F.col("id") % 5).alias("k"),
         F.when(F.col("id") % 11 != 0, F.col("id") * 7919 % 6007).alias("t"),
         F.when(F.col("id") % 13 != 0, F.concat(F.lit("a-long-shared-prefix-"), F.lpad((F.col("id") * 31 % 6007).cast("string"), 5, "0"))).alias("s"),
-        F.when(F.col("id") % 7 == 0, F.lit(float("nan"))).when(F.col("id") % 17 == 0, F.lit(float("inf"))).otherwise(F.col("id") * 37 % 999 / 7.0).alias("f"),
+        F.when(F.col("id") % 19 == 0, F.lit(None)).when(F.col("id") % 7 == 0, F.lit(float("nan"))).when(F.col("id") % 17 == 0, F.lit(float("inf"))).otherwise(F.col("id") * 37 % 999 / 7.0).alias("f"),
         F.col("id"))
 
 
