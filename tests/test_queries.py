@@ -9,7 +9,7 @@ from quire.plans import all_oracles, all_queries
 from scripts.check_oracle import TABLES, digest
 from tests.conftest import SF_SMALL
 
-ROWS_ONLY = {"extract_html_blocks", "extract_html_documents", "flagship"}
+ROWS_ONLY: set = set()
 
 
 def test_every_query_has_an_oracle_or_is_rows_only():
