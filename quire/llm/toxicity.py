@@ -211,6 +211,17 @@ def _telling(score: np.ndarray, text: np.ndarray, per_text: int) -> np.ndarray:
     return order[nth < per_text]
 
 
+def _sample_inputs(texts: list[str], step: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """``word_inputs`` of all texts, a few texts at a time to keep its working arrays small."""
+    parts, words = [], [np.zeros(1, np.int64)]
+    for i in range(0, len(texts), step):
+        enc = [t.encode() for t in texts[i:i + step]]
+        h, w = word_inputs(np.frombuffer(b"".join(enc), np.uint8), np.cumsum([0] + [len(e) for e in enc]))
+        parts.append(h)
+        words.append(w[1:] + words[-1][-1])
+    return np.concatenate(parts, 1), np.concatenate(words)
+
+
 def train(sample: list[tuple[int, str]], *, epochs: int = 6, steps: int = 300, batch: int = 256, rate: float = 0.01, decay: float = 0.02, seed: int = 2,
           prior: float | None = None) -> ToxicityModel:
     """Adam on balanced cross-entropy over chosen windows, then a logistic calibration of the documents' highest windows.
@@ -225,8 +236,7 @@ def train(sample: list[tuple[int, str]], *, epochs: int = 6, steps: int = 300, b
     if not len(y) or y.min() == y.max():
         tables, rest = _pack(p)
         return ToxicityModel([np.zeros(0, np.uint64)] * INPUTS, tables, rest, 0.0, 0.0 if not len(y) else (8.0 if y[0] else -8.0))
-    enc = [t.encode() for _, t in sample]
-    hashes, words = word_inputs(np.frombuffer(b"".join(enc), np.uint8), np.cumsum([0] + [len(e) for e in enc]))
+    hashes, words = _sample_inputs([t for _, t in sample])
     start, stop, text = windows(words)
     owner = np.repeat(np.arange(len(y)), np.diff(words))
     # a fifth of the sample is left for the calibration
@@ -324,7 +334,7 @@ def score_rows(model: ToxicityModel, data: np.ndarray, off: np.ndarray) -> np.nd
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, keep: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-        per_class: int = 2500, max_chars: int = 16_000_000, seed: int = 2) -> ToxicityModel:
+        per_class: int = 2500, max_chars: int = 8_000_000, seed: int = 2) -> ToxicityModel:
     """Learn from labelled rows whose ids satisfy ``keep`` (over ``_id``); see ``labelled_sample`` for the bounds."""
     sample = labelled_sample(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, keep=keep,
                              per_class=per_class, max_chars=max_chars, seed=seed)
