@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from quire.functions.names import sanitize_stem
 from quire.functions.options import OPTIONS_STRUCT
+from quire.functions.paths import relativize
 from quire.functions.time import epoch_micros
 from quire.operators.sequence import MIN_HOT_ROWS, global_rank, previous_in_key
 
@@ -46,9 +47,17 @@ LIBRARY_SCHEMA = T.StructType([
 ])
 
 
-def make_entry(result: DataFrame, id_col: str = "doc_id", name_col: str = "original_name") -> DataFrame:
+#: What a done event may say about its document, as JSON.
+DONE_PAYLOAD = T.StructType([
+    T.StructField("device", T.StringType()), T.StructField("options", OPTIONS_STRUCT),
+    *[T.StructField(c, T.StringType()) for c in ("source", "parse_dir", "markdown_path", "content_list_path", "images_dir")],
+    T.StructField("markdown_chars", T.LongType()), T.StructField("blocks", T.LongType())])
+
+
+def make_entry(result: DataFrame, id_col: str = "doc_id", name_col: str = "original_name", root: str | None = None) -> DataFrame:
     """Library entry from an extraction/job result row (PRJ-12, MTH-1).
 
+    With ``root``, the data folder, paths are stored relative to it.
     Counts come from the result when precomputed, else from the payloads;
     seconds are rounded to one place (Spark rounds half up; Python's round
     on binary doubles can differ on exact ties such as 0.25)."""
@@ -68,12 +77,21 @@ def make_entry(result: DataFrame, id_col: str = "doc_id", name_col: str = "origi
         opt("options", OPTIONS_STRUCT).cast(OPTIONS_STRUCT).alias("options"),
         opt("device").alias("device"),
         F.round(opt("seconds", "double"), 1).alias("seconds"),
-        *[opt(c).alias(c) for c in ("source", "parse_dir", "markdown_path", "content_list_path", "images_dir")],
+        *[(opt(c) if root is None else relativize(opt(c), F.lit(root))).alias(c)
+          for c in ("source", "parse_dir", "markdown_path", "content_list_path", "images_dir")],
         chars.cast("bigint").alias("markdown_chars"),
         blocks.cast("bigint").alias("blocks"),
     )
 
 
+def entries_from_done(done: DataFrame, payload_col: str = "result", root: str | None = None) -> DataFrame:
+    """Library entries from done jobs (``doc_id, original_name, created, seconds`` and the done event's payload).
+
+    Counts, paths, device and options come from the payload; what it leaves out is 0 or null."""
+    d = done.withColumn("_p", F.from_json(payload_col, DONE_PAYLOAD))
+    return make_entry(d.select("doc_id", "original_name", "created", "seconds", *[F.col(f"_p.{f.name}").alias(f.name) for f in DONE_PAYLOAD.fields]), root=root)
+
+
 def snapshot(changes: DataFrame, id_col: str = "id", seq_col: str = "seq") -> DataFrame:
     """Current library: last change per id, kept when it is an upsert (SNK-1, SNK-2)."""
     fields = [c for c in changes.columns if c not in (id_col, seq_col)]

@@ -21,7 +21,7 @@ je AS (SELECT user_id || '-' || gen AS job_id, user_id, seq, ts,
     CASE event_type WHEN 'signup' THEN 'submit' WHEN 'view' THEN 'view' WHEN 'click' THEN 'cancel'
                     WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' END AS kind,
     CASE WHEN event_type = 'view' THEN printf('progress %.2f', value)
-         WHEN event_type = 'purchase' THEN '{"device": "' || CASE WHEN value >= 25 THEN 'cuda' ELSE 'cpu' END || '"}'
+         WHEN event_type = 'purchase' THEN CAST(to_json({'device': CASE WHEN value >= 25 THEN 'cuda' ELSE 'cpu' END, 'value': value, 'user_id': user_id}) AS VARCHAR)
          WHEN event_type = 'error' THEN 'RuntimeError: ' || props END AS payload FROM ev)"""
 
 SQL_JOB_STATES = SQL_JOB_EVENTS + """,
@@ -45,7 +45,7 @@ states AS (SELECT job_id,
   CASE WHEN ciq THEN 'cancelled' WHEN st IS NULL THEN 'queued' WHEN en IS NULL THEN 'running'
        WHEN en_ev.kind = 'done' THEN 'done' WHEN en_ev.kind = 'cancel' THEN 'cancelled' ELSE 'failed' END AS status,
   CASE WHEN ciq THEN NULL WHEN en_ev.kind = 'failed' THEN en_ev.payload
-       WHEN en_ev.kind = 'died' THEN 'Worker process died unexpectedly (possibly out of memory — try device=cpu or a smaller page range)' END AS error,
+       WHEN en_ev.kind = 'died' THEN '""" + LC.DIED_MESSAGE + """' END AS error,
   CASE WHEN NOT ciq AND en_ev.kind = 'done' THEN json_extract_string(en_ev.payload, '$.device') END AS device,
   CASE WHEN NOT ciq AND (en IS NULL OR en_ev.kind IN ('failed', 'died')) THEN prog END AS progress,
   s.ts AS queued_at, CASE WHEN NOT ciq THEN st.ts END AS started_at,

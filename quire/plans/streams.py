@@ -9,7 +9,7 @@ from quire.functions import names as N
 from quire.functions import paths as P
 from quire.functions import text as TX
 from quire.functions.time import epoch_micros, instant_from_micros
-from quire.operators.artifacts import suffix_glob
+from quire.operators.admission import submit_uploads
 from quire.plans import jobs as J
 from quire.plans import text as TXQ
 from quire.plans import sqlfrag as Q
@@ -43,7 +43,7 @@ def q_stream_lifecycle(spark, sf_dir):
                       ["user_id", "ts", F.col("event_id").alias("seq"), "kind", "payload"])
     out = s.groupBy("user_id").applyInPandasWithState(
         fold_user_jobs, JOB_OUTPUT, JOB_STATE, "update", GroupStateTimeout.NoTimeout)
-    return latest_per_key(run_available_now(out, "lifecycle", "update"), ["job_id"])
+    return latest_per_key(run_available_now(out.drop("result"), "lifecycle", "update"), ["job_id"])
 
 
 QUERIES["stream_lifecycle"] = q_stream_lifecycle
@@ -106,31 +106,35 @@ BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length long, cont
 
 
 def inbox_files(spark, sf_dir):
+    """One folder per language; names repeat across folders."""
     d = read_table(spark, sf_dir, "documents")
-    name = F.concat(F.col("doc_id").cast("string"), F.lit("-"),
-                    N.sanitize_stem(F.concat(FX.first_line(F.col("text")), F.lit(".pdf"))), FX.suffix_for("doc_id"))
-    return d.select(name.alias("file_name"), F.encode("text", "UTF-8").alias("content"))
+    name = F.concat("lang", F.lit("/"), "source", F.lit("-"), (F.col("doc_id") / 20).cast("long").cast("string"), FX.suffix_for("doc_id"))
+    return d.select(name.alias("file_name"), F.encode("text", "UTF-8").alias("content"), "doc_id")
+
+
+UPLOAD_OPTIONS = '{"lang": "fr", "start_page": "\\t2", "device": "auto", "other": 1}'
 
 
 def q_stream_ingest(spark, sf_dir):
     inbox = scratch_path(spark, "inbox")
-    write_files(inbox_files(spark, sf_dir), inbox)
-    s = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA).option("pathGlobFilter", suffix_glob())
-         .option("maxFilesPerTrigger", 256).load(inbox))
-    files = s.select(N.base_name(F.col("path")).alias("name"), "length")
-    # every accepted upload becomes a document/job with a deterministic id (HSH-1)
-    files = files.withColumn("doc_id", P.stable_id("name", "length"))
-    return run_available_now(files, "ingest").drop("batch_id")
+    first = inbox_files(spark, sf_dir).groupBy("file_name").agg(F.min_by("content", "doc_id").alias("content"))
+    write_files(first, inbox)
+    s = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA).option("recursiveFileLookup", "true")
+         .load(inbox).select("path", "length"))
+    jobs = submit_uploads(s, inbox, UPLOAD_OPTIONS)
+    return run_available_now(jobs, "ingest").select("path", "length", "decision", "kind", "doc_id", "options.lang", "options.start_page", "error")
 
 
 QUERIES["stream_ingest"] = q_stream_ingest
 _SFX = f"([{', '.join(Q.lit(x) for x in FX.FIXTURE_SUFFIXES)}])[(doc_id % {len(FX.FIXTURE_SUFFIXES)}) + 1]"
-ORACLE["stream_ingest"] = Q.with_ctes(
-    ["n AS (SELECT doc_id, text, regexp_extract(text, '^([^\\n]*)', 1) || '.pdf' AS nm FROM documents)"]
-    + Q.sanitize_ctes("n", "nm", "stem"),
-    f"SELECT name, length, substr(sha256(concat_ws(chr(0), name, CAST(length AS VARCHAR))), 1, 32) AS doc_id FROM ("
-    f"SELECT doc_id || '-' || stem || {_SFX} AS name, CAST(strlen(text) AS BIGINT) AS length "
-    f"FROM ss5) WHERE {Q.is_supported('name')}")
+ORACLE["stream_ingest"] = f"""
+WITH f AS (SELECT file_name AS path, CAST(strlen(arg_min(text, doc_id)) AS BIGINT) AS length FROM (
+  SELECT lang || '/' || source || '-' || (doc_id // 20) || {_SFX} AS file_name, text, doc_id FROM documents) GROUP BY file_name),
+g AS (SELECT *, regexp_extract(path, '[^/]*$') AS name FROM f)
+SELECT path, length, CASE WHEN {Q.is_supported('name')} THEN 'accepted' ELSE 'skipped' END AS decision,
+  CASE WHEN {Q.is_supported('name')} THEN 'submit' END AS kind,
+  CASE WHEN {Q.is_supported('name')} THEN substr(sha256(concat_ws(chr(0), path, CAST(length AS VARCHAR))), 1, 32) END AS doc_id,
+  CASE WHEN {Q.is_supported('name')} THEN 'fr' END AS lang, CASE WHEN {Q.is_supported('name')} THEN 2 END AS start_page, NULL AS error FROM g"""
 
 
 # -- stream_library (STR-6): done jobs maintain the library snapshot ------------------------------------
@@ -140,20 +144,21 @@ def q_stream_library(spark, sf_dir):
     out = s.groupBy("user_id").applyInPandasWithState(
         fold_user_jobs, JOB_OUTPUT, JOB_STATE, "update", GroupStateTimeout.NoTimeout)
     root = scratch_path(spark, "library")
-    q = (out.writeStream.foreachBatch(library_sink(root)).outputMode("update")
+    q = (out.writeStream.foreachBatch(library_sink(root, "/data")).outputMode("update")
          .option("checkpointLocation", scratch_path(spark, "library-ckpt")).trigger(availableNow=True).start())
     q.awaitTermination()
     lib = read_library(spark, f"{root}/snapshots")
     return lib.select("id", "stem", F.col("created").cast("timestamp_ntz").alias("created"), "device", "seconds",
-                      "markdown_chars", "blocks")
+                      "markdown_path", "markdown_chars", "blocks", "options.start_page")
 
 
 QUERIES["stream_library"] = q_stream_library
-ORACLE["stream_library"] = (
-    f"WITH {J.SQL_JOB_STATES}\n"
-    "SELECT job_id AS id, job_id AS stem, finished_at AS created, device, "
-    "round((epoch_us(finished_at) - epoch_us(started_at)) / 1e6, 1) AS seconds, "
-    "CAST(0 AS BIGINT) AS markdown_chars, CAST(0 AS BIGINT) AS blocks FROM states WHERE status = 'done'")
+ORACLE["stream_library"] = f"""WITH {J.SQL_JOB_STATES},
+done AS (SELECT job_id, json_extract(en_ev.payload, '$.value')::DOUBLE AS value, json_extract_string(en_ev.payload, '$.user_id') AS u FROM p3 WHERE en_ev.kind = 'done')
+SELECT job_id AS id, job_id AS stem, finished_at AS created, device,
+  round((epoch_us(finished_at) - epoch_us(started_at)) / 1e6, 1) AS seconds, 'out/' || u || '/doc.md' AS markdown_path,
+  CAST(floor(value * 10) AS BIGINT) AS markdown_chars, CAST(floor(value) AS BIGINT) AS blocks, CAST(floor(value / 10) AS INTEGER) AS start_page
+FROM states JOIN done USING (job_id) WHERE status = 'done'"""
 
 
 # -- stream_open_stalls (STR-3 open tail): keys still quiet when the stream ends ---------------------

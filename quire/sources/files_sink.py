@@ -7,9 +7,10 @@
 Each task writes its rows to ``<path>/<file_name>`` through ``pyarrow.fs``
 (local paths, ``file://``, ``hdfs://``, ``s3://`` ...), first under a hidden
 temporary name and then moved into place, so a retried task simply rewrites
-its own files and a half-written file is never visible.  The commit message
-lists the files written; ``commit`` records them in ``_FILES``.  Names are
-validated: no absolute paths, no '..' segments.
+its own files and a half-written file is never visible.  Each task also writes the list
+of its files; ``commit`` moves the lists of the tasks that count to ``_FILES/part-<n>``, so the
+driver sees one name per task, never the file names.  Names are validated: no
+absolute paths, no '..' segments.
 """
 from __future__ import annotations
 
@@ -19,8 +20,8 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 
 
 class _Written(WriterCommitMessage):
-    def __init__(self, files):
-        self.files = files
+    def __init__(self, manifest):
+        self.manifest = manifest
 
 
 def _safe(name: str) -> str:
@@ -42,7 +43,13 @@ class FilesWriter(DataSourceWriter):
 
     def write(self, iterator):
         fs, base = _fs(self.path)
-        written = []
+        manifest = f"_FILES/.{uuid.uuid4().hex}"
+        fs.create_dir(f"{base.rstrip('/')}/_FILES", recursive=True)
+        with fs.open_output_stream(f"{base.rstrip('/')}/{manifest}") as listed:
+            self._write(fs, base, iterator, listed)
+        return _Written(manifest)
+
+    def _write(self, fs, base, iterator, listed):
         for row in iterator:
             rel = _safe(row["file_name"])
             dest = f"{base.rstrip('/')}/{rel}"
@@ -53,14 +60,12 @@ class FilesWriter(DataSourceWriter):
             with fs.open_output_stream(tmp) as out:
                 out.write(bytes(data) if data is not None else b"")
             fs.move(tmp, dest)
-            written.append(rel)
-        return _Written(written)
+            listed.write((rel + "\n").encode("utf-8"))
 
     def commit(self, messages):
         fs, base = _fs(self.path)
-        names = sorted(f for m in messages if m is not None for f in m.files)
-        with fs.open_output_stream(f"{base.rstrip('/')}/_FILES") as out:
-            out.write("\n".join(names).encode("utf-8"))
+        for i, m in enumerate(m for m in messages if m is not None):
+            fs.move(f"{base.rstrip('/')}/{m.manifest}", f"{base.rstrip('/')}/_FILES/part-{i:05d}")
 
     def abort(self, messages):
         pass

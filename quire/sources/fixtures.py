@@ -72,7 +72,12 @@ def with_job_kinds(e: DataFrame) -> DataFrame:
     kinds = F.create_map(*[x for k, v in EVENT_KINDS.items() for x in (F.lit(k), F.lit(v))])
     payload = (F.when(F.col("event_type") == "view", F.format_string("progress %.2f", F.col("value")))
                .when(F.col("event_type") == "purchase",
-                     F.concat(F.lit('{"device": "'), F.when(F.col("value") >= 25, "cuda").otherwise("cpu"), F.lit('"}')))
+                     F.to_json(F.struct(
+                         F.when(F.col("value") >= 25, "cuda").otherwise("cpu").alias("device"),
+                         F.floor(F.col("value") * 10).cast("long").alias("markdown_chars"),
+                         F.floor("value").cast("long").alias("blocks"),
+                         F.concat(F.lit("/data/out/"), F.col("user_id").cast("string"), F.lit("/./doc.md")).alias("markdown_path"),
+                         F.struct(F.floor(F.col("value") / 10).cast("int").alias("start_page")).alias("options"))))
                .when(F.col("event_type") == "error", F.concat(F.lit("RuntimeError: "), F.col("props"))))
     return e.withColumn("kind", F.element_at(kinds, F.col("event_type"))).withColumn("payload", payload)
 

@@ -3,7 +3,7 @@
 Every micro-batch of job updates is folded into the library by a
 ``foreachBatch`` sink:
 
-1. done jobs become library entries (``make_entry``) and are written to
+1. done jobs become library entries (``entries_from_done``) and are written to
    ``<root>/changes/batch=<id>`` (overwrite: a replayed batch rewrites its
    own folder);
 2. the snapshot version ``<root>/snapshots/v=<id>`` is the previous complete
@@ -21,27 +21,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.time import micros_between
-from quire.operators.library import LIBRARY_SCHEMA, latest_version, make_entry, snapshot, vacuum_versions
+from quire.operators.library import LIBRARY_SCHEMA, entries_from_done, latest_version, snapshot, vacuum_versions
 
 
-def done_entries(updates: DataFrame) -> DataFrame:
-    """Job updates -> library entries for the jobs that finished as done."""
+def done_entries(updates: DataFrame, root: str | None = None) -> DataFrame:
+    """Job updates -> library entries for the jobs that finished as done, from their done payloads."""
     done = updates.filter(F.col("status") == "done")
     run = micros_between(F.col("started_at"), F.col("finished_at")) / 1e6
     result = done.select(
         F.col("job_id").alias("doc_id"),
         F.concat(F.col("job_id"), F.lit(".pdf")).alias("original_name"),
-        F.col("finished_at").cast("timestamp").alias("created"),
-        "device", run.alias("seconds"))
-    return make_entry(result)
+        F.col("finished_at").cast("timestamp").alias("created"), run.alias("seconds"), "result")
+    return entries_from_done(result, root=root)
 
 
-def library_sink(root: str):
+def library_sink(root: str, data_root: str | None = None):
     base = root.rstrip("/")
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        entries = done_entries(batch).withColumn("seq", F.lit(batch_id).cast("long")).withColumn(
+        entries = done_entries(batch, data_root).withColumn("seq", F.lit(batch_id).cast("long")).withColumn(
             "op", F.lit("upsert"))
         entries.write.mode("overwrite").parquet(f"{base}/changes/batch={batch_id:09d}")
         prev = latest_version(spark, f"{base}/snapshots", below=batch_id)

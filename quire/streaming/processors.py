@@ -40,9 +40,9 @@ def _ts(us):
 
 # -- STR-1: per-user job lifecycle ---------------------------------------------------------
 JOB_STATE = ("gen long, status string, error string, device string, progress string, "
-             "queued_us long, started_us long, finished_us long")
+             "queued_us long, started_us long, finished_us long, result string")
 JOB_OUTPUT = ("job_id string, status string, error string, device string, progress string, "
-              "queued_at timestamp_ntz, started_at timestamp_ntz, finished_at timestamp_ntz")
+              "queued_at timestamp_ntz, started_at timestamp_ntz, finished_at timestamp_ntz, result string")
 
 
 def _device(payload) -> str | None:
@@ -65,8 +65,7 @@ def fold_user_jobs(key, pdfs, state):
     if pdf.empty:
         return
     pdf = pdf.sort_values(["ts", "seq"], kind="stable")
-    gen, status, error, device, progress, q, s, f = (state.get if state.exists
-                                                     else (0, None, None, None, None, None, None, None))
+    gen, status, error, device, progress, q, s, f, result = state.get if state.exists else (0, *[None] * 8)
     user = key[0]
     touched: dict[str, tuple] = {}
     for ts, kind, payload in zip(pdf["ts"], pdf["kind"], pdf["payload"]):
@@ -74,7 +73,7 @@ def fold_user_jobs(key, pdfs, state):
         changed = False
         if kind == "submit":
             gen += 1
-            status, error, device, progress, q, s, f = "queued", None, None, None, t, None, None
+            status, error, device, progress, q, s, f, result = "queued", None, None, None, t, None, None, None
             changed = True
         elif gen == 0:
             continue  # unknown job
@@ -89,7 +88,7 @@ def fold_user_jobs(key, pdfs, state):
                 progress = payload
             elif kind == "done":
                 status, progress, f = "done", None, t
-                device = _device(payload)
+                device, result = _device(payload), payload
             elif kind == "failed":
                 status, error, f = "failed", payload, t
             elif kind == "cancel":
@@ -99,13 +98,13 @@ def fold_user_jobs(key, pdfs, state):
             else:
                 changed = False
         if changed:
-            touched[f"{user}-{gen}"] = (status, error, device, progress, q, s, f)
-    state.update((gen, status, error, device, progress, q, s, f))
+            touched[f"{user}-{gen}"] = (status, error, device, progress, q, s, f, result)
+    state.update((gen, status, error, device, progress, q, s, f, result))
     if touched:
-        yield pd.DataFrame([(j, st, er, dv, pr, _ts(qq), _ts(ss), _ts(ff))
-                            for j, (st, er, dv, pr, qq, ss, ff) in touched.items()],
+        yield pd.DataFrame([(j, st, er, dv, pr, _ts(qq), _ts(ss), _ts(ff), res)
+                            for j, (st, er, dv, pr, qq, ss, ff, res) in touched.items()],
                            columns=["job_id", "status", "error", "device", "progress",
-                                    "queued_at", "started_at", "finished_at"])
+                                    "queued_at", "started_at", "finished_at", "result"])
 
 
 # -- STR-2: leading-edge throttle ---------------------------------------------------------
