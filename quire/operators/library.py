@@ -47,10 +47,11 @@ LIBRARY_SCHEMA = T.StructType([
 ])
 
 
+PATH_FIELDS = ("source", "parse_dir", "markdown_path", "content_list_path", "images_dir")
 #: What a done event may say about its document, as JSON.
 DONE_PAYLOAD = T.StructType([
     T.StructField("device", T.StringType()), T.StructField("options", OPTIONS_STRUCT),
-    *[T.StructField(c, T.StringType()) for c in ("source", "parse_dir", "markdown_path", "content_list_path", "images_dir")],
+    *[T.StructField(c, T.StringType()) for c in PATH_FIELDS],
     T.StructField("markdown_chars", T.LongType()), T.StructField("blocks", T.LongType())])
 
 
@@ -69,6 +70,8 @@ def make_entry(result: DataFrame, id_col: str = "doc_id", name_col: str = "origi
     chars = F.coalesce(opt("markdown_chars", "bigint"), F.length(F.coalesce(opt("markdown"), F.lit(""))))
     blocks = F.coalesce(opt("blocks", "bigint"),
                         F.size(F.coalesce(opt("content_list", "array<string>"), F.array())))
+    if root is not None:  # one expression over all paths keeps the plan small
+        result = result.withColumn("_paths", F.transform(F.array(*[opt(c) for c in PATH_FIELDS]), lambda p: relativize(p, F.lit(root))))
     return result.select(
         F.col(id_col).cast("string").alias("id"),
         F.col(name_col).alias("original_name"),
@@ -77,8 +80,7 @@ def make_entry(result: DataFrame, id_col: str = "doc_id", name_col: str = "origi
         opt("options", OPTIONS_STRUCT).cast(OPTIONS_STRUCT).alias("options"),
         opt("device").alias("device"),
         F.round(opt("seconds", "double"), 1).alias("seconds"),
-        *[(opt(c) if root is None else relativize(opt(c), F.lit(root))).alias(c)
-          for c in ("source", "parse_dir", "markdown_path", "content_list_path", "images_dir")],
+        *[(opt(c) if root is None else F.col("_paths")[i]).alias(c) for i, c in enumerate(PATH_FIELDS)],
         chars.cast("bigint").alias("markdown_chars"),
         blocks.cast("bigint").alias("blocks"),
     )
