@@ -20,7 +20,7 @@ from quire.session import materialize
 
 #: Rates are summed in units of 1/UNIT.
 UNIT = 1 << 30
-MAX_STEPS, SECTIONS, ROUNDS = 60, 32, 5
+MAX_STEPS, SECTIONS, ROUNDS = 60, 16, 6
 
 
 def word_count(text: Column) -> Column:
@@ -128,15 +128,14 @@ def _section(rows: DataFrame, state: DataFrame, cap: float, last: bool) -> DataF
     are taken back) and keeps the nearer result."""
     rows = rows.select("_k", "_size", "_u").filter(F.col("_size") > 0)
     keep = ["_s", "target", "_mean", "_lam", "_shift", "_limit", "_a", "_b"]
-    size, u = F.col("_size"), F.col("_u")
+    # words taken at each point of the section, as in ``_copies`` and ``_shift``
+    taken = [f"sum(CAST(greatest(0D, least({int(cap)}D, floor(_ru + CASE WHEN _size <= _limit THEN _a + (_b - _a) * {i / SECTIONS}D ELSE _shift END))) AS BIGINT) * _size)"
+             for i in range(SECTIONS + 1)]
     for _ in range(ROUNDS):
-        def point(i: int) -> Column:
-            return F.col("_a") + (F.col("_b") - F.col("_a")) * F.lit(i / SECTIONS)
-
-        sums = rows.join(state, "_k").groupBy("_k", "_up").agg(*[F.first(c).alias(c) for c in keep], F.array(*[
-            F.sum(_copies(size, u, _shift(size, point(i)), cap).cast("long") * size) for i in range(SECTIONS + 1)]).alias("_t"))
-        low = F.greatest(F.lit(0), *[F.when(F.col("_t")[i] <= F.col("target"), F.lit(i)).otherwise(0) for i in range(SECTIONS)])
-        sums = sums.withColumn("_i", low)
+        at = rows.join(state, "_k").withColumn("_ru", _rate(F.col("_size"), cap) + F.col("_u"))
+        sums = at.groupBy("_k", "_up").agg(*[F.first(c).alias(c) for c in keep], F.expr(f"array({', '.join(taken)})").alias("_t"))
+        # the last point that takes no more than the target
+        sums = sums.withColumn("_i", F.expr(f"greatest(0, {', '.join(f'CASE WHEN _t[{i}] <= target THEN {i} ELSE 0 END' for i in range(1, SECTIONS))})"))
         width = (F.col("_b") - F.col("_a")) / F.lit(float(SECTIONS))
         found = materialize(sums.select(*keep[:-2], "_k", "_up", (F.col("_a") + width * F.col("_i")).alias("_a"), (F.col("_a") + width * (F.col("_i") + 1)).alias("_b"),
                                         F.element_at("_t", F.col("_i") + 1).alias("_ta"), F.element_at("_t", F.col("_i") + 2).alias("_tb")), "mix-shift")

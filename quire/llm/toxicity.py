@@ -266,7 +266,7 @@ def train(sample: list[tuple[int, str]], *, epochs: int = 6, steps: int = 300, b
     m = {k: np.zeros_like(v) for k, v in p.items()}
     v = {k: np.zeros_like(v) for k, v in p.items()}
     step = 0
-    epochs = max(epochs, -(-steps * batch // max(1, min(len(text), 4 * len(y)))))
+    epochs = max(epochs, -(-steps // -(-max(1, min(len(text), 4 * len(y))) // batch)))
     for epoch in range(epochs):
         if epoch == epochs // 2:
             score = window_logits(*_pack(p), ids, start, stop)
