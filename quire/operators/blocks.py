@@ -83,11 +83,17 @@ def doc_summary(blocks: DataFrame, doc_col: str = "doc_id", sep_chars: int = 2)
                                        chars.cast("bigint").alias("markdown_chars"))
 
 
-def block_json(blocks: DataFrame, doc_col: str = "doc_id", fields=("type", "page_idx", "text")) -> DataFrame:
+def block_json(blocks: DataFrame, doc_col: str = "doc_id", fields=None) -> DataFrame:
     """Block JSON view, one serialised object per block in ordinal order (SNK-6, JSN-2).
 
+    A block read from a content list (``raw``) comes back with all its fields, unknown ones too; otherwise the
+    object has ``fields``, by default every block column that ``blocks`` has.  Null fields are left out.
+
     Emitted per row rather than collected into one array per document, so a
     huge document never becomes one giant value; readers order by block_idx.
     """
+    if fields is None and "raw" in blocks.columns:
+        return blocks.select(doc_col, "block_idx", F.to_json("raw").alias("json"))
+    fields = fields or [c for c in BLOCK_COLUMNS if c in blocks.columns]
     return blocks.select(doc_col, "block_idx",
                          F.to_json(F.struct(*[F.col(c) for c in fields])).alias("json"))

@@ -1,3 +1,5 @@
+import json
+
 from pyspark.sql import functions as F
 
 from quire.operators import blocks as B
@@ -56,3 +58,12 @@ def test_block_types_and_summary(spark):
     assert t == {1: ("a,b", "all (3)"), 2: ("a", "all (1)")}
     s = {r.doc_id: (r.blocks, r.markdown_chars) for r in B.doc_summary(df).collect()}
     assert s == {1: (3, 3 + 4), 2: (1, 0)}
+
+
+def test_block_json_keeps_all_fields(spark):
+    src = '[{"type":"image","page_idx":0,"img_caption":["a"],"img_path":"p","bbox":[1,2]},{"type":"equation","page_idx":1,"latex":"x"}]'
+    b = B.blocks_from_content_list(spark.createDataFrame([(1, src)], "doc_id long, content_list_json string"))
+    got = [json.loads(r.json) for r in B.block_json(b).orderBy("block_idx").collect()]
+    assert got == json.loads(src)
+    typed = [json.loads(r.json) for r in B.block_json(b.drop("raw")).orderBy("block_idx").collect()]
+    assert typed[0]["img_caption"] == ["a"] and typed[0]["img_path"] == "p" and typed[1]["latex"] == "x"
