@@ -50,14 +50,8 @@ def _first(cond: Column, value: Column = None) -> Column:
     return F.min_by(F.when(cond, value), F.when(cond, _key()))
 
 
-def job_states(events: DataFrame, job_col: str = "job_id", start_kinds=("start",),
-               progress_kinds=("progress",)) -> DataFrame:
-    """One row per submitted job: status, error, device, progress, queued_at,
-    started_at, finished_at (the type of ``ts``).
-
-    ``start_kinds`` / ``progress_kinds`` may share a kind (an event that starts
-    a queued job and is progress for a running one): the first such event is
-    the start, later ones are progress."""
+def _phases(events: DataFrame, job_col: str, start_kinds) -> tuple[DataFrame, DataFrame]:
+    """The written event table, and per submitted job ``_submit, _start, _cancel0, _end, _end_ev``."""
     kind = F.col("kind")
     # The event base is read once per phase; checkpointing it (and the small
     # per-job table after each phase) keeps the passes linear.
@@ -74,13 +68,41 @@ def job_states(events: DataFrame, job_col: str = "job_id", start_kinds=("start",
     ends = base.join(jobs.select(job_col, "_start"), job_col, "inner").groupBy(job_col).agg(
         _first(term).alias("_end"),
         _first(term, F.struct(kind.alias("kind"), F.col("payload").alias("payload"))).alias("_end_ev"))
-    jobs = materialize(jobs.join(ends, job_col, "left"))
-    prog = kind.isin(*progress_kinds) & after_start & (F.col("_end").isNull() | (_key() < F.col("_end")))
+    return base, materialize(jobs.join(ends, job_col, "left"))
+
+
+def _running_progress(progress_kinds) -> Column:
+    """Progress of a running job: after its start and before its end."""
+    return (F.col("kind").isin(*progress_kinds) & F.col("_start").isNotNull() & (_key() > F.col("_start"))
+            & (F.col("_end").isNull() | (_key() < F.col("_end"))))
+
+
+def _cancelled_in_queue() -> Column:
+    return F.col("_cancel0").isNotNull() & (F.col("_start").isNull() | (F.col("_cancel0") < F.col("_start")))
+
+
+def accepted_progress(events: DataFrame, job_col: str = "job_id", start_kinds=("start",), progress_kinds=("progress",)) -> DataFrame:
+    """The progress events that reach a running job; those of unknown, queued or finished jobs are dropped (JON-3)."""
+    base, jobs = _phases(events, job_col, start_kinds)
+    j = base.join(jobs.filter(~_cancelled_in_queue()).select(job_col, "_start", "_end"), job_col)
+    return j.filter(_running_progress(progress_kinds)).select(*base.columns)
+
+
+def job_states(events: DataFrame, job_col: str = "job_id", start_kinds=("start",),
+               progress_kinds=("progress",)) -> DataFrame:
+    """One row per submitted job: status, error, device, progress, queued_at,
+    started_at, finished_at (the type of ``ts``).
+
+    ``start_kinds`` / ``progress_kinds`` may share a kind (an event that starts
+    a queued job and is progress for a running one): the first such event is
+    the start, later ones are progress."""
+    base, jobs = _phases(events, job_col, start_kinds)
+    prog = _running_progress(progress_kinds)
     progress_last = base.join(jobs.select(job_col, "_start", "_end"), job_col, "inner").groupBy(job_col).agg(
         F.max_by(F.when(prog, F.col("payload")), F.when(prog, _key())).alias("_progress"))
     s = jobs.join(progress_last, job_col, "left")
 
-    cancelled_in_queue = F.col("_cancel0").isNotNull() & (F.col("_start").isNull() | (F.col("_cancel0") < F.col("_start")))
+    cancelled_in_queue = _cancelled_in_queue()
     end_kind = F.col("_end_ev.kind")
     status = (F.when(cancelled_in_queue, "cancelled")
               .when(F.col("_start").isNull(), "queued")

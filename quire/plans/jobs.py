@@ -109,15 +109,15 @@ FROM y"""
 
 
 # -- throttle (WIN-3): events keyed by user, interval 1 hour -----------------------------------------
-def _throttle_sql(key_expr, interval_sql, where=""):
-    return f"""WITH RECURSIVE
-ev AS (SELECT {key_expr} AS k, event_id, ts FROM events {where}),
-nx AS MATERIALIZED (SELECT a.k, a.event_id, b.event_id AS nxt_id FROM ev a
-       ASOF LEFT JOIN ev b ON a.k = b.k AND b.ts >= a.ts + {interval_sql}),
-fst AS (SELECT k, arg_min(event_id, (ts, event_id)) AS event_id FROM ev GROUP BY k),
+def _throttle_sql(key_expr, interval_sql, where="", ctes="", source="events"):
+    return f"""WITH RECURSIVE {ctes}
+tev AS (SELECT {key_expr} AS k, event_id, ts FROM {source} {where}),
+nx AS MATERIALIZED (SELECT a.k, a.event_id, b.event_id AS nxt_id FROM tev a
+       ASOF LEFT JOIN tev b ON a.k = b.k AND b.ts >= a.ts + {interval_sql}),
+fst AS (SELECT k, arg_min(event_id, (ts, event_id)) AS event_id FROM tev GROUP BY k),
 chain(k, event_id) AS (SELECT k, event_id FROM fst
     UNION ALL SELECT nx.k, nx.nxt_id FROM chain JOIN nx ON nx.event_id = chain.event_id WHERE nx.nxt_id IS NOT NULL)
-SELECT e.k AS key, e.event_id, e.ts FROM chain JOIN ev e USING (event_id)"""
+SELECT e.k AS key, e.event_id, e.ts FROM chain JOIN tev e USING (event_id)"""
 
 
 def q_throttle(spark, sf_dir):
@@ -129,15 +129,17 @@ QUERIES["throttle"] = q_throttle
 ORACLE["throttle"] = _throttle_sql("user_id", "INTERVAL 1 HOUR")
 
 
-# -- publish_throttle (WIN-4): one key shared by every job, interval 30 minutes ---------------------------
+# -- publish_throttle (WIN-4): progress of running jobs, one key shared by every job, interval 30 minutes ---------------------------
 def q_publish_throttle(spark, sf_dir):
-    e = read_table(spark, sf_dir, "events").filter(F.col("event_type") == "view").select(
-        F.lit("all").alias("key"), "event_id", "ts")
+    e = LC.accepted_progress(FX.job_events(spark, sf_dir), "job_id", start_kinds=("view",), progress_kinds=("view",))
+    e = e.select(F.lit("all").alias("key"), F.col("seq").alias("event_id"), "ts")
     return throttle(e, "key", "ts", "event_id", 1800.0).filter("emitted").drop("emitted")
 
 
 QUERIES["publish_throttle"] = q_publish_throttle
-ORACLE["publish_throttle"] = _throttle_sql("'all'", "INTERVAL 30 MINUTE", "WHERE event_type = 'view'")
+ORACLE["publish_throttle"] = _throttle_sql("'all'", "INTERVAL 30 MINUTE", ctes=SQL_JOB_STATES + """,
+running AS (SELECT e3.seq AS event_id, e3.ts FROM e3 JOIN j USING (job_id) WHERE NOT j.ciq AND kind = 'view' AND e3.st IS NOT NULL
+            AND {'ts': e3.ts, 'seq': e3.seq} > e3.st AND (e3.en IS NULL OR {'ts': e3.ts, 'seq': e3.seq} < e3.en)),""", source="running")
 
 
 # -- stalls (WIN-5): quiet gaps over one day per user ----------------------------------------------------
