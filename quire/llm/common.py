@@ -122,6 +122,13 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.n
     return mix64((pre[stops] - pre[starts]) * inv[starts])
 
 
+def salted_join(big: DataFrame, small: DataFrame, key: str, spread: list[str], how: str = "inner", salts: int = 16) -> DataFrame:
+    """``big`` joined with ``small`` (one row per key) on ``key``: a key's rows go to up to ``salts`` tasks, by the columns ``spread``."""
+    left = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
+    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [key, "_salt"], how).drop("_salt")
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str,
                     keep: Column, per_class: int, max_chars: int, seed: int) -> list[tuple[int, str]]:
     """A bounded sample of labelled texts, as (label, text) rows on the driver.

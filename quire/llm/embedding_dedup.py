@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import prepare
+from quire.llm.common import prepare, salted_join
 from quire.llm.components import connected_components
 from quire.session import materialize
 
@@ -167,23 +167,24 @@ def _count(rows: DataFrame, links: DataFrame, nodes: DataFrame, threshold: float
     """Components and link counts: the core of each component by its size, other links one by one."""
     degree = links.select(F.col("a").alias("v")).union(links.select("b")).groupBy("v").agg(F.count("*").alias("deg"))
     member = materialize(nodes.withColumnRenamed("node", "v").join(degree, "v").join(rows, "v"), "members")
-    pivot = member.groupBy("component").agg(F.max_by("x", F.struct("deg", -F.col("v"))).alias("px"))
+    whole = member.groupBy("component").agg(F.max_by("x", F.struct("deg", -F.col("v"))).alias("px"), F.min("id").alias("component_id"))
     half = math.cos(math.acos(threshold) / 2 - 1e-7)
 
     def core(batches):
         for batch in batches:
             near = [float(np.frombuffer(x, np.float64) @ np.frombuffer(p, np.float64)) >= half for x, p in zip(batch.column("x").to_pylist(), batch.column("px").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("v"), batch.column("component"), pa.array(near, pa.bool_())], ["v", "component", "core"])
+            yield pa.RecordBatch.from_arrays([batch.column("v"), batch.column("component"), batch.column("component_id"), pa.array(near, pa.bool_())],
+                                             ["v", "component", "component_id", "core"])
 
-    marked = member.select("v", "component", "x").join(pivot, "component").select("v", "component", "x", "px").mapInArrow(core, "v long, component long, core boolean")
-    marked = materialize(marked, "cores")
+    kind = rows.schema["id"].dataType.simpleString()
+    marked = salted_join(member.select("v", "component", "x"), whole, "component", ["v"]).select("v", "component", "component_id", "x", "px")
+    marked = materialize(marked.mapInArrow(core, f"v long, component long, component_id {kind}, core boolean"), "cores")
     size = marked.filter("core").groupBy("component").agg(F.count("*").alias("in_core"))
     inner = marked.filter("core").select("v")
     ends = links.join(inner.withColumnRenamed("v", "a").withColumn("ca", F.lit(True)), "a", "left").join(inner.withColumnRenamed("v", "b").withColumn("cb", F.lit(True)), "b", "left")
     outer = ends.filter(F.col("ca").isNull() | F.col("cb").isNull())
     single = outer.select(F.col("a").alias("v")).union(outer.select("b")).groupBy("v").agg(F.count("*").alias("more"))
-    least = member.groupBy("component").agg(F.min("id").alias("component_id"))
-    known = (marked.join(size, "component", "left").join(least, "component").join(single, "v", "left")
+    known = (salted_join(marked, size, "component", ["v"], "left").join(single, "v", "left")
              .select("v", "component_id", (F.when(F.col("core"), F.col("in_core") - 1).otherwise(0) + F.coalesce("more", F.lit(0))).cast("long").alias("n_links")))
     out = rows.select("v", "id").join(known, "v", "left").select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     return out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
