@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import _BASE, _INV, mix64, powers, prepare, string_bytes
+from quire.llm.common import _BASE, _INV, mix64, powers, prepare, salted_join, string_bytes
 from quire.session import materialize
 
 #: Bytes of a chunk, positions hashed at a time, names sorted by one task on average.
@@ -202,7 +202,7 @@ def _copies(chunks: DataFrame) -> DataFrame:
     """Per chunk: ``copies``, the documents whose whole text occurs again; one of each group is ``first``."""
     one = chunks.select("chunk", F.posexplode("hashes").alias("idx", "h"))
     groups = one.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("chunk", "idx")).alias("f")).filter("n > 1")
-    hit = one.join(groups, "h").select("chunk", F.struct("idx", ((F.col("f.chunk") == F.col("chunk")) & (F.col("f.idx") == F.col("idx"))).alias("first")).alias("c"))
+    hit = salted_join(one, groups, "h", ["chunk", "idx"]).select("chunk", F.struct("idx", ((F.col("f.chunk") == F.col("chunk")) & (F.col("f.idx") == F.col("idx"))).alias("first")).alias("c"))
     return materialize(hit.groupBy("chunk").agg(F.collect_list("c").alias("copies")), "copies")
 
 
