@@ -6,10 +6,13 @@ are cut into blocks of equal size that overlap by a window, so a label or a grou
 any size is spread over many tasks.  Pairs whose cosine reaches the threshold are links; their
 union across passes gives the components.
 
-A window is bounded, a group of near copies is not.  Each component therefore has a core: the vectors within
-half the threshold's angle of one member.  By the triangle inequality any two of them
-are linked, so their links are counted without comparing, and only pairs with an end outside the
-core are counted one by one.
+The passes read each distinct vector of a label once, with the number of its copies, and find the
+components.  Links are then counted exactly inside each component, whatever its size.  It has a core: the
+vectors within half the threshold's angle of one member.  By the triangle inequality any two of them
+are linked, so their links are counted without comparing.  All vectors of the component are
+packed into blocks, and for each pair of blocks outside the core the angle between
+the blocks' centres, with their radii, tells that all or none of the pairs are linked; the pairs of the blocks that this
+leaves open are compared.
 
 The number of passes grows with the logarithm of the table (``passes_for``), so that a pair at the
 threshold is missed by every pass with a probability of at most ``miss``.
@@ -29,6 +32,10 @@ from quire.session import materialize
 
 #: Signs in a key.
 KEY_BITS = 62
+#: Bytes of the vectors of a block.
+BLOCK_BYTES = 128 << 10
+#: Room for rounding in angles.
+SLACK = 1e-7
 
 
 def passes_for(n: int, window: int, threshold: float, miss: float) -> int:
@@ -68,7 +75,9 @@ def _keys(rows: list[np.ndarray], passes: int, seed: int) -> np.ndarray:
 
 
 def _vectors(df: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFrame:
-    """Written table ``v, id, label, x``: usable rows, numbered, with unit vectors as bytes of doubles."""
+    """Written table ``v, id, g, k, x``: rows, numbered, with unit vectors as bytes of doubles.
+
+    ``g`` stands for label and length, ``k`` for ``g`` and the vector; both are null where a row is not compared."""
     src = df.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vec_col).alias("x"))
 
     def run(batches):
@@ -78,12 +87,14 @@ def _vectors(df: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(x, pa.binary())], ["id", "label", "x"])
 
     kind = src.schema["id"].dataType.simpleString()
-    return materialize(src.mapInArrow(run, f"id {kind}, label string, x binary").withColumn("v", F.monotonically_increasing_id()), "vectors")
+    out = src.mapInArrow(run, f"id {kind}, label string, x binary").withColumn("v", F.monotonically_increasing_id())
+    out = out.withColumn("g", F.concat(F.length("x").cast("string"), F.lit(":"), F.col("label")))
+    return materialize(out.withColumn("k", F.sha2(F.concat(F.col("g").cast("binary"), F.col("x")), 256)).drop("label"), "vectors")
 
 
 def _ranked(keyed: DataFrame) -> DataFrame:
     """Adds ``rank``, the place of each row in the order by (pass, label, key, v)."""
-    placed = materialize(keyed.repartitionByRange("pass", "label", "key", "v").sortWithinPartitions("pass", "label", "key", "v")
+    placed = materialize(keyed.repartitionByRange("pass", "g", "key", "v").sortWithinPartitions("pass", "g", "key", "v")
                          .withColumn("at", F.monotonically_increasing_id()), "passes")
     part = F.shiftright("at", 33)
     sizes = placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()  # one row per shuffle partition
@@ -101,12 +112,11 @@ def _compare(threshold: float, window: int, block: int):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("rank")
         rank = table.column("rank").to_numpy()
-        own = rank[0] // block if table.column("block")[0].as_py() is None else table.column("block")[0].as_py()
+        own = table.column("block")[0].as_py()
         v = table.column("v").to_numpy()
-        group = np.array([f"{p}\0{g}" for p, g in zip(table.column("pass").to_pylist(), table.column("label").to_pylist())], object)
+        group = np.array([f"{p}\0{g}" for p, g in zip(table.column("pass").to_pylist(), table.column("g").to_pylist())], object)
         x = [np.frombuffer(b, np.float64) for b in table.column("x").to_pylist()]
-        size = np.array([len(a) for a in x])
-        flat = np.zeros((len(x), size.max()))
+        flat = np.zeros((len(x), max(len(a) for a in x)))
         for i, a in enumerate(x):
             flat[i, :len(a)] = a
         main = int((rank // block == own).sum())
@@ -115,7 +125,7 @@ def _compare(threshold: float, window: int, block: int):
             i = np.arange(min(main, len(x) - d))
             if not len(i):
                 break
-            i = i[(group[i] == group[i + d]) & (size[i] == size[i + d])]
+            i = i[group[i] == group[i + d]]
             cos = np.einsum("ij,ij->i", flat[i], flat[i + d])
             hit = cos >= threshold
             a_out.append(v[i[hit]])
@@ -127,64 +137,163 @@ def _compare(threshold: float, window: int, block: int):
     return run
 
 
-def near_duplicates(df: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.93,
-                    window: int = 32, passes: int | None = None, miss: float = 0.005, block: int = 2048, seed: int = 1) -> DataFrame:
-    """Columns id, ``n_links``, ``component_id``, ``kept`` for each row of ``df``.
-
-    Rows are compared when their labels are equal and not null.  Vectors that are null, empty, zero or hold
-    null or non-finite components, and vectors of different length, link with nothing; such
-    a row is its own component.  Repeated rows are rows of their own and link with each other.
-    A component's id is its least row id, null ids aside.  Other columns are not read."""
-    spark = df.sparkSession
-    prepare(spark)
-    rows = _vectors(df, id_col, vec_col, label_col)
-    usable = rows.filter(F.col("x").isNotNull() & F.col("label").isNotNull())
-    n = usable.count()
-    passes = passes or passes_for(n, window, threshold, miss)
-
+def _pass_links(vectors: DataFrame, passes: int, threshold: float, window: int, block: int, seed: int) -> DataFrame:
+    """Links ``a, b, cos`` that the windows of ``passes`` orders of the vectors meet."""
     def keys(batches):
         for batch in batches:
             k = _keys([np.frombuffer(b, np.float64) for b in batch.column("x").to_pylist()], passes, seed)
             m = batch.num_rows
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.tile(np.arange(passes, dtype=np.int32), m)), batch.column("label").take(pa.array(np.repeat(np.arange(m), passes))),
-                 pa.array(k.reshape(-1)), pa.array(np.repeat(batch.column("v").to_numpy(), passes))], ["pass", "label", "key", "v"])
+                [pa.array(np.tile(np.arange(passes, dtype=np.int32), m)), batch.column("g").take(pa.array(np.repeat(np.arange(m), passes))),
+                 pa.array(k.reshape(-1)), pa.array(np.repeat(batch.column("v").to_numpy(), passes))], ["pass", "g", "key", "v"])
 
-    keyed = usable.select("v", "label", "x").mapInArrow(keys, "pass int, label string, key long, v long")
+    keyed = vectors.select("v", "g", "x").mapInArrow(keys, "pass int, g string, key long, v long")
     ranked = _ranked(keyed)
     places = ranked.select("v", F.struct("pass", "rank").alias("p")).groupBy("v").agg(F.collect_list("p").alias("ps"))
-    spread = usable.select("v", "label", "x").join(places, "v").select("v", "label", "x", F.explode("ps").alias("p")).select("v", "label", "x", "p.pass", "p.rank")
+    spread = vectors.select("v", "g", "x").join(places, "v").select("v", "g", "x", F.explode("ps").alias("p")).select("v", "g", "x", "p.pass", "p.rank")
     own = F.floor(F.col("rank") / block)
     blocks = F.when((F.col("rank") % block < window) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
     dealt = spread.withColumn("block", F.explode(blocks))
     found = dealt.groupBy("block").applyInArrow(_compare(threshold, window, block), "a long, b long, cos double")
-    links = materialize(found.groupBy("a", "b").agg(F.max("cos").alias("cos")), "vector-links")
+    return materialize(found.groupBy("a", "b").agg(F.max("cos").alias("cos")), "vector-links")
+
+
+def near_duplicates(df: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.93,
+                    window: int = 32, passes: int | None = None, miss: float = 0.005, block: int = 2048, seed: int = 1) -> DataFrame:
+    """Columns id, ``n_links``, ``component_id``, ``kept`` for each row of ``df``.
+
+    Rows are compared when their labels are equal and not null.  Vectors that are null, empty, zero or hold
+    null or non-finite components, and vectors of different length, link with nothing; such
+    a row is its own component.  Repeated rows are rows of their own and link with each other.
+    A component's id is its least row id, null ids aside.  Other columns are not read."""
+    spark = df.sparkSession
+    prepare(spark)
+    rows = _vectors(df, id_col, vec_col, label_col)
+    vectors = materialize(rows.filter(F.col("k").isNotNull()).groupBy("k")
+                          .agg(F.min("v").alias("v"), F.first("g").alias("g"), F.first("x").alias("x"), F.min("id").alias("least"), F.count("*").alias("w")), "distinct")
+    passes = passes or passes_for(vectors.count(), window, threshold, miss)
+    links = _pass_links(vectors, passes, threshold, window, block, seed)
     nodes = connected_components(links, "a", "b")
-    return _count(rows, links, nodes, threshold).select(F.col("id").alias(id_col), "n_links", "component_id", "kept")
+    known = _count(vectors, links, nodes, threshold, seed)
+    out = salted_join(rows.select("id", "v", "k"), known, "k", ["v"], "left")
+    out = out.select(F.col("id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+    return out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias(id_col), "n_links", "component_id", "kept")
 
 
-def _count(rows: DataFrame, links: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """Components and link counts: the core of each component by its size, other links one by one."""
+def _count(vectors: DataFrame, links: DataFrame, nodes: DataFrame, threshold: float, seed: int) -> DataFrame:
+    """``k, n_links, component_id`` of each distinct vector: the core of each component by its size, all other links by blocks."""
     degree = links.select(F.col("a").alias("v")).union(links.select("b")).groupBy("v").agg(F.count("*").alias("deg"))
-    member = materialize(nodes.withColumnRenamed("node", "v").join(degree, "v").join(rows, "v"), "members")
-    whole = member.groupBy("component").agg(F.max_by("x", F.struct("deg", -F.col("v"))).alias("px"), F.min("id").alias("component_id"))
-    half = math.cos(math.acos(threshold) / 2 - 1e-7)
+    member = materialize(nodes.withColumnRenamed("node", "v").join(degree, "v").join(vectors, "v"), "members")
+    whole = member.groupBy("component").agg(F.max_by("x", F.struct("deg", -F.col("v"))).alias("px"), F.min("least").alias("component_id"))
+    half = math.cos(math.acos(threshold) / 2 - SLACK)
 
     def core(batches):
         for batch in batches:
-            near = [float(np.frombuffer(x, np.float64) @ np.frombuffer(p, np.float64)) >= half for x, p in zip(batch.column("x").to_pylist(), batch.column("px").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("v"), batch.column("component"), batch.column("component_id"), pa.array(near, pa.bool_())],
-                                             ["v", "component", "component_id", "core"])
-
-    kind = rows.schema["id"].dataType.simpleString()
-    marked = salted_join(member.select("v", "component", "x"), whole, "component", ["v"]).select("v", "component", "component_id", "x", "px")
-    marked = materialize(marked.mapInArrow(core, f"v long, component long, component_id {kind}, core boolean"), "cores")
-    size = marked.filter("core").groupBy("component").agg(F.count("*").alias("in_core"))
-    inner = marked.filter("core").select("v")
-    ends = links.join(inner.withColumnRenamed("v", "a").withColumn("ca", F.lit(True)), "a", "left").join(inner.withColumnRenamed("v", "b").withColumn("cb", F.lit(True)), "b", "left")
-    outer = ends.filter(F.col("ca").isNull() | F.col("cb").isNull())
-    single = outer.select(F.col("a").alias("v")).union(outer.select("b")).groupBy("v").agg(F.count("*").alias("more"))
-    known = (salted_join(marked, size, "component", ["v"], "left").join(single, "v", "left")
-             .select("v", "component_id", (F.when(F.col("core"), F.col("in_core") - 1).otherwise(0) + F.coalesce("more", F.lit(0))).cast("long").alias("n_links")))
-    out = rows.select("v", "id").join(known, "v", "left").select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
-    return out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
+            x = [np.frombuffer(b, np.float64) for b in batch.column("x").to_pylist()]
+            near = [float(a @ np.frombuffer(p, np.float64)) >= half for a, p in zip(x, batch.column("px").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("v", "component", "component_id", "w", "x")), pa.array(near, pa.bool_()),
+                                              pa.array(_keys(x, 1, seed)[:, 0])], ["v", "component", "component_id", "w", "x", "core", "key"])
+
+    kind = member.schema["least"].dataType.simpleString()
+    marked = salted_join(member.select("v", "component", "w", "x"), whole, "component", ["v"]).select("v", "component", "component_id", "w", "x", "px")
+    marked = materialize(marked.mapInArrow(core, f"v long, component long, component_id {kind}, w long, x binary, core boolean, key long"), "cores")
+    size = marked.filter("core").groupBy("component").agg(F.sum("w").alias("in_core"))
+    more = _block_counts(marked, threshold)
+    linked = (salted_join(marked.select("v", "component", "component_id", "w", "core"), size, "component", ["v"], "left").join(more, "v", "left")
+              .select("v", "component_id", (F.when(F.col("core"), F.col("in_core") - F.col("w")).otherwise(0) + F.coalesce("more", F.lit(0))).alias("others")))
+    return vectors.select("v", "k", "least", "w").join(linked, "v", "left").select(
+        "k", (F.coalesce("others", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
+
+
+def _pack(batches):
+    """Blocks of consecutive rows that agree in component and core, of ``BLOCK_BYTES`` or less (one vector at least)."""
+    names = ["blk", "component", "core", "weight", "vs", "ws", "xs", "centre", "radius"]
+
+    def block(head, part):
+        x = np.stack([np.frombuffer(r[2], np.float64) for r in part])
+        mean = x.sum(0)
+        centre = mean / np.sqrt(mean @ mean) if mean @ mean > 1e-12 else x[0]
+        radius = float(np.arccos(np.clip(x @ centre, -1, 1)).max()) + SLACK
+        w = np.array([r[1] for r in part], np.int64)
+        return (part[0][0], *head, int(w.sum()), np.array([r[0] for r in part], np.int64).tobytes(), w.tobytes(), x.tobytes(), centre.tobytes(), radius)
+
+    types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.float64()]
+    head, part = None, []
+    for batch in batches:
+        done = []
+        columns = [batch.column(c).to_pylist() for c in ("component", "core", "v", "w", "x")]
+        for component, core, v, w, x in zip(*columns):
+            if part and ((component, core) != head or (len(part) + 1) * len(x) > BLOCK_BYTES):
+                done.append(block(head, part))
+                part = []
+            head = (component, core)
+            part.append((v, w, x))
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), types)], names)
+    if part:
+        yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(block(head, part), types)], names)
+
+
+def _bounds(threshold: float):
+    """Keeps pairs of blocks that have links, with whether all of their pairs are (``sure``)."""
+    limit = math.acos(threshold)
+
+    def run(batches):
+        for batch in batches:
+            a, b, ra, rb = (batch.column(c).to_pylist() for c in ("ca", "cb", "ra", "rb"))
+            angle = np.array([math.acos(min(1.0, max(-1.0, float(np.frombuffer(x, np.float64) @ np.frombuffer(y, np.float64))))) for x, y in zip(a, b)])
+            reach = np.array(ra) + np.array(rb) + SLACK
+            out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(angle + reach <= limit, pa.bool_())], ["a", "b", "sure"])
+            yield out.filter(pa.array(angle - reach <= limit, pa.bool_()))
+    return run
+
+
+def _open_pairs(threshold: float):
+    """For each pair of blocks, the linked weight of every vector of either block."""
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                a, b, wa, wb, xa, xb = (batch.column(c)[i].as_py() for c in ("a", "b", "wa", "wb", "xa", "xb"))
+                wa, wb = np.frombuffer(wa, np.int64), np.frombuffer(wb, np.int64)
+                xa, xb = np.frombuffer(xa, np.float64).reshape(len(wa), -1), np.frombuffer(xb, np.float64).reshape(len(wb), -1)
+                hit = xa @ xb.T >= threshold
+                if a == b:
+                    np.fill_diagonal(hit, False)
+                sides = [(a, hit @ wb)] + ([(b, wa @ hit)] if a != b else [])
+                yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in sides]), pa.array([c.astype(np.int64).tobytes() for _, c in sides], pa.binary())], ["blk", "counts"])
+    return run
+
+
+def _add_counts(table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(c, np.int64) for c in table.column("counts").to_pylist())
+    return pa.table({"blk": table.column("blk")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
+
+def _block_counts(marked: DataFrame, threshold: float, salts: int = 16) -> DataFrame:
+    """``v, more``: the weight of the vectors linked with each vector of a component, but for links inside the core."""
+    order = ("component", "core", "key", "v")
+    blocks = materialize(marked.select(*order, "w", "x").repartitionByRange(*order).sortWithinPartitions(*order)
+                         .mapInArrow(_pack, "blk long, component long, core boolean, weight long, vs binary, ws binary, xs binary, centre binary, radius double"), "blocks")
+    left = blocks.select("component", F.col("blk").alias("a"), F.col("core").alias("core_a"), F.col("centre").alias("ca"), F.col("radius").alias("ra"),
+                         F.pmod(F.xxhash64("blk"), F.lit(salts)).cast("int").alias("salt"))
+    right = blocks.filter("not core").select("component", F.col("blk").alias("b"), F.col("centre").alias("cb"), F.col("radius").alias("rb"),
+                          F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    pairs = left.join(right, ["component", "salt"]).filter(F.col("core_a") | (F.col("a") <= F.col("b")))
+    pairs = materialize(pairs.select("a", "b", "ca", "cb", "ra", "rb").mapInArrow(_bounds(threshold), "a long, b long, sure boolean"), "block-pairs")
+    weight = blocks.select("blk", "weight")
+    sure = pairs.filter("sure")
+    whole = (sure.select(F.col("a").alias("to"), F.col("b").alias("blk")).union(sure.filter("a != b").select("b", "a"))
+             .join(weight, "blk").groupBy(F.col("to").alias("blk")).agg(F.sum("weight").alias("whole"), F.max(F.col("blk") == F.col("to")).alias("itself")))
+    packed = blocks.select("blk", "ws", "xs")
+    compared = (pairs.filter("not sure").join(packed.toDF("a", "wa", "xa"), "a").join(packed.toDF("b", "wb", "xb"), "b").select("a", "b", "wa", "wb", "xa", "xb")
+                .mapInArrow(_open_pairs(threshold), "blk long, counts binary").groupBy("blk").applyInArrow(_add_counts, "blk long, counts binary"))
+
+    def each(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                v, w = np.frombuffer(r["vs"], np.int64), np.frombuffer(r["ws"], np.int64)
+                more = np.full(len(v), r["whole"] or 0, np.int64) - (w if r["itself"] else 0) + (np.frombuffer(r["counts"], np.int64) if r["counts"] else 0)
+                yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(more)], ["v", "more"])
+
+    return (blocks.select("blk", "vs", "ws").join(whole, "blk", "left").join(compared, "blk", "left").select("vs", "ws", "whole", "itself", "counts")
+            .mapInArrow(each, "v long, more long"))

@@ -183,3 +183,31 @@ def test_embedding_odd_rows(spark):
 def test_passes_grow_with_the_logarithm():
     few, many = embedding_dedup.passes_for(10**4, 32, 0.93, 0.005), embedding_dedup.passes_for(10**8, 32, 0.93, 0.005)
     assert 2 < few < many < 40 * few
+
+
+def near(rng, base, cos, n):
+    """n unit vectors at the given cosine to ``base``, in random directions."""
+    base = base / np.linalg.norm(base)
+    side = rng.normal(size=(n, len(base)))
+    side -= np.outer(side @ base, base)
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    return cos * base + np.sqrt(1 - cos * cos) * side
+
+
+def test_links_of_groups_wider_than_a_window(spark, monkeypatch):
+    """Loose groups, two copy groups in one component, and one vector beside a copy group."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK_BYTES", 40 * 64 * 8, raising=False)
+    rng = np.random.default_rng(3)
+    loose = near(rng, rng.normal(size=64), 0.978, 300)
+    b, lone = rng.normal(size=(2, 64))
+    c, beside = near(rng, b, 0.95, 1)[0], near(rng, lone, 0.95, 1)[0]
+    x = [*loose, *[b] * 150, *[c] * 120, *[lone] * 100, beside, *rng.normal(size=(50, 64))]
+    order = rng.permutation(len(x))
+    rows = [(i, x[j].tolist(), 1) for i, j in enumerate(order)]
+    pairs = plain_links([(i, np.array(v), g) for i, v, g in rows], 0.93)
+    root = union_find(range(len(rows)), pairs)
+    degree = Counter(n for p in pairs for n in p)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)
+    got = embedding_dedup.near_duplicates(df, threshold=0.93, window=8).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {i: (degree[i], root[i]) for i in root} and len(got) == len(rows)
+    assert max(degree.values()) > 250
