@@ -14,8 +14,11 @@ packed into blocks, and for each pair of blocks outside the core the angle betwe
 the blocks' centres, with their radii, tells that all or none of the pairs are linked; the pairs of the blocks that this
 leaves open are compared.
 
-The number of passes grows with the logarithm of the table (``passes_for``), so that a pair at the
-threshold is missed by every pass with a probability of at most ``miss``.
+The first passes grow in number with the logarithm of the table (``passes_for``).  Signs do not split every
+table evenly, so the crowding is measured: where a vector shares L leading signs with the neighbours a
+window away, whatever shares L + 1 signs with it is compared.  Every second pass takes the signs
+about the mean of the label.  Vectors whose links at the threshold may still be missed with more than the probability
+``miss`` go through further passes among themselves, and what those leave over is compared by blocks.
 """
 from __future__ import annotations
 
@@ -32,6 +35,10 @@ from quire.session import materialize
 
 #: Signs in a key.
 KEY_BITS = 62
+#: So few vectors that may still miss a link are compared by blocks at once.
+FEW = 1 << 14
+#: Passes after which the vectors that may still miss a link are compared by blocks.
+MOST_PASSES = 128
 #: Bytes of the vectors of a block.
 BLOCK_BYTES = 128 << 10
 #: Room for rounding in angles.
@@ -59,8 +66,10 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt(v @ v)
 
 
-def _keys(rows: list[np.ndarray], passes: int, seed: int) -> np.ndarray:
-    """Sign keys (rows x passes); the hyperplanes depend on the dimension, the pass and the seed alone."""
+def _keys(rows: list[np.ndarray], passes: int, seed: int, first: int = 0, means: list[np.ndarray] | None = None) -> np.ndarray:
+    """Sign keys (rows x passes) from pass ``first`` on; the hyperplanes depend on the dimension, the pass and the seed alone.
+
+    With ``means``, odd passes take the signs of the differences from them."""
     out = np.zeros((len(rows), passes), np.int64)
     by_size: dict[int, list[int]] = {}
     for i, v in enumerate(rows):
@@ -68,9 +77,10 @@ def _keys(rows: list[np.ndarray], passes: int, seed: int) -> np.ndarray:
     weight = (1 << np.arange(KEY_BITS - 1, -1, -1)).astype(np.int64)
     for size, at in by_size.items():
         x = np.stack([rows[i] for i in at])
+        y = x if means is None else x - np.stack([means[i] for i in at])
         for p in range(passes):
-            plane = np.random.default_rng([seed, p, size]).standard_normal((size, KEY_BITS))
-            out[at, p] = (x @ plane > 0) @ weight
+            plane = np.random.default_rng([seed, first + p, size]).standard_normal((size, KEY_BITS))
+            out[at, p] = ((y if (first + p) % 2 else x) @ plane > 0) @ weight
     return out
 
 
@@ -108,7 +118,61 @@ def _ranked(keyed: DataFrame) -> DataFrame:
     return placed.withColumn("rank", first[part] + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)))
 
 
+def _means(vectors: DataFrame) -> DataFrame:
+    """``g, mean`` of the vectors of each label and length; each task sends one sum a label."""
+    def part(batches):
+        total: dict[str, list] = {}
+
+        def flush():
+            return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([t[0] for t in total.values()], pa.int64()),
+                                               pa.array([t[1].tobytes() for t in total.values()], pa.binary())], ["g", "n", "s"])
+
+        for batch in batches:
+            for g, b in zip(batch.column("g").to_pylist(), batch.column("x").to_pylist()):
+                t = total.setdefault(g, [0, 0.0])
+                t[0] += 1
+                t[1] = t[1] + np.frombuffer(b, np.float64)
+            if len(total) > 1000:
+                yield flush()
+                total.clear()
+        yield flush()
+
+    def whole(table: pa.Table) -> pa.Table:
+        mean = sum(np.frombuffer(b, np.float64) for b in table.column("s").to_pylist()) / sum(table.column("n").to_pylist())
+        return pa.table({"g": table.column("g")[:1], "mean": pa.array([mean.tobytes()], pa.binary())})
+
+    return vectors.select("g", "x").mapInArrow(part, "g string, n long, s binary").groupBy("g").applyInArrow(whole, "g string, mean binary")
+
+
+def _agreement(rows: list[np.ndarray], means: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Probability that a sign of a vector and of one at the threshold from it agree (rows x 2): plain, and about the mean."""
+    chord = math.sqrt(max(0.0, 2 - 2 * threshold))
+    far = np.array([np.sqrt((x - m) @ (x - m)) for x, m in zip(rows, means)])
+    about = 1 - 2 * np.arcsin(np.minimum(1.0, chord / 2 / np.maximum(far, 1e-12))) / math.pi
+    return np.stack([np.full(len(rows), 1 - math.acos(threshold) / math.pi), about], 1)
+
+
+def _shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Leading signs that two keys share."""
+    x = a ^ b
+    high, low = x >> 31, x & ((1 << 31) - 1)
+    return KEY_BITS - np.where(high > 0, 31 + np.frexp(high.astype(np.float64))[1], np.frexp(low.astype(np.float64))[1])
+
+
+def _missing(key: np.ndarray, group: np.ndarray, agree: np.ndarray, window: int) -> np.ndarray:
+    """Log-probability that the windows miss a pair at the threshold, for each row in the order of ranks."""
+    need = np.zeros(len(key))
+    i = np.arange(max(0, len(key) - window))
+    i = i[group[i] == group[i + window]]
+    share = _shared(key[i], key[i + window]) + 1
+    need[i] = share
+    need[i + window] = np.maximum(need[i + window], share)
+    met = np.where(need > KEY_BITS, 0.0, agree ** need)
+    return np.where(met >= 1, -50.0, np.log1p(-np.minimum(met, 1 - 1e-15)))
+
+
 def _compare(threshold: float, window: int, block: int):
+    """Links ``a, b, cos`` of a block's rows with the rows after them, and ``a``, no ``b``, and the log-probability of a miss."""
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("rank")
         rank = table.column("rank").to_numpy()
@@ -119,12 +183,11 @@ def _compare(threshold: float, window: int, block: int):
         flat = np.zeros((len(x), max(len(a) for a in x)))
         for i, a in enumerate(x):
             flat[i, :len(a)] = a
-        main = int((rank // block == own).sum())
+        mine = np.flatnonzero(rank // block == own)
+        lost = _missing(table.column("key").to_numpy(), group, table.column("agree").to_numpy(), window)[mine]
         a_out, b_out, c_out = [], [], []
         for d in range(1, window + 1):
-            i = np.arange(min(main, len(x) - d))
-            if not len(i):
-                break
+            i = mine[mine < len(x) - d]
             i = i[group[i] == group[i + d]]
             cos = np.einsum("ij,ij->i", flat[i], flat[i + d])
             hit = cos >= threshold
@@ -133,29 +196,93 @@ def _compare(threshold: float, window: int, block: int):
             c_out.append(cos[hit])
         a, b = (np.concatenate(o) if o else np.zeros(0, np.int64) for o in (a_out, b_out))
         cos = np.concatenate(c_out) if c_out else np.zeros(0)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "cos": cos})
+        return pa.table({"a": pa.array(np.concatenate([np.minimum(a, b), v[mine]])), "b": pa.concat_arrays([pa.array(np.maximum(a, b)), pa.nulls(len(mine), pa.int64())]),
+                         "cos": pa.array(np.concatenate([cos, lost]))})
     return run
 
 
-def _pass_links(vectors: DataFrame, passes: int, threshold: float, window: int, block: int, seed: int) -> DataFrame:
-    """Links ``a, b, cos`` that the windows of ``passes`` orders of the vectors meet."""
+def _pass_links(vectors: DataFrame, passes: int, first: int, threshold: float, window: int, block: int, seed: int) -> DataFrame:
+    """Links ``a, b, cos`` that the windows of ``passes`` orders of the vectors meet; with no ``b``, the log-probability that they miss one of ``a``."""
     def keys(batches):
         for batch in batches:
-            k = _keys([np.frombuffer(b, np.float64) for b in batch.column("x").to_pylist()], passes, seed)
+            x, mean = ([np.frombuffer(b, np.float64) for b in batch.column(c).to_pylist()] for c in ("x", "mean"))
+            k, agree = _keys(x, passes, seed, first, mean), _agreement(x, mean, threshold)[:, (first + np.arange(passes)) % 2]
             m = batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.tile(np.arange(passes, dtype=np.int32), m)), batch.column("g").take(pa.array(np.repeat(np.arange(m), passes))),
-                 pa.array(k.reshape(-1)), pa.array(np.repeat(batch.column("v").to_numpy(), passes))], ["pass", "g", "key", "v"])
-
-    keyed = vectors.select("v", "g", "x").mapInArrow(keys, "pass int, g string, key long, v long")
-    ranked = _ranked(keyed)
-    places = ranked.select("v", F.struct("pass", "rank").alias("p")).groupBy("v").agg(F.collect_list("p").alias("ps"))
-    spread = vectors.select("v", "g", "x").join(places, "v").select("v", "g", "x", F.explode("ps").alias("p")).select("v", "g", "x", "p.pass", "p.rank")
-    own = F.floor(F.col("rank") / block)
-    blocks = F.when((F.col("rank") % block < window) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
-    dealt = spread.withColumn("block", F.explode(blocks))
+                 pa.array(k.reshape(-1)), pa.array(agree.reshape(-1)), pa.array(np.repeat(batch.column("v").to_numpy(), passes))], ["pass", "g", "key", "agree", "v"])
+
+    centred = salted_join(vectors.select("v", "g", "x"), _means(vectors), "g", ["v"]).select("v", "g", "x", "mean")
+    ranked = _ranked(centred.mapInArrow(keys, "pass int, g string, key long, agree double, v long"))
+    places = ranked.select("v", F.struct("pass", "rank", "key", "agree").alias("p")).groupBy("v").agg(F.collect_list("p").alias("ps"))
+    spread = vectors.select("v", "g", "x").join(places, "v").select("v", "g", "x", F.explode("ps").alias("p")).select("v", "g", "x", "p.*")
+    own, at = F.floor(F.col("rank") / block), F.col("rank") % block
+    before = F.when((at < window) & (own > 0), F.array(own - 1)).otherwise(F.array().cast("array<bigint>"))
+    after = F.when(at >= block - window, F.array(own + 1)).otherwise(F.array().cast("array<bigint>"))
+    dealt = spread.withColumn("block", F.explode(F.concat(F.array(own), before, after)))
     found = dealt.groupBy("block").applyInArrow(_compare(threshold, window, block), "a long, b long, cos double")
-    return materialize(found.groupBy("a", "b").agg(F.max("cos").alias("cos")), "vector-links")
+    return materialize(found.groupBy("a", "b").agg(F.when(F.col("b").isNull(), F.sum("cos")).otherwise(F.max("cos")).alias("cos")), "vector-links")
+
+
+def _links(vectors: DataFrame, passes: int | None, threshold: float, window: int, miss: float, block: int, seed: int) -> DataFrame:
+    """Links enough for the components: passes over all vectors, then over those that may have missed a link, then blocks of the rest."""
+    links, first, rest, n = None, 0, vectors.select("v", "g", "x", F.lit(0.0).alias("lost")), vectors.count()
+    while True:
+        number = passes or passes_for(n, window, threshold, miss)
+        found = _pass_links(rest, number, first, threshold, window, block, seed)
+        met = found.filter("b is not null").select("a", "b")
+        links = met if links is None else links.union(met)
+        if passes:
+            return links.distinct()
+        first += number
+        lost = found.filter("b is null").select(F.col("a").alias("v"), F.col("cos").alias("more"))
+        rest = materialize(rest.join(lost, "v").withColumn("lost", F.col("lost") + F.col("more")).drop("more").filter(F.col("lost") > math.log(miss)), "vectors-left")
+        before, n = n, rest.count()
+        if not n:
+            return links.distinct()
+        if n <= FEW or n > 0.7 * before or first >= MOST_PASSES:
+            return links.union(_block_links(rest, threshold, seed)).distinct()
+
+
+def _forest(threshold: float):
+    """Links that join what the links of a pair of blocks join, fewer than the blocks have vectors."""
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                va, vb, xa, xb = (batch.column(c)[i].as_py() for c in ("va", "vb", "xa", "xb"))
+                va, vb = np.frombuffer(va, np.int64), np.frombuffer(vb, np.int64)
+                xa, xb = np.frombuffer(xa, np.float64).reshape(len(va), -1), np.frombuffer(xb, np.float64).reshape(len(vb), -1)
+                root: dict[int, int] = {}
+
+                def find(y):
+                    while root.get(y, y) != y:
+                        y = root[y]
+                    return y
+
+                out = []
+                for j, k in zip(*np.nonzero(xa @ xb.T >= threshold)):
+                    a, b = find(int(va[j])), find(int(vb[k]))
+                    if a != b:
+                        root[max(a, b)] = min(a, b)
+                        out.append((min(va[j], vb[k]), max(va[j], vb[k])))
+                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], ["a", "b"])
+    return run
+
+
+def _block_links(vectors: DataFrame, threshold: float, seed: int) -> DataFrame:
+    """Links of all vectors of equal ``g`` that join what any of their links join."""
+    def key(batches):
+        for batch in batches:
+            k = _keys([np.frombuffer(b, np.float64) for b in batch.column("x").to_pylist()], 1, seed)[:, 0]
+            yield pa.RecordBatch.from_arrays([batch.column("v"), batch.column("g"), batch.column("x"), pa.array(k)], ["v", "g", "x", "key"])
+
+    keyed = vectors.select("v", "g", "x").mapInArrow(key, "v long, g string, x binary, key long")
+    one = keyed.groupBy("g").agg(F.min("v").alias("component"))
+    dealt = salted_join(keyed, one, "g", ["v"]).withColumn("core", F.lit(False)).withColumn("w", F.lit(1).cast("long"))
+    blocks, pairs = _blocks(dealt, threshold)
+    packed = blocks.select("blk", "vs", "xs")
+    return (pairs.join(packed.toDF("a", "va", "xa"), "a").join(packed.toDF("b", "vb", "xb"), "b").select("va", "vb", "xa", "xb")
+            .mapInArrow(_forest(threshold), "a long, b long"))
 
 
 def near_duplicates(df: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.93,
@@ -171,8 +298,7 @@ def near_duplicates(df: DataFrame, *, id_col: str = "vec_id", vec_col: str = "em
     rows = _vectors(df, id_col, vec_col, label_col)
     vectors = materialize(rows.filter(F.col("k").isNotNull()).groupBy("k")
                           .agg(F.min("v").alias("v"), F.first("g").alias("g"), F.first("x").alias("x"), F.min("id").alias("least"), F.count("*").alias("w")), "distinct")
-    passes = passes or passes_for(vectors.count(), window, threshold, miss)
-    links = _pass_links(vectors, passes, threshold, window, block, seed)
+    links = materialize(_links(vectors, passes, threshold, window, miss, block, seed), "all-links")
     nodes = connected_components(links, "a", "b")
     known = _count(vectors, links, nodes, threshold, seed)
     out = salted_join(rows.select("id", "v", "k"), known, "k", ["v"], "left")
@@ -269,8 +395,8 @@ def _add_counts(table: pa.Table) -> pa.Table:
     return pa.table({"blk": table.column("blk")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
 
-def _block_counts(marked: DataFrame, threshold: float, salts: int = 16) -> DataFrame:
-    """``v, more``: the weight of the vectors linked with each vector of a component, but for links inside the core."""
+def _blocks(marked: DataFrame, threshold: float, salts: int = 16) -> tuple[DataFrame, DataFrame]:
+    """Written blocks of each component, and the pairs ``a, b, sure`` of them, but for pairs inside the core, that may have links."""
     order = ("component", "core", "key", "v")
     blocks = materialize(marked.select(*order, "w", "x").repartitionByRange(*order).sortWithinPartitions(*order)
                          .mapInArrow(_pack, "blk long, component long, core boolean, weight long, vs binary, ws binary, xs binary, centre binary, radius double"), "blocks")
@@ -280,6 +406,12 @@ def _block_counts(marked: DataFrame, threshold: float, salts: int = 16) -> DataF
                           F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     pairs = left.join(right, ["component", "salt"]).filter(F.col("core_a") | (F.col("a") <= F.col("b")))
     pairs = materialize(pairs.select("a", "b", "ca", "cb", "ra", "rb").mapInArrow(_bounds(threshold), "a long, b long, sure boolean"), "block-pairs")
+    return blocks, pairs
+
+
+def _block_counts(marked: DataFrame, threshold: float) -> DataFrame:
+    """``v, more``: the weight of the vectors linked with each vector of a component, but for links inside the core."""
+    blocks, pairs = _blocks(marked, threshold)
     weight = blocks.select("blk", "weight")
     sure = pairs.filter("sure")
     whole = (sure.select(F.col("a").alias("to"), F.col("b").alias("blk")).union(sure.filter("a != b").select("b", "a"))

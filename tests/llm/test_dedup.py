@@ -211,3 +211,22 @@ def test_links_of_groups_wider_than_a_window(spark, monkeypatch):
     got = embedding_dedup.near_duplicates(df, threshold=0.93, window=8).collect()
     assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {i: (degree[i], root[i]) for i in root} and len(got) == len(rows)
     assert max(degree.values()) > 250
+
+
+def test_links_among_crowded_groups_are_found(spark):
+    """Many copy groups round one centre, and beside each one vector that is linked with it alone."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for g in range(2):
+        centres = near(rng, rng.normal(size=64), 0.922, 60)
+        for c in centres:
+            rows += [(len(rows) + k, c.tolist(), g) for k in range(40)]
+            rows.append((len(rows), near(rng, c, 0.935, 1)[0].tolist(), g))
+    label = np.array([r[2] for r in rows])
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    hit = (x @ x.T >= 0.93) & (label[:, None] == label)
+    root = union_find(range(len(rows)), [(int(a), int(b)) for a, b in zip(*np.nonzero(hit)) if a < b])
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)
+    got = embedding_dedup.near_duplicates(df, threshold=0.93).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {i: (int(hit[i].sum()) - 1, root[i]) for i in root}
