@@ -11,7 +11,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chat_format, embedding_dedup, fingerprints, langid, mixing, quality, sentencepiece_codec, simhash, suffix_dedup, toxicity
+from quire.llm import chat_format, embedding_dedup, fingerprints, langid, merkle, mixing, quality, quality_rules, sentencepiece_codec, simhash, suffix_dedup, toxicity, whitening
 from quire.llm.common import crc_remainder
 
 
@@ -88,6 +88,23 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc_remainder("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, votes and verdict of the quality rules for every document."""
+    return quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 16 whitened components of every vector, as whole numbers of 1/64 before centring."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=16, scale=64, offset=1_000_000)
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle proof of every document; a fifth of the rows is found with its capitals lower-cased."""
+    tampered = crc_remainder("doc_id", 5) == 0
+    found = F.when(tampered & F.col("doc_id").isNotNull(), merkle.lower_ascii(F.col("text"))).otherwise(F.col("text"))
+    return merkle.manifest(table(spark, sf_dir, "documents"), seen={"text": found})
+
+
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_toxicity": op2_toxicity,
@@ -99,9 +116,43 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_chat_format": op9_chat_format,
     "op10_quality": op10_quality,
+    "op11_quality_rules": op11_quality_rules,
+    "op12_whitening": op12_whitening,
+    "op13_merkle": op13_merkle,
 }
 
+def merkle_sql(levels: int = 5) -> str:
+    """DuckDB twin of ``op13_merkle`` for up to 16 ** levels rows a source and as many sources."""
+    framed = lambda c: f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(framed(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    step = "list_reduce(list_prepend(xor(c, x), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda b, z: CASE WHEN b % 2 = 1 THEN xor(b >> 1, 3988292384) ELSE b >> 1 END)"
+    crc = f"xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(str_split(doc_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)), lambda c, x: {step}))"
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    parts = [f"""d AS (SELECT doc_id, CASE WHEN source IS NULL THEN '0' ELSE '1' || source END AS k, {leaf('text')} AS leaf,
+                          CASE WHEN {crc} % 5 = 0 THEN {leaf(lowered)} ELSE {leaf('text')} END AS seen FROM documents)""",
+             "a0 AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS j, leaf AS h, doc_id, seen FROM d)",
+             "af0 AS (SELECT doc_id, k AS own, k, j, h AS leaf, seen AS f, '' AS sib FROM a0)"]
+
+    def climb(t: str) -> None:
+        for i in range(levels):
+            side = f"string_agg(h, '') OVER (PARTITION BY k, j // 16 ORDER BY j ROWS BETWEEN"
+            parts.append(f"""{t}w{i} AS (SELECT k, j, h, count(*) OVER (PARTITION BY k) AS n, coalesce({side} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS b,
+                             coalesce({side} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS e FROM {t}{i})""")
+            parts.append(f"{t}{i + 1} AS (SELECT k, j // 16 AS j, CASE WHEN any_value(n) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY j)) END AS h FROM {t}w{i} GROUP BY k, j // 16)")
+            parts.append(f"""{t}f{i + 1} AS (SELECT doc_id, own, k, f.j // 16 AS j, leaf, CASE WHEN n = 1 THEN f ELSE sha256(b || f || e) END AS f, sib || b || e AS sib
+                             FROM {t}f{i} f JOIN {t}w{i} w USING (k) WHERE w.j = f.j)""")
+
+    climb("a")
+    parts.append(f"b0 AS (SELECT '' AS k, row_number() OVER (ORDER BY k) - 1 AS j, h, k AS own FROM a{levels})")
+    parts.append(f"bf0 AS (SELECT doc_id, a.own, '' AS k, b0.j, leaf, f, sib FROM af{levels} a JOIN b0 USING (own))")
+    climb("b")
+    return f"""WITH {', '.join(parts)}
+        SELECT doc_id, leaf, s.h AS subroot, r.h AS root, sha256(sib) AS proof_sha256, f AS folded_root, f = r.h AS verified
+        FROM bf{levels} x JOIN a{levels} s ON s.k = x.own JOIN b{levels} r ON true"""
+
+
 ORACLE: dict[str, str] = {
+    "op13_merkle": merkle_sql(),
     "op1_embedding_dedup": """
         WITH RECURSIVE v AS (
             SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
