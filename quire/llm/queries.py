@@ -61,9 +61,14 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the bytes of 400-byte strings that start anywhere else too."""
-    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=400)
-    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    """Every document without the bytes of 400-byte strings that start anywhere else too.
+
+    Further columns: ``spans`` that were removed, and the passages of over 50 words that start anywhere else too, however
+    few bytes they have: ``n_passages`` and ``passage_bytes``, which the 400 bytes do not decide."""
+    docs = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), carry=["doc_id", "text"], length=51, unit="words")
+    docs = docs.select("doc_id", "text", F.size("spans").cast("long").alias("n_passages"), F.col("n_removed").alias("passage_bytes"))
+    out = suffix_dedup.remove_repeats(docs, carry=["doc_id", "n_passages", "passage_bytes"], length=400)
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "spans", "n_passages", "passage_bytes")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

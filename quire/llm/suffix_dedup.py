@@ -20,6 +20,9 @@ range of names, whose number grows with the input.  Documents with an exact copy
 by a 128-bit hash; one of each group stands for all.
 
 Names are 64 bits: two different strings share one with a probability of about 5e-20.
+
+The unit of a string is a byte or a word: with ``unit="words"`` the symbols that are sampled, named and compared are the
+64-bit hashes of the words, and a repeated string is removed from the start of its first word to the end of its last.
 """
 from __future__ import annotations
 
@@ -32,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import _BASE, _INV, mix64, powers, prepare, salted_join, string_bytes
+from quire.llm.common import _BASE, _INV, mix64, powers, prepare, salted_join, span_hashes, string_bytes, word_bounds
 from quire.session import materialize
 
 #: Bytes of a chunk, positions hashed at a time, names sorted by one task on average.
@@ -53,10 +56,12 @@ def difference_cover(limit: int) -> tuple[int, np.ndarray]:
 
 
 class Plan:
-    """Sampling constants for a string length."""
+    """Sampling constants for a string length, in units."""
 
-    def __init__(self, length: int):
-        self.length = length
+    def __init__(self, length: int, unit: str = "bytes"):
+        if unit not in ("bytes", "words"):
+            raise ValueError(f"unknown unit: {unit}")
+        self.length, self.unit = length, unit
         self.period, cover = difference_cover(length // 2)
         self.depth = length - self.period + 1
         self.sampled = np.zeros(self.period, bool)
@@ -154,6 +159,15 @@ def _chunk(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(row["data"], np.uint8), off, role
 
 
+def symbols(plan: Plan, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of a chunk, the n+1 offsets of its documents among them, and the bytes where each starts and stops."""
+    if plan.unit == "bytes":
+        at = np.arange(len(data))
+        return data, off, at, at + 1
+    starts, stops, bounds = word_bounds(data, off)
+    return span_hashes(data, starts, stops), bounds, starts, stops
+
+
 def make_chunks(docs: DataFrame, carry: list[str], text_col: str) -> DataFrame:
     """Written table of chunks: id, carried columns and byte sizes of their documents, 128-bit text hashes, bytes."""
     spark = docs.sparkSession
@@ -207,9 +221,11 @@ def _copies(chunks: DataFrame) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, length: int = 400,
-                   as_text: bool = False) -> DataFrame:
+                   unit: str = "bytes", as_text: bool = False) -> DataFrame:
     """Remove every byte covered by a ``length``-byte string that also starts anywhere else.
 
+    With ``unit="words"`` strings are of ``length`` words (runs without ASCII white space), whatever stands between the words.
+
     Columns ``carry`` (default: the id), ``n_bytes``, ``n_removed``, ``spans`` (maximal removed runs, in bytes
     of the UTF-8 text) and ``kept`` (binary: the remaining bytes, which may cut a character; with
     ``as_text`` a string without the bytes of cut characters).  Occurrences in
@@ -218,16 +234,18 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     each other; other columns, also ones named like the results, are not read unless carried."""
     spark = docs.sparkSession
     prepare(spark)
-    plan = Plan(length)
+    plan = Plan(length, unit)
     carry = carry or [id_col]
     chunks = make_chunks(docs, carry, text_col)
     copies = _copies(chunks)
     total = chunks.select(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    total = total if unit == "bytes" else total / 2  # a word and its separator
     sample_bits, window_bits = _bits(total * plan.sampled.mean()), _bits(total / 2)
     sent = "bucket int, chunk long, names binary"
 
     def sample_names(row):
         data, off, role = _chunk(row)
+        data, off, *_ = symbols(plan, data, off)
         pos = sample_positions(plan, off, role < 2)
         return data, off, role, pos, name_spans(data, pos, plan.depth)
 
@@ -268,18 +286,22 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 gone = np.cumsum(gone[:-1]) > 0
                 for d in np.flatnonzero((role > 0) & (np.diff(off) >= length)):
                     gone[off[d]:off[d + 1]] = True
+                raw, bounds, _ = _chunk(row)
+                _, _, starts, stops = symbols(plan, raw, bounds)
                 n_removed, spans, kept = [], [], []
-                for a, b in zip(off[:-1], off[1:]):
-                    g = gone[a:b]
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], g.view(np.int8), [0]])))
-                    spans.append([{"start": int(s), "stop": int(e)} for s, e in zip(edge[::2], edge[1::2])])
-                    n_removed.append(int(g.sum()))
-                    kept.append(data[a:b][~g].tobytes() if len(edge) else data[a:b].tobytes())
+                for i_doc, (a, b) in enumerate(zip(off[:-1], off[1:])):
+                    edge = np.flatnonzero(np.diff(np.concatenate([[0], gone[a:b].view(np.int8), [0]]))) + a
+                    cuts = list(zip(starts[edge[::2]].tolist(), stops[edge[1::2] - 1].tolist()))
+                    first, last = int(bounds[i_doc]), int(bounds[i_doc + 1])
+                    spans.append([{"start": s - first, "stop": e - first} for s, e in cuts])
+                    n_removed.append(sum(e - s for s, e in cuts))
+                    edges = [first, *[x for c in cuts for x in c], last]
+                    kept.append(b"".join(raw[s:e].tobytes() for s, e in zip(edges[::2], edges[1::2])))
                 if as_text:
                     kept = [k.decode("utf-8", "ignore") for k in kept]
                 rows = batch.column("rows").slice(i, 1).flatten()
                 yield pa.RecordBatch.from_arrays(
-                    [*rows.flatten(), pa.array(np.diff(off)), pa.array(n_removed, pa.int64()),
+                    [*rows.flatten(), pa.array(np.diff(bounds)), pa.array(n_removed, pa.int64()),
                      pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(kept, pa.string() if as_text else pa.binary())], schema.names)
 
     done = chunks.select("chunk", "sizes", "data", "rows").join(copies, "chunk", "left").join(samples, "chunk", "left").join(windows, "chunk", "left").mapInArrow(finish, schema)

@@ -14,7 +14,7 @@ import corpus_pipeline
 from quire.llm import chat_format, fingerprints, langid, mixing, queries
 from scripts.check_oracle import TABLES, digest
 from tests.conftest import SF_SMALL
-from tests.llm.test_dedup import plain_repeats, plain_simhash, union_find
+from tests.llm.test_dedup import plain_simhash, plain_word_repeats, union_find
 
 
 # chat formatting
@@ -231,7 +231,7 @@ def test_pipeline_stages_against_plain_versions(spark):
     root = union_find(ids, [(a, b) for i, a in enumerate(ids) for b in ids[:i] if (fp[a] ^ fp[b]).bit_count() <= 3])
     assert sorted(r.doc_id for r in results[1]) == sorted(set(root.values()))
     left = {r.doc_id: r for r in results[2]}
-    for r, (_, _, _, kept) in zip(results[1], plain_repeats([r.text for r in results[1]], 400)):
+    for r, (_, _, _, kept) in zip(results[1], plain_word_repeats([r.text for r in results[1]], corpus_pipeline.PASSAGE_WORDS)):
         assert left[r.doc_id].text == kept.decode("utf-8", "ignore") and left[r.doc_id].n_chars == len(left[r.doc_id].text)
     copies = {r.doc_id: r.copies for r in mixing.mix(spark.createDataFrame(results[2], docs.schema)).collect()}
     assert sorted(r.doc_id for r in results[3]) == sorted(d for d, c in copies.items() for _ in range(c))

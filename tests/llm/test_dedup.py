@@ -1,6 +1,7 @@
 """SimHash, repeated strings and embeddings against brute force."""
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -98,6 +99,37 @@ def plain_repeats(texts, size):
     return out
 
 
+def plain_word_repeats(texts, size):
+    """(bytes, removed, runs, rest) with strings of ``size`` words."""
+    found = [[(m.start(), m.end(), m.group()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", (t or "").encode())] for t in texts]
+    seen = Counter(tuple(w[2] for w in f[i:i + size]) for f in found for i in range(len(f) - size + 1))
+    out = []
+    for t, f in zip(texts, found):
+        raw = (t or "").encode()
+        gone = np.zeros(len(f), bool)
+        for i in range(len(f) - size + 1):
+            if seen[tuple(w[2] for w in f[i:i + size])] > 1:
+                gone[i:i + size] = True
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(int), [0]])))
+        cuts = [(f[a][0], f[b - 1][1]) for a, b in zip(edge[::2], edge[1::2])]
+        edges = [0, *[x for c in cuts for x in c], len(raw)]
+        out.append((len(raw), sum(b - a for a, b in cuts), len(cuts), b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))))
+    return out
+
+
+@pytest.mark.parametrize("size,chunk", [(1, 300), (4, 300), (31, 4 << 20)])
+def test_repeated_words_match_plain_search(spark, monkeypatch, size, chunk):
+    monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
+    rnd = random.Random(size)
+    passage = " ".join(f"p{i}é" for i in range(40))
+    texts = [None, "", "  ", "one", passage, "x " + passage.replace(" ", "\n\t") + " y", passage, "z " * 60, " " + " ".join(f"q{i}" for i in range(60)) + "\n"]
+    texts += [" ".join(rnd.choice([passage, *(f"w{rnd.randint(0, 400)}" for _ in range(6))]) for _ in range(rnd.randint(1, 30))) for _ in range(40)]
+    texts += [" ".join(f"w{rnd.randint(0, 10**6)}" for _ in range(5000)) + " " + " ".join(passage.split()[:31])]
+    df = spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate(texts)], "doc_id long, text string, n_bytes int, kept string").repartition(4)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in suffix_dedup.remove_repeats(df, length=size, unit="words").collect()}
+    assert got == dict(enumerate(plain_word_repeats(texts, size)))
+
+
 @pytest.mark.parametrize("limit", [5, 13, 72, 73, 181, 200, 500])
 def test_difference_cover_has_every_residue(limit):
     period, cover = suffix_dedup.difference_cover(limit)
