@@ -15,6 +15,8 @@ from quire.llm import langid, mixing, sentencepiece_codec, simhash, suffix_dedup
 from quire.session import scratch_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Words of the shortest repeated passage that goes.
+PASSAGE_WORDS = 51
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +34,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeat_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut out every 400-byte string that starts anywhere else too; all documents stay, also emptied ones."""
-    out = suffix_dedup.remove_repeats(docs, carry=["doc_id", "lang", "source"], length=400, as_text=True)
+    """Cut out every passage of over 50 words that starts anywhere else too; all documents stay, also emptied ones.
+
+    Counted in words, not in bytes: 51 words have some 300 bytes in prose and may have a third of that, and a byte length that
+    short would also cut phrases that clean documents share."""
+    out = suffix_dedup.remove_repeats(docs, carry=["doc_id", "lang", "source"], length=PASSAGE_WORDS, unit="words", as_text=True)
     return out.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
 
 
