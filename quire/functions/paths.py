@@ -11,6 +11,31 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+#: Segments folded at a time; the folded runs are then joined, so long paths cost no square of their length.
+RUN = 128
+
+
+def _fold_run(segments: Column) -> Column:
+    """A run of segments as (``ups``: levels that it leaves above its start, ``stack``: segments that it adds)."""
+    init = F.struct(F.lit(0).alias("ups"), F.array().cast("array<string>").alias("stack"))
+
+    def step(acc, seg):
+        popped = F.struct(acc["ups"].alias("ups"), F.slice(acc["stack"], 1, F.size(acc["stack"]) - 1).alias("stack"))
+        above = F.struct((acc["ups"] + 1).alias("ups"), acc["stack"].alias("stack"))
+        pushed = F.struct(acc["ups"].alias("ups"), F.array_append(acc["stack"], seg).alias("stack"))
+        return (F.when((seg == "") | (seg == "."), acc)
+                .when(seg == "..", F.when(F.size(acc["stack"]) == 0, above).otherwise(popped))
+                .otherwise(pushed))
+
+    return F.aggregate(segments, init, step)
+
+
+def _join_runs(acc: Column, run: Column) -> Column:
+    left = F.size(acc["stack"]) - run["ups"]
+    return F.struct((acc["ups"] + F.greatest(-left, F.lit(0))).alias("ups"),
+                    F.concat(F.slice(acc["stack"], 1, F.greatest(left, F.lit(0))), run["stack"]).alias("stack"))
+
+
 def normalise(path) -> Column:
     """struct<path: string, escapes: boolean>.
 
@@ -19,20 +44,16 @@ def normalise(path) -> Column:
     absolute - such paths are refused by ``resolve`` (symlinks are not followed).
     """
     p = _c(path)
-    init = F.struct(F.array().cast("array<string>").alias("stack"), F.lit(False).alias("bad"))
 
-    def step(acc, seg):
-        popped = F.struct(F.slice(acc["stack"], 1, F.size(acc["stack"]) - 1).alias("stack"), acc["bad"].alias("bad"))
-        under = F.struct(acc["stack"].alias("stack"), F.lit(True).alias("bad"))
-        pushed = F.struct(F.array_append(acc["stack"], seg).alias("stack"), acc["bad"].alias("bad"))
-        return (F.when((seg == "") | (seg == "."), acc)
-                .when(seg == "..", F.when(F.size(acc["stack"]) == 0, under).otherwise(popped))
-                .otherwise(pushed))
+    def folded(segments):
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(segments) - 1) / RUN).cast("int")), lambda i: _fold_run(F.slice(segments, i * RUN + 1, F.lit(RUN))))
+        init = F.struct(F.lit(0).alias("ups"), F.array().cast("array<string>").alias("stack"))
+        return F.aggregate(runs, init, _join_runs)
 
-    folded = F.aggregate(F.split(p, "/", -1), init, step)
-    return F.when(p.isNull(), F.lit(None)).otherwise(F.struct(
-        F.array_join(folded["stack"], "/").alias("path"),
-        (folded["bad"] | p.startswith("/")).alias("escapes")))
+    # the segments are bound to a variable, so that they are split once
+    both = F.transform(F.array(F.split(p, "/", -1)), lambda s: folded(s))[0]
+    return F.when(p.isNull(), F.lit(None)).otherwise(F.transform(F.array(both), lambda f: F.struct(
+        F.array_join(f["stack"], "/").alias("path"), ((f["ups"] > 0) | p.startswith("/")).alias("escapes")))[0])
 
 
 def resolve(path) -> Column:
@@ -45,18 +66,24 @@ def relativize(path, root) -> Column:
     """Path of ``path`` relative to ``root`` with '/' separators, like a relpath:
     both are normalised, the common leading segments dropped and one '..' added
     per remaining root segment.  Null stays null."""
-    ps = F.filter(F.split(normalise(path)["path"], "/"), lambda s: s != "")
-    rs = F.filter(F.split(normalise(root)["path"], "/"), lambda s: s != "")
-    m = F.least(F.size(ps), F.size(rs))
-    same = F.transform(F.sequence(F.lit(1), F.greatest(m, F.lit(1))),
-                       lambda i: F.when(i <= m, F.element_at(ps, i) == F.element_at(rs, i)).otherwise(False))
-    first_diff = F.array_position(same, False)
-    k = F.when(first_diff == 0, m).otherwise(F.least(first_diff - 1, m))
-    ups = F.transform(F.sequence(F.lit(1), F.size(rs) - k + 1), lambda _: F.lit(".."))
-    ups = F.slice(ups, 1, F.size(rs) - k)
-    rest = F.slice(ps, k + 1, F.greatest(F.size(ps) - k, F.lit(0)))
-    out = F.array_join(F.concat(ups, rest), "/")
-    return F.when(_c(path).isNull(), F.lit(None)).otherwise(F.when(out == "", ".").otherwise(out))
+    def segments(x):
+        return F.filter(F.split(normalise(x)["path"], "/"), lambda s: s != "")
+
+    def relative(ps, rs):
+        m = F.least(F.size(ps), F.size(rs))
+        same = F.transform(F.sequence(F.lit(1), F.greatest(m, F.lit(1))),
+                           lambda i: F.when(i <= m, F.element_at(ps, i) == F.element_at(rs, i)).otherwise(False))
+        first_diff = F.array_position(same, False)
+        k = F.when(first_diff == 0, m).otherwise(F.least(first_diff - 1, m))
+        ups = F.transform(F.sequence(F.lit(1), F.size(rs) - k + 1), lambda _: F.lit(".."))
+        ups = F.slice(ups, 1, F.size(rs) - k)
+        rest = F.slice(ps, k + 1, F.greatest(F.size(ps) - k, F.lit(0)))
+        return F.array_join(F.concat(ups, rest), "/")
+
+    # both segment lists are bound to variables: each is computed once
+    out = F.transform(F.array(F.struct(segments(path).alias("p"), segments(root).alias("r"))), lambda x: relative(x["p"], x["r"]))[0]
+    out = F.transform(F.array(out), lambda o: F.when(o == "", ".").otherwise(o))[0]
+    return F.when(_c(path).isNull(), F.lit(None)).otherwise(out)
 
 
 def parse_subdir(source_name, backend, method) -> Column:

@@ -2,7 +2,7 @@
 
 ``extract(df, parser)`` runs a user parser over many documents inside Spark
 tasks with ``mapInArrow``: the parser is opened once per Python worker (models
-load once, like the reference's warm worker), each document is parsed inside
+load once), each document is parsed inside
 its own try/except so one bad document yields an ``error`` row instead of a
 failed task, and only slim results (Markdown, counts, blocks) come back.
 
@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from quire.functions.blocks import BLOCK_STRUCT, CONTENT_LIST
 from quire.functions.options import OPTIONS_STRUCT
+from quire.session import ship_package
 
 NO_MARKDOWN_ERROR = "RuntimeError: parser produced no markdown output"
 
@@ -64,6 +65,43 @@ def _slices(rb: pa.RecordBatch):
         yield rb.slice(i, step)
 
 
+def _fits(value: Any, kind: T.DataType) -> bool:
+    if value is None:
+        return True
+    if isinstance(kind, T.ArrayType):
+        return isinstance(value, (list, tuple)) and all(_fits(v, kind.elementType) for v in value)
+    if isinstance(kind, T.IntegerType):
+        return isinstance(value, int) and not isinstance(value, bool) and -(1 << 31) <= value < 1 << 31
+    return isinstance(value, str)
+
+
+def checked_result(found: Any) -> tuple[str | None, list[dict] | None, str | None]:
+    """(markdown, blocks, error) of what a parser returned; raises TypeError where it does not fit the result schema.
+
+    No blocks (None) are an empty list; fields that the schema lacks are left out."""
+    markdown, blocks = found
+    if markdown is None:
+        return None, None, NO_MARKDOWN_ERROR
+    if not isinstance(markdown, str):
+        raise TypeError(f"markdown is {type(markdown).__name__}, not str")
+    markdown.encode()  # lone surrogates cannot be stored
+    if not isinstance(blocks, (list, tuple, type(None))):
+        raise TypeError(f"blocks are {type(blocks).__name__}, not list")
+    kept = []
+    for i, b in enumerate(blocks or ()):
+        if not isinstance(b, dict):
+            raise TypeError(f"block {i} is {type(b).__name__}, not dict")
+        kept.append({f.name: b.get(f.name) for f in BLOCK_STRUCT.fields})
+        for f in BLOCK_STRUCT.fields:
+            if not _fits(b.get(f.name), f.dataType):
+                raise TypeError(f"block {i}: {f.name} does not fit {f.dataType.simpleString()}")
+    return markdown, kept, None
+
+
+def _error(e: Exception) -> str:
+    return f"{type(e).__name__}: {e}".encode("utf-8", "replace").decode()
+
+
 def extract(df: DataFrame, parser, id_col: str = "doc_id", content_col: str = "content",
             options_col: str | None = None) -> DataFrame:
     """Run ``parser`` over every row; never fails a task because of one document.
@@ -71,6 +109,16 @@ def extract(df: DataFrame, parser, id_col: str = "doc_id", content_col: str = "c
     Output: id, markdown, markdown_chars, blocks, error, seconds, content_list.
     A parser that returns no Markdown (None) marks the document failed; empty Markdown is a result (PRJ-8).
     """
+    return extract_routed(df, {"": parser}, F.lit(""), id_col, content_col, options_col).drop("route")
+
+
+def extract_routed(df: DataFrame, parsers: dict[str, Any], route: Column, id_col: str = "doc_id", content_col: str = "content",
+                   options_col: str | None = None) -> DataFrame:
+    """Run every row through the parser that its ``route`` names, in one pass over the input (UDF-5).
+
+    Output as of ``extract``, and the ``route``.  A worker opens a parser when the first row needs it and takes the rows
+    of a batch route by route.  Each document stands alone: a parser that raises, that cannot be opened, or whose result does
+    not fit the schema, and a route without a parser (null too) give that document an error row."""
     id_type = df.schema[id_col].dataType
     out = T.StructType([
         T.StructField(id_col, id_type),
@@ -80,40 +128,41 @@ def extract(df: DataFrame, parser, id_col: str = "doc_id", content_col: str = "c
         T.StructField("error", T.StringType()),
         T.StructField("seconds", T.DoubleType()),
         T.StructField("content_list", CONTENT_LIST),
+        T.StructField("route", T.StringType()),
     ])
+    ship_package(df.sparkSession)
     cols = [F.col(id_col), F.col(content_col).alias("_content")]
     cols.append((F.col(options_col) if options_col else F.lit(None).cast(OPTIONS_STRUCT)).alias("_options"))
+    cols.append(route.cast("string").alias("_route"))
     key = uuid.uuid4().hex
-    block_fields = [f.name for f in BLOCK_STRUCT.fields]
+
+    def parse_one(name, content, options, lists):
+        """(markdown, blocks as an Arrow list, error, seconds) of one document."""
+        t0 = time.perf_counter()
+        try:
+            if name not in parsers:
+                raise LookupError(f"no parser for route {name}")
+            markdown, blocks, err = checked_result(_worker_parser(f"{key} {name}", parsers[name]).parse(content, options))
+            blocks = None if blocks is None else pa.array([blocks], lists)
+        except Exception as e:  # noqa: BLE001 - isolation is the point
+            markdown, blocks, err = None, None, _error(e)
+        return markdown, blocks, err, round(time.perf_counter() - t0, 6)
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        schema = to_arrow_schema(out)
-        p = _worker_parser(key, parser)
+        arrow = to_arrow_schema(out)
+        lists = arrow.field("content_list").type
         for rb in (part for batch in batches for part in _slices(batch)):
-            ids = rb.column(0).to_pylist()
-            contents = rb.column(1).to_pylist()
-            opts = rb.column(2).to_pylist()
-            rows = {f.name: [] for f in out.fields}
-            for doc, content, o in zip(ids, contents, opts):
-                t0 = time.perf_counter()
-                md, blocks, err = None, [], None
-                try:
-                    md, blocks = p.parse(content, {k: v for k, v in (o or {}).items() if v is not None})
-                    if md is None:
-                        md, blocks, err = None, [], NO_MARKDOWN_ERROR
-                except Exception as e:  # noqa: BLE001 - isolation is the point
-                    md, blocks, err = None, [], f"{type(e).__name__}: {e}"
-                rows[id_col].append(doc)
-                rows["markdown"].append(md)
-                rows["markdown_chars"].append(len(md) if md is not None else None)
-                rows["blocks"].append(len(blocks) if err is None else None)
-                rows["error"].append(err)
-                rows["seconds"].append(round(time.perf_counter() - t0, 6))
-                rows["content_list"].append(
-                    [{k: b.get(k) for k in block_fields} for b in blocks] if err is None else None)
-            yield pa.RecordBatch.from_pydict(rows, schema=schema)
+            contents, options, routes = (rb.column(i).to_pylist() for i in (1, 2, 3))
+            found = [None] * rb.num_rows
+            for i in sorted(range(rb.num_rows), key=lambda i: (routes[i] or "", i)):
+                found[i] = parse_one(routes[i], contents[i], {k: v for k, v in (options[i] or {}).items() if v is not None}, lists)
+            markdown, blocks, errors, seconds = zip(*found)
+            columns = [rb.column(0), pa.array(markdown, pa.string()), pa.array([None if m is None else len(m) for m in markdown], pa.int64()),
+                       pa.array([None if b is None else len(b[0]) for b in blocks], pa.int64()), pa.array(errors, pa.string()), pa.array(seconds, pa.float64()),
+                       pa.concat_arrays([pa.nulls(1, lists) if b is None else b for b in blocks]), pa.array(routes, pa.string())]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
     return df.select(*cols).mapInArrow(run, out)
 
@@ -203,8 +252,8 @@ def text_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def extraction_route(method="method", has_text_layer="has_text_layer") -> Column:
     """Which parser a document goes to (UDF-5): 'txt' -> text, 'ocr' -> ocr,
     'auto' (or unset) -> text when the document has an embedded text layer,
-    else ocr.  Rows are split on this column and each side runs its parser;
-    the OCR parser is user-supplied (no model ships with this library)."""
+    else ocr.  ``extract_routed`` runs the parsers; the OCR parser is user-supplied
+    (no model ships with this library)."""
     m = F.coalesce(F.col(method) if isinstance(method, str) else method, F.lit("auto"))
     t = F.col(has_text_layer) if isinstance(has_text_layer, str) else has_text_layer
     return (F.when(m == "txt", "text").when(m == "ocr", "ocr")

@@ -110,7 +110,7 @@ def delete_report(changes: DataFrame, id_col: str = "id", seq_col: str = "seq")
         id_col, seq_col, F.coalesce(F.col("prev_op") == "upsert", F.lit(False)).alias("existed"))
 
 
-def removed_folders(report: DataFrame, roots=("uploads", "outputs"), id_col: str = "id") -> DataFrame:
+def removed_folders(report: DataFrame, roots=("uploads", "output"), id_col: str = "id") -> DataFrame:
     """A delete report with one row per folder that goes with the document, whether or not it was listed (SNK-2)."""
     folders = F.array(*[F.concat(F.lit(f"{r}/"), F.col(id_col).cast("string")) for r in roots])
     return report.withColumn("folder", F.explode(folders))

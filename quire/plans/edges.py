@@ -132,7 +132,7 @@ def q_library_removed(spark, sf_dir):
 
 QUERIES["library_removed"] = q_library_removed
 ORACLE["library_removed"] = f"""
-SELECT id, seq, existed, unnest(['uploads/' || id, 'outputs/' || id]) AS folder FROM ({L.ORACLE['library_delete']})"""
+SELECT id, seq, existed, unnest(['uploads/' || id, 'output/' || id]) AS folder FROM ({L.ORACLE['library_delete']})"""
 
 
 # -- content_list_blocks (SRC-6, WIN-2, JSN-2, ARR-1, PRJ-3): JSON lists with every kind of block -----
@@ -176,26 +176,30 @@ b AS (
 SELECT doc_id, block_idx::INTEGER AS block_idx, type, page_idx::INTEGER AS page_idx, text_level::INTEGER AS text_level, {SQL_PREVIEW} AS preview, bbox_1 FROM b"""
 
 
-# -- extract_isolation (UDF-2, UDF-3, PRJ-8): documents that fail, empty ones, options per document ----
+# -- extract_isolation (UDF-2, UDF-3, PRJ-8): documents that fail, empty ones, results that do not fit, options per document ----
 class PageRangeParser:
-    """Takes the words from ``start_page`` on; fails for one language, returns nothing for another's short texts."""
+    """Takes the words from ``start_page`` on; fails for one language, returns nothing for another's short texts.
+
+    The number before the language picks what is wrong with the result."""
 
     def open(self) -> None:
         pass
 
     def parse(self, content, options):
-        lang, _, text = content.partition("\n")
+        kind, lang, text = content.split("\n", 2)
         if lang == "fr":
             raise ValueError(f"no parser for {lang}")
         if lang == "es":
             return None, []
         words = text.split(" ")[options.get("start_page", 0):]
-        return ("" if lang == "de" else " ".join(words)), [{"type": "text", "text": w, "page_idx": 0} for w in words[:2]]
+        blocks = [{"type": "text", "text": w, "page_idx": 0} for w in words[:2]]
+        blocks = {"1": None, "2": "blocks", "3": [{"text_level": "big"}], "4": [*blocks, {"page_idx": 1 << 40}], "5": [7]}.get(kind, blocks)
+        return ("" if lang == "de" else 5 if kind == "6" else " ".join(words)), blocks
 
 
 def q_extract_isolation(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents").select(
-        "doc_id", F.concat_ws("\n", "lang", "text").alias("content"),
+        "doc_id", F.concat_ws("\n", (F.col("doc_id") % 11).cast("string"), "lang", "text").alias("content"),
         F.struct(F.when(F.col("doc_id") % 4 > 0, (F.col("doc_id") % 4).cast("int")).alias("start_page")).alias("options"))
     out = X.extract(d, PageRangeParser(), "doc_id", "content", options_col="options")
     return X.documents_of(out).select("doc_id", "markdown_chars", "blocks", "error")
@@ -203,8 +207,53 @@ def q_extract_isolation(spark, sf_dir):
 
 QUERIES["extract_isolation"] = q_extract_isolation
 ORACLE["extract_isolation"] = f"""WITH
-w AS (SELECT doc_id, lang, string_split(text, ' ')[(doc_id % 4) + 1:] AS words FROM documents)
+w AS (SELECT doc_id, lang, string_split(text, ' ')[(doc_id % 4) + 1:] AS words FROM documents),
+e AS (SELECT *, CASE WHEN lang = 'fr' THEN 'ValueError: no parser for fr' WHEN lang = 'es' THEN '{X.NO_MARKDOWN_ERROR}'
+    WHEN doc_id % 11 = 6 AND lang <> 'de' THEN 'TypeError: markdown is int, not str'
+    WHEN doc_id % 11 = 2 THEN 'TypeError: blocks are str, not list' WHEN doc_id % 11 = 3 THEN 'TypeError: block 0: text_level does not fit int'
+    WHEN doc_id % 11 = 4 THEN 'TypeError: block ' || least(len(words), 2) || ': page_idx does not fit int'
+    WHEN doc_id % 11 = 5 THEN 'TypeError: block 0 is int, not dict' END AS error FROM w)
 SELECT doc_id,
-  CASE WHEN lang IN ('fr', 'es') THEN NULL WHEN lang = 'de' THEN 0 ELSE length(array_to_string(words, ' ')) END::BIGINT AS markdown_chars,
-  CASE WHEN lang IN ('fr', 'es') THEN NULL ELSE least(len(words), 2) END::BIGINT AS blocks,
-  CASE WHEN lang = 'fr' THEN 'ValueError: no parser for fr' WHEN lang = 'es' THEN '{X.NO_MARKDOWN_ERROR}' END AS error FROM w"""
+  CASE WHEN error IS NOT NULL THEN NULL WHEN lang = 'de' THEN 0 ELSE length(array_to_string(words, ' ')) END::BIGINT AS markdown_chars,
+  CASE WHEN error IS NOT NULL THEN NULL WHEN doc_id % 11 = 1 THEN 0 ELSE least(len(words), 2) END::BIGINT AS blocks, error FROM e"""
+
+
+# -- extract_routed (UDF-5): text, OCR and automatic documents, two parsers, one pass -----------------
+class LinesParser:
+    """The text layer as it is: a block a line."""
+
+    def open(self) -> None:
+        self.ready = True
+
+    def parse(self, content, options):
+        return content, [{"type": "text", "text": x, "page_idx": 0} for x in content.split("\n")] if self.ready else None
+
+
+class OcrStub:
+    """Stands for a recogniser: says how much it saw, as one block."""
+
+    def open(self) -> None:
+        self.prefix = "[ocr] "
+
+    def parse(self, content, options):
+        return f"{self.prefix}{len(content)}", [{"type": "image", "text": options.get("lang"), "page_idx": 0}]
+
+
+def q_extract_routed(spark, sf_dir):
+    i = F.col("doc_id")
+    method = F.when(i % 5 == 0, "txt").when(i % 5 == 1, "ocr").when(i % 5 == 2, "auto")
+    d = read_table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"), F.struct("lang").alias("options"), method.alias("method"),
+                                                      F.when(i % 7 > 0, i % 7 > 3).alias("has_text_layer"))
+    route = F.when(i % 97 > 0, X.extraction_route()).otherwise(F.lit("formula"))
+    out = X.extract_routed(d, {"text": LinesParser(), "ocr": OcrStub()}, route, "doc_id", "content", options_col="options")
+    return X.documents_of(out).select("doc_id", "route", "markdown_chars", "blocks", "error")
+
+
+QUERIES["extract_routed"] = q_extract_routed
+ORACLE["extract_routed"] = """WITH
+r AS (SELECT doc_id, text, CASE WHEN doc_id % 97 = 0 THEN 'formula' WHEN doc_id % 5 = 0 THEN 'text' WHEN doc_id % 5 = 1 THEN 'ocr'
+    WHEN doc_id % 7 > 3 THEN 'text' ELSE 'ocr' END AS route FROM documents)
+SELECT doc_id, route,
+  CASE route WHEN 'text' THEN length(text) WHEN 'ocr' THEN 6 + length(CAST(length(text) AS VARCHAR)) END::BIGINT AS markdown_chars,
+  CASE route WHEN 'text' THEN len(string_split(text, chr(10))) WHEN 'ocr' THEN 1 END::BIGINT AS blocks,
+  CASE WHEN route = 'formula' THEN 'LookupError: no parser for route formula' END AS error FROM r"""

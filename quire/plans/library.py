@@ -143,11 +143,11 @@ ORACLE["artifact_locate"] = (
 
 
 # -- path_normalise (PRJ-10, PRJ-11) -----------------------------------------------------------
-# Paths built from the first six words of each document: two-letter words
-# become '..', one-letter words '.', German documents give absolute paths.
+# Paths built from all words of each document, whatever the white space: two-letter
+# words become '..', one-letter words '.', German documents give absolute paths.
 def q_path_normalise(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents")
-    words = F.slice(F.split(FX.first_line(F.col("text")), " "), 1, 6)
+    words = F.split(F.col("text"), r"[ \n]")
     segs = F.transform(words, lambda w: F.when(F.length(w) == 2, "..").when(F.length(w) == 1, ".").otherwise(w))
     path = F.concat(F.when(F.col("lang") == "de", "/").otherwise(""), F.array_join(segs, "/"))
     n = P.normalise(path)
@@ -162,7 +162,7 @@ _SQL_FOLD = ("list_reduce(string_split(path, '/'), lambda acc, s: CASE WHEN s =
 QUERIES["path_normalise"] = q_path_normalise
 ORACLE["path_normalise"] = f"""WITH
 a AS (SELECT doc_id, CASE WHEN lang = 'de' THEN '/' ELSE '' END || array_to_string(list_transform(
-        string_split(regexp_extract(text, '^([^\\n]*)', 1), ' ')[1:6],
+        string_split(replace(text, chr(10), ' '), ' '),
         lambda w: CASE WHEN length(w) = 2 THEN '..' WHEN length(w) = 1 THEN '.' ELSE w END), '/') AS path FROM documents),
 b AS (SELECT doc_id, path, {_SQL_FOLD} AS f FROM a),
 c AS (SELECT doc_id, path, array_to_string(f.st, '/') AS normalised, f.bad OR starts_with(path, '/') AS escapes,

@@ -90,3 +90,76 @@ def test_text_blocks_number_lines_across_pages(spark):
     text = "\f".join(f"a{i}\n\nb{i}" for i in range(300))
     got = X.text_blocks(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("block_idx").collect()
     assert [(r.block_idx, r.page_idx, r.text) for r in got] == [(2 * i + k, i, f"{c}{i}") for i in range(300) for k, c in enumerate("ab")]
+
+
+class Odd:
+    """Returns what its content says."""
+
+    RESULTS = {"none": ("x", None), "level": ("x", [{"text_level": "big"}]), "huge": ("x", [{"page_idx": 1 << 40}]), "text": ("x", "abc"), "item": ("x", [None]),
+               "number": (5, []), "half": ("\ud800", []), "short": ("x",), "caption": ("x", [{"img_caption": ["a", 1]}]), "flag": ("x", [{"text_level": True}]),
+               "extra": ("x", [{"text": "t", "other": object()}]), "ok": ("x", [{"text": "t", "img_caption": ["a", None]}])}
+
+    def open(self):
+        pass
+
+    def parse(self, content, options):
+        return self.RESULTS[content]
+
+
+def test_results_that_do_not_fit_are_error_rows(spark):
+    df = spark.createDataFrame([(i, c) for i, c in enumerate([*Odd.RESULTS, "missing"])], "doc_id long, content string").coalesce(1)
+    out = {c: r for c, r in zip([*Odd.RESULTS, "missing"], X.extract(df, Odd()).orderBy("doc_id").collect())}
+    assert {c for c, r in out.items() if r.error is None} == {"none", "extra", "ok"}
+    assert out["none"].blocks == 0 and out["ok"].content_list[0].img_caption == ["a", None] and out["extra"].content_list[0].text == "t"
+    assert all(r.markdown is None and r.blocks is None and r.content_list is None for r in out.values() if r.error)
+    assert out["missing"].error == "KeyError: 'missing'" and out["level"].error == "TypeError: block 0: text_level does not fit int"
+
+
+class Counted(Flaky):
+    """Says which parser instance of the worker took a row."""
+
+    def __init__(self, name, fails=False):
+        self.name, self.fails, self.opens = name, fails, 0
+
+    def open(self):
+        if self.fails:
+            raise OSError("no model")
+        self.opens += 1
+
+    def parse(self, content, options):
+        return f"{self.name} {self.opens} {content}", []
+
+
+def test_routes_run_their_parsers_in_one_pass(spark):
+    rows = [(i, f"c{i}", r) for i, r in enumerate(["text", "ocr", None, "text", "gone", "broken", "ocr"] * 20)]
+    df = spark.createDataFrame(rows, "doc_id long, content string, r string").coalesce(1)
+    out = X.extract_routed(df, {"text": Counted("T"), "ocr": Counted("O"), "broken": Counted("B", True)}, F.col("r"))
+    got = {r.doc_id: r for r in out.collect()}
+    for i, c, r in rows:
+        want = {"text": (f"T 1 {c}", None), "ocr": (f"O 1 {c}", None), "broken": (None, "OSError: no model")}.get(r, (None, f"LookupError: no parser for route {r}"))
+        assert (got[i].markdown, got[i].error) == want and got[i].route == r
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert X.extract_routed(df.limit(0), {}, F.col("r")).count() == 0
+
+
+def test_extract_ships_the_package_on_any_session(tmp_path):
+    """A session that knows nothing of the library, and workers that do not find it on their path."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = tmp_path / "plain.py"
+    script.write_text(f"""
+import sys
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", {str(tmp_path / 'ckpt')!r}).getOrCreate()
+sys.path.insert(0, {root!r})
+from quire.operators.extract import extract
+from quire.operators.parsers import HtmlParser
+df = spark.createDataFrame([(1, "<p>hello</p>")], "doc_id long, content string")
+print("RESULT", extract(df, HtmlParser()).first().markdown)
+""")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, str(script)], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=170)
+    assert "RESULT hello" in done.stdout, done.stderr[-2000:]
