@@ -8,8 +8,9 @@ from quire.functions import paths as P
 from quire.functions.names import sanitize_stem
 from quire.operators import library as L
 from quire.operators.artifacts import locate_outputs
+from quire.operators.buckets import commit_changes, read_buckets
 from quire.plans import sqlfrag as Q
-from quire.session import read_table
+from quire.session import read_table, scratch_path
 from quire.sources import fixtures as FX
 
 QUERIES = {}
@@ -63,6 +64,26 @@ ORACLE["library_upsert"] = (
     f"FROM ({SQL_LOG})) WHERE rn = 1 AND op = 'upsert'")
 
 
+# -- library_commits (SNK-1): the same log committed in three parts, by id bucket -------------------
+def q_library_commits(spark, sf_dir):
+    log, root = change_log(spark, sf_dir), scratch_path(spark, "library-buckets")
+    for part in (log.filter("seq % 3 = 0"), log.filter("seq % 3 = 1"), log.filter("seq % 3 = 2")):
+        # an older change of an id may come after a newer one here; it must not win
+        commit_changes(part.filter("op = 'upsert'"), root, buckets=16)
+    last = log.filter("op = 'delete'").join(L.snapshot(log).select("id"), "id", "left_anti")
+    commit_changes(last, root)
+    return read_buckets(spark, root, log.drop("op").schema).select(*_ENTRY_COLS)
+
+
+QUERIES["library_commits"] = q_library_commits
+# Upserts of all parts, the newest winning; then the deletes of the ids that are gone in the end.
+ORACLE["library_commits"] = (
+    f"WITH log AS ({SQL_LOG}), "
+    "up AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS rn FROM log WHERE op = 'upsert'), "
+    "gone AS (SELECT id FROM (SELECT id, op, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS rn FROM log) WHERE rn = 1 AND op = 'delete') "
+    f"SELECT {', '.join(_ENTRY_COLS)} FROM up WHERE rn = 1 AND id NOT IN (SELECT id FROM gone)")
+
+
 # -- library_delete (SNK-2) -------------------------------------------------------------------
 def q_library_delete(spark, sf_dir):
     return L.delete_report(change_log(spark, sf_dir))

@@ -16,10 +16,10 @@ from quire.plans import sqlfrag as Q
 from quire.session import read_table, scratch_path
 from quire.sources import fixtures as FX
 from quire.sources.files_sink import write_files
-from quire.operators.library import read_library
 from quire.operators.sequence import rank_within_key
 from quire.streaming.files import drop_files, file_stream, latest_per_key, run_available_now
-from quire.streaming.library_sink import library_sink
+from quire.streaming.jobs import COLUMNS, job_updates, missed, publish_feed
+from quire.streaming.library_sink import library_sink, read_stream_library
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from quire.streaming.processors import (JOB_OUTPUT, JOB_STATE, LINES_STATE, PIECES_OUTPUT, cut_complete,
@@ -50,6 +50,47 @@ QUERIES["stream_lifecycle"] = q_stream_lifecycle
 ORACLE["stream_lifecycle"] = J.ORACLE["job_lifecycle"]
 
 
+# -- stream_jobs (STR-1): events that carry their job id, state of live and recently ended jobs only -------
+def _job_updates(spark, sf_dir, name):
+    e = FX.job_events(spark, sf_dir).drop("user_id")
+    s = file_stream(spark, drop_files(e, "ts", DROPS, name), e.schema)
+    return job_updates(s, keep="3 days", late="1 hour", start_kinds=("view",), progress_kinds=("view",))
+
+
+def q_stream_jobs(spark, sf_dir):
+    out = run_available_now(_job_updates(spark, sf_dir, "job-events").drop("result"), "jobs", "update")
+    return latest_per_key(out, ["job_id"])
+
+
+QUERIES["stream_jobs"] = q_stream_jobs
+ORACLE["stream_jobs"] = J.ORACLE["job_lifecycle"]
+
+
+# -- stream_reconcile (STR-7): consumers that missed batches get the jobs that changed since ---------------
+CONSUMERS = [("new", None), ("far", 0), ("mid", 1), ("near", 2), ("up to date", DROPS - 1)]
+
+
+def q_stream_reconcile(spark, sf_dir):
+    root = scratch_path(spark, "job-feed")
+    q = (_job_updates(spark, sf_dir, "job-events-feed").writeStream.foreachBatch(publish_feed(root, keep_batches=3)).outputMode("update")
+         .option("checkpointLocation", scratch_path(spark, "job-feed-ckpt")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    consumers = spark.createDataFrame(CONSUMERS, "consumer string, version long")
+    return missed(spark, root, consumers).select("consumer", *[c for c in COLUMNS if c != "result"])
+
+
+QUERIES["stream_reconcile"] = q_stream_reconcile
+# A job's last change is its last effective event; drops cut the time range evenly.
+ORACLE["stream_reconcile"] = f"""WITH {J.SQL_JOB_STATES},
+p5 AS (SELECT job_id, max(ts) FILTER (WHERE kind = 'view' AND st IS NOT NULL AND {{'ts': ts, 'seq': seq}} > st
+              AND (en IS NULL OR {{'ts': ts, 'seq': seq}} < en)) AS said FROM e3 GROUP BY job_id),
+last AS (SELECT job_id, CASE WHEN ciq THEN c0.ts ELSE greatest(s.ts, st.ts, en.ts, said) END AS ts FROM j JOIN p5 USING (job_id)),
+span AS (SELECT epoch_us(min(ts)) AS lo, epoch_us(max(ts)) AS hi FROM je),
+moved AS (SELECT job_id, least(floor((epoch_us(ts) - lo)::DOUBLE * {DROPS} / (hi - lo + 1)), {DROPS - 1}) AS batch FROM last JOIN span ON true),
+c AS (SELECT * FROM (VALUES {', '.join(f"({Q.lit(n)}, {-1 if v is None else v})" for n, v in CONSUMERS)}) AS t(consumer, version))
+SELECT consumer, states.* FROM states JOIN moved USING (job_id) JOIN c ON batch > version"""
+
+
 # -- stream_throttle (STR-2) ---------------------------------------------------------------------
 def q_stream_throttle(spark, sf_dir):
     s = _event_stream(spark, sf_dir, "events-throttle", [F.col("user_id").alias("key"), "event_id", "ts"])
@@ -147,7 +188,7 @@ def q_stream_library(spark, sf_dir):
     q = (out.writeStream.foreachBatch(library_sink(root, "/data")).outputMode("update")
          .option("checkpointLocation", scratch_path(spark, "library-ckpt")).trigger(availableNow=True).start())
     q.awaitTermination()
-    lib = read_library(spark, f"{root}/snapshots")
+    lib = read_stream_library(spark, root)
     return lib.select("id", "stem", F.col("created").cast("timestamp_ntz").alias("created"), "device", "seconds",
                       "markdown_path", "markdown_chars", "blocks", "options.start_page")
 

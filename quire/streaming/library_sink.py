@@ -6,22 +6,26 @@ Every micro-batch of job updates is folded into the library by a
 1. done jobs become library entries (``entries_from_done``) and are written to
    ``<root>/changes/batch=<id>`` (overwrite: a replayed batch rewrites its
    own folder);
-2. the snapshot version ``<root>/snapshots/v=<id>`` is the previous complete
-   version (the highest below ``id``) plus this batch's entries, last write per
-   id winning - incremental, never a re-read of the whole history;
-3. snapshot versions older than the newest two are removed (the change log
-   keeps the history).
+2. the entries are committed to the bucketed snapshot under ``<root>/library``
+   (``operators.buckets``): only the buckets that hold a touched id are
+   rewritten, and a replayed batch, known by its tag, is committed once;
+3. versions older than the newest two are removed (the change log keeps the
+   history).
 
-Readers take the highest complete version (``library.read_library``), which is
+Readers take the newest manifest (``buckets.read_buckets``), which is
 the authoritative state the event feed cannot replay (STR-7).
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.functions.time import micros_between
-from quire.operators.library import LIBRARY_SCHEMA, entries_from_done, latest_version, snapshot, vacuum_versions
+from quire.operators.buckets import commit_changes, read_buckets, vacuum
+from quire.operators.library import LIBRARY_SCHEMA, entries_from_done
+
+SNAPSHOT_SCHEMA = T.StructType([*LIBRARY_SCHEMA.fields, T.StructField("seq", T.LongType())])
 
 
 def done_entries(updates: DataFrame, root: str | None = None) -> DataFrame:
@@ -30,7 +34,8 @@ def done_entries(updates: DataFrame, root: str | None = None) -> DataFrame:
     run = micros_between(F.col("started_at"), F.col("finished_at")) / 1e6
     result = done.select(
         F.col("job_id").alias("doc_id"),
-        F.concat(F.col("job_id"), F.lit(".pdf")).alias("original_name"),
+        # the name that the upload had, where the done event tells it
+        F.coalesce(F.get_json_object("result", "$.original_name"), F.concat(F.col("job_id"), F.lit(".pdf"))).alias("original_name"),
         F.col("finished_at").cast("timestamp").alias("created"), run.alias("seconds"), "result")
     return entries_from_done(result, root=root)
 
@@ -43,14 +48,13 @@ def library_sink(root: str, data_root: str | None = None):
         entries = done_entries(batch, data_root).withColumn("seq", F.lit(batch_id).cast("long")).withColumn(
             "op", F.lit("upsert"))
         entries.write.mode("overwrite").parquet(f"{base}/changes/batch={batch_id:09d}")
-        prev = latest_version(spark, f"{base}/snapshots", below=batch_id)
-        current = spark.read.parquet(f"{base}/changes/batch={batch_id:09d}").drop("batch")
-        if prev is not None:
-            old = spark.read.parquet(f"{base}/snapshots/v={prev}").withColumn("op", F.lit("upsert"))
-            current = old.unionByName(current)
-        snap = snapshot(current.select("id", "seq", "op", *[f.name for f in LIBRARY_SCHEMA.fields if f.name != "id"]))
-        snap.write.mode("overwrite").parquet(f"{base}/snapshots/v={batch_id}")
-        # the new version is complete: older snapshots are only history
-        vacuum_versions(spark, f"{base}/snapshots", keep=2)
+        current = spark.read.parquet(f"{base}/changes/batch={batch_id:09d}")
+        commit_changes(current.select(*SNAPSHOT_SCHEMA.names, "op"), f"{base}/library", writer="stream", tag=batch_id)
+        vacuum(spark, f"{base}/library", keep=2)
 
     return sink
+
+
+def read_stream_library(spark: SparkSession, root: str) -> DataFrame:
+    """The library that ``library_sink`` keeps under ``root``."""
+    return read_buckets(spark, f"{root.rstrip('/')}/library", SNAPSHOT_SCHEMA)
