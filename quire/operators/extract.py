@@ -260,12 +260,21 @@ def extraction_route(method="method", has_text_layer="has_text_layer") -> Column
             .when(F.coalesce(t, F.lit(False)), "text").otherwise("ocr"))
 
 
-def run_summary(result: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Machine-readable summary of an extraction run (SNK-5): ids, status and
-    counts, never the payloads (Markdown, content lists)."""
-    keep = [c for c in result.columns if c not in ("markdown", "content_list")]
-    return result.select(*keep)
+#: What a run's summary says of a document, in this order.
+SUMMARY_PATHS = ("parse_dir", "markdown_path", "content_list_path", "images_dir")
 
 
-def write_run_summary(result: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    run_summary(result, id_col).write.mode("overwrite").json(path)
+def run_summary(result: DataFrame, id_col: str = "doc_id", located: DataFrame | None = None, source: Column | None = None, device: Column | None = None) -> DataFrame:
+    """Machine-readable summary of an extraction run (SNK-5): ids, status, counts, and where things are, never the payloads
+    (Markdown, content lists).
+
+    ``source`` and ``device`` are expressions over the result; ``located`` holds a row per id with ``SUMMARY_PATHS`` (see
+    ``artifacts.locate_outputs``), joined on the id; a document without outputs has null paths."""
+    keep = [c for c in result.columns if c not in ("markdown", "content_list", id_col)]
+    said = [c.alias(n) for c, n in ((source, "source"), (device, "device")) if c is not None]
+    out = result.select(id_col, *said, *[c for c in keep if c not in ("source", "device") or not said])
+    return out if located is None else out.join(located.select(id_col, *SUMMARY_PATHS), id_col, "left")
+
+
+def write_run_summary(result: DataFrame, path: str, id_col: str = "doc_id", **about) -> None:
+    run_summary(result, id_col, **about).write.mode("overwrite").json(path)

@@ -88,6 +88,14 @@ def accepted_progress(events: DataFrame, job_col: str = "job_id", start_kinds=("
     return j.filter(_running_progress(progress_kinds)).select(*base.columns)
 
 
+def running_events(events: DataFrame, job_col: str = "job_id", start_kinds=("start",), progress_kinds=("progress",)) -> DataFrame:
+    """What is heard of each job while it runs: its start, its progress and the event that ends it."""
+    base, jobs = _phases(events, job_col, start_kinds)
+    j = base.join(jobs.filter(~_cancelled_in_queue() & F.col("_start").isNotNull()).select(job_col, "_start", "_end"), job_col)
+    heard = (_key() == F.col("_start")) | (_key() == F.col("_end")) | _running_progress(progress_kinds)
+    return j.filter(heard).select(*base.columns)
+
+
 def job_states(events: DataFrame, job_col: str = "job_id", start_kinds=("start",),
                progress_kinds=("progress",)) -> DataFrame:
     """One row per submitted job: status, error, device, progress, queued_at,

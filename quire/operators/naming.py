@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.operators.sequence import MIN_HOT_ROWS, rank_within_key, running_count_within_key
-from quire.session import materialize
+from quire.session import materialize, ship_package
 
 FAMILY_SUFFIX = r"( \([0-9]+\))+\z"
 CHILD_OF = r"^(.*) \(([1-9][0-9]{0,17})\)\z"   # parent stem and the index it would generate
@@ -71,6 +71,7 @@ def _resolve_family(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _mixed_names(d: DataFrame, order_cols: list[str], out: str, min_hot_rows: int) -> DataFrame:
     """Names for the rows of families that mix stems (see module docstring)."""
+    ship_package(d.sparkSession)
     timed = rank_within_key(d, ["_fam"], order_cols, "_t", min_hot_rows)          # time within the family
     # row number within the stem; read by three branches below, so written once
     ranked = materialize(rank_within_key(timed, ["_low"], ["_t"], "_r", min_hot_rows), "names-ranked")

@@ -3,7 +3,8 @@
 A key is stalled when it stays quiet longer than the threshold (90 s for a
 running job).  The batch form reports every closed gap: the previous event
 of the same key (a skew-safe lag) and the event that ended the silence.
-Minutes are rounded half up, as shown to the user.
+Minutes are rounded half up, as shown to the user.  ``running_stalls`` counts only the
+silences of a job that runs; one that waits or has ended is not quiet.
 """
 from __future__ import annotations
 
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.time import micros_between
+from quire.operators.lifecycle import running_events
 from quire.operators.sequence import previous_in_key
 
 # --- Fixed values (must equal the reference's) ---
@@ -25,3 +27,9 @@ def stalls(events: DataFrame, key: str, ts_col: str = "ts", seq_col: str = "seq"
     return p.filter(gap_us > int(threshold_seconds * 1_000_000)).select(
         key, F.col(f"prev_{ts_col}").alias("gap_start"), F.col(ts_col).alias("gap_end"),
         F.floor(gap_us / 60_000_000 + 0.5).cast("bigint").alias("quiet_minutes"))
+
+
+def running_stalls(events: DataFrame, job_col: str = "job_id", threshold_seconds: float = STALL_SECONDS,
+                   start_kinds=("start",), progress_kinds=("progress",)) -> DataFrame:
+    """Quiet gaps of running jobs, from job events ``job, ts, seq, kind, payload``: between their start, progress and end."""
+    return stalls(running_events(events, job_col, start_kinds, progress_kinds), job_col, "ts", "seq", threshold_seconds)

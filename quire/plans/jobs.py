@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.operators import lifecycle as LC
-from quire.operators.stalls import stalls
+from quire.operators.stalls import running_stalls, stalls
 from quire.functions.time import micros_between
 from quire.operators.throttle import throttle
 from quire.session import read_table
@@ -153,3 +153,17 @@ ORACLE["stalls"] = """SELECT user_id, gap_start, ts AS gap_end,
   CAST(floor((epoch_us(ts) - epoch_us(gap_start)) / 60000000.0 + 0.5) AS BIGINT) AS quiet_minutes FROM (
   SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap_start FROM events)
 WHERE epoch_us(ts) - epoch_us(gap_start) > 86400000000"""
+
+
+# -- stalls_running (WIN-5): quiet gaps of jobs between their start and their end -------------------------
+def q_stalls_running(spark, sf_dir):
+    return running_stalls(FX.job_events(spark, sf_dir), "job_id", 86400.0, start_kinds=("view",), progress_kinds=("view",))
+
+
+QUERIES["stalls_running"] = q_stalls_running
+ORACLE["stalls_running"] = f"""WITH {SQL_JOB_STATES},
+heard AS (SELECT e3.job_id, e3.ts, e3.seq FROM e3 JOIN j USING (job_id) WHERE NOT j.ciq AND e3.st IS NOT NULL
+  AND (({{'ts': e3.ts, 'seq': e3.seq}} = e3.en) OR (kind = 'view' AND {{'ts': e3.ts, 'seq': e3.seq}} >= e3.st AND (e3.en IS NULL OR {{'ts': e3.ts, 'seq': e3.seq}} < e3.en))))
+SELECT job_id, gap_start, ts AS gap_end, CAST(floor((epoch_us(ts) - epoch_us(gap_start)) / 60000000.0 + 0.5) AS BIGINT) AS quiet_minutes FROM (
+  SELECT job_id, ts, lag(ts) OVER (PARTITION BY job_id ORDER BY ts, seq) AS gap_start FROM heard)
+WHERE epoch_us(ts) - epoch_us(gap_start) > 86400000000"""

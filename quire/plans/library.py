@@ -9,6 +9,8 @@ from quire.functions.names import sanitize_stem
 from quire.operators import library as L
 from quire.operators.artifacts import locate_outputs
 from quire.operators.buckets import commit_changes, read_buckets
+from quire.operators.extract import run_summary, text_documents
+from quire.plans import extraction as X
 from quire.plans import sqlfrag as Q
 from quire.session import read_table, scratch_path
 from quire.sources import fixtures as FX
@@ -163,6 +165,21 @@ ORACLE["artifact_locate"] = (
     f"FROM ({_SQL_LISTING}) GROUP BY doc_id, parse_dir, stem")
 
 
+# -- run_summary (SNK-5): source, device, paths and counts of a run, without its payloads ------------------
+def q_run_summary(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    result = text_documents(docs).join(docs.select("doc_id", F.col("source").alias("from")), "doc_id")
+    name = F.concat(F.lit("uploads/"), F.col("from"), F.lit("/"), F.col("doc_id").cast("string"))
+    out = run_summary(result, located=q_artifact_locate(spark, sf_dir), source=name, device=F.when(F.col("doc_id") % 2 == 0, "cuda").otherwise("cpu"))
+    return out.drop("from")
+
+
+QUERIES["run_summary"] = q_run_summary
+ORACLE["run_summary"] = f"""SELECT doc_id, 'uploads/' || source || '/' || doc_id AS source, CASE WHEN doc_id % 2 = 0 THEN 'cuda' ELSE 'cpu' END AS device,
+  t.markdown_chars, t.blocks, t.error, a.parse_dir, a.markdown_path, a.content_list_path, a.images_dir
+FROM documents d JOIN ({X.ORACLE['extract_text_documents']}) t USING (doc_id) LEFT JOIN ({ORACLE['artifact_locate']}) a USING (doc_id)"""
+
+
 # -- path_normalise (PRJ-10, PRJ-11) -----------------------------------------------------------
 # Paths built from all words of each document, whatever the white space: two-letter
 # words become '..', one-letter words '.', German documents give absolute paths.

@@ -163,3 +163,15 @@ print("RESULT", extract(df, HtmlParser()).first().markdown)
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, str(script)], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=170)
     assert "RESULT hello" in done.stdout, done.stderr[-2000:]
+
+
+def test_run_summary_names_source_device_and_paths(spark):
+    result = spark.createDataFrame([(1, "md", 2, [], "a.pdf"), (2, None, None, None, "b.pdf")],
+                                   "doc_id long, markdown string, blocks long, content_list array<string>, source string")
+    located = spark.createDataFrame([(1, "output/1/auto", "output/1/auto/a.md", None, "output/1/auto/images", "m.json")],
+                                    "doc_id long, parse_dir string, markdown_path string, content_list_path string, images_dir string, middle_json_path string")
+    out = X.run_summary(result, located=located, source=F.concat(F.lit("/in/"), "source"), device=F.lit("cpu"))
+    assert out.columns == ["doc_id", "source", "device", "blocks", "parse_dir", "markdown_path", "content_list_path", "images_dir"]
+    assert [tuple(r) for r in out.orderBy("doc_id").collect()] == [
+        (1, "/in/a.pdf", "cpu", 2, "output/1/auto", "output/1/auto/a.md", None, "output/1/auto/images"), (2, "/in/b.pdf", "cpu", None, None, None, None, None)]
+    assert X.run_summary(result).columns == ["doc_id", "blocks", "source"]

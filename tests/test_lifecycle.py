@@ -59,3 +59,16 @@ def test_queue_position_and_last_device(spark):
     assert {r.job_id: r.status for r in st.collect()} == {"j1": "done", "j2": "queued", "j3": "cancelled"}
     assert LC.last_device(st).first().device == "mps"
     assert [(r.job_id, r.position) for r in LC.queue_positions(st).collect()] == [("j2", 1)]
+
+
+def test_only_running_jobs_can_be_quiet(spark):
+    import datetime as dt
+
+    from quire.operators.stalls import running_stalls
+
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [("a", 0, "submit"), ("a", 500, "start"), ("a", 590, "progress"), ("a", 700, "progress"), ("a", 900, "done"), ("a", 2000, "progress"),
+            ("b", 0, "submit"), ("b", 1000, "cancel"), ("c", 0, "start"), ("c", 500, "progress"), ("d", 0, "submit"), ("d", 10, "start"), ("d", 400, "failed")]
+    df = spark.createDataFrame([(j, t0 + dt.timedelta(seconds=s), i, k, None) for i, (j, s, k) in enumerate(rows)], "job_id string, ts timestamp_ntz, seq long, kind string, payload string")
+    got = sorted((r.job_id, (r.gap_start - t0).seconds, (r.gap_end - t0).seconds, r.quiet_minutes) for r in running_stalls(df).collect())
+    assert got == [("a", 590, 700, 2), ("a", 700, 900, 3), ("d", 10, 400, 7)]
