@@ -23,10 +23,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm.common import prepare, salted_join
-from quire.operators.sequence import MIN_HOT_ROWS, global_rank, rank_within_key
+from quire.operators.sequence import global_rank, rank_within_key
 from quire.session import materialize
 
 FANOUT, BLOCK_LEVELS = 16, 2
+#: Leaves from which a key is ranked by ranges, in several tasks.
+HOT_LEAVES = 4096
 BLOCK = FANOUT ** BLOCK_LEVELS
 PATH = "array<struct<before:string,after:string>>"
 
@@ -159,7 +161,7 @@ def proofs(items: DataFrame, carry: list[T.StructField], with_proof: bool) -> Da
 
 
 def manifest(docs: DataFrame, *, id_col: str = "doc_id", key_col: str = "source", fields: list[str] | None = None, seen: dict[str, Column] | None = None,
-             carry: list[str] | None = None, with_proof: bool = False, min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
+             carry: list[str] | None = None, with_proof: bool = False, min_hot_rows: int = HOT_LEAVES) -> DataFrame:
     """Columns ``carry`` (default: the id), ``leaf, subroot, root, proof_sha256, folded_root, verified`` and, on request, ``proof``.
 
     ``fields`` (default: doc_id, source, lang, n_chars, text) make the leaf; ``seen`` maps some of them to their values as found
