@@ -238,13 +238,18 @@ def previous_in_key(df: DataFrame, keys: list[str], order: list, cols: list[str]
 def running_count_within_key(df: DataFrame, keys: list[str], order: list, cond: Column,
                              out: str = "running", min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
     """Number of rows with ``cond`` true up to and including this row, per key."""
+    return running_sum_within_key(df, keys, order, F.when(cond, 1).otherwise(0), out, min_hot_rows)
+
+
+def running_sum_within_key(df: DataFrame, keys: list[str], order: list, value: Column,
+                           out: str = "running", min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
+    """Sum of the whole numbers ``value`` up to and including this row, per key."""
     b = bucketed(df, keys, order, min_hot_rows)
-    hit = F.when(cond, 1).otherwise(0)
     w = Window.partitionBy(*keys, "_b").orderBy(*_cols(order)).rowsBetween(Window.unboundedPreceding, 0)
-    local = b.df.withColumn(out, F.sum(hit).over(w))
+    local = b.df.withColumn(out, F.sum(value).over(w))
     if not b.split:
         return local.withColumn(out, F.col(out).cast("bigint")).drop("_b", "_hot")
-    off = _hot_offsets(b, F.sum(hit))
+    off = _hot_offsets(b, F.sum(value))
     joined = join_keys(local, off, [*keys, "_b"])
     return joined.withColumn(out, (F.col(out) + F.coalesce(F.col("_off"), F.lit(0))).cast("bigint")).drop(
         "_off", "_b", "_hot")

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.functions import text as TX
+from quire.operators.log_frames import frame_chunks
 from quire.plans import sqlfrag as Q
 from quire.session import read_table
 
@@ -53,3 +54,37 @@ b AS (SELECT doc_id, list_filter(list_transform(list_slice(parts, 1, len(parts)
         lambda l: l <> '') AS lines FROM a)
 SELECT doc_id, CAST(unnest(range(len(lines))) AS BIGINT) AS line_idx,
        substr(unnest(lines), 1, {TX.PROGRESS_CHARS}) AS line FROM b"""
+
+
+# -- log_chunks (STR-5, STRG-7 at rest): logs as chunks of bytes, cut anywhere ----------------------
+# Every third document is a part of one log, a third of all bytes; the others are a log each.  Each text is followed by
+# a byte that is no UTF-8, the beginning of a character and, for odd ids, a line break.
+CHUNK_BYTES = 500
+BROKEN = bytes.fromhex("ffe4b8")
+
+
+def q_log_chunks(spark, sf_dir):
+    i = F.col("doc_id")
+    d = read_table(spark, sf_dir, "documents").select(
+        F.when(i % 3 > 0, i).alias("log_id"), i.alias("doc_id"),
+        F.concat(F.encode("text", "UTF-8"), F.lit(BROKEN), F.when(i % 2 == 1, F.lit(b"\r\n")).otherwise(F.lit(b""))).alias("data"))
+    starts = F.sequence(F.lit(0), F.octet_length("data") - 1, F.lit(CHUNK_BYTES))
+    chunks = d.select("log_id", "doc_id", "data", F.posexplode(starts).alias("k", "at")).select(
+        "log_id", (i * (1 << 24) + F.col("k")).alias("pos"),
+        F.substring(F.col("data"), F.col("at") + 1, F.lit(CHUNK_BYTES)).alias("chunk"))
+    lines = frame_chunks(chunks, "log_id", "pos", "chunk", min_hot_rows=500)
+    return lines.select("log_id", "line_idx", TX.truncate_progress("line").alias("line"))
+
+
+QUERIES["log_chunks"] = q_log_chunks
+ORACLE["log_chunks"] = f"""WITH
+l AS (SELECT CASE WHEN doc_id % 3 <> 0 THEN doc_id END AS log_id,
+        string_agg(text || chr(65533) || chr(65533) || CASE WHEN doc_id % 2 = 1 THEN chr(13) || chr(10) ELSE '' END, '' ORDER BY doc_id) AS text
+      FROM documents GROUP BY 1),
+a AS (SELECT log_id, regexp_split_to_array(text, {Q.lit(TX.LINE_BREAK)}) AS parts FROM l),
+b AS (SELECT log_id, list_filter(list_transform(list_slice(parts, 1, len(parts) - 1),
+        lambda l: regexp_replace(regexp_replace(l, {Q.lit(TX.ANSI_PATTERN)}, '', 'g'),
+                                 {Q.lit('^' + TX.STRIP_WS + '+|' + TX.STRIP_WS + '+' + chr(92) + 'z')}, '', 'g')),
+        lambda l: l <> '') AS lines FROM a)
+SELECT log_id, CAST(unnest(range(len(lines))) AS BIGINT) AS line_idx,
+       substr(unnest(lines), 1, {TX.PROGRESS_CHARS}) AS line FROM b"""
