@@ -1,6 +1,8 @@
 """Path expressions: lexical normalisation, containment, relativising, ids (PRJ-10/11, SRC-9, SRT-3, HSH-1)."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -110,3 +112,15 @@ def stable_id(*cols, length: int = 32) -> Column:
     not collide at billions of documents (HSH-1).  A null is told from every text and keeps its place."""
     parts = [F.coalesce(_c(c).cast("string"), F.lit("\u0001")) for c in cols]
     return F.substring(F.sha2(F.concat_ws("\u0000", *parts), 256), 1, length)
+
+
+# Scheme and authority of a listed path: 'file:', 'file://', 'hdfs://host:8020', 's3://bucket'.
+URI_PREFIX = r"^[A-Za-z][A-Za-z0-9+.-]+:(//[^/]*)?"
+
+
+def below(path, root: str) -> Column:
+    """A listed file's path relative to ``root``, whatever scheme either is written with; a path
+    outside ``root`` keeps its absolute form."""
+    top = re.sub(URI_PREFIX, "", root).rstrip("/") + "/"
+    p = F.regexp_replace(_c(path), URI_PREFIX, "")
+    return F.when(p.startswith(top), F.substring(p, len(top) + 1, 1 << 30)).otherwise(p)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.names import SUPPORTED_SUFFIXES, base_name
-from quire.functions.paths import path_sort_key
+from quire.functions.paths import below, path_sort_key
 
 ARTIFACT_SUFFIXES = {"markdown_path": ".md", "content_list_path": "_content_list.json",
                      "middle_json_path": "_middle.json"}
@@ -59,10 +59,7 @@ def scan_files(spark: SparkSession, paths: list[str]) -> DataFrame:
 def list_tree(spark: SparkSession, root: str) -> DataFrame:
     """All files under ``root`` with paths relative to it, in component order (SRC-12)."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    prefix = root.rstrip("/") + "/"
-    rel = F.regexp_replace(F.col("path"), r"^file:", "")
-    rel = F.when(rel.startswith(prefix), F.substring(rel, len(prefix) + 1, 1 << 30)).otherwise(rel)
-    return df.select(rel.alias("rel_path"), "length").orderBy(path_sort_key("rel_path"))
+    return df.select(below("path", root).alias("rel_path"), "length").orderBy(path_sort_key("rel_path"))
 
 
 def locate_outputs(listing: DataFrame, doc_col: str = "doc_id", dir_col: str = "parse_dir",

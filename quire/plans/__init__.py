@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["naming", "blocks", "extraction", "export", "text", "library", "jobs", "streams", "options", "edges"]
+MODULES = ["naming", "blocks", "extraction", "export", "text", "library", "jobs", "streams", "options", "edges", "storage"]
 
 
 def _load():

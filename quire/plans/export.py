@@ -140,7 +140,7 @@ def q_export_count(spark, sf_dir):
     return export_count(export_files(sel, lib, md, img, "md+images"))
 
 
-_SQL_EXPORT_BASE = [
+SQL_EXPORT_NAMES = [
     f"lib AS (SELECT doc_id AS id, {_sql_first_line('text')} || '.pdf' AS original_name, "
     "CASE WHEN source = 'src3' THEN NULL ELSE 'output/' || doc_id || '/doc.md' END AS markdown_path, "
     "CASE WHEN lang = 'fr' THEN 'output/' || doc_id || '/images' END AS images_dir FROM documents)",
@@ -154,7 +154,8 @@ _SQL_EXPORT_BASE = [
     "WHERE lib.markdown_path IS NOT NULL AND id IN (SELECT id FROM md))",
 ] + Q.sanitize_ctes("el", "original_name", "_stem") + [
     "nm AS (SELECT *, CASE WHEN k = 1 THEN _stem ELSE _stem || ' (' || k || ')' END AS name FROM ("
-    "SELECT *, row_number() OVER (PARTITION BY lower(_stem) ORDER BY ord) AS k FROM ss5))",
+    "SELECT *, row_number() OVER (PARTITION BY lower(_stem) ORDER BY ord) AS k FROM ss5))"]
+_SQL_EXPORT_BASE = SQL_EXPORT_NAMES + [
     "hi AS (SELECT id, count(*) AS n FROM img GROUP BY id)",
     "docs AS (SELECT nm.ord, nm.id, nm.name, nm.images_dir IS NOT NULL AND coalesce(hi.n, 0) > 0 AS has_img, "
     "md.markdown FROM nm JOIN md USING (id) LEFT JOIN hi USING (id))",

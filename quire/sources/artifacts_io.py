@@ -16,16 +16,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.names import base_name
+from quire.functions.paths import below
 from quire.operators.blocks import blocks_from_content_list
 
 
-def _files(spark: SparkSession, root: str, glob: str, with_content: bool = True) -> DataFrame:
+def files_below(spark: SparkSession, root: str, glob: str = "*", with_content: bool = True) -> DataFrame:
+    """(_rel, length, _text) of the files below ``root`` whose name matches ``glob``; ``_text`` only with content."""
     df = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
           .option("pathGlobFilter", glob).load(root))
-    prefix = root.rstrip("/") + "/"
-    p = F.regexp_replace(F.col("path"), r"^file:", "")
-    rel = F.when(p.startswith(prefix), F.substring(p, len(prefix) + 1, 1 << 30)).otherwise(p)
-    cols = [rel.alias("_rel"), "length"] + ([F.make_valid_utf8(F.col("content").cast("string")).alias("_text")]
+    cols = [below("path", root).alias("_rel"), "length"] + ([F.make_valid_utf8(F.col("content").cast("string")).alias("_text")]
                                             if with_content else [])
     return df.select(*cols)
 
@@ -33,7 +32,7 @@ def _files(spark: SparkSession, root: str, glob: str, with_content: bool = True)
 def read_markdown(spark: SparkSession, root: str, docs: DataFrame, path_col: str = "markdown_path",
                   id_col: str = "id") -> DataFrame:
     """docs(id, markdown_path relative to root) -> (id, markdown, found); '' and false when missing (SRC-7)."""
-    found = _files(spark, root, "*.md")
+    found = files_below(spark, root, "*.md")
     return (docs.select(id_col, path_col).join(found, F.col(path_col) == F.col("_rel"), "left")
             .select(id_col, F.coalesce(F.col("_text"), F.lit("")).alias("markdown"), F.col("_rel").isNotNull().alias("found")))
 
@@ -41,7 +40,7 @@ def read_markdown(spark: SparkSession, root: str, docs: DataFrame, path_col: str
 def read_content_lists(spark: SparkSession, root: str) -> DataFrame:
     """Every ``*_content_list.json`` under root -> blocks table keyed by the
     file's path relative to root (SRC-6)."""
-    files = _files(spark, root, "*_content_list.json")
+    files = files_below(spark, root, "*_content_list.json")
     return blocks_from_content_list(files.select(F.col("_rel").alias("doc_id"),
                                                  F.col("_text").alias("content_list_json")))
 
@@ -49,7 +48,7 @@ def read_content_lists(spark: SparkSession, root: str) -> DataFrame:
 def image_inventory(spark: SparkSession, root: str) -> DataFrame:
     """(images_dir, image_name, length) of every file inside an ``images``
     folder under root, in name order; bytes are not read (SRC-11)."""
-    df = _files(spark, root, "*", with_content=False).filter(F.col("_rel").rlike(r"(^|/)images/[^/]+$"))
+    df = files_below(spark, root, "*", with_content=False).filter(F.col("_rel").rlike(r"(^|/)images/[^/]+$"))
     return (df.select(F.regexp_extract("_rel", r"^(.*)/[^/]*$", 1).alias("images_dir"),
                       base_name(F.col("_rel")).alias("image_name"), "length")
             .orderBy("images_dir", "image_name"))

@@ -90,6 +90,9 @@ class FilesDataSource(DataSource):
 
 def write_files(files, path: str) -> None:
     """Write an export DataFrame (file_name, content) as individual files."""
+    from quire.session import ship_package
+
     spark = files.sparkSession
+    ship_package(spark)
     spark.dataSource.register(FilesDataSource)
     files.select("file_name", "content").write.format("quire_files").mode("append").option("path", path).save()
