@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 import pandas as pd
 
 from quire.operators.lifecycle import DIED_MESSAGE
@@ -38,6 +39,27 @@ def _ts(us):
     return None if us is None else pd.Timestamp(int(us) * 1000)
 
 
+def _ordered(pdfs, ts: str, seq: str):
+    """(rows in order, their times in micros) of the rows that have a time."""
+    pdf = _frame(pdfs)
+    if not pdf.empty:
+        pdf = pdf[pdf[ts].notna()].sort_values([ts, seq], kind="stable")
+    if pdf.empty:
+        return pdf, np.zeros(0, "int64")
+    us = pdf[ts].to_numpy()
+    return pdf, (us.astype("datetime64[us]") if us.dtype.kind == "M" else us).astype("int64")
+
+
+def _closed_gaps(us: np.ndarray, last: int | None, threshold: int):
+    """Gaps above the threshold before each of the ordered times, as columns; and the latest time seen."""
+    before = np.maximum.accumulate(np.concatenate(([us[0] if last is None else last], us)))
+    at = np.flatnonzero(us - before[:-1] > threshold)  # an older event of a later batch moves nothing back
+    start, end = before[at], us[at]
+    stamp = lambda x: x.astype("datetime64[us]").astype("datetime64[ns]")
+    gaps = {"gap_start": stamp(start), "gap_end": stamp(end), "quiet_minutes": (end - start + 30 * US) // (60 * US)}
+    return gaps, int(before[-1])
+
+
 # -- STR-1: per-user job lifecycle ---------------------------------------------------------
 JOB_STATE = ("gen long, status string, error string, device string, progress string, "
              "queued_us long, started_us long, finished_us long, result string")
@@ -114,22 +136,18 @@ def throttle_fn(interval_seconds: float, key: str, ts: str, seq: str):
     interval = int(round(interval_seconds * US))
 
     def fn(k, pdfs, state):
-        pdf = _frame(pdfs)
+        pdf, us = _ordered(pdfs, ts, seq)
         if pdf.empty:
             return
-        pdf = pdf.sort_values([ts, seq], kind="stable")
-        last = state.get[0] if state.exists else None
+        following = np.searchsorted(us, us + interval).tolist()
+        i = int(np.searchsorted(us, state.get[0] + interval)) if state.exists else 0
         keep = []
-        for t in pdf[ts]:
-            us = _micros(t)
-            ok = last is None or us - last >= interval
-            keep.append(ok)
-            if ok:
-                last = us
-        state.update((last,))
-        out = pdf[keep]
-        if len(out):
-            yield out[[key, seq, ts]]
+        while i < len(us):  # one step per emitted event
+            keep.append(i)
+            i = max(following[i], i + 1)
+        if keep:
+            state.update((int(us[keep[-1]]),))
+            yield pdf.iloc[keep][[key, seq, ts]]
     return fn
 
 
@@ -140,20 +158,13 @@ def gaps_fn(threshold_seconds: float, key: str, ts: str, seq: str):
     threshold = int(round(threshold_seconds * US))
 
     def fn(k, pdfs, state):
-        pdf = _frame(pdfs)
+        pdf, us = _ordered(pdfs, ts, seq)
         if pdf.empty:
             return
-        pdf = pdf.sort_values([ts, seq], kind="stable")
-        last = state.get[0] if state.exists else None
-        out = []
-        for t in pdf[ts]:
-            us = _micros(t)
-            if last is not None and us - last > threshold:
-                out.append((k[0], _ts(last), _ts(us), int((us - last) / 60_000_000 + 0.5)))
-            last = us if last is None else max(last, us)  # an older event of a later batch moves nothing back
+        gaps, last = _closed_gaps(us, state.get[0] if state.exists else None, threshold)
         state.update((last,))
-        if out:
-            yield pd.DataFrame(out, columns=[key, "gap_start", "gap_end", "quiet_minutes"])
+        if len(gaps["gap_start"]):
+            yield pd.DataFrame({key: k[0], **gaps})
     return fn
 
 
@@ -197,19 +208,12 @@ def stall_alerts_fn(threshold_seconds: float, key: str, us_col: str, seq: str):
             yield pd.DataFrame([(k[0], _ts(last), None, None, True)],
                                columns=[key, "gap_start", "gap_end", "quiet_minutes", "open"])
             return
-        pdf = _frame(pdfs)
+        pdf, us = _ordered(pdfs, us_col, seq)
         if pdf.empty:
             return
-        pdf = pdf.sort_values([us_col, seq], kind="stable")
-        last = state.get[0] if state.exists else None
-        out = []
-        for us in pdf[us_col]:
-            us = int(us)
-            if last is not None and us - last > threshold:
-                out.append((k[0], _ts(last), _ts(us), int((us - last) / 60_000_000 + 0.5), False))
-            last = us if last is None else max(last, us)
+        gaps, last = _closed_gaps(us, state.get[0] if state.exists else None, threshold)
         state.update((last,))
         state.setTimeoutTimestamp(last // 1000 + threshold // 1000)
-        if out:
-            yield pd.DataFrame(out, columns=[key, "gap_start", "gap_end", "quiet_minutes", "open"])
+        if len(gaps["gap_start"]):
+            yield pd.DataFrame({key: k[0], **gaps, "open": False})
     return fn
