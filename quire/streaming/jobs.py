@@ -14,16 +14,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from quire.functions.time import epoch_micros, instant_from_micros
 from quire.operators.library import _fs
 from quire.operators.lifecycle import DIED_MESSAGE, TERMINAL_EVENTS
-from quire.session import ship_package
 from quire.streaming.files import latest_per_key
-from quire.streaming.processors import _device, _frame, _ts
+from quire.streaming.keyed import fold_by_key
+from quire.streaming.processors import _device, _ts
 
-STATE = "status string, queued_us long, started_us long, progress string"
 OUTPUT = ("job_id string, status string, error string, device string, progress string, "
           "queued_at timestamp_ntz, started_at timestamp_ntz, finished_at timestamp_ntz, result string")
 COLUMNS = ["job_id", "status", "error", "device", "progress", "queued_at", "started_at", "finished_at", "result"]
@@ -37,34 +35,26 @@ def _first(mask: np.ndarray, start: int) -> int | None:
 
 
 def fold_jobs(keep_us: int, start_kinds: tuple[str, ...], progress_kinds: tuple[str, ...]):
-    """The keyed state function: one job's events of a micro-batch are folded by the positions of a few first and last
-    events, not event by event."""
+    """The keyed state function: one job's events of a micro-batch, in order, are folded by the positions of a few first and last
+    events, not event by event.  A job's value is (status, queued, started, progress)."""
 
     def entomb(state, status, finished):
         state.update((status, finished, None, None))
         # a timer must lie beyond the watermark; a job that ended long ago waits for the next one
         state.setTimeoutTimestamp(max((finished + keep_us) // 1000, state.getCurrentWatermarkMs() + 1))
 
-    def fn(key, pdfs, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        pdf = _frame(pdfs)
-        if pdf.empty:
-            return
-        us, seq = pdf["us"].to_numpy(np.int64), pdf["seq"].to_numpy(np.int64)
-        order = np.lexsort((seq, us))
-        us, kind, payload = us[order], pdf["kind"].to_numpy(object)[order], pdf["payload"].to_numpy(object)[order]
+    def fn(key, rows, state):
+        us, kind, payload = rows["us"], rows["kind"], rows["payload"]
         status, queued, started, progress = state.get if state.exists else (None, None, None, None)
         if status in FINISHED:
             entomb(state, status, queued)  # absorbs; the timer has to be set anew
-            return
+            return []
         changed, at = False, 0
         error = device = result = finished = None
         if status is None:
             i = _first(kind == "submit", 0)
             if i is None:
-                return  # events of unknown jobs are dropped
+                return []  # events of unknown jobs are dropped
             status, queued, at, changed = "queued", int(us[i]), i + 1, True
         if status == "queued":
             begin, cancel = _first(np.isin(kind, start_kinds), at), _first(kind == "cancel", at)
@@ -89,24 +79,27 @@ def fold_jobs(keep_us: int, start_kinds: tuple[str, ...], progress_kinds: tuple[
             entomb(state, status, finished)
         else:
             state.update((status, queued, started, progress))
-        if changed:
-            yield pd.DataFrame([(key[0], status, error, device, progress, _ts(queued), _ts(started), _ts(finished), result)], columns=COLUMNS)
+        return [(key, status, error, device, progress, _ts(queued), _ts(started), _ts(finished), result)] if changed else []
 
     return fn
 
 
+def _forget_job(key, state):
+    state.remove()
+    return []
+
+
 def job_updates(events: DataFrame, keep: str = "7 days", late: str = "0 seconds", start_kinds=("start",), progress_kinds=("progress",)) -> DataFrame:
     """Stream of job states, one row per changed job and micro-batch, from a stream ``job_id, ts, seq, kind, payload``.
 
     ``late`` is the watermark's delay: how far behind events may come; a finished job is forgotten ``keep`` after its end by the
     watermark.  A submit of a forgotten id is a new job.  Events without an id or a time are dropped."""
-    ship_package(events.sparkSession)
     us = epoch_micros(F.col("ts"), events.schema["ts"].dataType)
     rows = events.filter(F.col("job_id").isNotNull() & F.col("ts").isNotNull()).select(
         F.col("job_id").cast("string").alias("job_id"), us.alias("us"), F.coalesce(F.col("seq").cast("long"), F.lit(0)).alias("seq"), "kind", "payload", instant_from_micros(us).alias("event_time"))
     keep_us = int(pd.Timedelta(keep).value // 1000)
-    return rows.withWatermark("event_time", late).groupBy("job_id").applyInPandasWithState(
-        fold_jobs(keep_us, tuple(start_kinds), tuple(progress_kinds)), OUTPUT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    return fold_by_key(rows.withWatermark("event_time", late), "job_id", ["us", "seq"],
+                       fold_jobs(keep_us, tuple(start_kinds), tuple(progress_kinds)), OUTPUT, "update", _forget_job)
 
 
 # -- feed, snapshot and reconciliation (STR-7) -----------------------------------------------------
@@ -163,13 +156,14 @@ def missed(spark: SparkSession, root: str, consumers: DataFrame) -> DataFrame:
     head = states[-1]
     held = [n for n in _versions(spark, f"{base}/feed", "batch") if n <= head]
     oldest = held[0] if held else head + 1
+    # a state's batch is one of few numbers: the consumers go to the states, or all states would meet in as many tasks
     seen = consumers.select("consumer", F.coalesce(F.col("version").cast("long"), F.lit(-1)).alias("version")).filter(F.col("version") < head)
     wanted = seen.select("consumer", (F.col("version") + 1 >= oldest).alias("_fed"), F.explode(F.sequence(F.col("version") + 1, F.lit(head).cast("long"))).alias("batch_id"))
     state = spark.read.parquet(f"{base}/state/v={head}")
-    whole = state.withColumnRenamed("changed", "batch_id").join(wanted.filter("NOT _fed"), "batch_id")
+    whole = state.withColumnRenamed("changed", "batch_id").join(F.broadcast(wanted.filter("NOT _fed")), "batch_id")
     out = whole.select("consumer", F.lit("snapshot").alias("source"), *COLUMNS)
     if held:
         feed = spark.read.parquet(f"{base}/feed").withColumn("batch_id", F.col("batch").cast("long"))
-        rows = latest_per_key(feed.join(wanted.filter("_fed"), "batch_id").select("consumer", "batch_id", *COLUMNS), ["consumer", "job_id"])
+        rows = latest_per_key(feed.join(F.broadcast(wanted.filter("_fed")), "batch_id").select("consumer", "batch_id", *COLUMNS), ["consumer", "job_id"])
         out = out.unionByName(rows.withColumn("source", F.lit("feed")))
     return out
