@@ -1,16 +1,20 @@
 """Artifact discovery over file listings (SRC-1/2, SRC-8, SRC-11/12, SRT-3).
 
-Listings come from the ``binaryFile`` source with ``content`` pruned, so only
-file metadata is read; the case-insensitive glob keeps unsupported files out
-of the scan altogether (a WHERE on ``path`` would not avoid reading them).
+Folder trees are listed by tasks (``sources.listing``), so only
+file metadata is read; the case-insensitive pattern keeps unsupported files out
+of the scan altogether.
 """
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.names import SUPPORTED_SUFFIXES, base_name
 from quire.functions.paths import below, path_sort_key
+from quire.sources.listing import few_tasks, list_files
 
 ARTIFACT_SUFFIXES = {"markdown_path": ".md", "content_list_path": "_content_list.json",
                      "middle_json_path": "_middle.json"}
@@ -38,8 +42,8 @@ def scan_documents(spark: SparkSession, paths: list[str], with_content: bool = F
     With ``require`` an empty result raises ``NoDocumentsError`` (one
     ``limit(1)`` job).
     """
-    df = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-          .option("pathGlobFilter", suffix_glob()).load(paths))
+    named = r"(?i:.*\.(" + "|".join(re.escape(s.lstrip(".")) for s in SUPPORTED_SUFFIXES) + "))"
+    df = reduce(DataFrame.unionByName, [list_files(spark, p, named, suffix_glob(), with_content) for p in paths])
     cols = ["path", "modificationTime", "length"] + (["content"] if with_content else [])
     out = df.select(*cols).withColumn("name", base_name(F.col("path")))
     if ordered:
@@ -52,13 +56,13 @@ def scan_documents(spark: SparkSession, paths: list[str], with_content: bool = F
 def scan_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Explicit file arguments: read as given, no suffix check (SRC-2).
     A missing path raises the source's path-not-found error."""
-    return spark.read.format("binaryFile").load(paths).select("path", "modificationTime", "length") \
+    return few_tasks(spark.read.format("binaryFile").load(paths).select("path", "modificationTime", "length")) \
         .withColumn("name", base_name(F.col("path")))
 
 
 def list_tree(spark: SparkSession, root: str) -> DataFrame:
     """All files under ``root`` with paths relative to it, in component order (SRC-12)."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    df = list_files(spark, root)
     return df.select(below("path", root).alias("rel_path"), "length").orderBy(path_sort_key("rel_path"))
 
 

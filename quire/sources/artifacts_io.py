@@ -1,7 +1,6 @@
 """Readers for parser outputs on storage (SRC-6, SRC-7, SRC-11, LIM-2).
 
-Whole files are read with ``binaryFile`` (raw paths - the text source
-percent-encodes them - and exact bytes) from the output root, recursively,
+Whole files are read by tasks (``listing``: raw paths and exact bytes) from the output root, recursively,
 with a glob so other files are never read, and joined to the library by
 path.  No file list passes through the driver.
 
@@ -12,18 +11,20 @@ path.  No file list passes through the driver.
 """
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.names import base_name
 from quire.functions.paths import below
 from quire.operators.blocks import blocks_from_content_list
+from quire.sources.listing import list_files
 
 
 def files_below(spark: SparkSession, root: str, glob: str = "*", with_content: bool = True) -> DataFrame:
-    """(_rel, length, _text) of the files below ``root`` whose name matches ``glob``; ``_text`` only with content."""
-    df = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-          .option("pathGlobFilter", glob).load(root))
+    """(_rel, length, _text) of the files below ``root`` whose name matches ``glob`` (of ``*`` alone); ``_text`` only with content."""
+    df = list_files(spark, root, re.sub(r"\\\*", ".*", re.escape(glob)), glob, with_content)
     cols = [below("path", root).alias("_rel"), "length"] + ([F.make_valid_utf8(F.col("content").cast("string")).alias("_text")]
                                             if with_content else [])
     return df.select(*cols)
