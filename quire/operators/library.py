@@ -70,8 +70,8 @@ def make_entry(result: DataFrame, id_col: str = "doc_id", name_col: str = "origi
     chars = F.coalesce(opt("markdown_chars", "bigint"), F.length(F.coalesce(opt("markdown"), F.lit(""))))
     blocks = F.coalesce(opt("blocks", "bigint"),
                         F.size(F.coalesce(opt("content_list", "array<string>"), F.array())))
-    if root is not None:  # one expression over all paths keeps the plan small
-        result = result.withColumn("_paths", F.transform(F.array(*[opt(c) for c in PATH_FIELDS]), lambda p: relativize(p, F.lit(root))))
+    if root is not None:
+        result = result.withColumn("_paths", F.array(*[relativize(opt(c), F.lit(root)) for c in PATH_FIELDS]))
     return result.select(
         F.col(id_col).cast("string").alias("id"),
         F.col(name_col).alias("original_name"),

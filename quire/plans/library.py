@@ -188,9 +188,10 @@ def q_path_normalise(spark, sf_dir):
     words = F.split(F.col("text"), r"[ \n]")
     segs = F.transform(words, lambda w: F.when(F.length(w) == 2, "..").when(F.length(w) == 1, ".").otherwise(w))
     path = F.concat(F.when(F.col("lang") == "de", "/").otherwise(""), F.array_join(segs, "/"))
-    n = P.normalise(path)
-    return d.select("doc_id", path.alias("path"), n["path"].alias("normalised"), n["escapes"].alias("escapes"),
-                    P.resolve(path).alias("resolved"), P.relativize(path, F.lit("data/output")).alias("relative"))
+    n = P.normalise("path")
+    return d.select("doc_id", path.alias("path")).select(
+        "doc_id", "path", n["path"].alias("normalised"), n["escapes"].alias("escapes"),
+        P.resolve("path").alias("resolved"), P.relativize("path", F.lit("data/output")).alias("relative"))
 
 
 _SQL_FOLD = ("list_reduce(string_split(path, '/'), lambda acc, s: CASE WHEN s = '' OR s = '.' THEN acc "
