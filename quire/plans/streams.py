@@ -16,14 +16,14 @@ from quire.plans import sqlfrag as Q
 from quire.session import read_table, scratch_path
 from quire.sources import fixtures as FX
 from quire.sources.files_sink import write_files
+from quire.sources.listing import few_tasks
 from quire.operators.sequence import rank_within_key
 from quire.streaming.files import drop_files, file_stream, latest_per_key, run_available_now
 from quire.streaming.jobs import COLUMNS, job_updates, missed, publish_feed
 from quire.streaming.library_sink import library_sink, read_stream_library
-from pyspark.sql.streaming.state import GroupStateTimeout
-
-from quire.streaming.processors import (JOB_OUTPUT, JOB_STATE, LINES_STATE, PIECES_OUTPUT, cut_complete,
-                                        fold_user_jobs, gaps_fn, stall_alerts_fn, throttle_fn, STALL_OUTPUT)
+from quire.streaming.keyed import fold_by_key
+from quire.streaming.processors import (JOB_OUTPUT, PIECES_OUTPUT, STALL_OUTPUT, fold_gaps, fold_lines, fold_stall_alerts,
+                                        fold_throttle, fold_user)
 
 QUERIES = {}
 ORACLE = {}
@@ -37,12 +37,22 @@ def _event_stream(spark, sf_dir, name, cols):
     return file_stream(spark, folder, e.schema)
 
 
+_JOB_EVENT = ["user_id", "ts", "event_id", "kind", "payload"]
+
+
+def _timed(s, *more):
+    """user_id, us, seq and ``more`` of the events that have a time."""
+    us = epoch_micros(F.col("ts"), s.schema["ts"].dataType)
+    return s.filter(F.col("ts").isNotNull()).select("user_id", us.alias("us"), F.col("event_id").alias("seq"), *more)
+
+
+def _user_jobs(rows):
+    return fold_by_key(rows, "user_id", ["us", "seq"], fold_user, JOB_OUTPUT, "update")
+
+
 # -- stream_lifecycle (STR-1, STR-6/7 snapshot) ------------------------------------------------
 def q_stream_lifecycle(spark, sf_dir):
-    s = _event_stream(spark, sf_dir, "events-lifecycle",
-                      ["user_id", "ts", F.col("event_id").alias("seq"), "kind", "payload"])
-    out = s.groupBy("user_id").applyInPandasWithState(
-        fold_user_jobs, JOB_OUTPUT, JOB_STATE, "update", GroupStateTimeout.NoTimeout)
+    out = _user_jobs(_timed(_event_stream(spark, sf_dir, "events-lifecycle", _JOB_EVENT), "kind", "payload"))
     return latest_per_key(run_available_now(out.drop("result"), "lifecycle", "update"), ["job_id"])
 
 
@@ -93,10 +103,9 @@ SELECT consumer, states.* FROM states JOIN moved USING (job_id) JOIN c ON batch
 
 # -- stream_throttle (STR-2) ---------------------------------------------------------------------
 def q_stream_throttle(spark, sf_dir):
-    s = _event_stream(spark, sf_dir, "events-throttle", [F.col("user_id").alias("key"), "event_id", "ts"])
-    out = s.groupBy("key").applyInPandasWithState(
-        throttle_fn(3600.0, "key", "ts", "event_id"), "key long, event_id long, ts timestamp_ntz", "us long",
-        "append", GroupStateTimeout.NoTimeout)
+    s = _event_stream(spark, sf_dir, "events-throttle", ["user_id", "event_id", "ts"])
+    out = fold_by_key(_timed(s), "user_id", ["us", "seq"], fold_throttle(3600.0),
+                      "key long, event_id long, ts timestamp_ntz", "append")
     return run_available_now(out, "throttle").drop("batch_id")
 
 
@@ -107,10 +116,8 @@ ORACLE["stream_throttle"] = J.ORACLE["throttle"]
 # -- stream_stalls (STR-3, closed gaps) ---------------------------------------------------------------
 def q_stream_stalls(spark, sf_dir):
     s = _event_stream(spark, sf_dir, "events-stalls", ["user_id", "event_id", "ts"])
-    out = s.groupBy("user_id").applyInPandasWithState(
-        gaps_fn(86400.0, "user_id", "ts", "event_id"),
-        "user_id long, gap_start timestamp_ntz, gap_end timestamp_ntz, quiet_minutes long", "us long",
-        "append", GroupStateTimeout.NoTimeout)
+    out = fold_by_key(_timed(s), "user_id", ["us", "seq"], fold_gaps(86400.0),
+                      "user_id long, gap_start timestamp_ntz, gap_end timestamp_ntz, quiet_minutes long", "append")
     return run_available_now(out, "stalls").drop("batch_id")
 
 
@@ -130,8 +137,7 @@ def q_stream_log_lines(spark, sf_dir):
         F.substring("b", F.col("chunk_idx") * CHUNK_BYTES + 1, CHUNK_BYTES).alias("chunk"))
     folder = drop_files(chunks, "chunk_idx", DROPS, "log-chunks")
     s = file_stream(spark, folder, chunks.schema)
-    pieces = s.groupBy("doc_id").applyInPandasWithState(
-        cut_complete, PIECES_OUTPUT, LINES_STATE, "append", GroupStateTimeout.NoTimeout)
+    pieces = fold_by_key(s, "doc_id", ["chunk_idx"], fold_lines, PIECES_OUTPUT, "append")
     lines = pieces.select("doc_id", "first", F.posexplode(TX.complete_lines(TX.decode_lenient("whole"))).alias("pos", "line"))
     out = run_available_now(lines.select("doc_id", "first", "pos", TX.truncate_progress("line").alias("line")), "log-lines")
     ranked = rank_within_key(out, ["doc_id"], ["first", "pos"], "_n")
@@ -160,8 +166,9 @@ def q_stream_ingest(spark, sf_dir):
     inbox = scratch_path(spark, "inbox")
     first = inbox_files(spark, sf_dir).groupBy("file_name").agg(F.min_by("content", "doc_id").alias("content"))
     write_files(first, inbox)
-    s = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA).option("recursiveFileLookup", "true")
-         .load(inbox).select("path", "length"))
+    # small files, a few to a partition: merged to few tasks
+    s = few_tasks(spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA).option("recursiveFileLookup", "true")
+                  .load(inbox).select("path", "length"))
     jobs = submit_uploads(s, inbox, UPLOAD_OPTIONS)
     return run_available_now(jobs, "ingest").select("path", "length", "decision", "kind", "doc_id", "options.lang", "options.start_page", "error")
 
@@ -180,10 +187,7 @@ SELECT path, length, CASE WHEN {Q.is_supported('name')} THEN 'accepted' ELSE 'sk
 
 # -- stream_library (STR-6): done jobs maintain the library snapshot ------------------------------------
 def q_stream_library(spark, sf_dir):
-    s = _event_stream(spark, sf_dir, "events-library",
-                      ["user_id", "ts", F.col("event_id").alias("seq"), "kind", "payload"])
-    out = s.groupBy("user_id").applyInPandasWithState(
-        fold_user_jobs, JOB_OUTPUT, JOB_STATE, "update", GroupStateTimeout.NoTimeout)
+    out = _user_jobs(_timed(_event_stream(spark, sf_dir, "events-library", _JOB_EVENT), "kind", "payload"))
     root = scratch_path(spark, "library")
     q = (out.writeStream.foreachBatch(library_sink(root, "/data")).outputMode("update")
          .option("checkpointLocation", scratch_path(spark, "library-ckpt")).trigger(availableNow=True).start())
@@ -205,12 +209,9 @@ FROM states JOIN done USING (job_id) WHERE status = 'done'"""
 # -- stream_open_stalls (STR-3 open tail): keys still quiet when the stream ends ---------------------
 def q_stream_open_stalls(spark, sf_dir):
     s = _event_stream(spark, sf_dir, "events-open-stalls", ["user_id", "event_id", "ts"])
-    s = s.withColumn("us", epoch_micros(F.col("ts"), s.schema["ts"].dataType)).select(
-        "user_id", "event_id", "us", instant_from_micros(F.col("us")).alias("event_time"))
-    s = s.withWatermark("event_time", "0 seconds")
-    out = s.groupBy("user_id").applyInPandasWithState(
-        stall_alerts_fn(86400.0, "user_id", "us", "event_id"), STALL_OUTPUT, "us long",
-        "append", GroupStateTimeout.EventTimeTimeout)
+    s = _timed(s).withColumn("event_time", instant_from_micros(F.col("us"))).withWatermark("event_time", "0 seconds")
+    fold, quiet = fold_stall_alerts(86400.0)
+    out = fold_by_key(s, "user_id", ["us", "seq"], fold, STALL_OUTPUT, "append", quiet)
     alerts = run_available_now(out, "open-stalls").drop("batch_id")
     closed = alerts.filter(~F.col("open")).select("user_id", "gap_start")
     still_open = alerts.filter("open").join(closed, ["user_id", "gap_start"], "left_anti")

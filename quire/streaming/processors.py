@@ -1,6 +1,7 @@
-"""Keyed state functions for ``applyInPandasWithState`` (STR-1, STR-2, STR-3, STR-5).
+"""Keyed state functions (STR-1, STR-2, STR-3, STR-5).
 
-Each function gets one key's rows of a micro-batch (an iterator of pandas
+The ``fold_*`` functions get one key's rows of a micro-batch in order and its state; ``keyed.fold_by_key`` calls them bucket by bucket.
+The others are the same folds for ``applyInPandasWithState`` over single keys: each function gets one key's rows of a micro-batch (an iterator of pandas
 frames, unsorted and possibly in several chunks) and its ``GroupState``; it
 concatenates and sorts the rows by their order columns, folds them into the
 state and yields the output rows.  The folds use no timeouts: the reference
@@ -22,6 +23,7 @@ import numpy as np
 import pandas as pd
 
 from quire.operators.lifecycle import DIED_MESSAGE
+from quire.streaming.keyed import NO_NUMBER
 
 US = 1_000_000
 
@@ -61,8 +63,6 @@ def _closed_gaps(us: np.ndarray, last: int | None, threshold: int):
 
 
 # -- STR-1: per-user job lifecycle ---------------------------------------------------------
-JOB_STATE = ("gen long, status string, error string, device string, progress string, "
-             "queued_us long, started_us long, finished_us long, result string")
 JOB_OUTPUT = ("job_id string, status string, error string, device string, progress string, "
               "queued_at timestamp_ntz, started_at timestamp_ntz, finished_at timestamp_ntz, result string")
 
@@ -77,21 +77,15 @@ def _device(payload) -> str | None:
     return device if device is None or isinstance(device, str) else json.dumps(device)
 
 
-def fold_user_jobs(key, pdfs, state):
-    """Per user: the running count of submits names the current job; each event
+def fold_user(user, rows, state):
+    """Per user, over rows in order (``us``, ``kind``, ``payload``): the running count of submits names the current job; each event
     is folded into it by the state machine (queued -> running -> done / failed /
     cancelled; terminal states absorb; events of unknown or finished jobs are
     dropped).  'view' starts a queued job and is progress for a running one.
-    Emits every job touched in the batch (update mode)."""
-    pdf = _frame(pdfs)
-    if pdf.empty:
-        return
-    pdf = pdf.sort_values(["ts", "seq"], kind="stable")
+    Returns every job touched in the batch (update mode)."""
     gen, status, error, device, progress, q, s, f, result = state.get if state.exists else (0, *[None] * 8)
-    user = key[0]
     touched: dict[str, tuple] = {}
-    for ts, kind, payload in zip(pdf["ts"], pdf["kind"], pdf["payload"]):
-        t = _micros(ts)
+    for t, kind, payload in zip(rows["us"].tolist(), rows["kind"], rows["payload"]):
         changed = False
         if kind == "submit":
             gen += 1
@@ -122,11 +116,20 @@ def fold_user_jobs(key, pdfs, state):
         if changed:
             touched[f"{user}-{gen}"] = (status, error, device, progress, q, s, f, result)
     state.update((gen, status, error, device, progress, q, s, f, result))
+    return [(j, st, er, dv, pr, _ts(qq), _ts(ss), _ts(ff), res) for j, (st, er, dv, pr, qq, ss, ff, res) in touched.items()]
+
+
+def fold_user_jobs(key, pdfs, state):
+    """``fold_user`` as a state function of one user's frames (``ts``, ``seq``, ``kind``, ``payload``, unsorted)."""
+    pdf = _frame(pdfs)
+    if pdf.empty:
+        return
+    pdf = pdf.sort_values(["ts", "seq"], kind="stable")
+    rows = {"us": np.array([_micros(t) for t in pdf["ts"]], "int64"), "kind": pdf["kind"], "payload": pdf["payload"]}
+    touched = fold_user(key[0], rows, state)
     if touched:
-        yield pd.DataFrame([(j, st, er, dv, pr, _ts(qq), _ts(ss), _ts(ff), res)
-                            for j, (st, er, dv, pr, qq, ss, ff, res) in touched.items()],
-                           columns=["job_id", "status", "error", "device", "progress",
-                                    "queued_at", "started_at", "finished_at", "result"])
+        yield pd.DataFrame(touched, columns=["job_id", "status", "error", "device", "progress",
+                                             "queued_at", "started_at", "finished_at", "result"])
 
 
 # -- STR-2: leading-edge throttle ---------------------------------------------------------
@@ -139,18 +142,38 @@ def throttle_fn(interval_seconds: float, key: str, ts: str, seq: str):
         pdf, us = _ordered(pdfs, ts, seq)
         if pdf.empty:
             return
-        following = np.searchsorted(us, us + interval).tolist()
-        i = int(np.searchsorted(us, state.get[0] + interval)) if state.exists else 0
-        keep = []
-        while i < len(us):  # one step per emitted event
-            keep.append(i)
-            i = max(following[i], i + 1)
+        keep = _emitted(us, interval, state)
         if keep:
-            state.update((int(us[keep[-1]]),))
             yield pdf.iloc[keep][[key, seq, ts]]
     return fn
 
 
+def _emitted(us: np.ndarray, interval: int, state) -> list[int]:
+    following = np.searchsorted(us, us + interval).tolist()
+    i = int(np.searchsorted(us, (state.get[0]) + interval)) if state.exists else 0
+    keep = []
+    while i < len(us):  # one step per emitted event
+        keep.append(i)
+        i = max(following[i], i + 1)
+    if keep:
+        state.update((int(us[keep[-1]]),))
+    return keep
+
+
+def fold_throttle(interval_seconds: float):
+    """``throttle_fn`` over one key's rows in order (``us``, ``seq``)."""
+    interval = int(round(interval_seconds * US))
+
+    def fn(key, rows, state):
+        us, seq = rows["us"], rows["seq"]
+        return [(key, _whole(seq[i]), _ts(us[i])) for i in _emitted(us, interval, state)]
+    return fn
+
+
+def _whole(x):
+    return None if x == NO_NUMBER else int(x)
+
+
 # -- STR-3: quiet gaps ------------------------------------------------------------------------
 def gaps_fn(threshold_seconds: float, key: str, ts: str, seq: str):
     """State = last event time; closed gaps longer than the threshold, found inside
@@ -168,52 +191,57 @@ def gaps_fn(threshold_seconds: float, key: str, ts: str, seq: str):
     return fn
 
 
+def fold_gaps(threshold_seconds: float):
+    """``gaps_fn`` over one key's rows in order (``us``)."""
+    threshold = int(round(threshold_seconds * US))
+
+    def fn(key, rows, state):
+        return _gap_rows(key, rows["us"], threshold, state)
+    return fn
+
+
+def _gap_rows(key, us: np.ndarray, threshold: int, state, *more) -> list[tuple]:
+    gaps, last = _closed_gaps(us, state.get[0] if state.exists else None, threshold)
+    state.update((last,))
+    if not len(gaps["gap_start"]):
+        return []
+    return [(key, pd.Timestamp(a), pd.Timestamp(b), int(m), *more) for a, b, m in zip(*gaps.values())]
+
+
 # -- STR-5: log line framing -------------------------------------------------------------------
-LINES_STATE = "tail binary, n long"
 PIECES_OUTPUT = "doc_id long, first long, whole binary"
 
 
-def cut_complete(key, pdfs, state):
-    """Cuts a stream of byte chunks after its last line break: the bytes up to there come out as
+def fold_lines(key, rows, state):
+    """Cuts a stream of byte chunks (``chunk``, in order) after its last line break: the bytes up to there come out as
     one piece, with the number of breaks that came before it; the rest waits in the state for
-    the next chunk.  Splitting and cleaning the lines is left to ``text`` expressions."""
-    pdf = _frame(pdfs)
-    if pdf.empty:
-        return
-    held, first = (bytes(state.get[0]), state.get[1]) if state.exists else (b"", 0)
-    data = held + b"".join(map(bytes, pdf.sort_values("chunk_idx", kind="stable")["chunk"]))
+    the next chunk, a character per byte.  Splitting and cleaning the lines is left to ``text`` expressions."""
+    held, first = state.get if state.exists else ("", 0)
+    data = held.encode("latin-1") + b"".join(bytes(c) for c in rows["chunk"] if c is not None)
     end = max(data.rfind(b"\n"), data.rfind(b"\r")) + 1
-    state.update((data[end:], first + data.count(b"\n", 0, end) + data.count(b"\r", 0, end)))
-    if end:
-        yield pd.DataFrame({"doc_id": [key[0]], "first": [first], "whole": [data[:end]]})
+    state.update((data[end:].decode("latin-1"), first + data.count(b"\n", 0, end) + data.count(b"\r", 0, end)))
+    return [(key, first, data[:end])] if end else []
 
 
 # -- STR-3 with the open tail: event-time timer ---------------------------------------------
 STALL_OUTPUT = "user_id long, gap_start timestamp_ntz, gap_end timestamp_ntz, quiet_minutes long, open boolean"
 
 
-def stall_alerts_fn(threshold_seconds: float, key: str, us_col: str, seq: str):
-    """Closed gaps as in ``gaps_fn``, plus an alert when a key *stays* quiet:
+def fold_stall_alerts(threshold_seconds: float):
+    """(fold, expire): closed gaps as in ``fold_gaps``, plus an alert when a key *stays* quiet:
     after each batch the key's timer is set to last event + threshold; when the
     watermark passes it (``EventTimeTimeout``), an open alert for that silence is
     emitted once.  A later event closes the gap normally; consumers de-duplicate
-    on (key, gap_start).  Times come in as epoch micros (``us_col``), the same
+    on (key, gap_start).  Times come in as epoch micros, the same
     clock the watermark column is built from, so no time zone is involved."""
     threshold = int(round(threshold_seconds * US))
 
-    def fn(k, pdfs, state):
-        if state.hasTimedOut:
-            last = state.get[0]
-            state.update((last,))  # keep the last time; no timer until new data
-            yield pd.DataFrame([(k[0], _ts(last), None, None, True)],
-                               columns=[key, "gap_start", "gap_end", "quiet_minutes", "open"])
-            return
-        pdf, us = _ordered(pdfs, us_col, seq)
-        if pdf.empty:
-            return
-        gaps, last = _closed_gaps(us, state.get[0] if state.exists else None, threshold)
-        state.update((last,))
-        state.setTimeoutTimestamp(last // 1000 + threshold // 1000)
-        if len(gaps["gap_start"]):
-            yield pd.DataFrame({key: k[0], **gaps, "open": False})
-    return fn
+    def fn(key, rows, state):
+        out = _gap_rows(key, rows["us"], threshold, state, False)
+        state.setTimeoutTimestamp(state.get[0] // 1000 + threshold // 1000)
+        return out
+
+    def quiet(key, state):  # keeps the last time; no timer until new data
+        return [(key, _ts(state.get[0]), None, None, True)]
+
+    return fn, quiet
