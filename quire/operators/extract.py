@@ -19,6 +19,7 @@ import uuid
 from typing import Any, Protocol
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,8 +39,9 @@ class Parser(Protocol):
     def parse(self, content: Any, options: dict) -> tuple[str | None, list[dict]]: ...
 
 
-#: Content that is turned into Python objects at a time.
-SLICE_BYTES = 8 << 20
+#: Content that is turned into Python objects at a time, and what a row counts besides its content (its blocks' buffers).
+SLICE_BYTES = 1 << 20
+ROW_BYTES = 2 << 10
 #: The opened parsers of this worker, newest last; a worker keeps few, so that models do not pile up.
 _WORKER_PARSERS: dict[str, Any] = {}
 KEEP_PARSERS = 4
@@ -58,11 +60,21 @@ def _worker_parser(key: str, parser):
 
 
 def _slices(rb: pa.RecordBatch):
-    """Whole rows of about SLICE_BYTES of content at a time."""
-    n = rb.num_rows
-    step = max(1, int(n * SLICE_BYTES // max(rb.column(1).nbytes, 1)))
-    for i in range(0, n, step):
-        yield rb.slice(i, step)
+    """Whole rows of at most SLICE_BYTES of content at a time, or one larger row: by the rows' own lengths, as long documents may stand together."""
+    content, n = rb.column(1), rb.num_rows
+    kinds = pa.types
+    if kinds.is_string(content.type) or kinds.is_binary(content.type) or kinds.is_large_string(content.type) or kinds.is_large_binary(content.type):
+        sizes = pc.fill_null(pc.binary_length(content), 0).to_pylist()
+    else:
+        sizes = [content.nbytes // n] * n
+    start = held = 0
+    for i, size in enumerate(sizes):
+        if i > start and held + size + ROW_BYTES > SLICE_BYTES:
+            yield rb.slice(start, i - start)
+            start, held = i, 0
+        held += size + ROW_BYTES
+    if n:
+        yield rb.slice(start)
 
 
 def _fits(value: Any, kind: T.DataType) -> bool:

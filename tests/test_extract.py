@@ -175,3 +175,18 @@ def test_run_summary_names_source_device_and_paths(spark):
     assert [tuple(r) for r in out.orderBy("doc_id").collect()] == [
         (1, "/in/a.pdf", "cpu", 2, "output/1/auto", "output/1/auto/a.md", None, "output/1/auto/images"), (2, "/in/b.pdf", "cpu", None, None, None, None, None)]
     assert X.run_summary(result).columns == ["doc_id", "blocks", "source"]
+
+
+def test_slices_go_by_the_rows_own_lengths():
+    import pyarrow as pa
+
+    for kind in (pa.string(), pa.binary(), pa.large_string()):
+        sizes = [10] * 9000 + [600_000] * 40 + [5 << 20] + [0] * 200
+        texts = ["x" * n for n in sizes]
+        rb = pa.RecordBatch.from_arrays([pa.array(range(len(sizes))), pa.array([*texts[:-1], None], pa.string()).cast(kind)], names=["doc_id", "content"])
+        parts = list(X._slices(rb))
+        assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([rb]))
+        held = [(p.num_rows, sum(sizes[i] for i in p.column(0).to_pylist())) for p in parts]
+        assert all(n == 1 or size <= 1 << 20 for n, size in held), held
+        assert max(n for n, _ in held) <= 600  # rows with little content have blocks and buffers too
+        assert not list(X._slices(rb.slice(0, 0)))
