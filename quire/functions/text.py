@@ -26,6 +26,8 @@ SPANS_TYPE = "array<struct<span_idx:int,display:boolean,body:string>>"
 
 # Characters Python's str.strip() removes: Unicode white space incl. 1C-1F.
 STRIP_WS = UNICODE_WS[:-1] + r"\x1c-\x1f]"
+#: The same characters one by one.
+STRIP_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200b))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def _c(x) -> Column:
@@ -54,8 +56,8 @@ def strip_ansi(s) -> Column:
 
 
 def strip_unicode(s) -> Column:
-    """Python ``str.strip()``: trim Unicode white space at both ends."""
-    return F.regexp_replace(_c(s), f"^{STRIP_WS}+|{STRIP_WS}+\\z", "")
+    """Python ``str.strip()``: trim Unicode white space at both ends.  Only the ends are looked at: a pattern would try every run of blanks."""
+    return F.btrim(_c(s), F.lit(STRIP_CHARS))
 
 
 def clean_line(s) -> Column:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.text import LINE_BREAK, clean_line, decode_lenient
+from quire.functions.text import clean_line, decode_lenient
 from quire.operators.sequence import MIN_HOT_ROWS, running_count_within_key, running_sum_within_key
 from quire.session import materialize
 
@@ -47,7 +47,8 @@ def frame_chunks(chunks: DataFrame, log_col: str = "doc_id", pos_col: str = "pos
 
     The chunks are read twice: for the narrow rows, and for the whole lines, which meet their number by (log, position)."""
     spark = chunks.sparkSession
-    parts = F.split(F.decode(F.coalesce(F.col(data_col), F.lit(b"")), BYTEWISE), LINE_BREAK, -1)
+    text = F.decode(F.coalesce(F.col(data_col), F.lit(b"")), BYTEWISE)
+    parts = F.split(F.replace(text, F.lit("\r"), F.lit("\n")), "\n", -1)  # as at LINE_BREAK, but by one character, which needs no pattern
     cut = chunks.select(F.col(log_col).alias("_log"), F.col(pos_col).alias("_pos"), parts.alias("_parts"))
     inner = F.filter(F.transform(F.slice("_parts", 2, F.greatest(F.size("_parts") - 2, F.lit(0))), _line), lambda x: x != "")
     several = F.size("_parts") > 1
@@ -68,14 +69,16 @@ def frame_chunks(chunks: DataFrame, log_col: str = "doc_id", pos_col: str = "pos
     pieces = _meet(pieces, closed, ["_log", "_salt"]).filter("nth < _closed AND (piece <> '' OR ends)")
     joined = pieces.groupBy("_log", "nth").agg(
         F.max(F.when(F.col("ends"), F.col("_pos"))).alias("_pos"), F.sort_array(F.collect_list(F.struct("_pos", "piece"))).alias("_all"))
-    edges = joined.select("_log", "_pos", _line(F.array_join(F.col("_all.piece"), "")).alias("line")).filter("line <> ''")
-    edges = materialize(edges, "log_edges")
+    # lines left empty go after the write: a filter before it would clean every line twice
+    edges = joined.select("_log", "_pos", _line(F.array_join(F.col("_all.piece"), "")).alias("line"))
+    edges = materialize(edges, "log_edges").filter("line <> ''")
 
     kept = _meet(narrow.select("_log", "_pos", "_inner"), edges.withColumn("_edge", F.lit(1)), ["_log", "_pos"], "left")
     kept = kept.select("_log", "_pos", F.col("line").alias("_first"), (F.col("_inner") + F.coalesce(F.col("_edge"), F.lit(0))).alias("_n")).filter("_n > 0")
     numbered = running_sum_within_key(kept, ["_log"], ["_pos"], F.col("_n"), "_upto", min_hot_rows)
     places = materialize(numbered.select("_log", "_pos", "_first", (F.col("_upto") - F.col("_n")).alias("_from")), "log_places")
 
+    # a place has a line at least, so none is null; without "outer" a check of the array's size would clean its lines twice
     lines = _meet(cut, places, ["_log", "_pos"]).select(
-        "_log", "_from", F.posexplode(F.concat(F.filter(F.array("_first"), lambda x: x.isNotNull()), inner)).alias("_i", "line"))
+        "_log", "_from", F.posexplode_outer(F.concat(F.filter(F.array("_first"), lambda x: x.isNotNull()), inner)).alias("_i", "line"))
     return lines.select(F.col("_log").alias(log_col), (F.col("_from") + F.col("_i")).cast("bigint").alias("line_idx"), "line")

@@ -68,10 +68,11 @@ def q_log_chunks(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents").select(
         F.when(i % 3 > 0, i).alias("log_id"), i.alias("doc_id"),
         F.concat(F.encode("text", "UTF-8"), F.lit(BROKEN), F.when(i % 2 == 1, F.lit(b"\r\n")).otherwise(F.lit(b""))).alias("data"))
+    # the chunks are cut before the explode, which would copy the whole text to each of them
     starts = F.sequence(F.lit(0), F.octet_length("data") - 1, F.lit(CHUNK_BYTES))
-    chunks = d.select("log_id", "doc_id", "data", F.posexplode(starts).alias("k", "at")).select(
-        "log_id", (i * (1 << 24) + F.col("k")).alias("pos"),
-        F.substring(F.col("data"), F.col("at") + 1, F.lit(CHUNK_BYTES)).alias("chunk"))
+    pieces = F.transform(starts, lambda at: F.substring(F.col("data"), at + 1, F.lit(CHUNK_BYTES)))
+    chunks = d.filter("data IS NOT NULL").select("log_id", "doc_id", F.posexplode_outer(pieces).alias("k", "chunk")).select(
+        "log_id", (i * (1 << 24) + F.col("k")).alias("pos"), "chunk")
     lines = frame_chunks(chunks, "log_id", "pos", "chunk", min_hot_rows=500)
     return lines.select("log_id", "line_idx", TX.truncate_progress("line").alias("line"))
 

@@ -43,3 +43,17 @@ def test_math_spans_two_passes(spark):
     assert spans("$$$a$$") == [(0, True, "$a")]
     assert spans("no math here") == []
     assert spans("$a\nb$") == []
+
+
+def test_strip_looks_at_the_ends_only(spark):
+    """Long runs of blanks inside a line: a pattern that tries each of them takes minutes for this one."""
+    import sys
+    import time
+
+    assert set(TX.STRIP_CHARS) == {c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace()}
+    blanks = TX.STRIP_CHARS
+    texts = ["", blanks, f"{blanks}a{blanks}é{blanks}", "a", None, f" a{' ' * 200_000}b\u3000"]
+    t0 = time.monotonic()
+    got = [r.s for r in one_col(spark, texts).select("v", TX.strip_unicode("v").alias("s")).collect()]
+    assert time.monotonic() - t0 < 30
+    assert got == [None if x is None else x.strip() for x in texts]
