@@ -22,8 +22,6 @@ from quire.session import materialize
 
 #: One character per byte: lets string functions cut bytes without decoding them.
 BYTEWISE = "ISO-8859-1"
-#: Tasks among which the pieces of one log are dealt where they meet a row of the log.
-SALTS = 16
 
 
 def _line(piece):
@@ -56,29 +54,28 @@ def frame_chunks(chunks: DataFrame, log_col: str = "doc_id", pos_col: str = "pos
         "_log", "_pos", several.alias("_cut"), F.size(inner).alias("_inner"),
         F.element_at("_parts", 1).alias("_head"), F.when(several, F.element_at("_parts", -1)).alias("_tail")), "log_pieces")
 
-    counted = running_count_within_key(narrow, ["_log"], ["_pos"], F.col("_cut"), "_nth", min_hot_rows)
+    counted = running_count_within_key(narrow, ["_log"], ["_pos"], F.col("_cut"), "_nth", min_hot_rows, total="_closed")
     # a head ends the line that was open before its chunk, a tail opens the line after it
     ends = F.col("_cut").cast("int")
-    pieces = counted.select("_log", "_pos", F.explode(F.array(
+    pieces = counted.select("_log", "_pos", "_closed", F.explode(F.array(
         F.struct((F.col("_nth") - ends).alias("nth"), F.col("_head").alias("piece"), F.col("_cut").alias("ends")),
         F.struct(F.col("_nth").alias("nth"), F.col("_tail").alias("piece"), F.lit(False).alias("ends")))).alias("_p"))
-    pieces = pieces.filter("_p.piece IS NOT NULL").select("_log", "_pos", "_p.*")
     # only lines that some chunk ends are put together: a long log without a break gathers nowhere
-    closed = counted.groupBy("_log").agg(F.max("_nth").alias("_closed")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    pieces = pieces.withColumn("_salt", F.pmod(F.xxhash64("_pos"), F.lit(SALTS)).cast("int"))
-    pieces = _meet(pieces, closed, ["_log", "_salt"]).filter("nth < _closed AND (piece <> '' OR ends)")
+    pieces = pieces.select("_log", "_pos", "_closed", "_p.*").filter("piece IS NOT NULL AND nth < _closed AND (piece <> '' OR ends)")
     joined = pieces.groupBy("_log", "nth").agg(
         F.max(F.when(F.col("ends"), F.col("_pos"))).alias("_pos"), F.sort_array(F.collect_list(F.struct("_pos", "piece"))).alias("_all"))
     # lines left empty go after the write: a filter before it would clean every line twice
     edges = joined.select("_log", "_pos", _line(F.array_join(F.col("_all.piece"), "")).alias("line"))
     edges = materialize(edges, "log_edges").filter("line <> ''")
 
-    kept = _meet(narrow.select("_log", "_pos", "_inner"), edges.withColumn("_edge", F.lit(1)), ["_log", "_pos"], "left")
-    kept = kept.select("_log", "_pos", F.col("line").alias("_first"), (F.col("_inner") + F.coalesce(F.col("_edge"), F.lit(0))).alias("_n")).filter("_n > 0")
+    # the running sum sees which chunks end a line, not the line
+    kept = _meet(narrow.select("_log", "_pos", "_inner"), edges.select("_log", "_pos", F.lit(1).alias("_edge")), ["_log", "_pos"], "left")
+    kept = kept.select("_log", "_pos", (F.col("_inner") + F.coalesce(F.col("_edge"), F.lit(0))).alias("_n")).filter("_n > 0")
     numbered = running_sum_within_key(kept, ["_log"], ["_pos"], F.col("_n"), "_upto", min_hot_rows)
-    places = materialize(numbered.select("_log", "_pos", "_first", (F.col("_upto") - F.col("_n")).alias("_from")), "log_places")
+    places = materialize(numbered.select("_log", "_pos", (F.col("_upto") - F.col("_n")).alias("_from")), "log_places")
 
     # a place has a line at least, so none is null; without "outer" a check of the array's size would clean its lines twice
-    lines = _meet(cut, places, ["_log", "_pos"]).select(
+    found = _meet(_meet(cut, places, ["_log", "_pos"]), edges.withColumnRenamed("line", "_first"), ["_log", "_pos"], "left")
+    lines = found.select(
         "_log", "_from", F.posexplode_outer(F.concat(F.filter(F.array("_first"), lambda x: x.isNotNull()), inner)).alias("_i", "line"))
     return lines.select(F.col("_log").alias(log_col), (F.col("_from") + F.col("_i")).cast("bigint").alias("line_idx"), "line")

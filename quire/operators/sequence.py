@@ -183,9 +183,10 @@ def _hot_bucket_table(b: Buckets, aggs: list[Column], names: list[str]) -> DataF
 
 
 def _hot_offsets(b: Buckets, agg: Column) -> DataFrame:
+    """Per (hot key, bucket): ``_off`` of the buckets before it, and ``_key_sum`` of the key's buckets."""
     t = _hot_bucket_table(b, [agg.alias("_cnt")], ["_cnt"])
     w = Window.partitionBy(*b.keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    return t.withColumn("_off", F.coalesce(F.sum("_cnt").over(w), F.lit(0))).select(*b.keys, "_b", "_off")
+    return t.select(*b.keys, "_b", F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off"), F.sum("_cnt").over(Window.partitionBy(*b.keys)).alias("_key_sum"))
 
 
 def rank_within_key(df: DataFrame, keys: list[str], order: list, out: str = "rn",
@@ -197,7 +198,7 @@ def rank_within_key(df: DataFrame, keys: list[str], order: list, out: str = "rn"
     if not b.split:
         return local.withColumn(out, F.col(out).cast("bigint")).drop("_b", "_hot")
     off = _hot_offsets(b, F.count(F.lit(1)))
-    joined = join_keys(local, off, [*keys, "_b"])
+    joined = join_keys(local, off.drop("_key_sum"), [*keys, "_b"])
     return joined.withColumn(out, (F.col(out) + F.coalesce(F.col("_off"), F.lit(0))).cast("bigint")).drop(
         "_off", "_b", "_hot")
 
@@ -236,20 +237,24 @@ def previous_in_key(df: DataFrame, keys: list[str], order: list, cols: list[str]
 
 
 def running_count_within_key(df: DataFrame, keys: list[str], order: list, cond: Column,
-                             out: str = "running", min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
+                             out: str = "running", min_hot_rows: int = MIN_HOT_ROWS, total: str | None = None) -> DataFrame:
     """Number of rows with ``cond`` true up to and including this row, per key."""
-    return running_sum_within_key(df, keys, order, F.when(cond, 1).otherwise(0), out, min_hot_rows)
+    return running_sum_within_key(df, keys, order, F.when(cond, 1).otherwise(0), out, min_hot_rows, total)
 
 
 def running_sum_within_key(df: DataFrame, keys: list[str], order: list, value: Column,
-                           out: str = "running", min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
-    """Sum of the whole numbers ``value`` up to and including this row, per key."""
+                           out: str = "running", min_hot_rows: int = MIN_HOT_ROWS, total: str | None = None) -> DataFrame:
+    """Sum of the whole numbers ``value`` up to and including this row, per key; ``total`` names a column for the key's whole sum."""
     b = bucketed(df, keys, order, min_hot_rows)
-    w = Window.partitionBy(*keys, "_b").orderBy(*_cols(order)).rowsBetween(Window.unboundedPreceding, 0)
-    local = b.df.withColumn(out, F.sum(value).over(w))
+    part = Window.partitionBy(*keys, "_b").orderBy(*_cols(order))
+    local = b.df.withColumn(out, F.sum(value).over(part.rowsBetween(Window.unboundedPreceding, 0)))
+    if total:
+        local = local.withColumn(total, F.sum(value).over(part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     if not b.split:
-        return local.withColumn(out, F.col(out).cast("bigint")).drop("_b", "_hot")
-    off = _hot_offsets(b, F.sum(value))
-    joined = join_keys(local, off, [*keys, "_b"])
-    return joined.withColumn(out, (F.col(out) + F.coalesce(F.col("_off"), F.lit(0))).cast("bigint")).drop(
-        "_off", "_b", "_hot")
+        sums = local.withColumn(out, F.col(out).cast("bigint")).drop("_b", "_hot")
+        return sums.withColumn(total, F.col(total).cast("bigint")) if total else sums
+    joined = join_keys(local, _hot_offsets(b, F.sum(value)), [*keys, "_b"])
+    sums = joined.withColumn(out, (F.col(out) + F.coalesce(F.col("_off"), F.lit(0))).cast("bigint"))
+    if total:  # the rows of a cold key stand in one bucket
+        sums = sums.withColumn(total, F.coalesce(F.col("_key_sum"), F.col(total)).cast("bigint"))
+    return sums.drop("_off", "_key_sum", "_b", "_hot")

@@ -70,3 +70,16 @@ def test_unsplittable_order_raises(spark):
         bucketed(_odd(spark), ["k"], [F.col("t").desc()])
     with pytest.raises(TypeError):
         bucketed(_odd(spark).withColumn("a", F.array("t")), ["k"], ["a"])
+
+
+@pytest.mark.parametrize("hot", [5, 100_000])
+def test_running_sum_with_the_keys_total(spark, hot):
+    import random
+
+    from quire.operators.sequence import running_sum_within_key
+
+    rng = random.Random(4)
+    rows = [(k, i, rng.randint(0, 3)) for k, n in ((1, 300), (2, 4), (None, 90), (3, 1)) for i in range(n)]
+    df = spark.createDataFrame(rng.sample(rows, len(rows)), "k long, i long, v long")
+    got = {(r.k, r.i): (r.upto, r.whole) for r in running_sum_within_key(df, ["k"], ["i"], F.col("v"), "upto", hot, total="whole").collect()}
+    assert got == {(k, i): (sum(v for a, b, v in rows if a == k and b <= i), sum(v for a, _, v in rows if a == k)) for k, i, _ in rows}
