@@ -19,23 +19,34 @@ from pyspark.sql import functions as F
 from quire.functions.names import base_name
 from quire.functions.paths import below
 from quire.operators.blocks import blocks_from_content_list
-from quire.sources.listing import list_files
+from quire.sources.listing import add_content, list_files
+
+
+def _named(glob: str) -> tuple[str, str]:
+    """The names' pattern, and the glob (of ``*`` alone) it says."""
+    return re.sub(r"\\\*", ".*", re.escape(glob)), glob
+
+
+def _text(content: str) -> F.Column:
+    return F.make_valid_utf8(F.col(content).cast("string"))
 
 
 def files_below(spark: SparkSession, root: str, glob: str = "*", with_content: bool = True) -> DataFrame:
     """(_rel, length, _text) of the files below ``root`` whose name matches ``glob`` (of ``*`` alone); ``_text`` only with content."""
-    df = list_files(spark, root, re.sub(r"\\\*", ".*", re.escape(glob)), glob, with_content)
-    cols = [below("path", root).alias("_rel"), "length"] + ([F.make_valid_utf8(F.col("content").cast("string")).alias("_text")]
-                                            if with_content else [])
-    return df.select(*cols)
+    df = list_files(spark, root, *_named(glob), with_content)
+    return df.select(below("path", root).alias("_rel"), "length", *([_text("content").alias("_text")] if with_content else []))
 
 
 def read_markdown(spark: SparkSession, root: str, docs: DataFrame, path_col: str = "markdown_path",
                   id_col: str = "id") -> DataFrame:
-    """docs(id, markdown_path relative to root) -> (id, markdown, found); '' and false when missing (SRC-7)."""
-    found = files_below(spark, root, "*.md")
-    return (docs.select(id_col, path_col).join(found, F.col(path_col) == F.col("_rel"), "left")
-            .select(id_col, F.coalesce(F.col("_text"), F.lit("")).alias("markdown"), F.col("_rel").isNotNull().alias("found")))
+    """docs(id, markdown_path relative to root) -> (id, markdown, found); '' and false when missing (SRC-7).
+
+    Documents meet the names of the files, in tasks whatever the names' number; the texts are read after that."""
+    listed = list_files(spark, root, *_named("*.md")).select("path", below("path", root).alias("_rel")).hint("merge")
+    asked = docs.select(F.col(id_col).alias("_id"), F.col(path_col).alias("_asked"))
+    files = add_content(asked.join(listed, F.col("_asked") == F.col("_rel"), "left").select("_id", "path"), root, "*.md")
+    return files.select(F.col("_id").alias(id_col), F.coalesce(_text("content"), F.lit("")).alias("markdown"),
+                        F.col("path").isNotNull().alias("found"))
 
 
 def read_content_lists(spark: SparkSession, root: str) -> DataFrame:

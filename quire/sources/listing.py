@@ -3,7 +3,7 @@
 ``binaryFile`` gathers the names of all files on the driver and then plans a task for every few files, as each counts as
 ``openCostInBytes`` at least: a tree of small files becomes tasks by the hundred thousand.  ``list_files`` lists a tree level by level
 instead: a level's folders are rows, each task lists the folders dealt to it, and what they hold is written to the checkpoint
-folder as the next level.  The driver sees no name but the root's.  ``with_content`` reads listed files the same way.
+folder as the next level.  The driver sees no name but the root's.  ``add_content`` reads listed files the same way.
 
 Both reach the storage through ``pyarrow.fs``, as the files sink does.  A root that is no folder there (a glob, a
 single file, a store that only Spark's readers reach) is left to ``binaryFile``, with its partitions merged to few tasks.
@@ -16,6 +16,7 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from quire.functions.paths import URI_PREFIX
 from quire.session import materialize, ship_package
@@ -86,9 +87,12 @@ def _reader(uri: str, prefix: str):
         for rb in batches:
             held, size, first = [], 0, 0
             for i, path in enumerate(rb.column("path").to_pylist()):
-                with store.open_input_stream(path[len(prefix):]) as f:
-                    held.append(f.read())
-                size += len(held[-1])
+                if path is None:
+                    held.append(None)
+                else:
+                    with store.open_input_stream(path[len(prefix):]) as f:
+                        held.append(f.read())
+                    size += len(held[-1])
                 if size >= BATCH_BYTES or i + 1 == rb.num_rows:
                     part = rb.slice(first, i + 1 - first)
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.array(held, pa.binary())], names=[*rb.schema.names, "content"])
@@ -113,6 +117,20 @@ def list_files(spark: SparkSession, root: str, name_pattern: str = ".*", glob: s
         levels.append(held.filter("NOT is_dir"))
         level = held.filter("is_dir").select("path")
     files = reduce(DataFrame.unionByName, levels).select(F.concat(F.lit(prefix), "path").alias("path"), "modificationTime", "length")
-    if not content:
-        return files
-    return files.repartition(_tasks(spark)).mapInArrow(_reader(uri, prefix), "path string, modificationTime timestamp, length long, content binary")
+    return add_content(files, root, glob) if content else files
+
+
+def add_content(files: DataFrame, root: str, glob: str = "*") -> DataFrame:
+    """``files`` with the ``content`` of the file that each ``path`` (as listed below ``root``) names, null where it is null.
+
+    Join the names first and read after: a plan takes what tasks read for as small as its names, and would send it whole
+    through the driver to all executors if it were joined."""
+    spark = files.sparkSession
+    found = _folder(spark, root)
+    if found is None:
+        held = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
+        return files.join(few_tasks(held.select("path", "content")).hint("merge"), "path", "left").select(*files.columns, "content")
+    uri, _, prefix = found
+    ship_package(spark)
+    schema = StructType([*files.schema.fields, StructField("content", BinaryType())])
+    return files.repartition(_tasks(spark)).mapInArrow(_reader(uri, prefix), schema)

@@ -98,3 +98,18 @@ def test_a_tree_is_listed_and_read_in_few_tasks(spark):
         assert globbed.count() == 401 and globbed.rdd.getNumPartitions() <= max(8, spark.sparkContext.defaultParallelism)
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_markdown_is_not_sent_through_the_driver(spark):
+    """The texts were joined as a broadcast: their size was taken for that of the files' names."""
+    root = _tree({f"{i}/doc.md": f"é {i} " * 40_000 for i in range(40)} | {"x/doc.md": "not asked for", "0/doc.txt": "no"})
+    rows = [(i, f"{i}/doc.md") for i in range(42)] + [(100, "0/doc.md"), (101, None)]
+    for id_col, path_col in [("id", "markdown_path"), ("path", "_rel")]:
+        docs = spark.createDataFrame(rows, f"{id_col} long, {path_col} string")
+        df = read_markdown(spark, root, docs, path_col, id_col)
+        got = {r[0]: (r.markdown, r.found) for r in df.collect()}
+        assert df.columns == [id_col, "markdown", "found"]
+        assert got == {i: (f"é {i} " * 40_000, True) if i < 40 else ("", False) for i in range(42)} | {100: ("é 0 " * 40_000, True), 101: ("", False)}
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    globbed = read_markdown(spark, f"{root}/*", spark.createDataFrame([(1, f"{root}/1/doc.md"), (2, None)], "id long, markdown_path string"))
+    assert {r.id: (len(r.markdown), r.found) for r in globbed.collect()} == {1: (160_000, True), 2: (0, False)}
