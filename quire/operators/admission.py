@@ -1,14 +1,12 @@
 """Admission of incoming files (SRC-4/5, JON-4, AGG-5, AGG-7)."""
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import names as N
 from quire.functions.options import OPTIONS_STRUCT, with_sanitized_options
-from quire.functions.paths import stable_id
+from quire.functions.paths import below, stable_id
 
 
 def admission_split(files: DataFrame, name_col: str = "name") -> DataFrame:
@@ -50,8 +48,7 @@ def submit_uploads(files: DataFrame, root: str, options: str | None) -> DataFram
     Every file gets a row: a skipped one says so, an accepted one whose request has bad options carries the error,
     every other one is a ``submit`` event with the checked options and an id made of its whole path and length,
     so two uploads of one name and size stay two documents.  Works on streams."""
-    below = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + re.escape(root.rstrip("/")) + "/", "")
-    d = admission_split(files.select(below.alias("path"), "length").withColumn("_name", N.base_name(F.col("path"))), "_name")
+    d = admission_split(files.select(below("path", root).alias("path"), "length").withColumn("_name", N.base_name(F.col("path"))), "_name")
     d = with_sanitized_options(d.withColumn("_raw", F.lit(options).cast("string")), "_raw", "_opts")
     taken = F.col("decision") == "accepted"
     good = taken & F.col("_opts.error").isNull()

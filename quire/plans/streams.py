@@ -16,9 +16,9 @@ from quire.plans import sqlfrag as Q
 from quire.session import read_table, scratch_path
 from quire.sources import fixtures as FX
 from quire.sources.files_sink import write_files
-from quire.sources.listing import few_tasks
 from quire.operators.sequence import rank_within_key
 from quire.streaming.files import drop_files, file_stream, latest_per_key, run_available_now
+from quire.streaming.inbox import inbox_stream, scan_inbox
 from quire.streaming.jobs import COLUMNS, job_updates, missed, publish_feed
 from quire.streaming.library_sink import library_sink, read_stream_library
 from quire.streaming.keyed import fold_by_key
@@ -149,9 +149,6 @@ ORACLE["stream_log_lines"] = TXQ.ORACLE["log_lines"]
 
 
 # -- stream_ingest (STR-4): an inbox of uploads read incrementally ---------------------------------------
-BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
-
-
 def inbox_files(spark, sf_dir):
     """One folder per language; names repeat across folders."""
     d = read_table(spark, sf_dir, "documents")
@@ -166,10 +163,9 @@ def q_stream_ingest(spark, sf_dir):
     inbox = scratch_path(spark, "inbox")
     first = inbox_files(spark, sf_dir).groupBy("file_name").agg(F.min_by("content", "doc_id").alias("content"))
     write_files(first, inbox)
-    # small files, a few to a partition: merged to few tasks
-    s = few_tasks(spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA).option("recursiveFileLookup", "true")
-                  .load(inbox).select("path", "length"))
-    jobs = submit_uploads(s, inbox, UPLOAD_OPTIONS)
+    found = scratch_path(spark, "uploads")
+    scan_inbox(spark, inbox, found)
+    jobs = submit_uploads(inbox_stream(spark, found).select("path", "length"), inbox, UPLOAD_OPTIONS)
     return run_available_now(jobs, "ingest").select("path", "length", "decision", "kind", "doc_id", "options.lang", "options.start_page", "error")
 
 

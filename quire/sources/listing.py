@@ -10,8 +10,10 @@ single file, a store that only Spark's readers reach) is left to ``binaryFile``,
 """
 from __future__ import annotations
 
+import os
 import re
 from functools import reduce
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -62,6 +64,19 @@ def _hidden(name: str) -> bool:
     return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
 
 
+def _entries(store, folder: str):
+    """What a folder holds, ``BATCH_ROWS`` at a time.  Only a local one is not held whole: other stores hand it over at once."""
+    from pyarrow import fs
+
+    if isinstance(store, fs.LocalFileSystem):
+        with os.scandir(folder) as names:
+            while part := [e.path for e in islice(names, BATCH_ROWS)]:
+                yield store.get_file_info(part)
+    else:
+        held = store.get_file_info(fs.FileSelector(folder, recursive=False))
+        yield from (held[i:i + BATCH_ROWS] for i in range(0, len(held), BATCH_ROWS))
+
+
 def _lister(uri: str, name_pattern: str):
     def run(batches):
         from pyarrow import fs
@@ -69,9 +84,8 @@ def _lister(uri: str, name_pattern: str):
         schema, named = pa.schema(_ARROW_FOUND), re.compile(name_pattern, re.S | re.A)
         store = fs.FileSystem.from_uri(uri)[0]
         for folder in (f for rb in batches for f in rb.column(0).to_pylist()):
-            held = store.get_file_info(fs.FileSelector(folder, recursive=False))
-            for i in range(0, len(held), BATCH_ROWS):
-                kept = [(x, x.type == fs.FileType.Directory) for x in held[i:i + BATCH_ROWS] if x.type != fs.FileType.NotFound and not _hidden(x.base_name)]
+            for held in _entries(store, folder):
+                kept = [(x, x.type == fs.FileType.Directory) for x in held if x.type != fs.FileType.NotFound and not _hidden(x.base_name)]
                 kept = [(x, d) for x, d in kept if d or named.fullmatch(x.base_name)]
                 columns = ([x.path for x, _ in kept], [(x.mtime_ns or 0) // 1_000_000 * 1000 for x, _ in kept], [0 if d else x.size for x, d in kept], [d for _, d in kept])
                 arrays = [pa.array(c, pa.int64()).cast(f.type) if pa.types.is_timestamp(f.type) else pa.array(c, f.type) for c, f in zip(columns, schema)]
