@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quire.session import materialize
 from quire.sources.listing import list_files
 
 UPLOAD = "path string, modificationTime timestamp, length long"
@@ -27,7 +28,9 @@ def scan_inbox(spark: SparkSession, inbox: str, found: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found)
     if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
         known = spark.read.schema(UPLOAD).parquet(found).select("path")
-        files = files.join(known.hint("merge"), "path", "left_anti")
+        files = materialize(files.join(known.hint("merge"), "path", "left_anti"), "uploads")
+        if files.isEmpty():
+            return  # no empty file for every scan
     files.write.mode("append").option("maxRecordsPerFile", UPLOADS_PER_FILE).parquet(found)
 
 

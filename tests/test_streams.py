@@ -66,7 +66,8 @@ def test_an_upload_is_ingested_once_over_runs(spark, tmp_path):
     put("a/b/new.PDF")
     (inbox / "x.pdf").write_bytes(b"changed since")
     assert run() == [("a/b/new.PDF", 11, "accepted")]
-    assert run() == []
+    files = set((tmp_path / "found").iterdir())
+    assert run() == [] and set((tmp_path / "found").iterdir()) == files
 
 
 def test_a_large_folder_is_listed_in_parts(tmp_path, monkeypatch):
